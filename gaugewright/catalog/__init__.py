@@ -1,2 +1,2 @@
-from gaugewright.catalog import rating  # noqa: F401
+from gaugewright.catalog import ingest, rating  # noqa: F401
 from gaugewright.catalog.base import ORACLES, QUERIES  # noqa: F401

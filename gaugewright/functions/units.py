@@ -36,11 +36,26 @@ def unit_symbol(step: Column, unit: str, brackets: bool = True) -> Column:
     return F.concat(F.lit("["), symbol, F.lit("]")) if brackets else symbol
 
 
+def scientific(value: Column) -> Column:
+    """Two decimals in short scientific text; exact halves go to the even digit."""
+    size = F.abs(value)
+    exponent = F.floor(F.log10(size)).cast("int")
+    digits = F.rint(size / F.pow(F.lit(10.0), exponent - 2)).cast("long")
+    carried = digits >= 1000
+    digits = F.when(carried, F.lit(100).cast("long")).otherwise(digits).cast("string")
+    exponent = F.when(carried, exponent + 1).otherwise(exponent)
+    text = F.concat(
+        F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.substring(digits, 1, 1), F.lit("."),
+        F.substring(digits, 2, 2), F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
+        F.abs(exponent).cast("string"),
+    )
+    return F.when(value == 0, F.lit("0.00e+0")).otherwise(text)
+
+
 def format_number(value: Column) -> Column:
     """Seven characters for ordinary numbers, short scientific text for the rest."""
     plain = F.substring(F.format_string("%7.6f", value), 1, 7)
-    science = F.replace(F.replace(F.format_string("%.2e", value), F.lit("e+0"), F.lit("e+")), F.lit("e-0"), F.lit("e-"))
-    return F.when(value.isNull(), F.lit("N.A.")).when((value < 1000) & (value >= 0.0001), plain).otherwise(science)
+    return F.when(value.isNull(), F.lit("N.A.")).when((value < 1000) & (value >= 0.0001), plain).otherwise(scientific(value))
 
 
 def format_measure(value: Column, unit: str) -> tuple[Column, Column]:
