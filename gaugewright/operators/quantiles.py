@@ -28,12 +28,13 @@ def value_bucket(value: Column) -> Column:
 
 
 def exact_positions(
-    df: DataFrame, keys: list[str], value: str, positions: list[Callable[[Column], Column]], out: str = "q"
+    df: DataFrame, keys: list[str], value: str, positions: list[Callable[[Column], Column]], out: str = "q",
+    bucket: Callable[[Column], Column] = value_bucket,
 ) -> DataFrame:
     """Per key an array with the value at each (fractional) zero-based position of the ascending order.
 
     A position is a function of the key's row count; fractional positions are interpolated linearly.
-    NULL values are left out.
+    NULL values are left out.  ``bucket`` is any function of the value that keeps its order.
     """
     keys = list(keys)
     own_key = not keys
@@ -43,7 +44,7 @@ def exact_positions(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_c"))
-        .withColumn("_b", value_bucket(F.col("_v")))
+        .withColumn("_b", bucket(F.col("_v")))
     )
     by_key = Window.partitionBy(*keys)
     histogram = (

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from gaugewright.session import materialize
 
 
-def ordered_rank(df: DataFrame, keys: list[str], order: list[str], rank: str = "rank", size: str = "group_size"):
+def ordered_rank(df: DataFrame, keys: list[str], order: list, rank: str = "rank", size: str = "group_size"):
     """Zero-based rank of every row inside its key, and the size of the key.
 
     The rows are range-partitioned on key and order, so a hot key spreads over many partitions.  The
     placement is written to the shared folder once: the partition number has to be the same for the counts
-    and for the rows.  ``order`` must be total inside a key.
+    and for the rows.  ``order`` (names or sort columns) must be total inside a key.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
