@@ -1,2 +1,2 @@
-from gaugewright.catalog import analysis, ingest, prep, rating  # noqa: F401
+from gaugewright.catalog import analysis, ingest, learning, prep, rating, stream  # noqa: F401
 from gaugewright.catalog.base import ORACLES, QUERIES  # noqa: F401

@@ -1,13 +1,198 @@
-"""Meta-learning: predicting indices of algorithms on unseen data sets."""
+"""Meta-learning: predicting the indices of algorithms on unseen data sets.
+
+All regressors are solved from sums of products per (algorithm, fold), so the rows are read once for the sums
+and once per round of predictions, whatever the number of regressors, properties and folds.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewright.functions.names import base_dataset
+from gaugewright.functions.scalars import ZERO_INDEX
+from gaugewright.operators.folds import group_kfold
+from gaugewright.operators.gram import REGRESSORS, fit, packed_grams, unpack
+from gaugewright.operators.index import idx
+from gaugewright.operators.prep import categories
+from gaugewright.session import materialize
+
+N_FOLDS = 5
+CHUNK_ROWS = 20000
+ROW_ID = ("configuration", "environment")
+
 
 def select_regressor(errors: DataFrame, keys) -> DataFrame:
     """Regressor with the smallest mean absolute error per key; equal errors take the first name."""
     return errors.groupBy(*keys).agg(
         F.min_by("regr", F.struct("mae", "regr")).alias("regr"), F.min("mae").alias("mae")
     )
+
+
+def design_table(rated: DataFrame, references: DataFrame, metafeatures: DataFrame, properties) -> DataFrame:
+    """One row per complete measurement: encoded features, index and value targets, reference values.
+
+    The vector is (1, meta-features, environment indicators without the first level).
+    """
+    features = [c for c in metafeatures.columns if c != "dataset"]
+    levels = categories(rated, "environment")[1:]
+    complete = rated.dropna("any", subset=[p.key for p in properties] + [idx(p.key) for p in properties])
+    joined = complete.join(metafeatures, "dataset").join(references, ["dataset", "task", "environment"])
+    x = [F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]]
+    x += [(F.col("environment") == e).cast("double") for e in levels]
+    return joined.select(
+        *ROW_ID, "dataset", "task", "model", F.array(*x).alias("x"),
+        F.array(*[F.col(idx(p.key)) for p in properties], *[F.col(p.key).cast("double") for p in properties]).alias("y"),
+        F.array(*[F.col(f"{p.key}__ref").cast("double") for p in properties]).alias("ref"),
+        F.lit(len(levels)).alias("plain"),
+    )
+
+
+def add_folds(design: DataFrame, k: int = N_FOLDS) -> DataFrame:
+    """Outer fold per algorithm and base data set, and inner fold of the rows outside outer fold 0."""
+    based = design.withColumn("base", base_dataset(F.col("dataset")))
+    outer = group_kfold(based, "base", k, ["model"]).select("model", "base", "fold")
+    placed = materialize(based.join(outer, ["model", "base"]))
+    inner = group_kfold(placed.filter("fold <> 0"), "base", k, ["model"]).select(
+        "model", "base", F.col("fold").alias("inner")
+    )
+    return materialize(placed.join(inner, ["model", "base"], "left").withColumn("inner", F.coalesce("inner", F.lit(-1))))
+
+
+def _real(pred, ref, maximize):
+    """Predicted indices (rows, properties) as property values."""
+    pred = np.where(pred == 0, ZERO_INDEX, pred)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(maximize, pred * ref, ref / pred)
+
+
+def _chunks(rows: DataFrame, models: DataFrame, chunk_rows: int = CHUNK_ROWS):
+    """Cut the rows of an algorithm into chunks of bounded size and give each chunk its own copy of the
+    algorithm's (small) models."""
+    sizes = rows.groupBy("model").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
+    chunked = rows.join(sizes, "model").withColumn("chunk", F.pmod(F.xxhash64(*ROW_ID), F.col("chunks")).cast("int"))
+    copied = models.join(sizes, "model").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return chunked.drop("chunks").groupBy("model", "chunk"), copied.drop("chunks").groupBy("model", "chunk")
+
+
+def meta_learn(design: DataFrame, properties, k: int = N_FOLDS) -> tuple[DataFrame, DataFrame]:
+    """Predictions ``(configuration, environment, model, scale, property, train_pred, test_pred, train_err,
+    test_err)`` and the chosen regressors.
+
+    Scale ``index`` learns indices, ``value`` learns values, ``recalc_value`` turns predicted indices into
+    values.  Errors are prediction - truth, for ``recalc_value`` truth - prediction.
+    """
+    keys = [p.key for p in properties]
+    t = len(keys)
+    maximize = np.array([p.maximize for p in properties])
+    first = design.select(F.size("x").alias("p"), "plain").first()
+    p, plain = first["p"] - 1, first["plain"]
+    width = 1 + p + 2 * t
+    names = list(REGRESSORS)
+    placed = add_folds(design, k)
+    grams = materialize(packed_grams(placed.select("model", "fold", "inner", F.concat("x", "y").alias("v")), ["model", "fold", "inner"], "v"))
+
+    def without(part: pd.DataFrame, fold: str) -> tuple[list, np.ndarray]:
+        """Sums of the training part of every fold."""
+        held = {f: sum(unpack(g, width) for g in rows["gram"]) for f, rows in part.groupby(fold)}
+        total = sum(held.values())
+        train = {f: total - g for f, g in held.items() if total[0, 0] - g[0, 0] >= 1}
+        return list(train), np.array(list(train.values()))
+
+    # solving is heavy for its few rows, so algorithms are spread over a fixed number of tasks
+    tasks = int(design.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_model = grams.repartition(tasks, "model").groupBy("model")
+
+    # 1. all regressors on the inner folds of the first training part
+    def solve_inner(part: pd.DataFrame) -> pd.DataFrame:
+        columns = ["model", "inner", "weights"]
+        part = part[part["fold"] != 0]
+        if not len(part):
+            return pd.DataFrame(columns=columns)
+        folds, train = without(part, "inner")
+        if not folds:
+            return pd.DataFrame(columns=columns)
+        weights = fit(train, p, list(REGRESSORS.values()), plain)
+        return pd.DataFrame({"model": part["model"].iloc[0], "inner": folds, "weights": [w.ravel() for w in weights]})
+
+    inner_models = by_model.applyInPandas(solve_inner, "model string, inner int, weights array<double>")
+
+    def inner_errors(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, one in models.iterrows():
+            test = rows[rows["inner"] == one["inner"]]
+            if not len(test):
+                continue
+            x, y, ref = (np.stack(test[c].to_numpy()) for c in ("x", "y", "ref"))
+            weights = np.asarray(one["weights"]).reshape(len(names), p + 1, 2 * t)
+            for name, w in zip(names, weights):
+                pred = x @ w
+                real = _real(np.clip(pred[:, :t], 0, 1), ref, maximize)
+                for scale, error in (("index", y[:, t:] - real), ("value", pred[:, t:] - y[:, t:])):
+                    out += [
+                        {"model": one["model"], "scale": scale, "property": key, "regr": name, "sae": s, "n": len(test)}
+                        for key, s in zip(keys, np.abs(error).sum(axis=0))
+                    ]
+        return pd.DataFrame(out, columns=["model", "scale", "property", "regr", "sae", "n"])
+
+    left, right = _chunks(placed.filter("fold <> 0").select("model", "inner", "x", "y", "ref", *ROW_ID), inner_models)
+    sums = left.cogroup(right).applyInPandas(inner_errors, "model string, scale string, property string, regr string, sae double, n long")
+    errors = sums.groupBy("model", "scale", "property", "regr").agg((F.sum("sae") / F.sum("n")).alias("mae"))
+    chosen = materialize(select_regressor(errors, ["model", "scale", "property"]))
+
+    # 2. the chosen regressor on the outer folds
+    def solve_outer(part: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
+        columns = ["model", "fold", "weights"]
+        if not len(part):
+            return pd.DataFrame(columns=columns)
+        folds, train = without(part, "fold")
+        if not folds:
+            return pd.DataFrame(columns=columns)
+        pick = {(r.scale, r.property): r.regr for r in picks.itertuples()}
+        wanted = [pick.get((scale, key), names[0]) for scale in ("index", "value") for key in keys]
+        used = sorted(set(wanted))
+        solved = fit(train, p, [REGRESSORS[u] for u in used], plain)
+        weights = np.stack([solved[:, used.index(name), :, column] for column, name in enumerate(wanted)], axis=-1)
+        return pd.DataFrame({"model": part["model"].iloc[0], "fold": folds, "weights": [w.ravel() for w in weights]})
+
+    outer_models = by_model.cogroup(chosen.repartition(tasks, "model").groupBy("model")).applyInPandas(
+        solve_outer, "model string, fold int, weights array<double>"
+    )
+
+    def predict(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows) or not len(models):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        x, y, ref = (np.stack(rows[c].to_numpy()) for c in ("x", "y", "ref"))
+        folds = models["fold"].to_numpy()
+        preds = np.stack([x @ np.asarray(w).reshape(p + 1, 2 * t) for w in models["weights"]])
+        own = folds[:, None] == rows["fold"].to_numpy()[None, :]
+        test = np.where(own[:, :, None], preds, 0).sum(axis=0) / np.maximum(own.sum(axis=0), 1)[:, None]
+        test[own.sum(axis=0) == 0] = np.nan
+        train = np.where(own[:, :, None], 0, preds).sum(axis=0) / np.maximum((~own).sum(axis=0), 1)[:, None]
+        train[(~own).sum(axis=0) == 0] = np.nan
+        by_scale = {
+            "index": (np.clip(train[:, :t], 0, 1), np.clip(test[:, :t], 0, 1), y[:, :t], 1.0),
+            "value": (train[:, t:], test[:, t:], y[:, t:], 1.0),
+        }
+        a, b = by_scale["index"][:2]
+        by_scale["recalc_value"] = (_real(a, ref, maximize), _real(b, ref, maximize), y[:, t:], -1.0)
+        out = []
+        for scale, (tr, te, truth, sign) in by_scale.items():
+            for j, key in enumerate(keys):
+                out.append(pd.DataFrame({
+                    "configuration": rows["configuration"], "environment": rows["environment"], "dataset": rows["dataset"],
+                    "task": rows["task"], "model": rows["model"], "scale": scale, "property": key, "train_pred": tr[:, j], "test_pred": te[:, j],
+                    "train_err": sign * (tr[:, j] - truth[:, j]), "test_err": sign * (te[:, j] - truth[:, j]),
+                }))
+        return pd.concat(out)
+
+    schema = (
+        "configuration string, environment string, dataset string, task string, model string, scale string, property string, "
+        "train_pred double, test_pred double, train_err double, test_err double"
+    )
+    left, right = _chunks(placed.select(*ROW_ID, "dataset", "task", "model", "fold", "x", "y", "ref"), outer_models)
+    return left.cogroup(right).applyInPandas(predict, schema), chosen

@@ -13,9 +13,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_view(table(spark, folder, "lineitem"), table(spark, folder, "part"))
+
+
+def run_view(line: DataFrame, part: DataFrame) -> DataFrame:
     """One raw measurement per line item; the part table is the data-set dimension."""
-    line = table(spark, folder, "lineitem")
-    part = table(spark, folder, "part").select("p_partkey", "p_brand", "p_size")
+    part = part.select("p_partkey", "p_brand", "p_size")
     third_model = (F.col("l_returnflag") == "N") & (F.col("l_suppkey") % 10 == 3)
     return line.join(part, line.l_partkey == part.p_partkey).select(
         F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("log_name"),
