@@ -25,27 +25,37 @@ def pair_pooling(
     """
     draw = F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<int>")).alias("draw")
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
-    drawn = df.select(key, F.col(row_id).alias("_id"), F.col(label).alias("_label"), cells.alias("cells"), draw)
+    # every row is hashed once per draw: spread the narrow rows first, however few files hold them
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = df.select(key, F.col(row_id).alias("_id")).repartition(tasks, "_id").select(key, "_id", draw)
 
     def smallest(frame: DataFrame, hashed, tie: str, n: int) -> DataFrame:
         order = Window.partitionBy(key, "draw").orderBy(hashed, tie)
         return frame.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
 
-    sample = smallest(drawn, _hash(F.col("_id"), F.col("draw")), "_id", rows)
-    names = F.array(*[F.lit(f) for f in features])
-    picked = F.slice(F.array_sort(F.transform(names, lambda f: F.named_struct(F.lit("h"), _hash(f, F.col("draw")), F.lit("f"), f))), 1, n_features)
-    by_feature = (
-        sample.select(key, "draw", "_label", F.inline("cells"), F.transform(picked, lambda p: p["f"]).alias("_picked"))
-        .filter(F.array_contains("_picked", F.col("feature")))
+    ids = smallest(drawn, _hash(F.col("_id"), F.col("draw")), "_id", rows)
+    sample = ids.join(
+        df.select(key, F.col(row_id).alias("_id"), F.col(label).alias("_label"), cells.alias("cells")), [key, "_id"]
     )
-    all_classes = df.select(key, F.col(label).alias("_label")).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    classes = smallest(all_classes, _hash(F.col("_label"), F.col("draw")), "_label", n_classes)
+    if len(features) > n_features:
+        names = F.array(*[F.lit(f) for f in features])
+        hashed = F.transform(names, lambda f: F.named_struct(F.lit("h"), _hash(f, F.col("draw")), F.lit("f"), f))
+        picks = df.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw")).select(
+            "draw", F.slice(F.array_sort(hashed), 1, n_features)["f"].alias("_picked")
+        )
+        sample = sample.join(F.broadcast(picks), "draw").withColumn(  # one row per draw
+            "cells", F.filter("cells", lambda c: F.array_contains("_picked", c["feature"]))
+        )
     # per feature and class: sums over the sampled rows of that class; means follow with the sample size
-    per_feature = by_feature.groupBy(key, "draw", "feature").agg(F.avg("x").alias("mx"), F.count("*").alias("n"))
-    sums = by_feature.groupBy(key, "draw", "feature", "_label").agg(F.sum("x").alias("sx"), F.count("*").alias("c"))
+    sums = sample.select(key, "draw", "_label", F.inline("cells")).groupBy(key, "draw", "feature", "_label").agg(
+        F.sum("x").alias("sx"), F.count("*").alias("c")
+    )
+    per_feature = sums.groupBy(key, "draw", "feature").agg(F.sum("sx").alias("total"), F.sum("c").alias("n"))
+    all_classes = df.select(key, F.col(label).alias("_label")).distinct().select(key, "_label", draw)
+    classes = smallest(all_classes, _hash(F.col("_label"), F.col("draw")), "_label", n_classes)
     pairs = per_feature.join(classes, [key, "draw"]).join(sums, [key, "draw", "feature", "_label"], "left")
     per_draw = pairs.groupBy(key, "draw").agg(
-        F.avg("mx").alias("x"), F.avg(F.coalesce(F.col("c") / F.col("n"), F.lit(0.0))).alias("y"),
+        F.avg(F.col("total") / F.col("n")).alias("x"), F.avg(F.coalesce(F.col("c") / F.col("n"), F.lit(0.0))).alias("y"),
         F.avg(F.coalesce(F.col("sx") / F.col("n"), F.lit(0.0))).alias("xy"),
     )
     return per_draw.groupBy(key).agg(*[F.avg(c).alias(f"mean_{c}") for c in ("x", "y", "xy")])
