@@ -124,7 +124,9 @@ def pivot_cells(donors: DataFrame, width: int, distance, cells: int = CELLS) ->
     return pivots, donors.mapInPandas(assign, schema)
 
 
-def knn_join(queries: DataFrame, donors: DataFrame, width: int, k: int, p: int = 2, cells: int = CELLS) -> DataFrame:
+def knn_join(
+    queries: DataFrame, donors: DataFrame, width: int, k: int, p: int = 2, cells: int = CELLS, rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Exact k nearest donors under a Minkowski distance, pruned by the triangle inequality.
 
     ``queries`` has (qid, target, vec), ``donors`` (id, vec).
@@ -149,10 +151,13 @@ def knn_join(queries: DataFrame, donors: DataFrame, width: int, k: int, p: int =
                 yield batch
 
     schema = ", ".join(f"{n} {t}" for n, t in queries.dtypes) + ", cells array<int>"
-    return nearest(queries.mapInPandas(visit, schema), placed.select("id", "vec", "cell"), width, k, distance)
+    return nearest(queries.mapInPandas(visit, schema), placed.select("id", "vec", "cell"), width, k, distance, rows)
 
 
-def knn_classify(train: DataFrame, test: DataFrame, features: str, label: str, row_id: str, k: int = 5, p: int = 2, width: int | None = None) -> DataFrame:
+def knn_classify(
+    train: DataFrame, test: DataFrame, features: str, label: str, row_id: str, k: int = 5, p: int = 2,
+    width: int | None = None,
+) -> DataFrame:
     """Majority class (an integer) of the k nearest training rows; equal votes take the smallest class."""
     width = width or len(train.select(features).first()[0])
     donors = train.select(F.col(row_id).alias("id"), F.concat(F.col(features), F.array(F.col(label).cast("double"))).alias("vec"))
@@ -165,7 +170,9 @@ def knn_classify(train: DataFrame, test: DataFrame, features: str, label: str, r
 # ---------------------------------------------------------------- vectors with gaps: boxes
 
 
-def knn_impute(df: DataFrame, row_id: str, columns: list[str], k: int = 10, cells: int = CELLS) -> DataFrame:
+def knn_impute(
+    df: DataFrame, row_id: str, columns: list[str], k: int = 10, cells: int = CELLS, rows: int = CHUNK_ROWS
+) -> DataFrame:
     """Fill gaps with the mean of the k nearest rows that have the column (distance over common columns).
 
     With fewer donors all are used, without any the mean of the column.  Cells are ranges of the widest
@@ -222,7 +229,7 @@ def knn_impute(df: DataFrame, row_id: str, columns: list[str], k: int = 10, cell
     queries = placed.select(F.col(row_id).alias("qid"), F.explode(missing).alias("target"), vec.alias("vec"))
     schema = ", ".join(f"{n} {t}" for n, t in queries.dtypes) + ", cells array<int>"
     donors = placed.select(F.col(row_id).alias("id"), vec.alias("vec"), "cell")
-    found = nearest(queries.mapInPandas(visit, schema), donors, d, k, nan_euclidean)
+    found = nearest(queries.mapInPandas(visit, schema), donors, d, k, nan_euclidean, rows)
     filled = found.groupBy(F.col("qid").alias(row_id)).agg(*[
         F.avg(F.when(F.col("target") == columns.index(c), F.col("value"))).alias(f"{c}__fill") for c in gaps
     ])

@@ -92,14 +92,8 @@ def test_split_takes_a_quarter(spark):
     assert split.join(again.withColumnRenamed("is_test", "t"), "id").filter("is_test <> t").count() == 0
 
 
-def vectors(spark, x, name, extra=()):
-    rows = [(f"{name}{i:04d}", [float(v) for v in r], *e) for i, (r, e) in enumerate(zip(x, extra or [()] * len(x)))]
-    return rows
-
-
 @pytest.mark.parametrize("p,chunk", [(1, 37), (2, 2048), (3, 50)])
-def test_knn_join_is_exact(spark, p, chunk, monkeypatch):
-    monkeypatch.setattr(NB, "CHUNK_ROWS", chunk)
+def test_knn_join_is_exact(spark, p, chunk):
     rng = np.random.default_rng(p)
     centers = rng.normal(size=(6, 3)) * 20
     donors = centers[rng.integers(0, 6, 400)] + rng.normal(size=(400, 3))
@@ -107,7 +101,7 @@ def test_knn_join_is_exact(spark, p, chunk, monkeypatch):
     queries = centers[rng.integers(0, 6, 60)] + rng.normal(size=(60, 3))
     d = spark.createDataFrame([(i, [*map(float, r), float(i)]) for i, r in enumerate(donors)], "id long, vec array<double>")
     q = spark.createDataFrame([(i, 3, [*map(float, r)]) for i, r in enumerate(queries)], "qid long, target int, vec array<double>")
-    found = NB.knn_join(q, d, 3, 7, p, cells=8).toPandas()
+    found = NB.knn_join(q, d, 3, 7, p, cells=8, rows=chunk).toPandas()
     for i, r in enumerate(queries):
         dist = np.round((np.abs(donors - r) ** p).sum(axis=1) ** (1 / p), 9)
         want = np.lexsort((np.arange(400), dist))[:7]
@@ -136,7 +130,7 @@ def test_knn_impute_is_exact(spark, whole):
     columns = list("abcd")
     rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "id long, a double, b double, c double, d double")
-    got = NB.knn_impute(df, "id", columns, k=10, cells=16).orderBy("id").toPandas()[columns].to_numpy()
+    got = NB.knn_impute(df, "id", columns, k=10, cells=16, rows=20).orderBy("id").toPandas()[columns].to_numpy()
     assert np.allclose(got, brute_impute(x, 10), atol=1e-9)
 
 
