@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from gaugewright.catalog import sqltext as S
-from gaugewright.catalog.base import query
+from gaugewright.catalog.base import query, r6
 from gaugewright.catalog.ingest import meas
 from gaugewright.catalog.rating import shared_table
 from gaugewright.functions.names import base_dataset
@@ -49,11 +49,11 @@ def reference_values(spark, sf):
     return joined.select(*ROW, F.inline(entries)).filter("index IS NOT NULL")
 
 
-@query("attach_metafeatures", f"""WITH {S.MEAS}, mf AS (SELECT p_brand AS dataset, count(*) AS n_parts, round(avg(p_size), 6) AS mean_size FROM part WHERE p_size > 10 GROUP BY p_brand)
+@query("attach_metafeatures", f"""WITH {S.MEAS}, mf AS (SELECT p_brand AS dataset, count(*) AS n_parts, round(avg(p_size) + CAST(1e-9 AS DOUBLE), 6) AS mean_size FROM part WHERE p_size > 10 GROUP BY p_brand)
 SELECT m.dataset, m.task, m.environment, m.model, m.accuracy, mf.n_parts, mf.mean_size FROM meas m LEFT JOIN mf ON m.dataset = mf.dataset""")
 def attach_metafeatures(spark, sf):
     features = table(spark, sf, "part").filter("p_size > 10").groupBy(F.col("p_brand").alias("dataset")).agg(
-        F.count("*").alias("n_parts"), F.round(F.avg("p_size"), 6).alias("mean_size")
+        F.count("*").alias("n_parts"), r6(F.avg("p_size")).alias("mean_size")
     )
     return meas(spark, sf).select(*ROW, "accuracy").join(features, "dataset", "left")
 
@@ -87,38 +87,38 @@ def env_pairs(spark, sf):
 _spread = ", ".join(f"max(CASE WHEN property = '{p}' THEN s END) AS {p}" for p in PROPERTY_KEYS)
 _SPREAD = f"""spread0 AS (SELECT dataset, model, property, stddev_samp(index) AS s FROM rated GROUP BY dataset, model, property),
  spread AS (SELECT dataset, model, {_spread}, CASE WHEN count(s) = count(*) THEN avg(s) END AS mean_spread FROM spread0 GROUP BY dataset, model)"""
-_spread6 = ", ".join(f"round({p}, 6) AS {p}" for p in (*PROPERTY_KEYS, "mean_spread"))
+_spread6 = ", ".join(f"round({p} + CAST(1e-9 AS DOUBLE), 6) AS {p}" for p in (*PROPERTY_KEYS, "mean_spread"))
 
 
 @query("env_spread", f"WITH {S.RATED}, {_SPREAD} SELECT dataset, model, {_spread6} FROM spread")
 def env_spread(spark, sf):
     found = P.environment_spread(shared_table(spark, sf)[0], PROPS)
-    return found.select("dataset", "model", *[F.round(c, 6).alias(c) for c in (*PROPERTY_KEYS, "mean_spread")])
+    return found.select("dataset", "model", *[r6(c).alias(c) for c in (*PROPERTY_KEYS, "mean_spread")])
 
 
 def _base_spread(spark, sf):
     found = P.environment_spread(shared_table(spark, sf)[0], PROPS).filter("mean_spread IS NOT NULL")
     base_only = found.filter(base_dataset(F.col("dataset")) == F.col("dataset"))
-    return base_only.select("dataset", "model", F.round("mean_spread", 6).alias("mean_spread"))
+    return base_only.select("dataset", "model", r6("mean_spread").alias("mean_spread"))
 
 
-@query("spread_top10", f"""WITH {S.RATED}, {_SPREAD} SELECT dataset, model, round(mean_spread, 6) AS mean_spread FROM spread
+@query("spread_top10", f"""WITH {S.RATED}, {_SPREAD} SELECT dataset, model, round(mean_spread + CAST(1e-9 AS DOUBLE), 6) AS mean_spread FROM spread
  WHERE mean_spread IS NOT NULL AND NOT regexp_matches(dataset, '^v\\d_\\d___') ORDER BY 3 DESC, 1, 2 LIMIT 10""")
 def spread_top10(spark, sf):
     return _base_spread(spark, sf).orderBy(F.desc("mean_spread"), "dataset", "model").limit(10)
 
 
-@query("spread_bottom10", f"""WITH {S.RATED}, {_SPREAD} SELECT dataset, model, round(mean_spread, 6) AS mean_spread FROM spread
+@query("spread_bottom10", f"""WITH {S.RATED}, {_SPREAD} SELECT dataset, model, round(mean_spread + CAST(1e-9 AS DOUBLE), 6) AS mean_spread FROM spread
  WHERE mean_spread IS NOT NULL AND NOT regexp_matches(dataset, '^v\\d_\\d___') ORDER BY 3, 1, 2 LIMIT 10""")
 def spread_bottom10(spark, sf):
     return _base_spread(spark, sf).orderBy("mean_spread", "dataset", "model").limit(10)
 
 
-@query("minmax_normalize", f"""WITH {S.SCORED} SELECT {S.G}, model, round((compound_index - min(compound_index) OVER w) / nullif(max(compound_index) OVER w - min(compound_index) OVER w, 0), 6) AS shade
+@query("minmax_normalize", f"""WITH {S.SCORED} SELECT {S.G}, model, round((compound_index - min(compound_index) OVER w) / nullif(max(compound_index) OVER w - min(compound_index) OVER w, 0) + CAST(1e-9 AS DOUBLE), 6) AS shade
  FROM scored WINDOW w AS (PARTITION BY dataset, task)""")
 def minmax(spark, sf):
     return P.min_max(rated(spark, sf).select(*ROW, "compound_index"), ["dataset", "task"], "compound_index", "shade").select(
-        *ROW, F.round("shade", 6).alias("shade")
+        *ROW, r6("shade").alias("shade")
     )
 
 
@@ -136,7 +136,7 @@ def model_union(spark, sf):
     ).distinct()
 
 
-@query("stack_scales", f"""WITH {S.RATED} SELECT scale, dataset, model, count(v) AS n, round(avg(v), 6) AS mean FROM (
+@query("stack_scales", f"""WITH {S.RATED} SELECT scale, dataset, model, count(v) AS n, round(avg(v) + CAST(1e-9 AS DOUBLE), 6) AS mean FROM (
  SELECT 'index' AS scale, dataset, model, index AS v FROM rated WHERE property = 'accuracy' UNION ALL
  SELECT 'value', dataset, model, value FROM rated WHERE property = 'accuracy' UNION ALL
  SELECT 'rating', dataset, model, CAST(rating AS DOUBLE) FROM rated WHERE property = 'accuracy') GROUP BY ALL""")
@@ -147,7 +147,7 @@ def stack_scales(spark, sf):
         for scale, column in (("index", idx("accuracy")), ("value", "accuracy"), ("rating", "accuracy__rating"))
     ]
     return frames[0].unionByName(frames[1]).unionByName(frames[2]).groupBy("scale", "dataset", "model").agg(
-        F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean")
+        F.count("v").alias("n"), r6(F.avg("v")).alias("mean")
     )
 
 
@@ -174,9 +174,9 @@ _pair_values = ", ".join(f"('{a.key}', '{b.key}')" for a, b in combinations(PROP
  pairs AS (SELECT * FROM (VALUES {_pair_values}) AS t(a, b)),
  xy AS (SELECT x.dataset, x.task, p.a, p.b, x.i AS x, y.i AS y FROM pairs p JOIN z x ON x.property = p.a JOIN z y ON y.property = p.b AND y.configuration = x.configuration AND y.environment = x.environment)
 SELECT dataset, task, a, b, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n,
- CASE WHEN count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) >= 3 AND NOT isnan(corr(x, y)) THEN round(corr(x, y), 6) END AS corr FROM xy GROUP BY dataset, task, a, b""")
+ CASE WHEN count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) >= 3 AND NOT isnan(corr(x, y)) THEN round(corr(x, y) + CAST(1e-9 AS DOUBLE), 6) END AS corr FROM xy GROUP BY dataset, task, a, b""")
 def correlations(spark, sf):
-    return pair_correlations(shared_table(spark, sf)[0], PROPS).withColumn("corr", F.round("corr", 6))
+    return pair_correlations(shared_table(spark, sf)[0], PROPS).withColumn("corr", r6("corr"))
 
 
 _CM = ("accuracy", "f1", "parameters", "fsize", "train_power_draw", "train_running_time", "running_time")
@@ -185,12 +185,12 @@ _CM = ("accuracy", "f1", "parameters", "fsize", "train_power_draw", "train_runni
 def _matrix_sql(a, b):
     if a == b:
         return f"SELECT '{a}' AS a, '{b}' AS b, CAST(0 AS DOUBLE) AS corr"
-    return f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS corr FROM runs"
+    return f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}) + CAST(1e-9 AS DOUBLE), 6) AS corr FROM runs"
 
 
 @query("correlation_matrix", f"WITH {S.RUNS} " + " UNION ALL ".join(_matrix_sql(a, b) for a in _CM for b in _CM))
 def corr_matrix(spark, sf):
-    return correlation_matrix(runs(spark, sf), _CM).withColumn("corr", F.round("corr", 6))
+    return correlation_matrix(runs(spark, sf), _CM).withColumn("corr", r6("corr"))
 
 
 # ---------------------------------------------------------------- scores
@@ -202,13 +202,13 @@ def _clf_sql(source, truth, pred, keys=""):
     return f"""WITH t AS (SELECT {k}{truth} AS truth, {pred} AS pred FROM {source}),
  side AS (SELECT {k}truth AS class, 1 AS support, 0 AS predicted, CAST(truth = pred AS INTEGER) AS tp FROM t UNION ALL SELECT {k}pred, 0, 1, 0 FROM t),
  c AS (SELECT {k}class, sum(support) AS support, sum(predicted) AS predicted, sum(tp) AS tp FROM side GROUP BY {k}class)
-SELECT {k}round(sum(tp) / sum(support), 6) AS accuracy, round(sum(coalesce(tp / nullif(predicted, 0), 0) * support) / sum(support), 6) AS precision,
- round(sum(coalesce(tp / nullif(support, 0), 0) * support) / sum(support), 6) AS recall,
- round(sum(coalesce(2 * tp / nullif(predicted + support, 0), 0) * support) / sum(support), 6) AS f1 FROM c {g}"""
+SELECT {k}round(sum(tp) / sum(support) + CAST(1e-9 AS DOUBLE), 6) AS accuracy, round(sum(coalesce(tp / nullif(predicted, 0), 0) * support) / sum(support) + CAST(1e-9 AS DOUBLE), 6) AS precision,
+ round(sum(coalesce(tp / nullif(support, 0), 0) * support) / sum(support) + CAST(1e-9 AS DOUBLE), 6) AS recall,
+ round(sum(coalesce(2 * tp / nullif(predicted + support, 0), 0) * support) / sum(support) + CAST(1e-9 AS DOUBLE), 6) AS f1 FROM c {g}"""
 
 
 def _round_scores(df, keys=()):
-    return df.select(*keys, *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+    return df.select(*keys, *[r6(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
 
 
 @query("clf_metrics", _clf_sql("labels", "quality", "toxic"))
@@ -223,19 +223,19 @@ def clf_metrics_multi(spark, sf):
 
 
 @query("topk_accuracy", """WITH s AS (SELECT label, list_transform(embedding[1:10], lambda x : CAST(x AS DOUBLE)) AS s FROM embeddings)
-SELECT label, count(*) AS n, round(avg(CASE WHEN len(list_filter(s, lambda x, i : x > s[label + 1] OR (x = s[label + 1] AND i > label + 1))) < 5 THEN 1.0 ELSE 0.0 END), 6) AS top_5_accuracy,
+SELECT label, count(*) AS n, round(avg(CASE WHEN len(list_filter(s, lambda x, i : x > s[label + 1] OR (x = s[label + 1] AND i > label + 1))) < 5 THEN 1.0 ELSE 0.0 END) + CAST(1e-9 AS DOUBLE), 6) AS top_5_accuracy,
  CAST(1 AS DOUBLE) AS top_10_accuracy FROM s GROUP BY label""")
 def topk_accuracy(spark, sf):
     scores = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
     df = table(spark, sf, "embeddings").select("label", scores.alias("s"))
-    rate = lambda k: F.round(F.avg(R.in_top_k(F.col("s"), F.col("label"), k).cast("double")), 6)
+    rate = lambda k: r6(F.avg(R.in_top_k(F.col("s"), F.col("label"), k).cast("double")))
     return df.groupBy("label").agg(F.count("*").alias("n"), rate(5).alias("top_5_accuracy"), rate(10).alias("top_10_accuracy"))
 
 
 # ---------------------------------------------------------------- searches
 
 _SEARCH = """search AS (SELECT p_brand AS dataset, l_returnflag AS method, l_linenumber - 1 AS pos, concat('s', l_linenumber) AS params,
-  CASE WHEN l_linenumber = 6 AND l_returnflag = 'R' THEN NULL ELSE round(avg(1 - l_discount), 2) END AS mean_test_score
+  CASE WHEN l_linenumber = 6 AND l_returnflag = 'R' THEN NULL ELSE round(avg(1 - l_discount) + CAST(1e-9 AS DOUBLE), 2) END AS mean_test_score
  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, l_returnflag, l_linenumber),
  score AS (SELECT *, coalesce(mean_test_score, 0) AS s FROM search),
  ranked AS (SELECT *, CAST(rank() OVER w AS INTEGER) AS r_min, CAST(floor(rank() OVER w + (count(*) OVER (PARTITION BY dataset, method, s) - 1) / 2) AS INTEGER) AS r_avg
@@ -244,7 +244,7 @@ _SEARCH = """search AS (SELECT p_brand AS dataset, l_returnflag AS method, l_lin
 
 def search_table(spark, sf):
     line = runs(spark, sf).select("dataset", F.col("task").alias("method"), F.split_part("log_name", F.lit("_"), F.lit(2)).cast("int").alias("ln"), "accuracy")
-    scores = line.groupBy("dataset", "method", "ln").agg(F.round(F.avg("accuracy"), 2).alias("m"))
+    scores = line.groupBy("dataset", "method", "ln").agg(F.round(F.avg("accuracy") + 1e-9, 2).alias("m"))
     failed = (F.col("ln") == 6) & (F.col("method") == "R")
     return scores.select(
         "dataset", "method", (F.col("ln") - 1).alias("pos"), F.concat(F.lit("s"), "ln").alias("params"),
@@ -267,13 +267,13 @@ def best_params(spark, sf):
     return H.best_params(H.average_rank(search_table(spark, sf)))
 
 
-@query("search_sensitivity", f"""WITH {_SEARCH} SELECT dataset, method, CASE WHEN count(mean_test_score) = count(*) THEN round(stddev_pop(mean_test_score), 6) END AS sensitivity
+@query("search_sensitivity", f"""WITH {_SEARCH} SELECT dataset, method, CASE WHEN count(mean_test_score) = count(*) THEN round(stddev_pop(mean_test_score) + CAST(1e-9 AS DOUBLE), 6) END AS sensitivity
  FROM search GROUP BY dataset, method""")
 def search_sensitivity(spark, sf):
-    return H.sensitivity(search_table(spark, sf)).withColumn("sensitivity", F.round("sensitivity", 6))
+    return H.sensitivity(search_table(spark, sf)).withColumn("sensitivity", r6("sensitivity"))
 
 
-_REGR = """errors AS (SELECT concat('M', l_suppkey % 10) AS model, l_returnflag AS property, concat('R', l_linenumber) AS regr, round(avg(abs(l_discount - l_tax)), 6) AS mae FROM lineitem GROUP BY 1, 2, 3),
+_REGR = """errors AS (SELECT concat('M', l_suppkey % 10) AS model, l_returnflag AS property, concat('R', l_linenumber) AS regr, round(avg(abs(l_discount - l_tax)) + CAST(1e-9 AS DOUBLE), 6) AS mae FROM lineitem GROUP BY 1, 2, 3),
  chosen AS (SELECT model, property, arg_min(regr, row(mae, regr)) AS regr, min(mae) AS mae FROM errors GROUP BY model, property)"""
 
 
@@ -282,7 +282,7 @@ def _chosen(spark, sf):
     errors = table(spark, sf, "lineitem").groupBy(
         F.expr("concat('M', l_suppkey % 10)").alias("model"), F.col("l_returnflag").alias("property"),
         F.expr("concat('R', l_linenumber)").alias("regr"),
-    ).agg(F.round(F.avg(F.abs(F.col("l_discount") - F.col("l_tax"))), 6).alias("mae"))
+    ).agg(r6(F.avg(F.abs(F.col("l_discount") - F.col("l_tax")))).alias("mae"))
     return select_regressor(errors, ["model", "property"])
 
 
@@ -311,7 +311,7 @@ _mom_sql = " UNION ALL ".join(
     for f in _FEATS
 )
 _agg_sql = ", ".join(
-    f"round(coalesce({fn}(CASE WHEN nd <> 2 THEN {m} END), 0), 6) AS {m}_{a}"
+    f"round(coalesce({fn}(CASE WHEN nd <> 2 THEN {m} END), 0) + CAST(1e-9 AS DOUBLE), 6) AS {m}_{a}"
     for m in ("mean", "variance", "skewness", "kurtosis", "min", "max") for a, fn in (("mean", "avg"), ("std", "stddev_pop"))
 )
 
@@ -327,35 +327,35 @@ _COUNTS = ("n_instances", "n_predictors", "n_classes", "n_num", "n_onehot")
 
 
 @query("mf_statistical", f"""WITH t AS (SELECT p_brand AS dataset, l_returnflag AS label, {_feat_sql} FROM lineitem JOIN part ON l_partkey = p_partkey),
- m AS ({_mom_sql}), c AS (SELECT dataset, count(*) AS n_classes, round(avg(n), 6) AS class_freq_mean, round(stddev_pop(n), 6) AS class_freq_std FROM (SELECT dataset, label, count(*) AS n FROM t GROUP BY ALL) GROUP BY dataset),
+ m AS ({_mom_sql}), c AS (SELECT dataset, count(*) AS n_classes, round(avg(n) + CAST(1e-9 AS DOUBLE), 6) AS class_freq_mean, round(stddev_pop(n) + CAST(1e-9 AS DOUBLE), 6) AS class_freq_std FROM (SELECT dataset, label, count(*) AS n FROM t GROUP BY ALL) GROUP BY dataset),
  f AS (SELECT dataset, max(n) AS n_instances, count(*) AS n_predictors, count(*) FILTER (nd <> 2) AS n_num, count(*) FILTER (nd = 2) AS n_onehot,
-  round(avg(CASE WHEN nd = 2 THEN balance END), 6) AS onehot_bal_mean, round(stddev_pop(CASE WHEN nd = 2 THEN balance END), 6) AS onehot_bal_std,
-  round(max(CASE WHEN nd = 2 THEN balance END), 6) AS onehot_bal_max, round(min(CASE WHEN nd = 2 THEN balance END), 6) AS onehot_bal_min, {_agg_sql} FROM m GROUP BY dataset)
-SELECT f.*, c.* EXCLUDE (dataset), round(CASE WHEN n_onehot > 0 THEN n_num / n_onehot / n_predictors ELSE 1 END, 6) AS num_onehot_ratio FROM f JOIN c ON f.dataset = c.dataset""")
+  round(avg(CASE WHEN nd = 2 THEN balance END) + CAST(1e-9 AS DOUBLE), 6) AS onehot_bal_mean, round(stddev_pop(CASE WHEN nd = 2 THEN balance END) + CAST(1e-9 AS DOUBLE), 6) AS onehot_bal_std,
+  round(max(CASE WHEN nd = 2 THEN balance END) + CAST(1e-9 AS DOUBLE), 6) AS onehot_bal_max, round(min(CASE WHEN nd = 2 THEN balance END) + CAST(1e-9 AS DOUBLE), 6) AS onehot_bal_min, {_agg_sql} FROM m GROUP BY dataset)
+SELECT f.*, c.* EXCLUDE (dataset), round(CASE WHEN n_onehot > 0 THEN n_num / n_onehot / n_predictors ELSE 1 END + CAST(1e-9 AS DOUBLE), 6) AS num_onehot_ratio FROM f JOIN c ON f.dataset = c.dataset""")
 def mf_statistical(spark, sf):
     found = statistical(tabular(spark, sf), list(_FEATS), "label")
-    return found.select("dataset", *[F.col(c) if c in _COUNTS else F.round(c, 6).alias(c) for c in STATISTICAL])
+    return found.select("dataset", *[F.col(c) if c in _COUNTS else r6(c).alias(c) for c in STATISTICAL])
 
 
 @query("dataset_profile", f"""WITH t AS (SELECT p_brand AS dataset, count(*) AS n, count(DISTINCT l_returnflag) AS n_classes, count(DISTINCT l_suppkey) AS n_features FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand)
-SELECT *, round((n - ceil(n * CAST(0.25 AS DOUBLE))) / n, 6) AS train_share, CASE WHEN n_features > 100 THEN 5 WHEN n_features > 60 THEN 3 WHEN n_features > 40 THEN 2 END AS subsets FROM t""")
+SELECT *, round((n - ceil(n * CAST(0.25 AS DOUBLE))) / n + CAST(1e-9 AS DOUBLE), 6) AS train_share, CASE WHEN n_features > 100 THEN 5 WHEN n_features > 60 THEN 3 WHEN n_features > 40 THEN 2 END AS subsets FROM t""")
 def dataset_profile(spark, sf):
     line = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
     found = profile(line.withColumnRenamed("p_brand", "dataset"), "l_returnflag", F.count_distinct("l_suppkey"))
-    return found.withColumn("train_share", F.round("train_share", 6))
+    return found.withColumn("train_share", r6("train_share"))
 
 
-@query("run_energy", """SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6, 6) AS duration,
- round(avg(value) * (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 3.6e9 * 1e6, 6) AS energy_mwh, count(*) AS no_meas,
- round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)) + avg(value * 2), 6) AS total_cpu, round(avg(value), 6) AS value FROM events GROUP BY user_id""")
+@query("run_energy", """SELECT user_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 + CAST(1e-9 AS DOUBLE), 6) AS duration,
+ round(avg(value) * (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 / 3.6e9 * 1e6 + CAST(1e-9 AS DOUBLE), 6) AS energy_mwh, count(*) AS no_meas,
+ round(avg(CAST(json_extract(props, '$.k') AS DOUBLE)) + avg(value * 2) + CAST(1e-9 AS DOUBLE), 6) AS total_cpu, round(avg(value) + CAST(1e-9 AS DOUBLE), 6) AS value FROM events GROUP BY user_id""")
 def energy_of_runs(spark, sf):
     samples = table(spark, sf, "events").select(
         "user_id", "ts", "value", F.get_json_object("props", "$.k").cast("double").alias("cpu1"), (F.col("value") * 2).alias("cpu2")
     )
     found = run_energy(samples, "user_id", "ts", "value", ["cpu1", "cpu2"], ["value"])
     return found.select(
-        "user_id", F.round("duration", 6).alias("duration"), F.round(F.col("energy_consumed") * 1e6, 6).alias("energy_mwh"),
-        "no_meas", F.round("total_cpu", 6).alias("total_cpu"), F.round("value", 6).alias("value"),
+        "user_id", r6("duration").alias("duration"), r6(F.col("energy_consumed") * 1e6).alias("energy_mwh"),
+        "no_meas", r6("total_cpu").alias("total_cpu"), r6("value").alias("value"),
     )
 
 
@@ -379,20 +379,20 @@ def truth_vs_pred(spark, sf):
     return L.with_truth(predictions(df), df, PROPS).select("configuration", "environment", "property", "truth", "pred", "err")
 
 
-@query("error_summary", f"""WITH {S.RATED}, {_PRED} SELECT property, round(avg(abs(round(pred - index, 9))), 6) AS mae, round(stddev_samp(abs(round(pred - index, 9))), 6) AS std,
- round(max(abs(round(pred - index, 9))), 6) AS max_error FROM preds GROUP BY property""")
+@query("error_summary", f"""WITH {S.RATED}, {_PRED} SELECT property, round(avg(abs(round(pred - index, 9))) + CAST(1e-9 AS DOUBLE), 6) AS mae, round(stddev_samp(abs(round(pred - index, 9))) + CAST(1e-9 AS DOUBLE), 6) AS std,
+ round(max(abs(round(pred - index, 9))) + CAST(1e-9 AS DOUBLE), 6) AS max_error FROM preds GROUP BY property""")
 def error_summary(spark, sf):
     df = rated(spark, sf)
     found = R.error_summary(L.with_truth(predictions(df), df, PROPS), "err", ["property"])
-    return found.select("property", *[F.round(c, 6).alias(c) for c in ("mae", "std", "max_error")])
+    return found.select("property", *[r6(c).alias(c) for c in ("mae", "std", "max_error")])
 
 
-@query("recalc_values", f"""WITH {S.RATED}, {_PRED}, {_REFS} SELECT configuration, p.environment, property, round({S.back_case('pred')}, 6) AS pred_value,
- round(value - ({S.back_case('pred')}), 6) AS err FROM preds p JOIN ref_rows r USING ({S.G}, property)""")
+@query("recalc_values", f"""WITH {S.RATED}, {_PRED}, {_REFS} SELECT configuration, p.environment, property, round({S.back_case('pred')} + CAST(1e-9 AS DOUBLE), 6) AS pred_value,
+ round(value - ({S.back_case('pred')}) + CAST(1e-9 AS DOUBLE), 6) AS err FROM preds p JOIN ref_rows r USING ({S.G}, property)""")
 def recalc_values(spark, sf):
     df = rated(spark, sf)
     found = L.recalculate_values(predictions(df), df, P.reference_values(df, PROPS), PROPS)
-    return found.select("configuration", "environment", "property", F.round("pred_value", 6).alias("pred_value"), F.round("err", 6).alias("err"))
+    return found.select("configuration", "environment", "property", r6("pred_value").alias("pred_value"), r6("err").alias("err"))
 
 
 _CPRED = f"""cpred AS (SELECT configuration, {S.G}, model, round(sum(weight * pred) / {S.dbl(sum(p.weight for p in PROPS))} + CAST(1e-12 AS DOUBLE), 9) AS compound_pred FROM preds GROUP BY configuration, {S.G}, model HAVING count(*) = {len(PROPS)})"""
@@ -436,12 +436,12 @@ def recommend(spark, sf):
     return _best(objectives(rated(spark, sf)), "pred")
 
 
-@query("recommended_cost", f"""{_ALLBEST} SELECT b.environment, b.dataset, b.model, m.accuracy, round(m.train_power_draw + m.power_draw, 6) AS energy
+@query("recommended_cost", f"""{_ALLBEST} SELECT b.environment, b.dataset, b.model, m.accuracy, round(m.train_power_draw + m.power_draw + CAST(1e-9 AS DOUBLE), 6) AS energy
  FROM best b JOIN meas m ON b.environment = m.environment AND b.configuration = m.configuration WHERE kind = 'pred' AND objective = 'accuracy'""")
 def recommended_cost(spark, sf):
     df = rated(spark, sf)
     best = _best(objectives(df).filter("objective = 'accuracy'"), "pred").select("environment", "dataset", "model", "configuration")
-    measured = df.select("environment", "configuration", "accuracy", F.round(P.energy(), 6).alias("energy"))
+    measured = df.select("environment", "configuration", "accuracy", r6(P.energy()).alias("energy"))
     return best.join(measured, ["environment", "configuration"]).drop("configuration")
 
 
@@ -457,7 +457,7 @@ def best_model_counts(spark, sf):
     return grid.join(counts, ["objective", "kind", "environment", "model"], "left").fillna(0, ["n"])
 
 
-_q3 = lambda v, n: ", ".join(f"round(quantile_cont({v}, {q}), 6) AS {n}_q{i + 1}" for i, q in enumerate(("0.25", "0.5", "0.75")))
+_q3 = lambda v, n: ", ".join(f"round(quantile_cont({v}, {q}) + CAST(1e-9 AS DOUBLE), 6) AS {n}_q{i + 1}" for i, q in enumerate(("0.25", "0.5", "0.75")))
 
 
 @query("cost_comparison", f"""{_ALLBEST}, {_HANDLED}, rows AS (SELECT *, train_power_draw + power_draw AS energy FROM meas),
@@ -477,7 +477,7 @@ def cost_comparison(spark, sf):
     return boxes.groupBy("part", "environment", "source").agg(
         F.max("n").alias("n"),
         *[
-            F.round(F.max(F.when(F.col("measure") == m, F.col("q")[i])), 6).alias(f"{m}_q{i + 1}")
+            r6(F.max(F.when(F.col("measure") == m, F.col("q")[i]))).alias(f"{m}_q{i + 1}")
             for m in ("accuracy", "energy") for i in range(3)
         ],
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugewright.catalog import sqltext as S
-from gaugewright.catalog.base import query
+from gaugewright.catalog.base import query, r6
 from gaugewright.functions import names as N
 from gaugewright.functions import units as U
 from gaugewright.functions.scalars import letter
@@ -100,18 +100,18 @@ SELECT concat_ws('_', CASE WHEN tr THEN 'train' ELSE 'infer' END, l_orderkey, l_
  CASE WHEN tr THEN 'train' ELSE 'infer' END AS task, p_brand AS dataset, concat('M', l_suppkey % 10) AS model,
  {_SHORT_SQL} AS architecture,
  concat('Scikit-learn ', coalesce(split_part(list_filter(reqs, lambda x : replace(lower(split_part(x, '==', 1)), '-', '_') = 'scikit_learn')[1], '==', 2), 'n.a.')) AS software,
- CASE WHEN tr THEN l_quantity END AS train_running_time, CASE WHEN tr THEN round(l_extendedprice / 1e8 * 3.6e6, 6) END AS train_power_draw,
- CASE WHEN tr AND inf THEN round(l_discount / {_test}, 6) END AS running_time, CASE WHEN tr AND inf THEN round(l_tax / 1e4 * 3.6e6 / {_test}, 6) END AS power_draw,
+ CASE WHEN tr THEN l_quantity END AS train_running_time, CASE WHEN tr THEN round(l_extendedprice / 1e8 * 3.6e6 + CAST(1e-9 AS DOUBLE), 6) END AS train_power_draw,
+ CASE WHEN tr AND inf THEN round(l_discount / {_test} + CAST(1e-9 AS DOUBLE), 6) END AS running_time, CASE WHEN tr AND inf THEN round(l_tax / 1e4 * 3.6e6 / {_test} + CAST(1e-9 AS DOUBLE), 6) END AS power_draw,
  CASE WHEN tr THEN CAST(l_linenumber AS DOUBLE) END AS parameters, CASE WHEN tr THEN CAST(p_size AS DOUBLE) END AS fsize,
  CASE WHEN tr THEN 1 - l_discount END AS accuracy, CASE WHEN tr THEN 1 - l_tax END AS f1,
  CASE WHEN tr AND l_quantity <> 13 THEN l_quantity / 50 END AS precision, CASE WHEN tr THEN l_linenumber / 7 END AS recall FROM logs""")
 def extracted(spark, sf):
     flat = extract_properties(run_logs(spark, sf))
-    return flat.withColumns({c: F.round(c, 6) for c in ("train_power_draw", "running_time", "power_draw")})
+    return flat.withColumns({c: r6(c) for c in ("train_power_draw", "running_time", "power_draw")})
 
 
-@query("incremental_ingest", f"""WITH {S.RUNS} SELECT dataset, count(*) FILTER (architecture <> 'Arch F') AS n_new, count(*) AS n_total FROM (
- SELECT DISTINCT dataset, architecture, log_name FROM runs) GROUP BY dataset""")
+@query("incremental_ingest", f"""WITH {S.RUNS}, named AS (SELECT log_name, any_value(dataset) AS dataset, bool_or(architecture = 'Arch F') AS known FROM runs GROUP BY log_name)
+SELECT dataset, count(*) FILTER (NOT known) AS n_new, count(*) AS n_total FROM named GROUP BY dataset""")
 def incremental(spark, sf):
     every = runs(spark, sf).select("log_name", "dataset", "architecture")
     known = every.filter("architecture = 'Arch F'").dropDuplicates(["log_name"])
@@ -146,17 +146,17 @@ def sparse_pivot(spark, sf):
     return densify(sparse, ["configuration", "machine"], list(PROPERTY_KEYS))
 
 
-@query("metafeatures_combined", """WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS dataset, count(*) AS n_customers, round(avg(c_acctbal), 6) AS cust_mean,
-  round(coalesce(stddev_samp(c_acctbal), 0), 6) AS cust_std FROM customer GROUP BY 1),
- s AS (SELECT CAST(s_nationkey AS VARCHAR) AS dataset, count(*) AS n_suppliers, round(coalesce(stddev_samp(s_acctbal), 0), 6) AS supp_std FROM supplier GROUP BY 1)
+@query("metafeatures_combined", """WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS dataset, count(*) AS n_customers, round(avg(c_acctbal) + CAST(1e-9 AS DOUBLE), 6) AS cust_mean,
+  round(coalesce(stddev_samp(c_acctbal), 0) + CAST(1e-9 AS DOUBLE), 6) AS cust_std FROM customer GROUP BY 1),
+ s AS (SELECT CAST(s_nationkey AS VARCHAR) AS dataset, count(*) AS n_suppliers, round(coalesce(stddev_samp(s_acctbal), 0) + CAST(1e-9 AS DOUBLE), 6) AS supp_std FROM supplier GROUP BY 1)
 SELECT coalesce(c.dataset, s.dataset) AS dataset, n_customers, cust_mean, cust_std, n_suppliers, supp_std FROM c FULL JOIN s ON c.dataset = s.dataset""")
 def metafeatures(spark, sf):
     left = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("string").alias("dataset")).agg(
-        F.count("*").alias("n_customers"), F.round(F.avg("c_acctbal"), 6).alias("cust_mean"),
-        F.round(F.coalesce(F.stddev_samp("c_acctbal"), F.lit(0.0)), 6).alias("cust_std"),
+        F.count("*").alias("n_customers"), r6(F.avg("c_acctbal")).alias("cust_mean"),
+        r6(F.coalesce(F.stddev_samp("c_acctbal"), F.lit(0.0))).alias("cust_std"),
     )
     right = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").cast("string").alias("dataset")).agg(
-        F.count("*").alias("n_suppliers"), F.round(F.coalesce(F.stddev_samp("s_acctbal"), F.lit(0.0)), 6).alias("supp_std"),
+        F.count("*").alias("n_suppliers"), r6(F.coalesce(F.stddev_samp("s_acctbal"), F.lit(0.0))).alias("supp_std"),
     )
     return combine_metafeatures(left, right)
 
@@ -222,8 +222,8 @@ def split_subsets(spark, sf):
 _SHORT = "split_part(environment, ' - ', 1)"
 
 
-@query("budgets", f"""WITH {S.MEAS} SELECT {_SHORT} AS architecture, dataset, round(sum(train_running_time), 6) AS seconds,
- greatest(CAST(trunc(round(sum(train_running_time), 6)) AS BIGINT), 15) AS budget FROM meas WHERE model NOT IN ('M8', 'M9') GROUP BY 1, 2""")
+@query("budgets", f"""WITH {S.MEAS} SELECT {_SHORT} AS architecture, dataset, round(sum(train_running_time) + CAST(1e-9 AS DOUBLE), 6) AS seconds,
+ greatest(CAST(trunc(round(sum(train_running_time) + CAST(1e-9 AS DOUBLE), 6)) AS BIGINT), 15) AS budget FROM meas WHERE model NOT IN ('M8', 'M9') GROUP BY 1, 2""")
 def budgets(spark, sf):
     return K.budgets(K.split_models(meas(spark, sf), BASE)[1])
 
@@ -231,7 +231,7 @@ def budgets(spark, sf):
 _nn = " AND ".join(f"{p} IS NOT NULL" for p in PROPERTY_KEYS)
 
 
-@query("env_stats", f"""WITH {S.MEAS} SELECT environment, round(sum(train_running_time) FILTER (model NOT IN ('M8', 'M9')), 6) AS seconds,
+@query("env_stats", f"""WITH {S.MEAS} SELECT environment, round(sum(train_running_time) FILTER (model NOT IN ('M8', 'M9')) + CAST(1e-9 AS DOUBLE), 6) AS seconds,
  count(*) FILTER (model NOT IN ('M8', 'M9') AND {_nn}) AS n_complete, count(*) FILTER (model IN ('M8', 'M9') AND {_nn}) AS n_baselines FROM meas GROUP BY environment""")
 def env_stats(spark, sf):
     base, complete = K.split_models(meas(spark, sf), BASE)
@@ -322,13 +322,13 @@ _PREF = "['q','r','y','z','a','f','p','n','µ','m','','k','M','G','T','P','E','Z
  u AS (SELECT c_custkey, 'byte' AS unit, bytes AS value, {_step_sql('bytes')} AS step, 'B' AS symbol FROM v
   UNION ALL SELECT c_custkey, 'seconds', seconds, {_step_sql('seconds')}, 's' FROM v
   UNION ALL SELECT c_custkey, 'number', number, 0, '#' FROM v)
-SELECT c_custkey, unit, round(value / pow(CAST(1000 AS DOUBLE), step), 6) AS scaled, concat('[', {_PREF}[step + 11], symbol, ']') AS symbol FROM u""")
+SELECT c_custkey, unit, round(value / pow(CAST(1000 AS DOUBLE), step) + CAST(1e-9 AS DOUBLE), 6) AS scaled, concat('[', {_PREF}[step + 11], symbol, ']') AS symbol FROM u""")
 def unit_compact(spark, sf):
     customer = table(spark, sf, "customer")
     measures = {"byte": F.col("c_acctbal"), "seconds": F.col("c_acctbal") / 1000000, "number": F.col("c_acctbal") * 3}
     cells = F.array(*[
         F.struct(
-            F.lit(u).alias("unit"), F.round(U.scale_to(v, U.unit_step(v, u)), 6).alias("scaled"),
+            F.lit(u).alias("unit"), r6(U.scale_to(v, U.unit_step(v, u))).alias("scaled"),
             U.unit_symbol(U.unit_step(v, u), u).alias("symbol"),
         )
         for u, v in measures.items()

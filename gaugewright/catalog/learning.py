@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.catalog import sqltext as S
 from gaugewright.catalog.analysis import _FEATS, rated, tabular
-from gaugewright.catalog.base import query
+from gaugewright.catalog.base import query, r6
 from gaugewright.catalog.ingest import meas
 from gaugewright.meta import DEFAULT_PROPERTIES as PROPS
 from gaugewright.operators import classify as Y
@@ -25,7 +25,7 @@ from gaugewright.sources.views import runs, table
 
 _GC = ("accuracy", "f1", "fsize", "parameters", "running_time")
 _gram_sql = " UNION ALL ".join(
-    f"SELECT model, task, {i} AS i, {j} AS j, round(sum({a} * {b}), 6) AS s FROM v GROUP BY model, task"
+    f"SELECT model, task, {i} AS i, {j} AS j, round(sum({a} * {b}) + CAST(1e-9 AS DOUBLE), 6) AS s FROM v GROUP BY model, task"
     for i, a in enumerate(("one", *_GC)) for j, b in enumerate(("one", *_GC)) if i <= j
 )
 
@@ -33,7 +33,7 @@ _gram_sql = " UNION ALL ".join(
 @query("gram_sums", f"WITH {S.RUNS}, v AS (SELECT *, CAST(1 AS DOUBLE) AS one FROM runs) {_gram_sql}")
 def grams(spark, sf):
     vector = F.array(F.lit(1.0), *[F.col(c) for c in _GC])
-    return gram_sums(runs(spark, sf).select("model", "task", vector.alias("v")), ["model", "task"], "v").withColumn("s", F.round("s", 6))
+    return gram_sums(runs(spark, sf).select("model", "task", vector.alias("v")), ["model", "task"], "v").withColumn("s", r6("s"))
 
 
 _LIN = {"Linear Regression": "cxy / vx", "Ridge A1": "n * cxy / (n * vx + vx)", "Ridge A0.1": "n * cxy / (n * vx + 0.1::DOUBLE * vx)",
@@ -43,10 +43,10 @@ _LIN = {"Linear Regression": "cxy / vx", "Ridge A1": "n * cxy / (n * vx + vx)",
 
 @query("linear_fit", f"WITH {S.RUNS}, s AS (SELECT model, count(*) AS n, avg(train_running_time) AS mx, avg(train_power_draw) AS my, var_pop(train_running_time) AS vx, covar_pop(train_power_draw, train_running_time) AS cxy FROM runs GROUP BY model), f AS ("
        + " UNION ALL ".join(f"SELECT model, '{r}' AS regr, mx, my, {e} AS slope FROM s" for r, e in _LIN.items())
-       + ") SELECT model, regr, round(slope, 6) AS slope, round(my - slope * mx, 5) AS intercept FROM f")
+       + ") SELECT model, regr, round(slope + CAST(1e-9 AS DOUBLE), 6) AS slope, round(my - slope * mx, 5) AS intercept FROM f")
 def linear_fit(spark, sf):
     found = fit_linear(runs(spark, sf), ["model"], ["train_running_time"], "train_power_draw", list(_LIN))
-    return found.select("model", "regr", F.round(F.col("coefficients")[0], 6).alias("slope"), F.round("intercept", 5).alias("intercept"))
+    return found.select("model", "regr", r6(F.col("coefficients")[0]).alias("slope"), F.round("intercept", 5).alias("intercept"))
 
 
 # ---------------------------------------------------------------- classifiers
@@ -165,7 +165,7 @@ _POOL = ("f_qty", "f_price", "f_disc", "f_tax")
 _DRAWS = 160
 
 
-@query("pair_pooling", f"""WITH t AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, p_brand AS dataset, l_returnflag AS label,
+@query("pair_pooling", f"""WITH t AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, p_brand AS dataset, l_returnflag AS label,
   l_quantity AS f_qty, l_extendedprice / 1000 AS f_price, l_discount AS f_disc, l_tax AS f_tax FROM lineitem JOIN part ON l_partkey = p_partkey),
  s AS (SELECT * FROM (SELECT t.*, d.draw, row_number() OVER (PARTITION BY dataset, d.draw ORDER BY md5(concat_ws('-', id, d.draw)), id) AS rn FROM t, range({_DRAWS}) AS d(draw)) WHERE rn <= 256),
  cl AS (SELECT * FROM (SELECT DISTINCT dataset, label FROM t), range({_DRAWS}) AS d(draw)),
@@ -174,15 +174,15 @@ _DRAWS = 160
  p AS (SELECT cl.dataset, cl.draw, ({' + '.join(f'r.{f}' for f in _POOL)}) / 4 AS x, coalesce(k.c, 0) / r.n AS y, coalesce({' + '.join(f'k.{f}' for f in _POOL)}, 0) / r.n / 4 AS xy
   FROM cl JOIN r USING (dataset, draw) LEFT JOIN k USING (dataset, draw, label)),
  m AS (SELECT dataset, draw, avg(x) AS x, avg(y) AS y, avg(xy) AS xy FROM p GROUP BY dataset, draw)
-SELECT dataset, round(avg(x), 6) AS mean_x, round(avg(y), 6) AS mean_y, round(avg(xy), 6) AS mean_xy FROM m GROUP BY dataset""")
+SELECT dataset, round(avg(x) + CAST(1e-9 AS DOUBLE), 6) AS mean_x, round(avg(y) + CAST(1e-9 AS DOUBLE), 6) AS mean_y, round(avg(xy) + CAST(1e-9 AS DOUBLE), 6) AS mean_xy FROM m GROUP BY dataset""")
 def pooled_pairs(spark, sf):
     line = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     rows = line.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.col("p_brand").alias("dataset"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("id"), F.col("p_brand").alias("dataset"),
         F.col("l_returnflag").alias("label"), *[F.expr(_FEATS[f]).alias(f) for f in _POOL],
     )
     found = pair_pooling(rows, "id", list(_POOL), "label", draws=_DRAWS)
-    return found.select("dataset", *[F.round(c, 6).alias(c) for c in ("mean_x", "mean_y", "mean_xy")])
+    return found.select("dataset", *[r6(c).alias(c) for c in ("mean_x", "mean_y", "mean_xy")])
 
 
 # ---------------------------------------------------------------- meta-learning

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugewright.catalog import sqltext as S
-from gaugewright.catalog.base import query
+from gaugewright.catalog.base import query, r6
 from gaugewright.catalog.ingest import meas
 from gaugewright.meta import PROPERTY_KEYS
 from gaugewright.operators import prep as T
@@ -41,10 +41,10 @@ _GAPPY = "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END AS qty, CASE
 
 
 @query("median_impute", f"""WITH t AS (SELECT {', '.join(LINE_ID)}, {_GAPPY} FROM lineitem)
-SELECT {', '.join(LINE_ID)}, coalesce(qty, (SELECT median(qty) FROM t)) AS qty, round(coalesce(price, (SELECT median(price) FROM t)), 6) AS price, tax FROM t""")
+SELECT {', '.join(LINE_ID)}, coalesce(qty, (SELECT median(qty) FROM t)) AS qty, round(coalesce(price, (SELECT median(price) FROM t)) + CAST(1e-9 AS DOUBLE), 6) AS price, tax FROM t""")
 def median_impute(spark, sf):
     gappy = table(spark, sf, "lineitem").selectExpr(*LINE_ID, *[e.strip() for e in _GAPPY.split(", CASE")[:1]], "CASE" + _GAPPY.split(", CASE")[1].split(", l_tax")[0], "l_tax AS tax")
-    return T.median_impute(gappy, ["qty", "price", "tax"]).withColumn("price", F.round("price", 6))
+    return T.median_impute(gappy, ["qty", "price", "tax"]).withColumn("price", r6("price"))
 
 
 @query("train_test_split", """SELECT o_orderkey, row_number() OVER (ORDER BY substr(md5(concat(o_orderkey, '-42')), 1, 13)) <= ceil(count(*) OVER () * CAST(0.25 AS DOUBLE)) AS is_test FROM orders""")
@@ -72,10 +72,10 @@ def folds(spark, sf):
 _ST = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
 
-@query("standardize", f"SELECT {', '.join(LINE_ID)}, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in _ST) + " FROM lineitem")
+@query("standardize", f"SELECT {', '.join(LINE_ID)}, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () + CAST(1e-9 AS DOUBLE), 6) AS {c}" for c in _ST) + " FROM lineitem")
 def standardize(spark, sf):
     scaled = T.standardize(table(spark, sf, "lineitem").select(*LINE_ID, *_ST), list(_ST))
-    return scaled.select(*LINE_ID, *[F.round(c, 6).alias(c) for c in _ST])
+    return scaled.select(*LINE_ID, *[r6(c).alias(c) for c in _ST])
 
 
 # ---------------------------------------------------------------- nearest neighbours
@@ -99,7 +99,7 @@ _LIMIT = 53.0
   CASE WHEN train_power_draw > {_LIMIT} * train_running_time THEN NULL ELSE train_power_draw END AS train_power_draw,
   CASE WHEN power_draw > 7 * running_time THEN NULL ELSE power_draw END AS power_draw FROM meas m WHERE {_num_rows}),
  {_fill_sql('train_power_draw')}, {_fill_sql('power_draw')}
-SELECT c.rid, round(coalesce(c.train_power_draw, t.v, (SELECT avg(train_power_draw) FROM c)), 6) AS train_power_draw, round(coalesce(c.power_draw, p.v, (SELECT avg(power_draw) FROM c)), 6) AS power_draw
+SELECT c.rid, round(coalesce(c.train_power_draw, t.v, (SELECT avg(train_power_draw) FROM c)) + CAST(1e-9 AS DOUBLE), 6) AS train_power_draw, round(coalesce(c.power_draw, p.v, (SELECT avg(power_draw) FROM c)) + CAST(1e-9 AS DOUBLE), 6) AS power_draw
 FROM c LEFT JOIN train_power_draw_f t ON c.rid = t.rid LEFT JOIN power_draw_f p ON c.rid = p.rid""")
 def gap_filling(spark, sf):
     complete = complete_rows(meas(spark, sf), PROPERTY_KEYS).withColumn("rid", F.concat_ws(" @ ", "configuration", "environment"))
@@ -108,7 +108,7 @@ def gap_filling(spark, sf):
         "power_draw": F.expr("CASE WHEN power_draw > 7 * running_time THEN NULL ELSE power_draw END"),
     })
     filled = knn_impute(materialize(gappy.select("rid", *_NUM)), "rid", list(_NUM))
-    return filled.select("rid", F.round("train_power_draw", 6).alias("train_power_draw"), F.round("power_draw", 6).alias("power_draw"))
+    return filled.select("rid", r6("train_power_draw").alias("train_power_draw"), r6("power_draw").alias("power_draw"))
 
 
 _dims = 64

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugewright.catalog import sqltext as S
-from gaugewright.catalog.base import query
-from gaugewright.functions.scalars import index_to_value, letter, scaled_index
+from gaugewright.catalog.base import query, r6
+from gaugewright.functions.scalars import index_to_value, scaled_index, settle
 from gaugewright.meta import DEFAULT_PROPERTIES as PROPS
 from gaugewright.meta import GROUP_KEYS, PROPERTY_KEYS, with_weights
 from gaugewright.operators import bounds as B
@@ -22,9 +22,6 @@ from gaugewright.sources.views import measurements, runs, table
 ROW = ["dataset", "task", "environment", "model"]
 
 
-def r6(name, alias=None):
-    return F.round(F.col(name), 6).alias(alias or name.split(".")[-1])
-
 
 _props = ", ".join(PROPERTY_KEYS)
 
@@ -43,7 +40,7 @@ _RUN_REFS = ", ".join(
     f"{'max' if p.maximize else 'min'}({p.key}) OVER w AS {p.key}__ref" for p in PROPS
 )
 _RUN_IDX = ", ".join(
-    f"round(sum(round({S.index_case(p.key, p.key + '__ref', 'true' if p.maximize else 'false')}, 9)), 4) AS {p.key}" for p in PROPS
+    f"round(sum(round({S.index_case(p.key, p.key + '__ref', 'true' if p.maximize else 'false')} + CAST(1e-12 AS DOUBLE), 9)), 4) AS {p.key}" for p in PROPS
 )
 
 
@@ -60,7 +57,7 @@ def raw_run_indices(spark, sf):
     )
 
 
-@query("index_negative", f"""SELECT c_custkey, c_mktsegment, c_acctbal, ref, round({S.index_case('c_acctbal', 'ref', 'false')}, 9) AS index
+@query("index_negative", f"""SELECT c_custkey, c_mktsegment, c_acctbal, ref, round({S.index_case('c_acctbal', 'ref', 'false')} + CAST(1e-12 AS DOUBLE), 9) AS index
  FROM (SELECT *, min(c_acctbal) OVER (PARTITION BY c_mktsegment) AS ref FROM customer)""")
 def negative_reference(spark, sf):
     customer = table(spark, sf, "customer")
@@ -71,7 +68,7 @@ def negative_reference(spark, sf):
     )
 
 
-@query("index_to_value", f"""WITH {S.INDEXED} SELECT {S.G}, model, property, round({S.back_case('index')}, 6) AS value
+@query("index_to_value", f"""WITH {S.INDEXED} SELECT {S.G}, model, property, round({S.back_case('index')} + CAST(1e-9 AS DOUBLE), 6) AS value
  FROM indexed WHERE index IS NOT NULL""")
 def indices_to_values(spark, sf):
     from gaugewright.operators.index import best_references
@@ -80,7 +77,7 @@ def indices_to_values(spark, sf):
     cells = F.array(*[
         F.struct(
             F.lit(p.key).alias("property"), F.col(idx(p.key)).alias("index"),
-            F.round(index_to_value(F.col(idx(p.key)), F.col(f"{p.key}__ref"), p.maximize), 6).alias("value"),
+            r6(index_to_value(F.col(idx(p.key)), F.col(f"{p.key}__ref"), p.maximize)).alias("value"),
         )
         for p in PROPS
     ])
@@ -136,11 +133,11 @@ def property_ratings(spark, sf):
  SELECT {S.G}, property, any_value(maximize) AS maximize, any_value(bounds) AS bounds,
   arg_max(value, row(index, coalesce(value, CAST('-inf' AS DOUBLE)))) AS ref FROM rated0 WHERE index IS NOT NULL GROUP BY {S.G}, property),
 edges AS (SELECT *, list_concat(list_concat([CAST(100000 AS DOUBLE)], bounds), [CAST(-100 AS DOUBLE)]) AS e FROM tops)
-SELECT {S.G}, property, CAST(i AS INTEGER) AS band, round({S.back_case('e[i + 1]')}, 6) AS start, round({S.back_case('e[i + 2]')}, 6) AS stop
+SELECT {S.G}, property, CAST(i AS INTEGER) AS band, round({S.back_case('e[i + 1]')} + CAST(1e-9 AS DOUBLE), 6) AS start, round({S.back_case('e[i + 2]')} + CAST(1e-9 AS DOUBLE), 6) AS stop
 FROM edges, range(5) AS t(i)""")
 def real_valued_boundaries(spark, sf):
     cells, bounds, _ = rate_cells(measurements(spark, sf))
-    return real_boundaries(cells, bounds, PROPS).select(*GROUP_KEYS, "property", "band", r6("start"), r6("stop"))
+    return real_boundaries(cells, bounds, PROPS).select(*GROUP_KEYS, "property", "band", r6("start").alias("start"), r6("stop").alias("stop"))
 
 
 @query("share_property", f"WITH {S.RATED} SELECT {S.G}, model, property, value, index, rating FROM rated WHERE index IS NOT NULL")
@@ -180,20 +177,20 @@ def compound_boundaries(spark, sf):
 def _combined(spark, sf, mode):
     cells, _ = shared_table(spark, sf)
     items = [(F.col(idx(p.key)), p.weight) for p in PROPS]
-    return cells.select(*ROW, F.round(C.combine(items, mode), 6).alias("score"))
+    return cells.select(*ROW, settle(C.combine(items, mode)).alias("score"))
 
 
-@query("compound_best", f"WITH {S.RATED} SELECT {S.G}, model, round(max(index), 6) AS score FROM rated GROUP BY {S.G}, model")
+@query("compound_best", f"WITH {S.RATED} SELECT {S.G}, model, max(index) AS score FROM rated GROUP BY {S.G}, model")
 def combine_best(spark, sf):
     return _combined(spark, sf, "best")
 
 
-@query("compound_worst", f"WITH {S.RATED} SELECT {S.G}, model, round(min(index), 6) AS score FROM rated GROUP BY {S.G}, model")
+@query("compound_worst", f"WITH {S.RATED} SELECT {S.G}, model, min(index) AS score FROM rated GROUP BY {S.G}, model")
 def combine_worst(spark, sf):
     return _combined(spark, sf, "worst")
 
 
-@query("compound_mean", f"""WITH {S.RATED} SELECT {S.G}, model, round(sum(weight * index) / sum(CASE WHEN index IS NOT NULL THEN weight END), 6) AS score
+@query("compound_mean", f"""WITH {S.RATED} SELECT {S.G}, model, round(sum(weight * index) / sum(CASE WHEN index IS NOT NULL THEN weight END) + CAST(1e-12 AS DOUBLE), 9) AS score
  FROM rated GROUP BY {S.G}, model""")
 def combine_mean(spark, sf):
     return _combined(spark, sf, "pessimistic mean")
@@ -205,7 +202,7 @@ def combine_mean(spark, sf):
   row_number() OVER (PARTITION BY {S.G}, model ORDER BY index DESC, pos DESC) AS rn
  FROM rated WHERE index IS NOT NULL), n AS (
  SELECT *, lead(c) OVER (PARTITION BY {S.G}, model ORDER BY rn) AS nc, lead(index) OVER (PARTITION BY {S.G}, model ORDER BY rn) AS ni FROM o)
-SELECT {S.G}, model, round(arg_min(CASE WHEN c = 0.5 THEN (index + ni) / 2 ELSE index END, rn), 6) AS score
+SELECT {S.G}, model, round(arg_min(CASE WHEN c = 0.5 THEN (index + ni) / 2 ELSE index END, rn) + CAST(1e-12 AS DOUBLE), 9) AS score
 FROM n WHERE c >= 0.5 OR nc > 0.5 GROUP BY {S.G}, model""")
 def combine_median(spark, sf):
     return _combined(spark, sf, "optimistic median")
@@ -232,7 +229,7 @@ _CENTERED = f"""{S.MEAS}, {S.cells()}, {_MEDIANS},
   FROM cells c JOIN group_ref g ON c.dataset = g.dataset AND c.task = g.task AND c.environment = g.environment)"""
 
 
-@query("index_centered", f"""WITH {_CENTERED} SELECT {S.G}, model, property, reference, round({S.index_case()}, 9) AS index
+@query("index_centered", f"""WITH {_CENTERED} SELECT {S.G}, model, property, reference, round({S.index_case()} + CAST(1e-12 AS DOUBLE), 9) AS index
  FROM cen WHERE group_count > 0""")
 def centered_indices(spark, sf):
     meas = materialize(measurements(spark, sf))
@@ -259,13 +256,13 @@ def rerated(spark, sf):
 
 
 @query("update_weights", f"""WITH {S.RATED} SELECT {S.G}, model,
- round(coalesce(sum(w * index) / nullif(sum(CASE WHEN index IS NOT NULL THEN w END), 0), 0), 6) AS compound_index
+ round(coalesce(sum(w * index) / nullif(sum(CASE WHEN index IS NOT NULL THEN w END), 0), 0) + CAST(1e-12 AS DOUBLE), 9) AS compound_index
  FROM (SELECT *, CASE WHEN property = 'accuracy' THEN CAST(0.5 AS DOUBLE) WHEN property = 'power_draw' THEN CAST(0.25 AS DOUBLE)
    WHEN property = 'fsize' THEN CAST(0 AS DOUBLE) ELSE weight END AS w FROM rated) GROUP BY {S.G}, model""")
 def changed_weights(spark, sf):
     cells, _ = shared_table(spark, sf)
     changed, _ = with_weights(PROPS, {"accuracy": 0.5, "power_draw": 0.25, "fsize": 0.0})
-    return C.add_scores(cells, changed).select(*ROW, r6("compound_index"))
+    return C.add_scores(cells, changed).select(*ROW, "compound_index")
 
 
 @query("project_index", f"WITH {S.RATED} PIVOT_PLACEHOLDER")
@@ -306,12 +303,12 @@ def rating_histogram(spark, sf):
     return counts.select("environment", F.inline(names))
 
 
-@query("rate_summary", f"""WITH {S.SCORE_RATED} SELECT environment, model, round(avg(compound_index), 6) AS compound_index,
- round(avg(compound_rating), 6) AS compound_rating, round(avg(quality_index), 6) AS quality_index, count(*) AS n FROM score_rated GROUP BY environment, model""")
+@query("rate_summary", f"""WITH {S.SCORE_RATED} SELECT environment, model, round(avg(compound_index) + CAST(1e-9 AS DOUBLE), 6) AS compound_index,
+ round(avg(compound_rating) + CAST(1e-9 AS DOUBLE), 6) AS compound_rating, round(avg(quality_index) + CAST(1e-9 AS DOUBLE), 6) AS quality_index, count(*) AS n FROM score_rated GROUP BY environment, model""")
 def rate_summary(spark, sf):
     """Flagship: the whole rating, summed up per model and environment."""
     return rate(measurements(spark, sf)).database.groupBy("environment", "model").agg(
-        F.round(F.avg("compound_index"), 6).alias("compound_index"),
-        F.round(F.avg("compound_rating"), 6).alias("compound_rating"),
-        F.round(F.avg("quality_index"), 6).alias("quality_index"), F.count("*").alias("n"),
+        r6(F.avg("compound_index")).alias("compound_index"),
+        r6(F.avg("compound_rating")).alias("compound_rating"),
+        r6(F.avg("quality_index")).alias("quality_index"), F.count("*").alias("n"),
     )

@@ -84,7 +84,7 @@ def cells(source: str = "meas", meta: str = META, keys: str = G) -> str:
 
 
 INDEXED = f"""{MEAS}, {cells()}, indexed AS (
- SELECT *, round({index_case()}, 9) AS index FROM (
+ SELECT *, round({index_case()} + CAST(1e-12 AS DOUBLE), 9) AS index FROM (
   SELECT *, CASE WHEN maximize THEN max(value) OVER w ELSE min(value) OVER w END AS ref FROM cells
   WINDOW w AS (PARTITION BY {G}, property)))"""
 

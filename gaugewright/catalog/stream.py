@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gaugewright.catalog import sqltext as S
-from gaugewright.catalog.base import query
+from gaugewright.catalog.base import query, r6
 from gaugewright.meta import PROPERTY_KEYS
 from gaugewright.session import shared_dir
 from gaugewright.sources.views import run_view, table
@@ -42,13 +42,13 @@ def _energy(spark, sf, window):
     found = spark.read.schema(energy.schema).parquet(place)
     return found.select(
         "user_id", F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-        F.col("window_end").cast("timestamp_ntz").alias("window_end"), F.round("duration", 6).alias("duration"),
-        F.round(F.col("energy_consumed") * 1e6, 6).alias("energy_mwh"), "no_meas",
+        F.col("window_end").cast("timestamp_ntz").alias("window_end"), r6("duration").alias("duration"),
+        r6(F.col("energy_consumed") * 1e6).alias("energy_mwh"), "no_meas",
     )
 
 
 _SECONDS = "(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6"
-_COLUMNS = f"round({_SECONDS}, 6) AS duration, round(avg(value) * {_SECONDS} / 3.6e9 * 1e6, 6) AS energy_mwh, count(*) AS no_meas"
+_COLUMNS = f"round({_SECONDS} + CAST(1e-9 AS DOUBLE), 6) AS duration, round(avg(value) * {_SECONDS} / 3.6e9 * 1e6 + CAST(1e-9 AS DOUBLE), 6) AS energy_mwh, count(*) AS no_meas"
 # windows are written once the watermark (latest sample minus the delay) has reached their end
 _MARK = "mark AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE AS wm FROM events)"
 

@@ -13,8 +13,8 @@ DIGITS = 9
 
 
 def settle(col: Column) -> Column:
-    """Round a combined score.  Means of rounded indices often end in exactly half a digit, where the last bit
-    of the sum would decide; the offset settles such ties upwards."""
+    """Round an index or score.  Ratios and means of rounded numbers often end in exactly half a digit, where
+    the last bit would decide; the offset settles such ties upwards."""
     return F.round(col + 1e-12, DIGITS)
 
 
@@ -45,7 +45,7 @@ def scaled_index(value: Column, ref: Column, maximize: bool) -> Column:
         shifted = ref < 0
         value = F.when(shifted, value - ref + 1).otherwise(value)
         ref = F.when(shifted, F.lit(1.0)).otherwise(ref)
-    return F.round(value_to_index(value, ref, maximize), DIGITS)
+    return settle(value_to_index(value, ref, maximize))
 
 
 def index_to_value(index: Column, ref: Column, maximize: bool) -> Column:
