@@ -64,7 +64,7 @@ def negative_reference(spark, sf):
     refs = customer.groupBy("c_mktsegment").agg(F.min("c_acctbal").alias("ref"))
     return customer.join(refs, "c_mktsegment").select(
         "c_custkey", "c_mktsegment", "c_acctbal", "ref",
-        scaled_index(F.col("c_acctbal"), F.col("ref"), False).alias("index"),
+        F.expr(scaled_index("c_acctbal", "ref", False)).alias("index"),
     )
 
 
@@ -77,7 +77,7 @@ def indices_to_values(spark, sf):
     cells = F.array(*[
         F.struct(
             F.lit(p.key).alias("property"), F.col(idx(p.key)).alias("index"),
-            r6(index_to_value(F.col(idx(p.key)), F.col(f"{p.key}__ref"), p.maximize)).alias("value"),
+            r6(F.expr(index_to_value(idx(p.key), f"{p.key}__ref", p.maximize))).alias("value"),
         )
         for p in PROPS
     ])
@@ -119,8 +119,8 @@ def boundaries_round_trip(spark, sf):
 def default_bands(spark, sf):
     from gaugewright.functions.scalars import band
     cells = long_cells(index_best(measurements(spark, sf), PROPS), PROPS, [], ("index",)).filter("index IS NOT NULL")
-    default = F.array(*[F.lit(b) for b in (0.9, 0.8, 0.7, 0.6)])
-    return cells.groupBy("property", band(F.col("index"), default).alias("rating")).agg(F.count("*").alias("n"))
+    rating = F.expr(band("index", ["0.9D", "0.8D", "0.7D", "0.6D"]))
+    return cells.groupBy("property", rating.alias("rating")).agg(F.count("*").alias("n"))
 
 
 @query("property_ratings", f"WITH {S.RATED0} SELECT {S.G}, model, property, index, rating FROM rated0 WHERE index IS NOT NULL")
@@ -176,8 +176,8 @@ def compound_boundaries(spark, sf):
 
 def _combined(spark, sf, mode):
     cells, _ = shared_table(spark, sf)
-    items = [(F.col(idx(p.key)), p.weight) for p in PROPS]
-    return cells.select(*ROW, settle(C.combine(items, mode)).alias("score"))
+    items = [(idx(p.key), p.weight) for p in PROPS]
+    return cells.selectExpr(*ROW, f"{settle(C.combine(items, mode))} AS score")
 
 
 @query("compound_best", f"WITH {S.RATED} SELECT {S.G}, model, max(index) AS score FROM rated GROUP BY {S.G}, model")

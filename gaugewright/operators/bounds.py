@@ -12,7 +12,7 @@ from gaugewright.operators.quantiles import exact_quantiles
 
 
 def rounded(bounds: str):
-    return F.transform(F.col(bounds), lambda b: F.round(b, DIGITS))
+    return F.expr(f"transform({bounds}, b -> round(b, {DIGITS}))")
 
 
 def optimal_boundaries(df: DataFrame, properties, quantiles=QUANTILES) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.functions.scalars import band, settle
+from gaugewright.functions.scalars import band, double, quoted, settle
 from gaugewright.meta import GROUP_KEYS, QUANTILES
 from gaugewright.operators.bounds import rounded
 from gaugewright.operators.index import idx
@@ -16,62 +14,54 @@ from gaugewright.operators.quantiles import exact_quantiles
 SCORES = ("compound", "quality", "resource")
 
 
-def weighted_mean(items: list[tuple[Column, float]]) -> Column:
-    total = reduce(lambda a, b: a + b, [F.coalesce(c * w, F.lit(0.0)) for c, w in items])
-    weight = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for c, w in items])
-    return F.try_divide(total, weight)
+def weighted_mean(items: list[tuple[str, float]]) -> str:
+    total = " + ".join(f"coalesce({c} * {double(w)}, 0D)" for c, w in items)
+    weight = " + ".join(f"if({c} IS NULL, 0D, {double(w)})" for c, w in items)
+    return f"try_divide({total}, {weight})"
 
 
-def weighted_median(items: list[tuple[Column, float]]) -> Column:
+def weighted_median(items: list[tuple[str, float]]) -> str:
     """Descending weighted median that stays on the element before the crossing of one half."""
-    entries = F.array(*[
-        F.struct(c.alias("v"), F.lit(pos).alias("pos"), F.lit(w).alias("w")) for pos, (c, w) in enumerate(items)
-    ])
-    ordered = F.sort_array(F.filter(entries, lambda e: e["v"].isNotNull()), asc=False)
-
-    def upto(n: Column) -> Column:
-        return F.aggregate(F.slice(ordered, F.lit(1), n), F.lit(0.0), lambda acc, e: acc + e["w"])
-
-    total = upto(F.size(ordered))
-    steps = F.transform(
-        ordered,
-        lambda e, i: F.struct(
-            e["v"].alias("v"), F.get(ordered, i + 1)["v"].alias("next_v"),
-            F.round(F.try_divide(upto(i + 1), total), 12).alias("c"),
-            F.round(F.try_divide(upto(i + 2), total), 12).alias("next_c"),
-        ),
+    entries = ", ".join(f"named_struct('v', {c}, 'pos', {pos}, 'w', {double(w)})" for pos, (c, w) in enumerate(items))
+    ordered = f"sort_array(filter(array({entries}), e -> e.v IS NOT NULL), false)"
+
+    def share(n: str) -> str:
+        return f"round(try_divide(aggregate(slice(o, 1, {n}), 0D, (a, e) -> a + e.w), aggregate(o, 0D, (a, e) -> a + e.w)), 12)"
+
+    steps = (
+        f"transform(o, (e, i) -> named_struct('v', e.v, 'next_v', get(o, i + 1).v, 'c', {share('i + 1')}, 'next_c', {share('i + 2')}))"
     )
-    crossing = F.get(F.filter(steps, lambda s: (s["c"] >= 0.5) | (s["next_c"] > 0.5)), F.lit(0))
-    return F.when(crossing["c"] == 0.5, (crossing["v"] + crossing["next_v"]) / 2).otherwise(crossing["v"])
+    crossing = f"filter({steps}, s -> s.c >= 0.5D OR s.next_c > 0.5D)"
+    picked = f"get(transform({crossing}, s -> if(s.c = 0.5D, (s.v + s.next_v) / 2, s.v)), 0)"
+    return f"get(transform(array({ordered}), o -> {picked}), 0)"  # the sorted array is bound once
 
 
-def combine(items: list[tuple[Column, float]], mode: str = "optimistic mean") -> Column:
+def combine(items: list[tuple[str, float]], mode: str = "optimistic mean") -> str:
     """One score from weighted indices; missing indices and weights that are not positive do not count."""
     items = [(c, float(w)) for c, w in items if w > 0]
+    if mode not in ("best", "worst") and "median" not in mode and "mean" not in mode:
+        raise ValueError(f"unknown rating mode {mode!r}")
     if not items:
-        return F.lit(0.0)
+        return "0D"
     if mode in ("best", "worst"):
-        pick = F.greatest if mode == "best" else F.least
-        score = pick(*[c for c, _ in items]) if len(items) > 1 else items[0][0]
+        names = ", ".join(c for c, _ in items)
+        score = f"{'greatest' if mode == 'best' else 'least'}({names})" if len(items) > 1 else names
     elif "median" in mode:
         score = weighted_median(items)
-    elif "mean" in mode:
-        score = weighted_mean(items)
     else:
-        raise ValueError(f"unknown rating mode {mode!r}")
-    return F.coalesce(score, F.lit(0.0))
+        score = weighted_mean(items)
+    return f"coalesce({score}, 0D)"
 
 
-def combine_custom(values: list[tuple[Column, float]]) -> Column:
+def combine_custom(values: list[tuple[str, float]]) -> str:
     """Weighted mean of plain values with given weights: nothing is skipped, a missing value gives NULL."""
-    total = sum(w for _, w in values)
-    return reduce(lambda a, b: a + b, [c * w for c, w in values]) / total
+    return f"({' + '.join(f'{c} * {double(w)}' for c, w in values)}) / {double(sum(w for _, w in values))}"
 
 
 def add_scores(df: DataFrame, properties, mode: str = "optimistic mean") -> DataFrame:
     """Compound, quality (group Performance) and resource (all other groups) index per row."""
     def score(chosen):
-        return settle(combine([(F.col(idx(p.key)), p.weight) for p in chosen], mode))
+        return F.expr(settle(combine([(quoted(idx(p.key)), p.weight) for p in chosen], mode)))
 
     return df.withColumns({
         "compound_index": score(properties),
@@ -81,10 +71,8 @@ def add_scores(df: DataFrame, properties, mode: str = "optimistic mean") -> Data
 
 
 def long_scores(df: DataFrame, keep) -> DataFrame:
-    cells = F.array(*[
-        F.struct(F.lit(f"{s}_index").alias("property"), F.col(f"{s}_index").alias("index")) for s in SCORES
-    ])
-    return df.select(*keep, F.inline(cells))
+    cells = ", ".join(f"named_struct('property', '{s}_index', 'index', {s}_index)" for s in SCORES)
+    return df.selectExpr(*[quoted(k) for k in keep], f"inline(array({cells}))")
 
 
 def score_boundaries(df: DataFrame, quantiles=QUANTILES) -> DataFrame:
@@ -96,13 +84,14 @@ def score_boundaries(df: DataFrame, quantiles=QUANTILES) -> DataFrame:
 def group_score_boundaries(df: DataFrame, keys=GROUP_KEYS, quantiles=QUANTILES) -> DataFrame:
     """Boundaries of the three scores inside each group, one column per score."""
     found = exact_quantiles(long_scores(df, keys), [*keys, "property"], "index", quantiles, "bounds")
-    return found.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("property") == f"{s}_index", rounded("bounds"))).alias(f"{s}__bounds") for s in SCORES
-    ])
+    found = found.withColumn("bounds", rounded("bounds"))
+    return found.groupBy(*keys).agg(
+        *[F.expr(f"max(CASE WHEN property = '{s}_index' THEN bounds END) AS {s}__bounds") for s in SCORES]
+    )
 
 
 def add_score_ratings(df: DataFrame, keys=GROUP_KEYS) -> DataFrame:
     joined = df.join(group_score_boundaries(df, keys), list(keys))
     return joined.withColumns({
-        f"{s}_rating": band(F.col(f"{s}_index"), F.col(f"{s}__bounds")) for s in SCORES
+        f"{s}_rating": F.expr(band(f"{s}_index", [f"{s}__bounds[{i}]" for i in range(4)])) for s in SCORES
     }).drop(*[f"{s}__bounds" for s in SCORES])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.functions.scalars import index_to_value, scaled_index
+from gaugewright.functions.scalars import double, index_to_value, quoted, scaled_index
 from gaugewright.meta import GROUP_KEYS, TOP, BOTTOM
 
 
@@ -19,9 +19,10 @@ def rat(key: str) -> str:
 
 def best_references(df: DataFrame, properties, keys=GROUP_KEYS) -> DataFrame:
     """Best value of every property per group: one partial aggregation, whatever the group sizes."""
-    return df.groupBy(*keys).agg(
-        *[(F.max if p.maximize else F.min)(p.key).cast("double").alias(f"{p.key}__ref") for p in properties]
-    )
+    return df.groupBy(*keys).agg(*[
+        F.expr(f"CAST({'max' if p.maximize else 'min'}({quoted(p.key)}) AS DOUBLE) AS {quoted(p.key + '__ref')}")
+        for p in properties
+    ])
 
 
 def add_indices(df: DataFrame, references: DataFrame, properties, keys=GROUP_KEYS) -> DataFrame:
@@ -31,15 +32,13 @@ def add_indices(df: DataFrame, references: DataFrame, properties, keys=GROUP_KEY
     execution, which broadcasts it by its measured size or splits a hot group.
     An index is NULL only if the whole group lacks the property.
     """
-    present = [f"{p.key}__present" for p in properties if f"{p.key}__present" in references.columns]
-    joined = df.join(references, list(keys))
     columns = []
     for p in properties:
-        index = scaled_index(F.col(p.key), F.col(f"{p.key}__ref"), p.maximize)
-        if f"{p.key}__present" in present:
-            index = F.when(F.col(f"{p.key}__present"), index)
-        columns.append(index.alias(idx(p.key)))
-    return joined.select(*df.columns, *columns)
+        index = scaled_index(quoted(p.key), quoted(f"{p.key}__ref"), p.maximize)
+        if f"{p.key}__present" in references.columns:
+            index = f"CASE WHEN {quoted(p.key + '__present')} THEN {index} END"
+        columns.append(f"{index} AS {quoted(idx(p.key))}")
+    return df.join(references, list(keys)).selectExpr(*[quoted(c) for c in df.columns], *columns)
 
 
 def index_best(df: DataFrame, properties) -> DataFrame:
@@ -49,41 +48,33 @@ def index_best(df: DataFrame, properties) -> DataFrame:
 def long_cells(df: DataFrame, properties, keep, parts=("value", "index")) -> DataFrame:
     """One row per row and property with the chosen parts (value, index, rating) as columns."""
     source = {"value": lambda k: k, "index": idx, "rating": rat}
-    cells = F.array(*[
-        F.struct(
-            F.lit(p.key).alias("property"),
-            *[F.col(source[part](p.key)).cast("int" if part == "rating" else "double").alias(part) for part in parts],
-        )
+    types = {"rating": "INT"}
+    cells = ", ".join(
+        f"named_struct('property', '{p.key}', "
+        + ", ".join(f"'{part}', CAST({quoted(source[part](p.key))} AS {types.get(part, 'DOUBLE')})" for part in parts) + ")"
         for p in properties
-    ])
-    return df.select(*keep, F.inline(cells))
+    )
+    return df.selectExpr(*[quoted(k) for k in keep], f"inline(array({cells}))")
 
 
-def real_boundaries(df: DataFrame, bounds: DataFrame, properties, keys=GROUP_KEYS) -> DataFrame:
-    """Boundaries of every band as property values per group; ``bounds`` has one row per property."""
-    refs = df.groupBy(*keys).agg(
-        *[F.max_by(p.key, F.struct(idx(p.key), p.key)).cast("double").alias(f"{p.key}__top") for p in properties],
-        *[F.count(idx(p.key)).alias(f"{p.key}__n") for p in properties],
-    )
-    cells = F.array(*[
-        F.struct(
-            F.lit(p.key).alias("property"), F.lit(p.maximize).alias("maximize"),
-            F.col(f"{p.key}__top").alias("ref"), F.col(f"{p.key}__n").alias("n"),
+def real_boundaries(df: DataFrame, bounds: dict, properties, keys=GROUP_KEYS) -> DataFrame:
+    """Boundaries of every band as property values per group, for boundaries as a dict."""
+    def aggregates(p):
+        value, index = quoted(p.key), quoted(idx(p.key))
+        return (
+            F.expr(f"CAST(max_by({value}, struct({index}, {value})) AS DOUBLE) AS {quoted(p.key + '__top')}"),
+            F.expr(f"count({index}) AS {quoted(p.key + '__n')}"),
         )
-        for p in properties
-    ])
-    per_property = refs.select(*keys, F.inline(cells)).filter("n > 0")
-    edges = F.concat(F.array(F.lit(TOP)), F.col("bounds"), F.array(F.lit(BOTTOM)))
-    banded = per_property.join(F.broadcast(bounds), "property").select(
-        *keys, "property", "maximize", "ref",
-        F.posexplode(F.arrays_zip(F.slice(edges, 1, 5).alias("upper"), F.slice(edges, 2, 5).alias("lower"))).alias("band", "edge"),
-    )
 
-    def back(edge):
-        return F.when(F.col("maximize"), index_to_value(edge, F.col("ref"), True)).otherwise(
-            index_to_value(edge, F.col("ref"), False)
+    def bands(p):
+        edges = [double(TOP), *[double(b) for b in bounds[p.key]], double(BOTTOM)]
+        top, n = quoted(f"{p.key}__top"), quoted(f"{p.key}__n")
+        return ", ".join(
+            f"named_struct('property', '{p.key}', 'n', {n}, 'band', {i}, "
+            f"'start', {index_to_value(edges[i], top, p.maximize)}, 'stop', {index_to_value(edges[i + 1], top, p.maximize)})"
+            for i in range(len(edges) - 1)
         )
 
-    return banded.select(
-        *keys, "property", "band", back(F.col("edge.upper")).alias("start"), back(F.col("edge.lower")).alias("stop")
-    )
+    tops = df.groupBy(*keys).agg(*[a for p in properties for a in aggregates(p)])
+    found = tops.selectExpr(*keys, f"inline(array({', '.join(bands(p) for p in properties)}))")
+    return found.filter("n > 0").drop("n")

@@ -134,7 +134,7 @@ def knn_join(
     distance = minkowski(p)
     pivots, placed = pivot_cells(donors, width, distance, cells)
     # one row per pivot: outermost donor, and the k-th closest one if there are that many
-    kth = exact_positions(placed, ["cell"], "radius", [lambda n: F.least(F.lit(k), n) - 1, lambda n: n - 1], "r")
+    kth = exact_positions(placed, ["cell"], "radius", [lambda n: f"least({k}, {n}) - 1", lambda n: f"{n} - 1"], "r")
     counts = placed.groupBy("cell").agg(F.count("*").alias("n"))
     stats = kth.join(counts, "cell").collect()
     number = np.array([s["cell"] for s in stats])

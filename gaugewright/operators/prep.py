@@ -55,7 +55,7 @@ def train_test_split(df: DataFrame, row_id: str, seed: int = 42, share: float =
     hashed = df.withColumn("_h", split_hash(F.col(row_id), seed))
     # hashes are uniform, so equal-width buckets of 2**32 are balanced
     limit = exact_positions(
-        hashed, [], "_h", [lambda n: F.ceil(n * share) - 1], "_limit", lambda v: F.floor(v / 2.0**32)
+        hashed, [], "_h", [lambda n: f"ceil({n} * {float(share)!r}D) - 1"], "_limit", lambda v: f"CAST(floor({v} / {2.0**32!r}D) AS BIGINT)"
     )
     threshold = limit.select(F.col("_limit")[0]).scalar()
     return hashed.withColumn("is_test", F.col("_h") <= threshold).drop("_h")

@@ -8,9 +8,8 @@ all rows is therefore spread over as many tasks as it has distinct values.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # A bucket spans a factor of 2**(1/16384), so values of nine significant digits put at most
@@ -20,21 +19,23 @@ _OFFSET = 1075 * BUCKETS_PER_OCTAVE + 1
 _INFINITE = 1 << 40
 
 
-def value_bucket(value: Column) -> Column:
+def value_bucket(value: str) -> str:
     """Order-preserving bucket number of a double."""
-    size = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_OCTAVE) + _OFFSET
-    size = F.when(F.abs(value) == float("inf"), F.lit(_INFINITE)).otherwise(size).cast("long")
-    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, size).otherwise(-size)
+    size = f"CAST(floor(log2(abs({value})) * {BUCKETS_PER_OCTAVE}) AS BIGINT) + {_OFFSET}L"
+    return (
+        f"CASE WHEN {value} = 0 THEN 0L WHEN abs({value}) = double('Infinity') THEN CAST(sign({value}) AS BIGINT) * {_INFINITE}L "
+        f"WHEN {value} > 0 THEN {size} ELSE -({size}) END"
+    )
 
 
 def exact_positions(
-    df: DataFrame, keys: list[str], value: str, positions: list[Callable[[Column], Column]], out: str = "q",
-    bucket: Callable[[Column], Column] = value_bucket,
+    df: DataFrame, keys: list[str], value: str, positions: list[Callable[[str], str]], out: str = "q",
+    bucket: Callable[[str], str] = value_bucket,
 ) -> DataFrame:
     """Per key an array with the value at each (fractional) zero-based position of the ascending order.
 
-    A position is a function of the key's row count; fractional positions are interpolated linearly.
-    NULL values are left out.  ``bucket`` is any function of the value that keeps its order.
+    A position is SQL text from the name of the key's row count; fractional positions are interpolated
+    linearly.  NULL values are left out.  ``bucket`` is any function of the value that keeps its order.
     """
     keys = list(keys)
     own_key = not keys
@@ -44,52 +45,36 @@ def exact_positions(
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count("*").alias("_c"))
-        .withColumn("_b", bucket(F.col("_v")))
+        .withColumn("_b", F.expr(bucket("_v")))
     )
-    by_key = Window.partitionBy(*keys)
-    histogram = (
-        counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
-        .withColumn("_end", F.sum("_bc").over(by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("_n", F.sum("_bc").over(by_key))
+    by = ", ".join(f"`{k}`" for k in keys)
+    histogram = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc")).selectExpr(
+        "*", f"sum(_bc) OVER (PARTITION BY {by} ORDER BY _b ROWS UNBOUNDED PRECEDING) AS _end", f"sum(_bc) OVER (PARTITION BY {by}) AS _n"
     )
-    pos = [F.round(p(F.col("_n")).cast("double"), 9) for p in positions]
-    ranks = [(F.floor(p), F.ceil(p)) for p in pos]
+    pos = [f"round(CAST({p('_n')} AS DOUBLE), 9)" for p in positions]
+    ranks = list(dict.fromkeys(r for p in pos for r in (f"floor({p})", f"ceil({p})")))
 
-    def covers(start: Column, end: Column) -> Column:
-        return reduce(lambda a, b: a | b, [(r >= start) & (r < end) for lo_hi in ranks for r in lo_hi])
+    def covers(start: str, end: str) -> str:
+        return " OR ".join(f"({r} >= {start} AND {r} < {end})" for r in ranks)
 
-    hit = histogram.filter(covers(F.col("_end") - F.col("_bc"), F.col("_end"))).select(
-        *keys, "_b", "_n", (F.col("_end") - F.col("_bc")).alias("_before")
-    )
-    in_bucket = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = histogram.filter(covers("(_end - _bc)", "_end")).selectExpr(*keys, "_b", "_n", "_end - _bc AS _before")
     found = (
         counted.join(hit, [*keys, "_b"])
-        .withColumn("_stop", F.col("_before") + F.sum("_c").over(in_bucket))
-        .withColumn("_start", F.col("_stop") - F.col("_c"))
-        .filter(covers(F.col("_start"), F.col("_stop")))
+        .selectExpr("*", f"_before + sum(_c) OVER (PARTITION BY {by}, _b ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _stop")
+        .selectExpr("*", "_stop - _c AS _start").filter(covers("_start", "_stop"))
     )
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_start")) & (rank < F.col("_stop")), F.col("_v")))
-
-    ends = [
-        at_
-        for i, (lo, hi) in enumerate(ranks)
-        for at_ in (at(lo).alias(f"_lo{i}"), at(hi).alias(f"_hi{i}"))
-    ]
-    picked = found.groupBy(*keys).agg(F.max("_n").alias("_n"), *ends)
-    interpolated = [
-        F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise(
-            F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (p - F.floor(p))
-        )
-        for i, p in enumerate(pos)
-    ]
-    return picked.select(*([] if own_key else keys), F.array(*interpolated).alias(out))
+    at = [F.expr(f"max(CASE WHEN {r} >= _start AND {r} < _stop THEN _v END) AS _r{i}") for i, r in enumerate(ranks)]
+    picked = found.groupBy(*keys).agg(F.max("_n").alias("_n"), *at)
+    ends = [(f"_r{ranks.index(f'floor({p})')}", f"_r{ranks.index(f'ceil({p})')}") for p in pos]
+    values = ", ".join(
+        f"CASE WHEN {lo} = {hi} THEN {lo} ELSE {lo} + ({hi} - {lo}) * ({p} - floor({p})) END" for p, (lo, hi) in zip(pos, ends)
+    )
+    return picked.selectExpr(*([] if own_key else [f"`{k}`" for k in keys]), f"array({values}) AS `{out}`")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs, out: str = "q") -> DataFrame:
     """Linearly interpolated quantiles per key as an array."""
-    return exact_positions(df, keys, value, [lambda n, p=p: F.lit(float(p)) * (n - 1) for p in probs], out)
+    return exact_positions(df, keys, value, [lambda n, p=p: f"{float(p)!r}D * ({n} - 1)" for p in probs], out)
 
 
 def approx_quantiles(df: DataFrame, keys: list[str], value: str, probs, accuracy=100000, out="q") -> DataFrame:

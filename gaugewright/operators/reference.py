@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.functions.scalars import settle, value_to_index
+from gaugewright.functions.scalars import double, quoted, settle, value_to_index
 from gaugewright.meta import GROUP_KEYS
 from gaugewright.operators.index import add_indices, long_cells
 from gaugewright.operators.quantiles import exact_quantiles
@@ -18,13 +18,13 @@ def median_scores(df: DataFrame, properties, keys=GROUP_KEYS) -> DataFrame:
         long_cells(df, properties, keys, ("value",)), [*keys, "property"], "value", [0.5], "median"
     )
     wide = medians.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("property") == p.key, F.col("median")[0])).alias(f"{p.key}__median") for p in properties]
+        *[F.expr(f"max(CASE WHEN property = '{p.key}' THEN median[0] END) AS {quoted(p.key + '__median')}") for p in properties]
     )
-    score = F.lit(0.0)
-    for p in properties:
-        index = value_to_index(F.col(p.key), F.col(f"{p.key}__median"), p.maximize)
-        score = score + F.coalesce(index * p.weight, F.lit(0.0))
-    return df.join(wide, list(keys)).select(*keys, "model", settle(score).alias("score"))
+    score = " + ".join(
+        f"coalesce(({value_to_index(quoted(p.key), quoted(p.key + '__median'), p.maximize)}) * {double(p.weight)}, 0D)"
+        for p in properties
+    )
+    return df.join(wide, list(keys)).selectExpr(*keys, "model", f"{settle(f'({score})')} AS score")
 
 
 def optimal_references(df: DataFrame, properties, keys=GROUP_KEYS) -> DataFrame:

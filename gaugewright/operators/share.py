@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewright.functions.scalars import quoted
 from gaugewright.operators.index import idx, rat
 
 
@@ -21,19 +22,20 @@ def share_independent(df: DataFrame, properties, by_environment: bool | None = N
     if by_environment is None:
         by_environment = len(df.select("environment").distinct().limit(2).collect()) > 1
     keys = ["dataset", "model"] + (["environment"] if by_environment else [])
-    order = F.struct("configuration", "environment")
-    first_cells = df.groupBy(*keys).agg(
-        F.count("*").alias("_rows"),
-        *[F.count(p.key).alias(f"{p.key}__n") for p in shared],
-        *[
-            F.min_by(F.struct(p.key, idx(p.key), rat(p.key)), F.when(F.col(p.key).isNotNull(), order)).alias(f"{p.key}__first")
-            for p in shared
-        ],
-    )
+    first_cells = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *[a for p in shared for a in _first_cell(p.key)])
     joined = df.join(first_cells, keys)
     replaced = {}
     for p in shared:
-        use = (F.col(f"{p.key}__n") > 0) & (F.col(f"{p.key}__n") < F.col("_rows"))
+        use = f"{quoted(p.key + '__n')} > 0 AND {quoted(p.key + '__n')} < _rows"
         for c in (p.key, idx(p.key), rat(p.key)):
-            replaced[c] = F.when(use, F.col(f"{p.key}__first")[c]).otherwise(F.col(c))
+            replaced[c] = F.expr(f"if({use}, {quoted(p.key + '__first')}.{quoted(c)}, {quoted(c)})")
     return joined.withColumns(replaced).select(*df.columns)
+
+
+def _first_cell(key: str):
+    cell = ", ".join(quoted(c) for c in (key, idx(key), rat(key)))
+    first = f"CASE WHEN {quoted(key)} IS NOT NULL THEN struct(configuration, environment) END"
+    return (
+        F.expr(f"count({quoted(key)}) AS {quoted(key + '__n')}"),
+        F.expr(f"min_by(struct({cell}), {first}) AS {quoted(key + '__first')}"),
+    )

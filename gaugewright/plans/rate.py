@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.functions.scalars import band
+from gaugewright.functions.scalars import band, double, quoted
 from gaugewright.meta import DEFAULT_PROPERTIES, rateable
 from gaugewright.operators.bounds import (
     collect_boundaries,
@@ -32,12 +32,12 @@ class Rated(NamedTuple):
 def add_ratings(df: DataFrame, bounds: dict, properties) -> DataFrame:
     """Rating column per property."""
     return df.withColumns({
-        rat(p.key): band(F.col(idx(p.key)), [F.lit(b) for b in bounds[p.key]]) for p in properties
+        rat(p.key): F.expr(band(quoted(idx(p.key)), [double(b) for b in bounds[p.key]])) for p in properties
     })
 
 
 def rate_cells(df: DataFrame, properties=DEFAULT_PROPERTIES, boundaries=None, mode="best", references=None):
-    """Indices, boundaries and ratings before sharing: ``(cells, boundaries, references)``."""
+    """Indices, boundaries (as a dict) and ratings before sharing: ``(cells, boundaries, references)``."""
     properties = rateable(df, properties)
     plain = df.drop(*_derived(properties))
     if mode == "best":
@@ -52,7 +52,7 @@ def rate_cells(df: DataFrame, properties=DEFAULT_PROPERTIES, boundaries=None, mo
     if isinstance(boundaries, DataFrame):
         boundaries = collect_boundaries(boundaries)
     bounds = complete_boundaries(boundaries, properties)
-    return add_ratings(indexed, bounds, properties), fixed_boundaries(df.sparkSession, bounds), references
+    return add_ratings(indexed, bounds, properties), bounds, references
 
 
 def rate(
@@ -69,7 +69,8 @@ def rate(
     real = real_boundaries(cells, bounds, properties)
     scored = materialize(add_scores(share_independent(cells, properties), properties, rating_mode))
     return Rated(
-        add_score_ratings(scored), bounds.unionByName(score_boundaries(scored)), real, references
+        add_score_ratings(scored), fixed_boundaries(df.sparkSession, bounds).unionByName(score_boundaries(scored)), real,
+        references,
     )
 
 

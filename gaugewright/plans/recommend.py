@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.functions.scalars import DIGITS, index_to_value, settle
+from gaugewright.functions.scalars import DIGITS, index_to_value, quoted, settle
 from gaugewright.meta import GROUP_KEYS
 from gaugewright.operators.compare import top_per_group
 from gaugewright.operators.compound import combine_custom
@@ -28,9 +28,7 @@ def recalculate_values(predictions: DataFrame, rated: DataFrame, references: Dat
     ])
     truth = rated.join(references, list(GROUP_KEYS)).select(*ROW_ID, F.inline(cells))
     joined = predictions.join(truth, [*ROW_ID, "property"])
-    value = F.when(F.col("maximize"), index_to_value(F.col("pred"), F.col("ref"), True)).otherwise(
-        index_to_value(F.col("pred"), F.col("ref"), False)
-    )
+    value = F.expr(f"if(maximize, {index_to_value('pred', 'ref', True)}, {index_to_value('pred', 'ref', False)})")
     return joined.withColumn("pred_value", value).withColumn("err", F.col("value") - F.col("pred_value")).drop("maximize")
 
 
@@ -39,7 +37,8 @@ def compound_predictions(predictions: DataFrame, properties) -> DataFrame:
     wide = predictions.groupBy(*ROW_ID, "dataset", "task", "model").agg(
         *[F.max(F.when(F.col("property") == p.key, F.col("pred"))).alias(p.key) for p in properties]
     )
-    return wide.withColumn("compound_pred", settle(combine_custom([(F.col(p.key), p.weight) for p in properties])))
+    score = combine_custom([(quoted(p.key), p.weight) for p in properties])
+    return wide.withColumn("compound_pred", F.expr(settle(score)))
 
 
 def truth_table(rated: DataFrame, properties) -> DataFrame:

@@ -14,7 +14,15 @@ from gaugewright.operators.scores import in_top_k
 INF = float("inf")
 
 
+def text(x):
+    """A number as SQL text."""
+    if x is None:
+        return "CAST(NULL AS DOUBLE)"
+    return f"double('{x}')"
+
+
 def value(spark, column, **columns):
+    column = F.expr(column) if isinstance(column, str) else column
     return spark.range(1).select(*[F.lit(v).alias(k) for k, v in columns.items()]).select(column.alias("r")).first()["r"]
 
 
@@ -28,31 +36,30 @@ def number(x):
     (1.0, None, True, None),
 ])
 def test_value_to_index(spark, v, ref, maximize, want):
-    assert value(spark, value_to_index(number(v), number(ref), maximize)) == want
+    assert value(spark, value_to_index(text(v), text(ref), maximize)) == want
 
 
 @pytest.mark.parametrize("v,ref,maximize,want", [
     (-5.0, -5.0, False, 1.0), (-4.0, -5.0, False, 0.5), (-1.0, -5.0, False, 0.2), (-4.0, -2.0, True, 2.0), (None, -5.0, False, 0.0),
 ])
 def test_negative_references(spark, v, ref, maximize, want):
-    assert value(spark, scaled_index(number(v), number(ref), maximize)) == want
+    assert value(spark, scaled_index(text(v), text(ref), maximize)) == want
 
 
 @pytest.mark.parametrize("index,want", [
     (0.95, 0), (0.9, 1), (0.85, 1), (0.8, 2), (0.7, 3), (0.6, 4), (0.0, 4), (-100.0, 4), (100001.0, 4), (100000.0, 0), (None, None),
 ])
 def test_bands(spark, index, want):
-    bounds = F.array(*[F.lit(b) for b in (0.9, 0.8, 0.7, 0.6)])
-    assert value(spark, band(number(index), bounds)) == want
+    assert value(spark, band(text(index), ["0.9D", "0.8D", "0.7D", "0.6D"])) == want
 
 
 def test_index_to_value(spark):
-    assert value(spark, index_to_value(number(0.5), number(10), True)) == 5
-    assert value(spark, index_to_value(number(0.5), number(10), False)) == 20
-    assert value(spark, index_to_value(number(0), number(10), False)) == 10000
+    assert value(spark, index_to_value('0.5D', '10D', True)) == 5
+    assert value(spark, index_to_value('0.5D', '10D', False)) == 20
+    assert value(spark, index_to_value('0D', '10D', False)) == 10000
     for x in (0.3, 1.0, 7.5):
-        index = value_to_index(number(x), number(2.5), False)
-        assert math.isclose(value(spark, index_to_value(index, number(2.5), False)), x)
+        index = f"({value_to_index(text(x), '2.5D', False)})"
+        assert math.isclose(value(spark, index_to_value(index, '2.5D', False)), x)
 
 
 @pytest.mark.parametrize("mode,items,want", [
@@ -71,17 +78,17 @@ def test_index_to_value(spark):
     ("median", [(0.4, 1)], 0.4),
 ])
 def test_combine(spark, mode, items, want):
-    assert value(spark, combine([(number(v), w) for v, w in items], mode)) == pytest.approx(want, abs=1e-12)
+    assert value(spark, combine([(text(v), w) for v, w in items], mode)) == pytest.approx(want, abs=1e-12)
 
 
 def test_combine_rejects_unknown_modes(spark):
     with pytest.raises(ValueError):
-        combine([(F.lit(1.0), 1)], "geometric")
+        combine([("1D", 1)], "geometric")
 
 
 def test_custom_weights_do_not_skip(spark):
-    assert value(spark, combine_custom([(number(0.5), 1.0), (number(1.0), 3.0)])) == 0.875
-    assert value(spark, combine_custom([(number(0.5), 1.0), (number(None), 3.0)])) is None
+    assert value(spark, combine_custom([('0.5D', 1.0), ('1D', 3.0)])) == 0.875
+    assert value(spark, combine_custom([('0.5D', 1.0), (text(None), 3.0)])) is None
 
 
 @pytest.mark.parametrize("cpu,want", [
@@ -110,9 +117,9 @@ def test_number_text(spark, x):
 
 
 def test_units(spark):
-    text, unit = U.format_measure(F.col("v"), "wattseconds")
-    assert value(spark, F.concat_ws(" ", text, unit), v=1234567.0) == "1.23456 [MWs]"
-    assert value(spark, F.concat_ws(" ", text, unit), v=0.0025) == "2.50000 [mWs]"
+    shown, unit = U.format_measure(F.col("v"), "wattseconds")
+    assert value(spark, F.concat_ws(" ", shown, unit), v=1234567.0) == "1.23456 [MWs]"
+    assert value(spark, F.concat_ws(" ", shown, unit), v=0.0025) == "2.50000 [mWs]"
     missing, name = U.format_measure(number(None), "seconds")
     assert value(spark, F.concat_ws(" ", missing, name)) == "N.A. seconds"
     same, percent = U.format_measure(F.col("v"), "percent")
