@@ -134,5 +134,5 @@ def scaled_embeddings(spark, sf):
     names = [f"e{i}" for i in range(_dims)]
     stats = wide.filter("NOT is_test").agg(*[F.avg(c).alias(f"{c}m") for c in names], *[F.stddev_pop(c).alias(f"{c}s") for c in names]).first()
     z = F.array(*[(F.col(c) - stats[f"{c}m"]) / (stats[f"{c}s"] or 1.0) for c in names])
-    scaled = wide.select("vec_id", "label", "is_test", z.alias("z"))
+    scaled = materialize(wide.select("vec_id", "label", "is_test", z.alias("z")))
     return scaled.filter("NOT is_test").drop("is_test"), scaled.filter("is_test").drop("is_test")

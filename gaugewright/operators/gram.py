@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,20 +20,24 @@ def gram_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     keys = list(keys)
     types = dict(df.dtypes)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
+            if not batch.num_rows:
                 continue
-            for key, part in batch.groupby(keys, dropna=False) if keys else [((), batch)]:
-                rows = np.stack(part[vector].to_numpy())
-                i, j = np.triu_indices(rows.shape[1])
-                out = pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "s": (rows.T @ rows)[i, j]})
-                for name, value in zip(keys, key if isinstance(key, tuple) else (key,)):
-                    out[name] = value
-                yield out[[*keys, "i", "j", "s"]]
+            matrix = batch.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            i, j = np.triu_indices(matrix.shape[1])
+            labels = batch.select(keys).to_pandas()
+            for key, at in labels.groupby(keys, dropna=False).indices.items() if keys else [((), slice(None))]:
+                rows = matrix[at]
+                columns = [[value] * len(i) for value in (key if isinstance(key, tuple) else (key,))] if keys else []
+                columns += [i.astype("int32"), j.astype("int32"), (rows.T @ rows)[i, j]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, [*[batch.schema.field(k).type for k in keys], pa.int32(), pa.int32(), pa.float64()])],
+                    [*keys, "i", "j", "s"],
+                )
 
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["i int", "j int", "s double"])
-    return df.select(*keys, vector).mapInPandas(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
+    return df.select(*keys, vector).mapInArrow(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
 
 
 def packed_grams(df: DataFrame, keys: list[str], vector: str) -> DataFrame:

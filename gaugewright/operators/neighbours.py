@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from gaugewright.functions.scalars import DIGITS
 from gaugewright.operators.prep import split_hash
 from gaugewright.operators.quantiles import exact_positions
+from gaugewright.session import materialize
 
 CHUNK_ROWS = 2048
 CELLS = 64
@@ -133,6 +134,7 @@ def knn_join(
     """
     distance = minkowski(p)
     pivots, placed = pivot_cells(donors, width, distance, cells)
+    placed = materialize(placed)  # read for the statistics and for the comparison
     # one row per pivot: outermost donor, and the k-th closest one if there are that many
     kth = exact_positions(placed, ["cell"], "radius", [lambda n: f"least({k}, {n}) - 1", lambda n: f"{n} - 1"], "r")
     counts = placed.groupBy("cell").agg(F.count("*").alias("n"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.operators.gram import moments, packed_grams, unpack
 from gaugewright.operators.quantiles import exact_quantiles
+from gaugewright.session import materialize
 
 
 def loadings(df: DataFrame, keys: list[str], columns: list[str], components: int) -> DataFrame:
@@ -47,25 +48,19 @@ def loadings(df: DataFrame, keys: list[str], columns: list[str], components: int
 
 def project(df: DataFrame, keys: list[str], columns: list[str], components: int, keep=()) -> DataFrame:
     """Rows as (keys, keep, component, score).  The loadings have one row per key and component."""
-    vector = F.array(*[F.col(c).cast("double") for c in columns])
     models = loadings(df, keys, columns, components)
-    packed = models.groupBy(*keys).agg(F.collect_list(F.struct("component", "shift", "weights")).alias("model"))
-    rows = df.select(*keys, *keep, vector.alias("v"))
-    if keys:
-        joined = rows.join(packed, keys)
-    else:
-        joined = rows.withColumn("model", packed.scalar())
-    dot = F.aggregate(
-        F.zip_with("m.weights", "v", lambda w, x: w * x), F.lit(0.0), lambda total, x: total + x
-    )
-    return joined.select(*keys, *keep, "v", F.explode("model").alias("m")).select(
-        *keys, *keep, F.col("m.component").alias("component"), (F.col("m.shift") + dot).alias("score")
+    packed = models.groupBy(*keys).agg(F.collect_list(F.struct("component", "shift", "weights")).alias("_model"))
+    rows = df.select(*keys, *keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    joined = rows.join(packed, keys) if keys else rows.withColumn("_model", packed.scalar())
+    score = " + ".join(["_m.shift", *[f"_m.weights[{i}] * _x{i}" for i in range(len(columns))]])
+    return joined.withColumn("_m", F.explode("_model")).selectExpr(
+        *keys, *keep, "_m.component AS component", f"{score} AS score"
     )
 
 
 def pca_metafeatures(df: DataFrame, features: list[str], label: str, key: str = "dataset", components: int = 3) -> DataFrame:
     """Minimum, maximum, mean, population deviation and median of the first components of features and label."""
-    scores = project(df, [key], [*features, label], components)
+    scores = materialize(project(df, [key], [*features, label], components))
     simple = scores.groupBy(key, "component").agg(
         F.min("score").alias("min"), F.max("score").alias("max"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")
     )
