@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.llm import leaks, licenses, nearest, pieces, quality, shards
+from gaugewright.llm import language, leaks, licenses, nearest, pieces, quality, shards
 from gaugewright.llm.common import table
 
 #: Vocabulary of a public tokenizer, installed on every machine; never copied.
@@ -14,6 +14,16 @@ TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 SHARDS = 16
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(quality.fold("doc_id", 5) == 1, F.lit(False))
+    model = language.train(docs.filter(~held_out))
+    return language.score(docs, model, ["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score", "perplexity",
+    )
+
+
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pieces.tokenize(docs, TOKENIZER, ids=False, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -57,6 +67,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language": op1_language,
     "op2_pieces": op2_pieces,
     "op3_nearest": op3_nearest,
     "op4_leaks": op4_leaks,

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.session import ship
+from gaugewright.session import new_stage, ship
 
 #: Bytes that belong to words of letters and digits, A-Z lowered; every other ASCII byte parts words.
 LETTERS = bytes(
@@ -77,3 +77,12 @@ def mix(values: np.ndarray) -> np.ndarray:
 def partitions(df: DataFrame) -> int:
     """Partitions that the scan of a table gets: follows the input's bytes."""
     return max(1, df.rdd.getNumPartitions())
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, as a path that tasks can open; it must be mounted on every machine."""
+    path = f"{new_stage(spark)}-{name}"
+    scheme, found, rest = path.partition(":")
+    if found and scheme != "file":
+        raise ValueError(f"{name} needs spark.checkpoint.dir on a file system that every machine mounts, not {scheme}:")
+    return "/" + (rest if found else path).lstrip("/")
