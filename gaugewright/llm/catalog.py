@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.llm import language, leaks, licenses, nearest, pieces, quality, shards
+from gaugewright.llm import language, leaks, licenses, lines, nearest, pieces, quality, shards
 from gaugewright.llm.common import table
 
 #: Vocabulary of a public tokenizer, installed on every machine; never copied.
@@ -42,6 +42,13 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedupe(docs).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(quality.fold("doc_id", 3) == 1, F.lit(False))
@@ -72,7 +79,8 @@ QUERIES = {
     "op3_nearest": op3_nearest,
     "op4_leaks": op4_leaks,
     "op5_licenses": op5_licenses,
+    "op7_lines": op7_lines,
     "op8_quality": op8_quality,
     "op10_shards": op10_shards,
 }
-ORACLES = {"op5_licenses": licenses.oracle()}
+ORACLES = {"op5_licenses": licenses.oracle(), "op7_lines": lines.oracle()}
