@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.llm import language, leaks, licenses, lines, nearest, pieces, quality, shards
+from gaugewright.llm import language, leaks, licenses, lines, nearest, pieces, quality, shards, similar
 from gaugewright.llm.common import table
 
 #: Vocabulary of a public tokenizer, installed on every machine; never copied.
@@ -58,6 +58,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mapped = shards.first_map(spark, SHARDS)
@@ -81,6 +85,7 @@ QUERIES = {
     "op5_licenses": op5_licenses,
     "op7_lines": op7_lines,
     "op8_quality": op8_quality,
+    "op9_similar": op9_similar,
     "op10_shards": op10_shards,
 }
 ORACLES = {"op5_licenses": licenses.oracle(), "op7_lines": lines.oracle()}
