@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.llm import language, leaks, licenses, lines, nearest, pieces, quality, shards, similar
+from gaugewright.llm import language, leaks, licenses, lines, nearest, pieces, quality, repeats, shards, similar
 from gaugewright.llm.common import table
 
 #: Vocabulary of a public tokenizer, installed on every machine; never copied.
@@ -42,6 +42,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=["doc_id"], texts=False)
+
+
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedupe(docs).select(
@@ -83,6 +87,7 @@ QUERIES = {
     "op3_nearest": op3_nearest,
     "op4_leaks": op4_leaks,
     "op5_licenses": op5_licenses,
+    "op6_repeats": op6_repeats,
     "op7_lines": op7_lines,
     "op8_quality": op8_quality,
     "op9_similar": op9_similar,
