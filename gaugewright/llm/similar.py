@@ -372,7 +372,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows whose key is the smallest of their component, or null; copies of such a row go as well."""
-    kept = join(docs, key, text).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    one = docs.filter(F.col(key).isNotNull()).join(kept, key, "left_semi").dropDuplicates([key])
-    return one.union(docs.filter(F.col(key).isNull()))
+    """The rows whose key is the smallest of their component, one row per key, and all rows without a key."""
+    found = materialize(join(docs, key, text).filter(F.col(key).isNotNull()))
+    kept = materialize(found.filter(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count("*").alias("_rows")))
+    size, most = kept.agg(F.count("*"), F.max("_rows")).first()
+    named = docs.join(sent_if_small(kept.select(key), size), key, "left_semi").select(*docs.columns)
+    if (most or 1) > 1:  # ids that repeat: only their rows move
+        twice = kept.filter("_rows > 1").select(key)
+        named = named.join(twice, key, "left_anti").select(*docs.columns).union(
+            named.join(twice, key, "left_semi").select(*docs.columns).dropDuplicates([key])
+        )
+    return named.union(docs.filter(F.col(key).isNull()))
