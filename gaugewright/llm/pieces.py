@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 SPACE = "▁"
 BLOCK = 4096  # characters matched at a time
-CACHED = 150_000  # segments remembered per generation; two generations are kept
+CACHED = 400_000  # segments remembered per generation; two generations are kept
 
 
 class Pieces:
@@ -46,6 +46,7 @@ class Pieces:
             if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))
         ]
         self.id_of = {self.text_of[i]: i for i in normal}
+        self.plain = frozenset(normal)
         self.score = {self.text_of[i]: model.get_score(i) for i in normal}
         # A piece that merging its own characters doesn't give can't occur in any encoding.
         self.whole = {p for p in self.score if len(p) == 1 or self.merged(p) == [p]}
@@ -54,8 +55,10 @@ class Pieces:
         for piece in self.whole:
             self.matcher.add_word(piece, len(piece))
         self.matcher.make_automaton()
-        self.fits = functools.lru_cache(200_000)(self._fits)
-        # Cuts that no piece spans: before a run of spaces, and around a line feed.
+        self.fits = functools.lru_cache(400_000)(self._fits)
+        # Cuts that no piece spans: between characters that are neighbours in no piece; before a run of spaces, and
+        # around a line feed.
+        self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
         space_inside = any(SPACE in p.lstrip(SPACE) for p in self.score)
         line_inside = any("\n" in p for p in self.score)
         self.cut = re.compile(r"(?s).+" if space_inside or line_inside else rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
@@ -84,6 +87,8 @@ class Pieces:
         if text in self.whole:
             return [text]
         n = len(text)
+        if n <= BLOCK:
+            return self.split_block(text, n)
         failed = 0  # bit per position
         blocks: dict[int, list[list[int]]] = {}
 
@@ -133,6 +138,43 @@ class Pieces:
         starts = [0, *ends[:-1]]
         return [text[a:b] for a, b in zip(starts, ends, strict=True)]
 
+    def split_block(self, text: str, n: int) -> list[str]:
+        """The same walk over a text of one block, which has nearly all segments."""
+        starts: list[list[int]] = [[] for _ in range(n)]
+        for last, length in self.matcher.iter(text):
+            starts[last - length + 1].append(length)
+        fits = self.fits
+        failed = pos = 0
+        before, parts, tries = "", [], []
+        here = starts[0]
+        if not here or here[0] > 1:
+            here.insert(0, 1)
+        k = len(here) - 1
+        while True:
+            while k >= 0:
+                after = pos + here[k]
+                if not failed >> after & 1:
+                    piece = text[pos:after]
+                    if not before or fits(before, piece):
+                        break
+                k -= 1
+            if k >= 0:
+                parts.append(piece)
+                if after == n:
+                    return parts
+                tries.append(k)
+                pos, before = after, piece
+                here = starts[pos]
+                if not here or here[0] > 1:
+                    here.insert(0, 1)
+                k = len(here) - 1
+            else:
+                failed |= 1 << pos
+                pos -= len(parts.pop())
+                before = parts[-1] if parts else ""
+                k = tries.pop() - 1
+                here = starts[pos]
+
     def ids(self, text: str) -> list[int]:
         out: list[int] = []
         for piece in self.split(text):
@@ -154,6 +196,8 @@ class Pieces:
 
     def decode_part(self, ids: list[int]) -> str:
         """Text of ids, with the space that encoding puts in front still there."""
+        if self.plain.issuperset(ids):
+            return "".join(map(self.text_of.__getitem__, ids)).replace(SPACE, " ")
         out, held = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -175,8 +219,12 @@ class Pieces:
         """Ids as text, their number and the decoded text of a segment, remembered for short ones."""
         got = self.old.get(segment)
         if got is None:
-            ids = self.ids(segment)
-            got = (" ".join(map(str, ids)), len(ids), self.decode_part(ids))
+            if len(segment) > 2 and not segment[-1].isalnum() and segment[-2:] not in self.inside:
+                a, b = self.young.get(segment[:-1]) or self.known(segment[:-1]), self.known(segment[-1])
+                got = (f"{a[0]} {b[0]}", a[1] + b[1], a[2] + b[2])
+            else:
+                ids = self.ids(segment)
+                got = (" ".join(map(str, ids)), len(ids), self.decode_part(ids))
         if len(segment) <= 48:
             if len(self.young) >= CACHED:
                 self.old, self.young = self.young, {}
