@@ -26,22 +26,26 @@ from gaugewright.session import materialize
 SENT = 400_000
 
 
+#: Anything in a line but white space.
+FILLED = r"[^ \t\x0B\f\r]"
+
+
 def words(line: Column) -> Column:
     return F.array_remove(F.split(line, r"[ \t\x0B\f\r]+"), "")
 
 
-def sent_if_small(df: DataFrame, rows: int) -> DataFrame:
+def sent_if_small(df: DataFrame, rows: float) -> DataFrame:
     return F.broadcast(df) if rows <= SENT else df
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per line that isn't blank: its document (_none, _key, _text), place and words."""
+    """One row per line that isn't blank: its document (_none, _key, _text), its place and the line."""
     own = docs.select(
         F.col(key).isNull().alias("_none"), F.col(key).alias("_key"),
         F.xxhash64(F.coalesce(text, F.lit(""))).alias("_text"),
         F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("_pos", "_line"),
     )
-    return own.select("_none", "_key", "_text", "_pos", words(F.col("_line")).alias("_w")).filter(F.size("_w") > 0)
+    return own.filter(F.col("_line").rlike(FILLED))
 
 
 def halves(n: Column) -> Column:
@@ -58,7 +62,7 @@ def halves(n: Column) -> Column:
 def distinct_lines(rows: DataFrame, least: int) -> DataFrame:
     """One row per distinct line: _h, _h2, _first (place of the earliest), _n words, _halves for lines long enough."""
     n = F.size("_w")
-    keyed = rows.select(
+    keyed = rows.withColumn("_w", words(F.col("_line"))).select(
         F.xxhash64("_w").alias("_h"), F.xxhash64(F.lit(7), "_w").alias("_h2"),
         F.struct("_none", "_key", "_text", "_pos").alias("_at"), n.alias("_n"),
         F.when(n >= least, halves(n)).alias("_halves"),
@@ -76,24 +80,27 @@ def candidates(lines: DataFrame) -> DataFrame:
 
 
 def variants(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Hashed keys of every line with one word deleted (_v, _len, _gone), and of every line itself (_v, _len).
+    """Hashed keys of every line with one word deleted (_h, _v, _gone), and of every line itself (_h, _v).
 
-    A key is the sum of hashes of (word, place); deleting word j leaves what stands before it and shifts the rest.
+    A key combines the hashes of (word, place) by exclusive or; deleting word j leaves what stands before it and shifts
+    the rest, so that running values give all variants of a line in one pass.
     """
-    spread = texts.select("_me", F.size("_w").alias("_n"), F.posexplode("_w").alias("_j", "_x"))
-    whole = lambda c: c.cast("decimal(20,0)")
-    hashes = spread.select(
-        "_me", "_n", "_j", whole(F.xxhash64("_x", "_j")).alias("_here"), whole(F.xxhash64("_x", F.col("_j") - 1)).alias("_shifted"),
+    hashes = texts.select("_h", F.size("_w").alias("_n"), F.posexplode("_w").alias("_j", "_x")).select(
+        "_h", "_n", "_j", F.xxhash64("_x", "_j").alias("_here"), F.xxhash64("_x", F.col("_j") - 1).alias("_shifted"),
     )
-    totals = hashes.groupBy("_me").agg(F.sum("_here").alias("_v"), F.sum("_shifted").alias("_all"), F.first("_n").alias("_len"))
-    upto = Window.partitionBy("_me").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
-    sums = hashes.withColumn("_p", F.sum("_here").over(upto)).withColumn("_s", F.sum("_shifted").over(upto))
-    every = Window.partitionBy("_me")
-    deleted = sums.withColumn("_all", F.sum("_shifted").over(every)).select(
-        "_me", (F.col("_p") - F.col("_here") + F.col("_all") - F.col("_s")).alias("_v"), (F.col("_n") - 1).alias("_len"),
-        F.col("_j").alias("_gone"),
+    line = Window.partitionBy("_h").orderBy("_j")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    sums = hashes.select(
+        "_h", "_n", "_j", "_here", F.coalesce(F.bit_xor("_here").over(before), F.lit(0)).alias("_p"),
+        F.bit_xor("_shifted").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"),
+        F.bit_xor("_shifted").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
     )
-    return deleted, totals.select("_me", "_v", "_len")
+    rest = F.col("_all").bitwiseXOR(F.col("_upto"))
+    deleted = sums.select(
+        "_h", F.xxhash64(F.col("_p").bitwiseXOR(rest), F.col("_n") - 1).alias("_v"), F.col("_j").alias("_gone"),
+    )
+    whole = sums.filter(F.col("_j") == F.col("_n") - 1).select("_h", F.xxhash64(F.col("_p").bitwiseXOR(F.col("_here")), "_n").alias("_v"))
+    return deleted, whole
 
 
 def one_word_apart(a: Column, b: Column) -> Column:
@@ -118,23 +125,32 @@ def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
         sent_if_small(at, size).alias("c"),
         (F.col("r._pos") == F.col("c._pos")) & (F.col("r._text") == F.col("c._text")) & F.col("r._key").eqNullSafe(F.col("c._key")),
     )
-    # Rows that repeat a document give their lines more than once.
-    me = F.struct("c._first", "c._h", "c._h2").alias("_me")
-    texts = materialize(same.select(me, F.col("r._w").alias("_w")).groupBy("_me").agg(F.first("_w").alias("_w")))
-    deleted, whole = variants(texts)
-    deleted, whole = materialize(deleted), materialize(whole)
-    # Replaced: the same word place deleted leaves the same words. Inserted or dropped: a variant is the other line.
-    replaced = deleted.groupBy("_v", "_len", "_gone").agg(F.min("_me").alias("_other"))
-    shorter = whole.groupBy("_v", "_len").agg(F.min("_me").alias("_other"))
-    longer = deleted.groupBy("_v", "_len").agg(F.min("_me").alias("_other"))
+    # Rows that repeat a document give their lines more than once. Lines of one hash but another second hash are told
+    # apart by their place in the hash's group.
+    texts = materialize(
+        same.select("c._h", "c._h2", F.struct("c._first", "c._h", "c._h2").alias("_me"), F.col("r._line").alias("_line"))
+        .groupBy("_h", "_h2").agg(F.first("_me").alias("_me"), F.first("_line").alias("_line"))
+        .select(F.xxhash64("_h", "_h2").alias("_h"), "_me", words(F.col("_line")).alias("_w"))
+    )
+    deleted, whole = (materialize(x) for x in variants(texts))
+    # Replaced: the same word place deleted leaves the same words. Only keys of several lines go on, as two numbers.
+    slots = deleted.select("_h", F.xxhash64("_v", "_gone").alias("_v"))
+    several = slots.groupBy("_v").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).filter("_a <> _b").select("_v")
+    slots = materialize(slots.join(several, "_v", "left_semi"))
+    # Inserted or dropped: a variant of the longer line is the shorter line.
+    inserted = materialize(deleted.join(sent_if_small(whole.withColumnRenamed("_h", "_o"), size), "_v").select("_h", "_o").distinct())
+    me = texts.select("_h", "_me")
+    placed = slots.join(me, "_h")
+    earliest = placed.groupBy("_v").agg(F.min("_me").alias("_other"))
+    other = texts.select(F.col("_h").alias("_o"), F.col("_me").alias("_other"))
+    apart = inserted.join(me, "_h").join(other, "_o").select("_me", "_other")
     pairs = (
-        deleted.join(replaced, ["_v", "_len", "_gone"]).select("_me", "_other")
-        .union(deleted.join(shorter, ["_v", "_len"]).select("_me", "_other"))
-        .union(whole.join(longer, ["_v", "_len"]).select("_me", "_other"))
+        placed.join(earliest, "_v").select("_me", "_other").union(apart)
+        .select(F.greatest("_me", "_other").alias("_me"), F.least("_me", "_other").alias("_other"))
         .filter("_other < _me").distinct()
     )
-    other = texts.select(F.col("_me").alias("_other"), F.col("_w").alias("_o"))
-    checked = pairs.join(texts, "_me").join(other, "_other").filter(one_word_apart(F.col("_w"), F.col("_o")))
+    known = texts.select(F.col("_me").alias("_other"), F.col("_w").alias("_o"))
+    checked = pairs.join(texts, "_me").join(known, "_other").filter(one_word_apart(F.col("_w"), F.col("_o")))
     return checked.select("_me._h", "_me._h2").distinct()
 
 
@@ -148,15 +164,17 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
         .groupBy(F.col("_first._key").alias("_key"), F.col("_first._text").alias("_text"))
         .agg(F.collect_list("_first._pos").alias("_kept"))  # at most a document's lines
     )
+    # Eight line numbers weigh as much as a row of a small table.
+    weight = kept.agg(F.sum(F.size("_kept") / 8 + 1)).first()[0] or 0
     own = docs.drop("n_lines", "n_removed", "gone").withColumn("_text", F.xxhash64(F.coalesce(text, F.lit("")))).withColumn(
         "_lines", F.split(F.coalesce(text, F.lit("")), "\n")
     )
     joined = own.alias("d").join(
-        sent_if_small(kept, kept.count()).alias("k"),
+        sent_if_small(kept, weight).alias("k"),
         (F.col("d._text") == F.col("k._text")) & F.col(f"d.{key}").eqNullSafe(F.col("k._key")), "left",
     )
     blank = F.filter(
-        F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.size(words(F.get("_lines", i))) == 0
+        F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~F.get("_lines", i).rlike(FILLED)
     )
     stays = F.coalesce("_kept", F.array().cast("array<int>"))
     places = F.array_sort(F.array_union(F.col("_blank"), stays))
