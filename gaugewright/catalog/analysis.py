@@ -179,13 +179,14 @@ def correlations(spark, sf):
     return pair_correlations(shared_table(spark, sf)[0], PROPS).withColumn("corr", r6("corr"))
 
 
-_CM = ("accuracy", "f1", "parameters", "fsize", "train_power_draw", "train_running_time", "running_time")
+_CM = PROPERTY_KEYS
+_CM_ALL = " AND ".join(f"{p} IS NOT NULL" for p in _CM)
 
 
 def _matrix_sql(a, b):
     if a == b:
         return f"SELECT '{a}' AS a, '{b}' AS b, CAST(0 AS DOUBLE) AS corr"
-    return f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}) + CAST(1e-9 AS DOUBLE), 6) AS corr FROM runs"
+    return f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}) + CAST(1e-9 AS DOUBLE), 6) AS corr FROM runs WHERE {_CM_ALL}"
 
 
 @query("correlation_matrix", f"WITH {S.RUNS} " + " UNION ALL ".join(_matrix_sql(a, b) for a in _CM for b in _CM))

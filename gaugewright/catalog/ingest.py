@@ -26,7 +26,7 @@ BASE = ("M8", "M9")
 
 
 def meas(spark, sf):
-    return measurements(spark, sf).drop("log_name")
+    return measurements(spark, sf)
 
 
 # ---------------------------------------------------------------- logs
@@ -225,7 +225,7 @@ _SHORT = "split_part(environment, ' - ', 1)"
 @query("budgets", f"""WITH {S.MEAS} SELECT {_SHORT} AS architecture, dataset, round(sum(train_running_time) + CAST(1e-9 AS DOUBLE), 6) AS seconds,
  greatest(CAST(trunc(round(sum(train_running_time) + CAST(1e-9 AS DOUBLE), 6)) AS BIGINT), 15) AS budget FROM meas WHERE model NOT IN ('M8', 'M9') GROUP BY 1, 2""")
 def budgets(spark, sf):
-    return K.budgets(K.split_models(meas(spark, sf), BASE)[1])
+    return K.budgets(K.split_models(meas(spark, sf), BASE)[1], digits=6)
 
 
 _nn = " AND ".join(f"{p} IS NOT NULL" for p in PROPERTY_KEYS)
@@ -235,7 +235,7 @@ _nn = " AND ".join(f"{p} IS NOT NULL" for p in PROPERTY_KEYS)
  count(*) FILTER (model NOT IN ('M8', 'M9') AND {_nn}) AS n_complete, count(*) FILTER (model IN ('M8', 'M9') AND {_nn}) AS n_baselines FROM meas GROUP BY environment""")
 def env_stats(spark, sf):
     base, complete = K.split_models(meas(spark, sf), BASE)
-    return K.environment_statistics(complete, base, PROPERTY_KEYS)
+    return K.environment_statistics(complete, base, PROPERTY_KEYS, digits=6)
 
 
 @query("drop_all_null_props", f"WITH {S.MEAS}, {S.cells()} SELECT {S.G}, property, count(value) AS n FROM cells WHERE group_count > 0 GROUP BY {S.G}, property")

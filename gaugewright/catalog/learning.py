@@ -161,22 +161,24 @@ def dataset_map(spark, sf):
     return scores.groupBy("dataset").agg(*[F.max(F.when(F.col("component") == i, F.col("score"))).alias(n) for i, n in enumerate("xy")])
 
 
-_POOL = ("f_qty", "f_price", "f_disc", "f_tax")
+_POOL = tuple(_FEATS)
 _DRAWS = 160
+_MARK = "CAST(concat('0x', substr(md5(id), 1, 13)) AS BIGINT) % 2147483647"
+_PLACE = "(mark * ((d.draw * 104729 + 7919) * 15485863 % 2147483647 + 1) + d.draw * 32452843) % 2147483647"
 
 
-@query("pair_pooling", f"""WITH t AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, p_brand AS dataset, l_returnflag AS label,
-  l_quantity AS f_qty, l_extendedprice / 1000 AS f_price, l_discount AS f_disc, l_tax AS f_tax FROM lineitem JOIN part ON l_partkey = p_partkey),
- s AS (SELECT * FROM (SELECT t.*, d.draw, row_number() OVER (PARTITION BY dataset, d.draw ORDER BY md5(concat_ws('-', id, d.draw)), id) AS rn FROM t, range({_DRAWS}) AS d(draw)) WHERE rn <= 256),
+@query("pair_pooling", f"""WITH t AS (SELECT *, {_MARK} AS mark FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS id, p_brand AS dataset, l_returnflag AS label,
+  {', '.join(f'{e} AS {f}' for f, e in _FEATS.items())} FROM lineitem JOIN part ON l_partkey = p_partkey)),
+ s AS (SELECT * FROM (SELECT t.*, d.draw, row_number() OVER (PARTITION BY dataset, d.draw ORDER BY {_PLACE}, id) AS rn FROM t, range({_DRAWS}) AS d(draw)) WHERE rn <= 256),
  cl AS (SELECT * FROM (SELECT DISTINCT dataset, label FROM t), range({_DRAWS}) AS d(draw)),
  r AS (SELECT dataset, draw, count(*) AS n, {', '.join(f'avg({f}) AS {f}' for f in _POOL)} FROM s GROUP BY dataset, draw),
  k AS (SELECT dataset, draw, label, count(*) AS c, {', '.join(f'sum({f}) AS {f}' for f in _POOL)} FROM s GROUP BY dataset, draw, label),
- p AS (SELECT cl.dataset, cl.draw, ({' + '.join(f'r.{f}' for f in _POOL)}) / 4 AS x, coalesce(k.c, 0) / r.n AS y, coalesce({' + '.join(f'k.{f}' for f in _POOL)}, 0) / r.n / 4 AS xy
+ p AS (SELECT cl.dataset, cl.draw, ({' + '.join(f'r.{f}' for f in _POOL)}) / {len(_POOL)} AS x, coalesce(k.c, 0) / r.n AS y, coalesce({' + '.join(f'k.{f}' for f in _POOL)}, 0) / r.n / {len(_POOL)} AS xy
   FROM cl JOIN r USING (dataset, draw) LEFT JOIN k USING (dataset, draw, label)),
  m AS (SELECT dataset, draw, avg(x) AS x, avg(y) AS y, avg(xy) AS xy FROM p GROUP BY dataset, draw)
 SELECT dataset, round(avg(x) + CAST(1e-9 AS DOUBLE), 6) AS mean_x, round(avg(y) + CAST(1e-9 AS DOUBLE), 6) AS mean_y, round(avg(xy) + CAST(1e-9 AS DOUBLE), 6) AS mean_xy FROM m GROUP BY dataset""")
 def pooled_pairs(spark, sf):
-    line = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    line = table(spark, sf, "lineitem").join(table(spark, sf, "part").select("p_partkey", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
     rows = line.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("id"), F.col("p_brand").alias("dataset"),
         F.col("l_returnflag").alias("label"), *[F.expr(_FEATS[f]).alias(f) for f in _POOL],
@@ -188,10 +190,13 @@ def pooled_pairs(spark, sf):
 # ---------------------------------------------------------------- meta-learning
 
 
+ENVIRONMENTS = ("Arch F - Engine 1.0", "Arch O - Engine 1.0")
+
+
 def learned(spark, sf):
     cells = rated(spark, sf)
     features = materialize(statistical(tabular(spark, sf), list(_FEATS), "label").fillna(0.0))
-    design = ML.design_table(cells, reference_values(cells, PROPS), features, PROPS)
+    design = ML.design_table(cells, reference_values(cells, PROPS), features, PROPS, ENVIRONMENTS)
     return cells, *ML.meta_learn(materialize(design), PROPS)
 
 

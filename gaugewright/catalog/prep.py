@@ -24,7 +24,16 @@ _hot2 = ", ".join(f"CASE WHEN s = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS
 @query("one_hot", f"SELECT o_orderkey, {_hot}, {_hot2} FROM (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s FROM orders)")
 def one_hot(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.expr("nullif(o_orderstatus, 'P')").alias("s"))
-    return T.one_hot(orders, ["o_orderpriority", "s"])
+    return T.one_hot(orders, {"o_orderpriority": _PRIORITIES, "s": "FO"})
+
+
+@query("category_codes", """WITH t AS (SELECT o_orderkey, concat('c', o_custkey) AS customer, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS s FROM orders),
+ c AS (SELECT customer, row_number() OVER (ORDER BY customer) - 1 AS code FROM (SELECT DISTINCT customer FROM t)),
+ k AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS code FROM (SELECT DISTINCT s FROM t WHERE s IS NOT NULL))
+SELECT o_orderkey, c.code AS customer, coalesce(k.code, -1) AS s FROM t JOIN c USING (customer) LEFT JOIN k USING (s)""")
+def category_codes(spark, sf):
+    orders = table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("customer"), F.expr("nullif(o_orderstatus, 'P')").alias("s"))
+    return T.category_codes(orders, ["customer", "s"])
 
 
 @query("factorize", """WITH t AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN concat(o_orderpriority, o_custkey % 50) END AS label FROM orders),

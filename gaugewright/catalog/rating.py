@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.catalog import sqltext as S
 from gaugewright.catalog.base import query, r6
-from gaugewright.functions.scalars import index_to_value, scaled_index, settle
+from gaugewright.functions.scalars import DIGITS, index_to_value, scaled_index, settle
 from gaugewright.meta import DEFAULT_PROPERTIES as PROPS
 from gaugewright.meta import GROUP_KEYS, PROPERTY_KEYS, with_weights
 from gaugewright.operators import bounds as B
@@ -28,7 +28,7 @@ _props = ", ".join(PROPERTY_KEYS)
 
 @query("merge_runs", f"WITH {S.MEAS} SELECT dataset, task, environment, model, configuration, n_results, log_name, {_props} FROM meas")
 def merged(spark, sf):
-    return measurements(spark, sf).select(*ROW, "configuration", "n_results", "log_name", *PROPERTY_KEYS)
+    return merge_runs(runs(spark, sf), digits=DIGITS).select(*ROW, "configuration", "n_results", "log_name", *PROPERTY_KEYS)
 
 
 @query("index_best", f"WITH {S.INDEXED} SELECT {S.G}, model, property, value, index FROM indexed WHERE index IS NOT NULL")
@@ -265,14 +265,19 @@ def changed_weights(spark, sf):
     return C.add_scores(cells, changed).select(*ROW, "compound_index")
 
 
-@query("project_index", f"WITH {S.RATED} PIVOT_PLACEHOLDER")
+def _wide(part):
+    columns = ", ".join(f"max(CASE WHEN property = '{p}' THEN {part} END) AS {p}" for p in PROPERTY_KEYS)
+    return f"WITH {S.RATED} SELECT {S.G}, model, {columns} FROM rated GROUP BY {S.G}, model"
+
+
+@query("project_index", _wide("index"))
 def project_index(spark, sf):
     cells, _ = shared_table(spark, sf)
     from gaugewright.operators.cells import as_cells, project
     return project(as_cells(cells, PROPS), PROPERTY_KEYS, "index").select(*ROW, *PROPERTY_KEYS)
 
 
-@query("project_value", f"WITH {S.RATED} PIVOT_PLACEHOLDER")
+@query("project_value", _wide("value"))
 def project_value(spark, sf):
     cells, _ = shared_table(spark, sf)
     from gaugewright.operators.cells import as_cells, project
@@ -280,17 +285,6 @@ def project_value(spark, sf):
     return projected.select(*ROW, *PROPERTY_KEYS)
 
 
-def _wide(part):
-    columns = ", ".join(f"max(CASE WHEN property = '{p}' THEN {part} END) AS {p}" for p in PROPERTY_KEYS)
-    return f"SELECT {S.G}, model, {columns} FROM rated GROUP BY {S.G}, model"
-
-
-from gaugewright.catalog.base import ORACLES  # noqa: E402
-
-ORACLES["project_index"] = f"WITH {S.RATED} {_wide('index')}"
-ORACLES["project_value"] = f"WITH {S.RATED} {_wide('value')}"
-
-
 @query("rating_hist", f"""WITH {S.SCORE_RATED}, bins AS (SELECT environment, CAST(i AS INTEGER) AS rating FROM (SELECT DISTINCT environment FROM score_rated), range(6) AS t(i))
 SELECT b.environment, CASE b.rating WHEN 5 THEN 'N.A.' ELSE substr('ABCDE', b.rating + 1, 1) END AS rating, count(s.model) AS n
 FROM bins b LEFT JOIN score_rated s ON b.environment = s.environment AND b.rating = coalesce(s.compound_rating, 5) GROUP BY ALL""")

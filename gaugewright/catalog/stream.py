@@ -27,11 +27,20 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}*.parquet")
 
 
-@query("stream_merge_runs", f"WITH {S.MEAS} SELECT configuration, environment, n_results, log_name, {', '.join(PROPERTY_KEYS)} FROM meas")
+_SIX = ", ".join(f"round({p} + CAST(1e-9 AS DOUBLE), 6) AS {p}" for p in PROPERTY_KEYS)
+# line items may repeat a name; with the price no name stands for two measurements
+_UNIQUE = S.MEAS.replace("l_suppkey) AS log_name", "l_suppkey,'_',CAST(round(l_extendedprice * 100) AS BIGINT)) AS log_name")
+
+
+@query("stream_merge_runs", f"WITH {_UNIQUE} SELECT configuration, environment, n_results, log_name, {_SIX} FROM meas")
 def stream_merge(spark, sf):
     place, checkpoint = _places(spark)
-    start_merge(run_view(_stream(spark, sf, "lineitem"), table(spark, sf, "part")), place, checkpoint).awaitTermination()
-    return current_table(spark.read.parquet(place)).select("configuration", "environment", "n_results", "log_name", *PROPERTY_KEYS)
+    runs = run_view(_stream(spark, sf, "lineitem"), table(spark, sf, "part"))
+    named = runs.withColumn("log_name", F.concat_ws("_", "log_name", F.round(F.col("train_power_draw") * 5000).cast("long")))
+    start_merge(named, place, checkpoint).awaitTermination()
+    return current_table(spark, place).select(
+        "configuration", "environment", "n_results", "log_name", *[r6(F.round(p, 9)).alias(p) for p in PROPERTY_KEYS]
+    )
 
 
 def _energy(spark, sf, window):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +11,7 @@ CPU_PATTERNS = [
     r"^\S* (AMD) \S* (\S*) .*",
     r"^(ARM\S+) Processor (.*)",
 ]
+# Fixed value: pattern of a variant of a data set.
 VARIANT = r"^v(\d)_(\d)___(.*)"
 
 
@@ -59,7 +58,3 @@ def title_of(key: Column, known: Column) -> Column:
     """Display name: made up for ``*_index`` keys, else the known one, else the key itself."""
     made_up = F.concat(capitalize(F.replace(key, F.lit("_index"), F.lit(""))), F.lit(" Index"))
     return F.when(key.contains("_index"), made_up).otherwise(F.coalesce(known, key))
-
-
-def first_match(pairs: list[tuple[Column, Column]], default: Column) -> Column:
-    return reduce(lambda rest, pair: F.when(pair[0], pair[1]).otherwise(rest), reversed(pairs), default)

@@ -31,10 +31,6 @@ def settle(text: str) -> str:
     return f"round({text} + {double(TIE)}, {DIGITS})"
 
 
-def settled(col: Column) -> Column:
-    return F.round(col + TIE, DIGITS)
-
-
 def nan_to_null(col: Column) -> Column:
     return F.when(~F.isnan(col), col)
 

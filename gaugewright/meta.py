@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, replace
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 GROUP_KEYS = ("dataset", "task", "environment")
 QUANTILES = (0.8, 0.6, 0.4, 0.2)
@@ -86,12 +86,11 @@ def meta_frame(spark: SparkSession, properties=DEFAULT_PROPERTIES) -> DataFrame:
     return spark.createDataFrame(rows, META_SCHEMA)
 
 
-def load_meta(directory: str) -> dict:
-    """Configuration files ``meta_<key>.json`` of a folder, keyed by ``<key>``."""
-    return {
-        f.name[len("meta_"):-len(".json")]: json.loads(f.read_text())
-        for f in sorted(Path(directory).glob("meta_*.json"))
-    }
+def load_meta(spark: SparkSession, directory: str) -> dict:
+    """Configuration files ``meta_<key>.json`` of a folder that Spark reads, keyed by ``<key>``; a handful of small files."""
+    name = F.url_decode(F.col("_metadata.file_name"))
+    found = spark.read.text(f"{directory}/meta_*.json", wholetext=True).select(name.alias("name"), "value").collect()
+    return {r["name"][len("meta_"):-len(".json")]: json.loads(r["value"]) for r in sorted(found)}
 
 
 def properties_from_meta(config: dict) -> tuple[Property, ...]:

@@ -10,9 +10,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugewright.operators.gram import moments, packed_grams, unpack
+from gaugewright.operators.gram import packed_grams, unpack
 
-MAX_CLASSES = 10000
+BLOCK = 1 << 22  # scores that a task holds at once
 
 
 class GaussianModel(NamedTuple):
@@ -53,9 +53,7 @@ def gaussian_from_sums(classes, count, mean, var, smoothing: float) -> GaussianM
 
 def gaussian_nb(df: DataFrame, features: list[str], label: str, smoothing: float = 1e-9) -> GaussianModel:
     """The model (one row per class) lives on the driver, as models do."""
-    rows = class_sums(df, features, label).orderBy(label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError("too many classes")
+    rows = class_sums(df, features, label).orderBy(label).collect()
     mean = np.array([[r[f"{c}__m"] for c in features] for r in rows])
     var = np.array([[r[f"{c}__v"] for c in features] for r in rows])
     return gaussian_from_sums([r[label] for r in rows], np.array([r["n"] for r in rows], float), mean, var, smoothing)
@@ -68,51 +66,60 @@ def gaussian_scores(model: GaussianModel, x: np.ndarray) -> np.ndarray:
     return np.column_stack(scores)
 
 
-def predict_gaussian(df: DataFrame, features: list[str], model: GaussianModel, out: str = "pred") -> DataFrame:
-    """Most likely class as a native expression; equal scores take the first class."""
-    options = []
-    for i, (name, prior, mean, var) in enumerate(zip(model.classes, model.prior, model.mean, model.variance)):
-        score = F.lit(float(np.log(prior) - 0.5 * np.log(2 * np.pi * var).sum()))
-        for c, m, v in zip(features, mean, var):
-            score = score - (F.col(c) - float(m)) * (F.col(c) - float(m)) / float(2 * v)
-        options.append(F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("label")))
-    return df.withColumn(out, F.array_max(F.array(*options))["label"])
+def predict(df: DataFrame, features: list[str], classes: list, scores, label_type, out: str = "pred") -> DataFrame:
+    """Class with the highest score, the first of equal ones; scores of many classes come a block of rows at a time."""
+    step = max(1, BLOCK // max(1, len(classes)))
+    names = np.array(classes)
 
+    @F.pandas_udf(label_type)
+    def best(*columns: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(float) for c in columns])
+        at = [scores(x[i : i + step]).argmax(axis=1) for i in range(0, len(x), step)]
+        return pd.Series(names[np.concatenate(at)] if at else names[:0])
 
-def ridge_weights(gram: np.ndarray, n_features: int, alpha: float) -> np.ndarray:
-    """Ridge on raw features with a free intercept, one column of weights per target."""
-    n, mean, cov = moments(gram)
-    p = n_features
-    w = np.linalg.solve(cov[:p, :p] * n + alpha * np.eye(p), cov[:p, p:] * n)
-    return np.vstack([mean[p:] - mean[:p] @ w, w])
+    return df.withColumn(out, best(*[F.col(c).cast("double") for c in features]))
 
 
-def ridge_vector(features: list[str], label: str, classes):
-    """(1, features, +1/-1 per class) of a row."""
-    targets = [F.when(F.col(label) == c, F.lit(1.0)).otherwise(-1.0) for c in classes]
-    return F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features], *targets)
+def predict_gaussian(df: DataFrame, features: list[str], model: GaussianModel, label_type="int", out: str = "pred") -> DataFrame:
+    """Most likely class; equal scores take the first class."""
+    return predict(df, features, model.classes, lambda x: gaussian_scores(model, x), label_type, out)
 
 
-def sorted_classes(df: DataFrame, label: str) -> list:
-    from gaugewright.operators.prep import categories
-    return categories(df, label, MAX_CLASSES)
+def ridge_sums(df: DataFrame, features: list[str], label: str, keys=()) -> tuple[DataFrame, DataFrame]:
+    """All that ridge needs: products of the features per key, and count and sums of the features per key and class."""
+    vector = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in features])
+    sums = df.groupBy(*keys, label).agg(F.count("*").alias("n"), *[F.sum(F.col(c).cast("double")).alias(f"{c}__s") for c in features])
+    return packed_grams(df.select(*keys, vector.alias("v")), list(keys), "v"), sums
+
+
+def with_targets(gram: np.ndarray, counts: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Products of (1, features) with one target per class, +1 for its rows and -1 for the others."""
+    inside = np.column_stack([counts, sums]).T  # of (1, features) over the rows of a class
+    return 2 * inside - gram[:, :1]
+
+
+def ridge_weights_of(gram: np.ndarray, targets: np.ndarray, alpha: float) -> np.ndarray:
+    """Ridge on raw features with a free intercept, one column of weights per class."""
+    n, mean = gram[0, 0], gram[0, 1:] / gram[0, 0]
+    center = targets[0] / n
+    w = np.linalg.solve(gram[1:, 1:] - n * np.outer(mean, mean) + alpha * np.eye(len(mean)), targets[1:] - n * np.outer(mean, center))
+    return np.vstack([center - mean @ w, w])
 
 
 def ridge_classifier(df: DataFrame, features: list[str], label: str, alpha: float = 1.0) -> LinearModel:
-    classes = sorted_classes(df, label)
-    gram = packed_grams(df.select(ridge_vector(features, label, classes).alias("v")), [], "v").first()["gram"]
-    width = 1 + len(features) + len(classes)
-    return LinearModel(classes, ridge_weights(unpack(gram, width), len(features), alpha).T)
+    grams, sums = ridge_sums(df, features, label)
+    gram = unpack(grams.first()["gram"], 1 + len(features))
+    rows = sums.orderBy(label).collect()  # the model: one row per class
+    targets = with_targets(gram, np.array([r["n"] for r in rows], float), np.array([[r[f"{c}__s"] for c in features] for r in rows]))
+    return LinearModel([r[label] for r in rows], ridge_weights_of(gram, targets, alpha).T)
+
+
+def linear_scores(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return weights[:, 0] + x @ weights[:, 1:].T
 
 
-def predict_linear(df: DataFrame, features: list[str], model: LinearModel, out: str = "pred") -> DataFrame:
-    options = []
-    for i, (name, w) in enumerate(zip(model.classes, model.weights)):
-        score = F.lit(float(w[0]))
-        for c, x in zip(features, w[1:]):
-            score = score + F.col(c) * float(x)
-        options.append(F.struct(score.alias("s"), F.lit(-i).alias("o"), F.lit(name).alias("label")))
-    return df.withColumn(out, F.array_max(F.array(*options))["label"])
+def predict_linear(df: DataFrame, features: list[str], model: LinearModel, label_type="int", out: str = "pred") -> DataFrame:
+    return predict(df, features, model.classes, lambda x: linear_scores(model.weights, x), label_type, out)
 
 
 # ---------------------------------------------------------------- model sizes
@@ -163,17 +170,23 @@ def search_gaussian(df: DataFrame, features: list[str], label: str, fold: str, s
 
 def search_ridge(df: DataFrame, features: list[str], label: str, fold: str, alphas) -> DataFrame:
     """The same for ridge: one Gram matrix per fold serves all settings and all training parts."""
-    classes = sorted_classes(df, label)
-    width = 1 + len(features) + len(classes)
-    grams = {
-        r[fold]: unpack(r["gram"], width)
-        for r in packed_grams(df.select(fold, ridge_vector(features, label, classes).alias("v")), [fold], "v").collect()
-    }
-    total = sum(grams.values())
-    weights = {f: [ridge_weights(total - g, len(features), a) for a in alphas] for f, g in grams.items()}
+    packed, sums = ridge_sums(df, features, label, [fold])
+    grams = {r[fold]: unpack(r["gram"], 1 + len(features)) for r in packed.collect()}
+    rows = sums.collect()  # folds x classes rows
+    classes = sorted({r[label] for r in rows})
+    targets = {}
+    for f, gram in grams.items():
+        counts, inside = np.zeros(len(classes)), np.zeros((len(classes), len(features)))
+        for r in rows:
+            if r[fold] == f:
+                at = classes.index(r[label])
+                counts[at], inside[at] = r["n"], [r[f"{c}__s"] for c in features]
+        targets[f] = with_targets(gram, counts, inside)
+    total, every = sum(grams.values()), sum(targets.values())
+    weights = {f: [ridge_weights_of(total - g, every - targets[f], a) for a in alphas] for f, g in grams.items()}
 
     def scores(f, s, x):
-        return np.column_stack([np.ones(len(x)), x]) @ weights[f][s]
+        return linear_scores(weights[f][s].T, x)
 
     return _score_settings(df, features, label, fold, scores, lambda f: classes, len(alphas))
 

@@ -46,20 +46,25 @@ def subset_datasets(complete: DataFrame, named: str = "credit-g", first: int = 6
     return picked.union(complete.filter(F.col("dataset") == named).select("dataset").distinct()).distinct()
 
 
-def budgets(df: DataFrame, minimum: int = MIN_BUDGET) -> DataFrame:
+def _seconds(digits: int | None):
+    total = F.sum("train_running_time")
+    return total if digits is None else F.round(total, digits)
+
+
+def budgets(df: DataFrame, minimum: int = MIN_BUDGET, digits: int | None = None) -> DataFrame:
     """Seconds of training time per short environment name and data set, never below the minimum."""
-    total = F.round(F.sum("train_running_time"), 6)
+    total = _seconds(digits)
     return df.groupBy(short_environment(F.col("environment")).alias("architecture"), "dataset").agg(
         total.alias("seconds"), F.greatest(total.cast("long"), F.lit(minimum)).alias("budget")
     )
 
 
-def environment_statistics(complete: DataFrame, baselines: DataFrame, properties) -> DataFrame:
+def environment_statistics(complete: DataFrame, baselines: DataFrame, properties, digits: int | None = None) -> DataFrame:
     """Complete rows of both parts and the total training time per environment."""
     def counted(df, name):
         return df.dropna("any", subset=list(properties)).groupBy("environment").agg(F.count("*").alias(name))
 
-    times = complete.groupBy("environment").agg(F.round(F.sum("train_running_time"), 6).alias("seconds"))
+    times = complete.groupBy("environment").agg(_seconds(digits).alias("seconds"))
     return (
         times.join(counted(complete, "n_complete"), "environment", "left")
         .join(counted(baselines, "n_baselines"), "environment", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.operators.index import idx
+from gaugewright.operators.joins import join_groups
 from gaugewright.operators.quantiles import exact_quantiles
 from gaugewright.operators.ranking import ordered_rank
 
@@ -41,15 +42,7 @@ def min_max(df: DataFrame, keys, column: str, out: str) -> DataFrame:
     """Column scaled to [0, 1] inside each key; NULL where all values are equal."""
     ends = df.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     scaled = F.try_divide(F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    return df.join(ends, list(keys)).withColumn(out, scaled).drop("_lo", "_hi")
-
-
-def best_model_counts(best: DataFrame, models: DataFrame) -> DataFrame:
-    """How often each model wins per environment; ``models`` lists the models of every environment."""
-    counts = best.groupBy("environment", "model").agg(F.count("*").alias("n"))
-    return models.join(counts, ["environment", "model"], "left").select(
-        "environment", "model", F.coalesce("n", F.lit(0)).cast("long").alias("n")
-    )
+    return join_groups(df, ends, keys).withColumn(out, scaled).drop("_lo", "_hi")
 
 
 def chain(df: DataFrame, keys, order: str, columns) -> DataFrame:
@@ -93,4 +86,4 @@ def box_summary(df: DataFrame, keys, columns, probs=(0.25, 0.5, 0.75)) -> DataFr
     long = df.select(*keys, F.inline(cells))
     quartiles = exact_quantiles(long, [*keys, "measure"], "value", probs, "q")
     counts = long.groupBy(*keys, "measure").agg(F.count("value").alias("n"))
-    return quartiles.join(counts, [*keys, "measure"])
+    return join_groups(quartiles, counts, [*keys, "measure"])

@@ -9,6 +9,7 @@ from gaugewright.functions.scalars import band, double, quoted, settle
 from gaugewright.meta import GROUP_KEYS, QUANTILES
 from gaugewright.operators.bounds import rounded
 from gaugewright.operators.index import idx
+from gaugewright.operators.joins import join_groups
 from gaugewright.operators.quantiles import exact_quantiles
 
 SCORES = ("compound", "quality", "resource")
@@ -91,7 +92,7 @@ def group_score_boundaries(df: DataFrame, keys=GROUP_KEYS, quantiles=QUANTILES)
 
 
 def add_score_ratings(df: DataFrame, keys=GROUP_KEYS) -> DataFrame:
-    joined = df.join(group_score_boundaries(df, keys), list(keys))
+    joined = join_groups(df, group_score_boundaries(df, keys), keys)
     return joined.withColumns({
         f"{s}_rating": F.expr(band(f"{s}_index", [f"{s}__bounds[{i}]" for i in range(4)])) for s in SCORES
     }).drop(*[f"{s}__bounds" for s in SCORES])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,30 +12,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+HELD = 4 << 20  # numbers that a task holds before it sends matrices on
+
+
 def gram_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """``sum(v_i * v_j)`` per key for i <= j as rows (keys, i, j, s).
 
-    Every Arrow batch is reduced to one matrix per key before anything is shuffled; the matrix size depends
-    on the vector width only.
+    Every partition is reduced to one matrix per key before anything is shuffled; beyond ``HELD`` numbers the
+    matrices so far are sent on.
     """
     keys = list(keys)
     types = dict(df.dtypes)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, np.ndarray] = {}
+        kinds: list[pa.DataType] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for key, total in held.items():
+                i, j = np.triu_indices(len(total))
+                columns = [pa.array([value] * len(i), t) for value, t in zip(key, kinds, strict=True)]
+                columns += [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])]
+                yield pa.RecordBatch.from_arrays(columns, [*keys, "i", "j", "s"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
+            kinds = [batch.schema.field(k).type for k in keys]
             matrix = batch.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            i, j = np.triu_indices(matrix.shape[1])
-            labels = batch.select(keys).to_pandas()
-            for key, at in labels.groupby(keys, dropna=False).indices.items() if keys else [((), slice(None))]:
+            labels: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys], strict=True) if keys else ()):
+                labels.setdefault(key, []).append(at)
+            for key, at in labels.items() if keys else [((), slice(None))]:
                 rows = matrix[at]
-                columns = [[value] * len(i) for value in (key if isinstance(key, tuple) else (key,))] if keys else []
-                columns += [i.astype("int32"), j.astype("int32"), (rows.T @ rows)[i, j]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, [*[batch.schema.field(k).type for k in keys], pa.int32(), pa.int32(), pa.float64()])],
-                    [*keys, "i", "j", "s"],
-                )
+                held[key] = held.get(key, 0.0) + rows.T @ rows
+            if len(held) * matrix.shape[1] ** 2 > HELD:
+                yield from flush()
+                held.clear()
+        yield from flush()
 
     schema = ", ".join([f"`{k}` {types[k]}" for k in keys] + ["i int", "j int", "s double"])
     return df.select(*keys, vector).mapInArrow(partial, schema).groupBy(*keys, "i", "j").agg(F.sum("s").alias("s"))
@@ -64,27 +79,31 @@ def _shrink(value: np.ndarray, by: float) -> np.ndarray:
     return np.sign(value) * np.maximum(np.abs(value) - by, 0.0)
 
 
-def coordinate_descent(cov, target, alpha, l1, sweeps=500, tol=1e-8) -> np.ndarray:
+def coordinate_descent(cov, target, alpha, l1, sweeps=1000, tol=1e-7) -> np.ndarray:
     """Minimize half the mean squared error plus ``alpha * (l1 * |w| + (1 - l1) / 2 * w^2)``.
 
     Solves many problems at once: ``cov`` (problems, p, p), ``target`` (problems, p, targets), ``alpha`` and
-    ``l1`` (problems,).
+    ``l1`` (problems,).  Ends when no weight changes by ``tol`` of the largest one of its problem, or after ``sweeps`` with a
+    warning in the log of the executor.
     """
     w = np.zeros_like(target)
+    largest = 0.0
     diagonal = np.diagonal(cov, axis1=1, axis2=2)
     l1_part, l2_part = (alpha * l1)[:, None], (alpha * (1 - l1))[:, None]
     active = [j for j in range(cov.shape[1]) if (diagonal[:, j] > 0).any()]
     for _ in range(sweeps):
         largest = 0.0
+        scales = np.maximum(np.abs(w).max(axis=1), 1e-12)
         for j in active:
             own = diagonal[:, j, None]
             rest = target[:, j] - np.matmul(cov[:, j, None, :], w)[:, 0] + own * w[:, j]
             scale = own + l2_part
             new = np.where(own > 0, _shrink(rest, l1_part) / np.where(scale > 0, scale, 1.0), 0.0)
-            largest = max(largest, float(np.abs(new - w[:, j]).max()))
+            largest = max(largest, float((np.abs(new - w[:, j]) / scales).max()))
             w[:, j] = new
         if largest < tol:
-            break
+            return w
+    warnings.warn(f"no convergence in {sweeps} sweeps, last change {largest:.2g} of the largest weight", RuntimeWarning, stacklevel=2)
     return w
 
 
@@ -108,13 +127,15 @@ def fit(grams: np.ndarray, n_features: int, regressors, plain: int = 0) -> np.nd
     n = np.array([c for c, _, _ in parts])
     mean, cov = np.stack([m for _, m, _ in parts]), np.stack([c for _, _, c in parts])
     deviation = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2)[:, :p], 0.0))
-    constant = deviation <= 1e-9 * np.maximum(np.abs(mean[:, :p]), 1.0)
+    constant = deviation <= 1e-6 * np.maximum(np.abs(mean[:, :p]), 1.0)
     deviation = np.where(constant, 1.0, deviation)
     if plain:
         deviation[:, p - plain:] = 1.0
     moving = ~constant
     sxx = cov[:, :p, :p] / (deviation[:, :, None] * deviation[:, None, :]) * (moving[:, :, None] & moving[:, None, :])
-    sxy = cov[:, :p, p:] / deviation[:, :, None] * moving[:, :, None]
+    # a constant target has nothing but rounding to explain
+    spread = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2)[:, p:], 0.0)) > 1e-6 * np.abs(mean[:, p:])
+    sxy = cov[:, :p, p:] / deviation[:, :, None] * moving[:, :, None] * spread[:, None, :]
     solved = np.zeros((len(grams), len(regressors), p, sxy.shape[2]))
     sparse = [i for i, (kind, _) in enumerate(regressors) if kind in ("lasso", "elastic")]
     for i, (kind, alpha) in enumerate(regressors):
@@ -123,6 +144,12 @@ def fit(grams: np.ndarray, n_features: int, regressors, plain: int = 0) -> np.nd
         elif kind == "ridge":
             solved[:, i] = np.linalg.solve(sxx * n[:, None, None] + alpha * np.eye(p), sxy * n[:, None, None])
     if sparse:
+        # Differences of sums leave small negative eigenvalues and targets outside the range, along which descent drifts.
+        values, vectors = np.linalg.eigh(sxx)
+        kept = np.where(values > 1e-7 * values[:, -1:], 1.0, 0.0)
+        back = np.swapaxes(vectors, 1, 2)
+        sxx = np.matmul(vectors * (values * kept)[:, None, :], back)
+        sxy = np.matmul(vectors * kept[:, None, :], np.matmul(back, sxy))
         alphas = np.tile([regressors[i][1] for i in sparse], len(grams))
         l1 = np.tile([1.0 if regressors[i][0] == "lasso" else L1_RATIO for i in sparse], len(grams))
         found = coordinate_descent(np.repeat(sxx, len(sparse), axis=0), np.repeat(sxy, len(sparse), axis=0), alphas, l1)

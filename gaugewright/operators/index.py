@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.functions.scalars import double, index_to_value, quoted, scaled_index
-from gaugewright.meta import GROUP_KEYS, TOP, BOTTOM
+from gaugewright.meta import BOTTOM, GROUP_KEYS, TOP
+from gaugewright.operators.joins import join_groups
 
 
 def idx(key: str) -> str:
@@ -30,7 +31,7 @@ def add_indices(df: DataFrame, references: DataFrame, properties, keys=GROUP_KEY
 
     The reference table has one row per group and joins back to the rows; the join is left to adaptive
     execution, which broadcasts it by its measured size or splits a hot group.
-    An index is NULL only if the whole group lacks the property.
+    An index is NULL only if the whole group lacks the property.  Rows with a NULL key form groups too.
     """
     columns = []
     for p in properties:
@@ -38,7 +39,7 @@ def add_indices(df: DataFrame, references: DataFrame, properties, keys=GROUP_KEY
         if f"{p.key}__present" in references.columns:
             index = f"CASE WHEN {quoted(p.key + '__present')} THEN {index} END"
         columns.append(f"{index} AS {quoted(idx(p.key))}")
-    return df.join(references, list(keys)).selectExpr(*[quoted(c) for c in df.columns], *columns)
+    return join_groups(df, references, keys).selectExpr(*[quoted(c) for c in df.columns], *columns)
 
 
 def index_best(df: DataFrame, properties) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewright.operators.joins import join_groups
+
+# Names of the results.
 MOMENTS = ("mean", "variance", "skewness", "kurtosis", "min", "max")
 STATISTICAL = (
     "n_instances", "n_predictors", "n_classes", "class_freq_mean", "class_freq_std", "n_num", "n_onehot",
@@ -14,10 +17,17 @@ STATISTICAL = (
 
 
 def feature_moments(df: DataFrame, features: list[str], key: str = "dataset") -> DataFrame:
-    """Moments of every feature per data set; the distinct count tells two-valued features apart."""
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v")) for f in features])
-    return df.select(key, F.inline(cells)).groupBy(key, "feature").agg(
-        F.count("*").alias("n"), F.count_distinct("v").alias("n_distinct"),
+    """Moments of every feature per data set; a feature is two-valued if its ends differ and nothing lies between."""
+    ends = df.groupBy(key).agg(*[f(F.col(c).cast("double")).alias(f"{c}__{n}") for c in features for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def between(c: str):
+        return F.when((F.col(c) > F.col(f"{c}__lo")) & (F.col(c) < F.col(f"{c}__hi")), True)
+
+    cells = F.array(*[
+        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v"), between(f).alias("between")) for f in features
+    ])
+    return join_groups(df.select(key, *features), ends, [key]).select(key, F.inline(cells)).groupBy(key, "feature").agg(
+        F.count("*").alias("n"), ((F.max("v") > F.min("v")) & (F.count("between") == 0)).alias("two_valued"),
         (F.count_if(F.col("v") != 0) / F.count("*")).alias("balance"),
         F.avg("v").alias("mean"), F.var_samp("v").alias("variance"), F.skewness("v").alias("skewness"),
         F.kurtosis("v").alias("kurtosis"), F.min("v").alias("min"), F.max("v").alias("max"),
@@ -28,7 +38,7 @@ def statistical(df: DataFrame, features: list[str], label: str, key: str = "data
     """24 numbers per data set.  Features with exactly two values are described by their balance, all others
     by mean and population deviation of their moments."""
     moments = feature_moments(df, features, key)
-    onehot = F.col("n_distinct") == 2
+    onehot = F.coalesce("two_valued", F.lit(False))
     balance = F.when(onehot, F.col("balance"))
     over_features = moments.groupBy(key).agg(
         F.max("n").alias("n_instances"), F.count("*").alias("n_predictors"),
@@ -44,7 +54,7 @@ def statistical(df: DataFrame, features: list[str], label: str, key: str = "data
         F.count("*").alias("n_classes"), F.avg("_c").alias("class_freq_mean"), F.stddev_pop("_c").alias("class_freq_std")
     )
     ratio = F.coalesce(F.try_divide(F.col("n_num") / F.col("n_predictors"), F.col("n_onehot")), F.lit(1.0))
-    return over_features.join(classes, key).withColumn("num_onehot_ratio", ratio).select(key, *STATISTICAL)
+    return join_groups(over_features, classes, [key]).withColumn("num_onehot_ratio", ratio).select(key, *STATISTICAL)
 
 
 def profile(df: DataFrame, label: str, n_features, key: str = "dataset") -> DataFrame:

@@ -9,25 +9,28 @@ from gaugewright.functions.names import variant_name
 from gaugewright.operators.quantiles import exact_positions, exact_quantiles
 from gaugewright.operators.ranking import ordered_rank
 
-MAX_COLUMNS = 10000
 TEST_SHARE = 0.25
 
 
-def categories(df: DataFrame, column: str, limit: int = MAX_COLUMNS) -> list:
-    """Sorted distinct values of a column; they become columns, so there can only be so many."""
-    found = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    return sorted(found)
-
-
-def one_hot(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Each categorical column becomes one 0/1 column per category; a missing value is 0 in all of them."""
+def one_hot(df: DataFrame, categories: dict[str, list]) -> DataFrame:
+    """Each categorical column becomes one 0/1 column per named category; any other value is 0 in all of them."""
     hot = [
         F.coalesce((F.col(c) == value).cast("double"), F.lit(0.0)).alias(f"{c}_{value}")
-        for c in columns for value in categories(df, c)
+        for c, values in categories.items() for value in values
     ]
-    return df.select(*[c for c in df.columns if c not in columns], *hot)
+    return df.select(*[c for c in df.columns if c not in categories], *hot)
+
+
+def category_codes(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Each categorical column becomes its place among its sorted distinct values, -1 if missing.
+
+    The place is the position of the one in a one-hot vector, for columns with any number of categories: codes are
+    a table that is joined, not a list on the driver.
+    """
+    for c in columns:
+        codes = ordered_rank(df.select(c).filter(F.col(c).isNotNull()).distinct(), [], [c]).select(c, F.col("rank").alias("_code"))
+        df = df.join(codes, c, "left").withColumn(c, F.coalesce("_code", F.lit(-1)).cast("long")).drop("_code")
+    return df
 
 
 def factorize(df: DataFrame, label: str, order: str, out: str = "code") -> DataFrame:

@@ -75,8 +75,3 @@ def exact_positions(
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs, out: str = "q") -> DataFrame:
     """Linearly interpolated quantiles per key as an array."""
     return exact_positions(df, keys, value, [lambda n, p=p: f"{float(p)!r}D * ({n} - 1)" for p in probs], out)
-
-
-def approx_quantiles(df: DataFrame, keys: list[str], value: str, probs, accuracy=100000, out="q") -> DataFrame:
-    """Opt-in sketch when an error of 1/accuracy in rank is acceptable."""
-    return df.groupBy(*keys).agg(F.percentile_approx(value, list(map(float, probs)), accuracy).alias(out))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaugewright.functions.scalars import double, quoted, settle, value_to_index
 from gaugewright.meta import GROUP_KEYS
 from gaugewright.operators.index import add_indices, long_cells
+from gaugewright.operators.joins import join_groups
 from gaugewright.operators.quantiles import exact_quantiles
 from gaugewright.operators.ranking import ordered_rank
 
@@ -24,7 +25,7 @@ def median_scores(df: DataFrame, properties, keys=GROUP_KEYS) -> DataFrame:
         f"coalesce(({value_to_index(quoted(p.key), quoted(p.key + '__median'), p.maximize)}) * {double(p.weight)}, 0D)"
         for p in properties
     )
-    return df.join(wide, list(keys)).selectExpr(*keys, "model", f"{settle(f'({score})')} AS score")
+    return join_groups(df, wide, keys).selectExpr(*keys, "model", f"{settle(f'({score})')} AS score")
 
 
 def optimal_references(df: DataFrame, properties, keys=GROUP_KEYS) -> DataFrame:
@@ -45,16 +46,16 @@ def group_references(df: DataFrame, properties, given: DataFrame | None = None)
         per_dataset = per_dataset.join(given.select("dataset", F.col("reference").alias("named")), "dataset", "left").select(
             "dataset", F.coalesce("named", "first").alias("first")
         )
-    wanted = own.join(per_dataset, "dataset")
+    wanted = join_groups(own, per_dataset, ["dataset"])
     has = df.select(*GROUP_KEYS, F.col("model").alias("first"), F.lit(True).alias("has"))
-    return wanted.join(has, [*GROUP_KEYS, "first"], "left").select(
+    return join_groups(wanted, has, [*GROUP_KEYS, "first"]).select(
         *GROUP_KEYS, F.when(F.col("has"), F.col("first")).otherwise(F.col("reference")).alias("reference")
     )
 
 
 def centered_references(df: DataFrame, references: DataFrame, properties) -> DataFrame:
     """Values of the reference model per group, and whether the group has the property at all."""
-    joined = df.join(references, list(GROUP_KEYS))
+    joined = join_groups(df, references, GROUP_KEYS)
     return joined.groupBy(*GROUP_KEYS).agg(
         *[F.max(F.when(F.col("model") == F.col("reference"), F.col(p.key))).cast("double").alias(f"{p.key}__ref") for p in properties],
         *[(F.count(p.key) > 0).alias(f"{p.key}__present") for p in properties],

@@ -7,23 +7,19 @@ from pyspark.sql import functions as F
 
 from gaugewright.functions.scalars import quoted
 from gaugewright.operators.index import idx, rat
+from gaugewright.operators.joins import join_groups
 
 
-def share_independent(df: DataFrame, properties, by_environment: bool | None = None) -> DataFrame:
-    """If any row of a (dataset, model[, environment]) group lacks a task-independent value, every row of the
-    group takes the first available cell, ordered by configuration and environment.
-
-    ``by_environment`` defaults to whether the table has more than one environment, checked by reading at
-    most two distinct names.
+def share_independent(df: DataFrame, properties) -> DataFrame:
+    """If any row of a (dataset, model, environment) group lacks a task-independent value, every row of the
+    group takes the first available cell, ordered by configuration.
     """
     shared = [p for p in properties if p.independent]
     if not shared:
         return df
-    if by_environment is None:
-        by_environment = len(df.select("environment").distinct().limit(2).collect()) > 1
-    keys = ["dataset", "model"] + (["environment"] if by_environment else [])
+    keys = ["dataset", "model", "environment"]
     first_cells = df.groupBy(*keys).agg(F.count("*").alias("_rows"), *[a for p in shared for a in _first_cell(p.key)])
-    joined = df.join(first_cells, keys)
+    joined = join_groups(df, first_cells, keys)
     replaced = {}
     for p in shared:
         use = f"{quoted(p.key + '__n')} > 0 AND {quoted(p.key + '__n')} < _rows"

@@ -6,11 +6,11 @@ and once per round of predictions, whatever the number of regressors, properties
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.functions.names import base_dataset
@@ -18,11 +18,12 @@ from gaugewright.functions.scalars import ZERO_INDEX
 from gaugewright.operators.folds import group_kfold
 from gaugewright.operators.gram import REGRESSORS, fit, packed_grams, unpack
 from gaugewright.operators.index import idx
-from gaugewright.operators.prep import categories
+from gaugewright.operators.joins import join_groups
 from gaugewright.session import materialize
 
 N_FOLDS = 5
 CHUNK_ROWS = 20000
+SCALES = ("index", "value", "recalc_value")
 ROW_ID = ("configuration", "environment")
 
 
@@ -33,22 +34,25 @@ def select_regressor(errors: DataFrame, keys) -> DataFrame:
     )
 
 
-def design_table(rated: DataFrame, references: DataFrame, metafeatures: DataFrame, properties) -> DataFrame:
-    """One row per complete measurement: encoded features, index and value targets, reference values.
+def design_table(rated: DataFrame, references: DataFrame, metafeatures: DataFrame, properties, environments) -> DataFrame:
+    """One row per measurement: encoded features, index and value targets, reference values.
 
-    The vector is (1, meta-features, environment indicators without the first level).
+    The vector is (1, meta-features, an indicator per named environment but the first).  A data set without
+    meta-features has zeros.  ``usable`` marks the rows with all properties; only they are learned from.
     """
     features = [c for c in metafeatures.columns if c != "dataset"]
-    levels = categories(rated, "environment")[1:]
-    complete = rated.dropna("any", subset=[p.key for p in properties] + [idx(p.key) for p in properties])
-    joined = complete.join(metafeatures, "dataset").join(references, ["dataset", "task", "environment"])
+    levels = list(environments)[1:]
+    needed = [p.key for p in properties] + [idx(p.key) for p in properties]
+    usable = reduce(Column.__and__, [F.col(c).isNotNull() for c in needed])
+    joined = join_groups(rated.withColumn("_usable", usable), metafeatures, ["dataset"])
+    joined = join_groups(joined, references, ["dataset", "task", "environment"])
     x = [F.lit(1.0), *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]]
     x += [(F.col("environment") == e).cast("double") for e in levels]
     return joined.select(
         *ROW_ID, "dataset", "task", "model", F.array(*x).alias("x"),
         F.array(*[F.col(idx(p.key)) for p in properties], *[F.col(p.key).cast("double") for p in properties]).alias("y"),
         F.array(*[F.col(f"{p.key}__ref").cast("double") for p in properties]).alias("ref"),
-        F.lit(len(levels)).alias("plain"),
+        F.lit(len(levels)).alias("plain"), F.col("_usable").alias("usable"),
     )
 
 
@@ -84,8 +88,11 @@ def meta_learn(design: DataFrame, properties, k: int = N_FOLDS) -> tuple[DataFra
     test_err)`` and the chosen regressors.
 
     Scale ``index`` learns indices, ``value`` learns values, ``recalc_value`` turns predicted indices into
-    values.  Errors are prediction - truth, for ``recalc_value`` truth - prediction.
+    values.  Errors are prediction - truth, for ``recalc_value`` truth - prediction.  Rows that are not usable have
+    NULL predictions and errors.
     """
+    left_out = design.filter("NOT usable")
+    design = design.filter("usable").drop("usable")
     keys = [p.key for p in properties]
     t = len(keys)
     maximize = np.array([p.maximize for p in properties])
@@ -195,4 +202,8 @@ def meta_learn(design: DataFrame, properties, k: int = N_FOLDS) -> tuple[DataFra
         "train_pred double, test_pred double, train_err double, test_err double"
     )
     left, right = _chunks(placed.select(*ROW_ID, "dataset", "task", "model", "fold", "x", "y", "ref"), outer_models)
-    return left.cogroup(right).applyInPandas(predict, schema), chosen
+    predicted = left.cogroup(right).applyInPandas(predict, schema)
+    cells = F.array(*[F.struct(F.lit(s).alias("scale"), F.lit(k).alias("property")) for s in SCALES for k in keys])
+    none = [F.lit(None).cast("double").alias(c) for c in ("train_pred", "test_pred", "train_err", "test_err")]
+    unknown = left_out.select(*ROW_ID, "dataset", "task", "model", F.inline(cells)).select(*predicted.columns[:7], *none)
+    return predicted.unionByName(unknown), chosen

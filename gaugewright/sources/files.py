@@ -30,18 +30,22 @@ def read_search_results(spark: SparkSession, folder: str, param_schema: str | No
 
     Settings that were not reached have NULL scores; ``NaN`` scores (failed fits) stay NaN.
     """
+    file = F.url_decode(F.col("_metadata.file_name"))
+    texts = spark.read.text(f"{folder}/hyperparameters__*.json", wholetext=True).select(file.alias("file"), "value")
+    return parse_search_results(texts, param_schema)
+
+
+def parse_search_results(texts: DataFrame, param_schema: str | None = None) -> DataFrame:
+    """The same from a table of texts (file, value); settings and scores are paired by place."""
     params = param_schema or "map<string,string>"
     schema = (
         f"params array<{params}>, mean_test_score array<double>, std_test_score array<double>, rank_test_score array<int>"
     )
-    raw = spark.read.schema(schema).option("multiLine", True).option("allowNonNumericNumbers", True).json(
-        f"{folder}/hyperparameters__*.json"
-    )
-    file = F.url_decode(F.col("_metadata.file_name"))
+    raw = texts.select("file", F.from_json("value", schema, {"allowNonNumericNumbers": "true"}).alias("r")).select("file", "r.*")
     return raw.select(
-        F.regexp_extract(file, SEARCH_FILE, 1).alias("dataset"),
-        F.regexp_extract(file, SEARCH_FILE, 2).alias("method"),
-        F.posexplode(F.arrays_zip("params", "mean_test_score", "std_test_score", "rank_test_score")).alias("pos", "s"),
+        F.regexp_extract("file", SEARCH_FILE, 1).alias("dataset"),
+        F.regexp_extract("file", SEARCH_FILE, 2).alias("method"),
+        F.posexplode(F.arrays_zip(*[F.coalesce(F.col(c), F.array().cast(t)).alias(c) for c, t in raw.dtypes[1:]])).alias("pos", "s"),
     ).select("dataset", "method", "pos", "s.*")
 
 

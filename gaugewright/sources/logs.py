@@ -21,63 +21,93 @@ LOG_SCHEMA = (
     f"requirements array<string>, emissions array<{EMISSION}>"
 )
 RUN_FILES = {"config.json": CONFIG, "results.json": RESULTS, "execution_platform.json": PLATFORM}
+ALL_FILES = (*RUN_FILES, "requirements.txt", "emissions.csv")
+# after a comma a field is quoted, with doubled quotes inside, or runs to the next comma
+_FIELD = r',("(?:[^"]|"")*"|[^,]*)'
 
 
-def _texts(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Every ``<root>/<run>/<name>`` as one text with its run directory; files are small by nature."""
-    path = F.col("_metadata.file_path")
-    return (
-        spark.read.text(f"{root}/*/{name}", wholetext=True)
-        .select(F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)).alias("directory_name"), "value")
-    )
+def _named(path: Column) -> tuple[Column, Column]:
+    """Run directory and file name of a path."""
+    return F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)), F.regexp_extract(path, r"([^/]+)$", 1)
 
 
-def read_emissions(spark: SparkSession, root: str) -> DataFrame:
-    """Emission rows of each run in file order: position 0 is training, position 1 inference."""
-    lines = _texts(spark, root, "emissions.csv").select(
-        "directory_name", F.split(F.rtrim(F.replace("value", F.lit("\r"), F.lit(""))), "\n").alias("lines")
-    )
-    header = F.split(F.col("lines")[0], ",")
+def read_run_files(spark: SparkSession, root: str, directories: list[str] | None = None) -> DataFrame:
+    """Texts of the known files of all (or the named) run directories in one scan: directory_name, file, value."""
+    names = "{" + ",".join(ALL_FILES) + "}"
+    paths = [f"{root}/*/{names}"] if directories is None else [f"{root}/{d}/{names}" for d in directories]
+    directory, file = _named(F.col("_metadata.file_path"))
+    return spark.read.text(paths, wholetext=True).select(directory.alias("directory_name"), file.alias("file"), "value")
 
-    def field(line: Column, name: str) -> Column:
-        return F.try_element_at(F.split(line, ","), F.array_position(header, name).cast("int")).try_cast("double")
 
-    def at(name):
-        return lambda line: F.when(F.array_position(header, name) > 0, field(line, name))
+def list_run_directories(spark: SparkSession, root: str) -> DataFrame:
+    """Names of the run directories; no file is opened."""
+    listed = spark.read.format("binaryFile").load(f"{root}/*/{{{','.join(ALL_FILES)}}}").select("path")
+    return listed.select(_named(F.col("path"))[0].alias("directory_name")).distinct()
+
+
+def parse_emissions(text: Column) -> Column:
+    """Rows of an emissions file in order (0 is training, 1 inference); quoted fields may hold commas."""
+    lines = F.filter(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x) != "")
+
+    def fields(line: Column) -> Column:
+        raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1))
+        return F.transform(raw, lambda f: F.replace(F.regexp_replace(F.trim(f), '^"|"$', ""), F.lit('""'), F.lit('"')))
+
+    rows = F.transform(lines, fields)
+    header = F.get(rows, F.lit(0))
+
+    def row(one: Column) -> Column:
+        return F.struct(*[
+            F.get(one, F.nullif(F.array_position(header, n), F.lit(0)).cast("int") - 1).try_cast("double").alias(n)
+            for n in ("duration", "energy_consumed")
+        ])
+
+    return F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), row)
 
-    rows = F.transform(
-        F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0))),
-        lambda line: F.struct(at("duration")(line).alias("duration"), at("energy_consumed")(line).alias("energy_consumed")),
-    )
-    return lines.select("directory_name", rows.alias("emissions"))
 
+def parse_requirements(text: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(text, r"\s+$", ""), "\n"), lambda line: F.trim(F.replace(line, F.lit("\r"), F.lit(""))))
 
-def read_requirements(spark: SparkSession, root: str) -> DataFrame:
-    lines = F.split(F.rtrim("value"), "\n")
-    return _texts(spark, root, "requirements.txt").select(
-        "directory_name", F.transform(lines, lambda line: F.trim(F.replace(line, F.lit("\r"), F.lit("")))).alias("requirements")
+
+def assemble_runs(files: DataFrame) -> DataFrame:
+    """One row per run directory from its files; a missing or broken file leaves NULL, other files are ignored."""
+    def of(name: str) -> Column:
+        return F.max(F.when(F.col("file") == name, F.col("value"))).alias(name)
+
+    texts = files.groupBy("directory_name").agg(*[of(n) for n in ALL_FILES])
+    return texts.select(
+        "directory_name", *[F.from_json(F.col(f"`{n}`"), schema).alias(n.split(".")[0]) for n, schema in RUN_FILES.items()],
+        parse_requirements(F.col("`requirements.txt`")).alias("requirements"),
+        parse_emissions(F.col("`emissions.csv`")).alias("emissions"),
     )
 
 
-def read_run_directories(spark: SparkSession, root: str) -> DataFrame:
-    """One row per run directory; files of other kinds are ignored, a missing or broken file leaves NULL."""
-    parts = [
-        _texts(spark, root, name).select("directory_name", F.from_json("value", schema).alias(name.split(".")[0]))
-        for name, schema in RUN_FILES.items()
-    ] + [read_requirements(spark, root), read_emissions(spark, root)]
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.join(part, "directory_name", "full_outer")
-    return joined.select("directory_name", "config", "results", "execution_platform", "requirements", "emissions")
+def read_run_directories(spark: SparkSession, root: str, directories: list[str] | None = None) -> DataFrame:
+    return assemble_runs(read_run_files(spark, root, directories))
+
+
+def parse_merged_logs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Merged logs from texts (column value) of one JSON object each, and the rejected texts (_corrupt).
+
+    Emissions may be a list of rows, or columns as ``{"duration": {"0": ..., "1": ...}, ...}``.
+    """
+    schema = LOG_SCHEMA.rsplit(", emissions", 1)[0] + ", emissions string, _corrupt string"
+    parsed = texts.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("log"))
+    rows = F.from_json("log.emissions", f"array<{EMISSION}>")
+    columns = F.from_json("log.emissions", "struct<duration:map<string,double>,energy_consumed:map<string,double>>")
+    places = F.array_sort(F.transform(F.map_keys(F.coalesce(columns["duration"], columns["energy_consumed"])), lambda k: k.cast("int")))
+    turned = F.transform(places, lambda i: F.struct(*[
+        F.try_element_at(columns[n], i.cast("string")).alias(n) for n in ("duration", "energy_consumed")
+    ]))
+    emissions = F.when(F.col("log.emissions").startswith("{"), turned).otherwise(rows)
+    bad = F.col("log").isNull() | F.col("log._corrupt").isNotNull()
+    good = parsed.filter(~bad).select("log.*", emissions.alias("_emissions")).drop("_corrupt", "emissions")
+    return good.withColumnRenamed("_emissions", "emissions"), parsed.filter(bad).select(F.col("value").alias("_corrupt"))
 
 
-def read_merged_logs(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Merged logs (one JSON object per line or file) and the rejected texts."""
-    raw = spark.read.schema(LOG_SCHEMA + ", _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
-    # the corrupt column is only filled while the other columns are parsed with it
-    return raw.filter(F.col("directory_name").isNotNull()).drop("_corrupt"), raw.filter(
-        F.col("directory_name").isNull()
-    ).select("_corrupt")
+def read_merged_logs(spark: SparkSession, folder: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Merged logs of a folder, one JSON object per file (indented or not) or per line, and the rejected texts."""
+    return parse_merged_logs(spark.read.text(folder, wholetext=not lines).filter(F.trim("value") != ""))
 
 
 def new_runs(incoming: DataFrame, known: DataFrame, key: str = "directory_name") -> DataFrame:
@@ -86,8 +116,11 @@ def new_runs(incoming: DataFrame, known: DataFrame, key: str = "directory_name")
 
 
 def ingest_directories(spark: SparkSession, root: str, bronze: str) -> DataFrame:
-    """Append the logs of unseen run directories to the bronze table; known ones are not parsed again."""
-    incoming = read_run_directories(spark, root)
+    """Append the logs of unseen run directories to the bronze table.
+
+    Directories are listed and compared by name first, so files of known ones are not opened again.  The list of new
+    names is on the driver, as the file listing itself is.
+    """
     try:
         known = spark.read.schema(LOG_SCHEMA).parquet(bronze)
         known.select("directory_name").limit(1).collect()
@@ -95,7 +128,9 @@ def ingest_directories(spark: SparkSession, root: str, bronze: str) -> DataFrame
         if "PATH_NOT_FOUND" not in str(error):
             raise
         known = spark.createDataFrame([], LOG_SCHEMA)
-    new_runs(incoming, known).write.mode("append").parquet(bronze)
+    fresh = [r[0] for r in new_runs(list_run_directories(spark, root), known).collect()]
+    if fresh:
+        read_run_directories(spark, root, sorted(fresh)).write.mode("append").parquet(bronze)
     return spark.read.schema(LOG_SCHEMA).parquet(bronze)
 
 

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugewright.functions.scalars import DIGITS
 from gaugewright.operators.merge import merge_runs
+from gaugewright.session import ship
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """One of the given tables; the workers get this package with the first."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -41,5 +45,5 @@ def run_view(line: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def measurements(spark: SparkSession, folder: str) -> DataFrame:
-    """The runs merged to one row per configuration and environment."""
-    return merge_runs(runs(spark, folder))
+    """The runs merged to one row per configuration and environment, with means in a fixed number of digits."""
+    return merge_runs(runs(spark, folder).drop("log_name"), digits=DIGITS)

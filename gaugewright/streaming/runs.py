@@ -2,31 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.operators.merge import merge_runs
+from gaugewright.operators.merge import RUN_KEYS, with_identity
+
+
+def partial_sums(runs: DataFrame, order: str = "log_name") -> DataFrame:
+    """Counts, sums and first texts per configuration and environment: all that merging needs to know of the runs."""
+    texts, numbers = [], []
+    for field in runs.schema.fields:
+        if field.name not in RUN_KEYS:
+            (texts if field.dataType.typeName() == "string" else numbers).append(field.name)
+    first = [
+        F.min(F.when(F.col(t).isNotNull(), F.struct(F.col(order).alias("at"), F.col(t).alias("text")))).alias(t) for t in texts
+    ]
+    sums = [F.struct(F.sum(F.col(n).cast("double")).alias("sum"), F.count(n).alias("n")).alias(n) for n in numbers]
+    return runs.groupBy(*RUN_KEYS).agg(F.count("*").alias("n_results"), *first, *sums)
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Sums of sums; the same columns."""
+    kinds = {f.name: f.dataType for f in partials.schema.fields if f.dataType.typeName() == "struct"}
+    texts = [c for c, t in kinds.items() if "text" in t.fieldNames()]
+    numbers = [c for c in kinds if c not in texts]
+    return partials.groupBy(*RUN_KEYS).agg(
+        F.sum("n_results").alias("n_results"), *[F.min(t).alias(t) for t in texts],
+        *[F.struct(F.sum(f"{n}.sum").alias("sum"), F.sum(f"{n}.n").alias("n")).alias(n) for n in numbers],
+    )
 
 
-def start_merge(runs: DataFrame, table: str, checkpoint: str):
-    """Merge a stream of runs into a versioned table.
+def start_merge(runs: DataFrame, table: str, checkpoint: str, key: str = "log_name"):
+    """Merge a stream of runs into a table of partial sums, one part per micro-batch.
 
-    Each micro-batch writes the merged rows that changed under its own batch number, so a repeated batch
-    replaces itself and the sink is exactly-once.
+    A run whose name was seen before does not count again: the names of earlier batches are a table, not state.  A
+    repeated batch compares itself with the batches before it only and replaces its own parts, so that the sink is
+    exactly-once.
     """
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        spark = batch.sparkSession
+        seen = _parts(spark, f"{table}/names", batch.select(key).schema.simpleString()[7:-1].replace(":", " "))
+        fresh = batch.dropDuplicates([key])
+        if seen is not None:
+            fresh = fresh.join(seen.filter(F.col("batch") < number).select(key), key, "left_anti")
+        partial_sums(fresh, key).write.mode("overwrite").parquet(f"{table}/sums/batch={number}")
+        fresh.select(key).write.mode("overwrite").parquet(f"{table}/names/batch={number}")
 
     return (
-        merge_runs(runs).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).foreachBatch(write).start()
+        runs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     )
 
 
-def current_table(changes: DataFrame) -> DataFrame:
-    """Latest version of every merged row."""
-    columns = [c for c in changes.columns if c != "batch"]
-    latest = F.max_by(F.struct(*columns), F.col("batch"))
-    return changes.groupBy("configuration", "environment").agg(latest.alias("row")).select("row.*")
+def _parts(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    reader = spark.read if schema is None else spark.read.schema(f"{schema}, batch long")
+    try:
+        found = reader.parquet(path)
+        found.limit(0).collect()
+        return found
+    except Exception as error:  # nothing has been written yet
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        return None
+
+
+def _current(spark: SparkSession, table: str) -> tuple[DataFrame, int | None]:
+    """Partial sums that count: the latest compacted version and the batches after it."""
+    sums, base = _parts(spark, f"{table}/sums"), _parts(spark, f"{table}/base")
+    if base is None:
+        return sums.drop("batch"), None
+    upto = base.agg(F.max("upto")).first()[0]
+    return reduce(DataFrame.unionByName, [base.filter(F.col("upto") == upto).drop("upto"), sums.filter(F.col("batch") > upto).drop("batch")]), upto
+
+
+def compact(spark: SparkSession, table: str) -> int:
+    """Merge all parts so far into one new base version; returns the last batch in it.  Reads skip older parts."""
+    last = _parts(spark, f"{table}/sums").agg(F.max("batch")).first()[0]
+    merged, upto = _current(spark, table)
+    if upto != last:
+        merge_partials(merged).write.mode("overwrite").parquet(f"{table}/base/upto={last}")
+    return last
 
 
+def current_table(spark: SparkSession, table: str) -> DataFrame:
+    """The merged runs as of now."""
+    merged = merge_partials(_current(spark, table)[0])
+    kinds = {f.name: f.dataType for f in merged.schema.fields if f.dataType.typeName() == "struct"}
+    columns = [
+        F.col(f"{c}.text").alias(c) if "text" in t.fieldNames() else F.try_divide(F.col(f"{c}.sum"), F.col(f"{c}.n")).alias(c)
+        for c, t in kinds.items()
+    ]
+    return with_identity(merged.select(*RUN_KEYS, "n_results", *columns)).drop("architecture", "software")

@@ -12,7 +12,7 @@ from gaugewright.plans.metalearn import design_table, meta_learn
 from gaugewright.plans.rate import rate
 from gaugewright.plans.recommend import recommend
 from gaugewright.streaming.energy import start_energy, windowed_energy
-from gaugewright.streaming.runs import current_table, start_merge
+from gaugewright.streaming.runs import compact, current_table, start_merge
 
 PROPS = (
     Property("acc", "Accuracy", "ACC", "percent", "Performance", 0.5, True, True),
@@ -162,11 +162,15 @@ def learning_table(spark, datasets=24):
     return table(spark, rows), features
 
 
+def ENVIRONMENTS(rated):
+    return sorted(r[0] for r in rated.select("environment").distinct().collect())
+
+
 def test_meta_learning_finds_the_rule(spark):
     df, features = learning_table(spark)
     rated = rate(df, PROPS).database
     refs = rated.groupBy("dataset", "task", "environment").agg(F.max("acc").alias("acc__ref"), F.min("time").alias("time__ref"))
-    design = design_table(rated, refs, features, PROPS)
+    design = design_table(rated, refs, features, PROPS, ENVIRONMENTS(rated))
     predictions, chosen = meta_learn(design, PROPS)
     out = predictions.toPandas()
     assert len(out) == df.count() * 2 * 3 and out["test_pred"].notna().all()
@@ -190,7 +194,7 @@ def test_meta_learning_in_many_chunks(spark, monkeypatch):
     df, features = learning_table(spark, 12)
     rated = rate(df, PROPS).database
     refs = rated.groupBy("dataset", "task", "environment").agg(F.max("acc").alias("acc__ref"), F.min("time").alias("time__ref"))
-    design = design_table(rated, refs, features, PROPS)
+    design = design_table(rated, refs, features, PROPS, ENVIRONMENTS(rated))
     whole = meta_learn(design, PROPS)[0].toPandas()
     chunks = metalearn._chunks
     monkeypatch.setattr(metalearn, "_chunks", lambda rows, models: chunks(rows, models, 5))
@@ -213,10 +217,25 @@ def test_stream_merge_over_arriving_files(spark, tmp_path):
     start_merge(read(), place, checkpoint).awaitTermination()
     spark.createDataFrame([row("log1", "A", 3.0)], RUN).write.mode("append").parquet(source)
     start_merge(read(), place, checkpoint).awaitTermination()
-    rows = {r["configuration"]: (r["n_results"], r["log_name"], r["acc"]) for r in current_table(spark.read.parquet(place)).collect()}
+    rows = {r["configuration"]: (r["n_results"], r["log_name"], r["acc"]) for r in current_table(spark, place).collect()}
     assert rows == {"t - d - A": (2, "log1", 2.0), "t - d - B": (1, "log3", 5.0)}
 
 
+def test_stream_merge_counts_a_run_once_and_compacts(spark, tmp_path):
+    place, checkpoint, source = (str(tmp_path / n) for n in ("table", "checkpoint", "source"))
+    for rows in ([("log1", 1.0), ("log2", 2.0)], [("log2", 2.0), ("log3", 6.0)], [("log4", 3.0)]):
+        data = [("d", "t", "A", "a", "s", name, acc) for name, acc in rows]
+        spark.createDataFrame(data, RUN).coalesce(1).write.mode("append").parquet(source)
+        start_merge(spark.readStream.schema(RUN).parquet(source), place, checkpoint).awaitTermination()
+    state = lambda: [(r["n_results"], r["log_name"], r["acc"]) for r in current_table(spark, place).collect()]
+    assert state() == [(4, "log1", 3.0)]
+    assert compact(spark, place) == 2 and compact(spark, place) == 2
+    assert state() == [(4, "log1", 3.0)]
+    spark.createDataFrame([("d", "t", "A", "a", "s", "log1", 9.0), ("d", "t", "A", "a", "s", "log5", 8.0)], RUN).write.mode("append").parquet(source)
+    start_merge(spark.readStream.schema(RUN).parquet(source), place, checkpoint).awaitTermination()
+    assert state() == [(5, "log1", 4.0)]
+
+
 def test_late_samples_are_dropped(spark, tmp_path):
     place, checkpoint, source = (str(tmp_path / n) for n in ("table", "checkpoint", "source"))
 

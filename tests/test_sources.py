@@ -62,7 +62,30 @@ def test_incremental_ingestion(spark, root, tmp_path):
     assert logs.ingest_directories(spark, str(root), bronze).count() == 5
     write_run(root, "train_2024_06")
     assert logs.ingest_directories(spark, str(root), bronze).count() == 6
-    assert logs.ingest_directories(spark, str(root), bronze).count() == 6
+    (root / "train_2024_01" / "config.json").write_text('{"ds": "changed"}')  # known directories are not opened again
+    again = logs.ingest_directories(spark, str(root), bronze)
+    assert again.count() == 6 and again.filter("config.ds = 'changed'").isEmpty()
+
+
+def test_quoted_emissions(spark):
+    text = 'cpu,duration,gpu,energy_consumed\r\n"Intel, ""i7""",10.0,x,0.5\r\n,3.5,"a,b",\r\n\r\n'
+    df = spark.createDataFrame([(text,), ("duration\n1",), ("",), (None,)], "t string").select(logs.parse_emissions(F.col("t")).alias("e"))
+    assert [r["e"] and [tuple(x) for x in r["e"]] for r in df.collect()] == [[(10.0, 0.5), (3.5, None)], [(1.0, None)], [], None]
+
+
+def test_merge_keeps_small_numbers_and_null_keys(spark):
+    from gaugewright.meta import Property
+    from gaugewright.operators.index import idx, index_best
+    from gaugewright.operators.share import share_independent
+
+    rows = [(None, "t", "m", "a", "s", "l1", 1e-10), ("d", None, "m", "a", "s", "l2", 3e-10), ("d", "t", "m", None, "s", "l3", 1.0)]
+    schema = "dataset string, task string, model string, architecture string, software string, log_name string, v double"
+    merged = merge_runs(spark.createDataFrame(rows, schema))
+    assert sorted(r["v"] for r in merged.collect()) == [1e-10, 3e-10, 1.0]
+    props = [Property("v", "v", "v", "s", "Resources", 1.0, False, True)]
+    indexed = index_best(merged, props)
+    assert indexed.count() == 3 and indexed.filter(f"{idx('v')} = 1").count() == 3
+    assert share_independent(indexed.withColumn("v__rating", F.lit(0)), props).count() == 3
 
 
 def test_merged_logs_reject_broken_files(spark, tmp_path):
@@ -70,8 +93,12 @@ def test_merged_logs_reject_broken_files(spark, tmp_path):
     folder.mkdir()
     (folder / "a.json").write_text(json.dumps({"directory_name": "train_1", "config": {"ds": "d", "method": "m"}}))
     (folder / "b.json").write_text("{nonsense")
+    both = {"duration": {"0": 10.0, "1": 3.0}, "energy_consumed": {"1": 0.5, "0": 0.25}}
+    (folder / "c.json").write_text(json.dumps({"directory_name": "train_2", "emissions": both}, indent=4))
+    (folder / "d.json").write_text(json.dumps({"directory_name": None, "emissions": [{"duration": 1.0}]}, indent=4))
     good, bad = logs.read_merged_logs(spark, str(folder))
-    assert [r["directory_name"] for r in good.collect()] == ["train_1"]
+    rows = {r["directory_name"]: r["emissions"] and [tuple(e) for e in r["emissions"]] for r in good.collect()}
+    assert rows == {"train_1": None, "train_2": [(10.0, 0.25), (3.0, 0.5)], None: [(1.0, None)]}
     assert [r["_corrupt"] for r in bad.collect()] == ["{nonsense"]
 
 
@@ -94,12 +121,12 @@ def test_metafeature_files(spark, tmp_path):
     assert rows == {"d1": (1.5, 0.0, None), "d2": (2.0, 3.0, 7.0), "d3": (None, None, 8.0)}
 
 
-def test_meta_files(tmp_path):
+def test_meta_files(spark, tmp_path):
     described = {"accuracy": {"name": "Accuracy", "shortname": "ACC", "unit": "percent", "group": "Performance", "weight": 0.5, "maximize": True},
                  "time": {"name": "Time", "unit": "seconds", "group": "Resources", "weight": 0.5}}
     (tmp_path / "meta_properties.json").write_text(json.dumps(described))
     (tmp_path / "other.json").write_text("{}")
-    config = M.load_meta(str(tmp_path))
+    config = M.load_meta(spark, str(tmp_path))
     assert list(config) == ["properties"]
     accuracy, time = M.properties_from_meta(config)
     assert accuracy.maximize and not accuracy.independent and time.shortname == "time"
