@@ -17,7 +17,7 @@ from gaugewright.operators.pca import pca_metafeatures, project
 from gaugewright.operators.pooling import pair_pooling
 from gaugewright.operators.prep import train_test_split
 from gaugewright.operators.scores import classification_scores, error_summary
-from gaugewright.operators.search import min_rank
+from gaugewright.operators.search import draw_settings, min_rank
 from gaugewright.plans import metalearn as ML
 from gaugewright.plans.recommend import compound_predictions, recommend
 from gaugewright.session import materialize
@@ -127,21 +127,44 @@ def classify_mlp(spark, sf):
     return _learn(spark, sf, "MLP", MultilayerPerceptronClassifier(layers=[64, 50, 10], maxIter=60, seed=42))
 
 
-# Searched smoothing values of naive Bayes.
-SMOOTHINGS = [1e-5, 1e-6, 1e-7, 1e-8, 1e-9, 1e-10, 1e-11, 1e-12]
+# The grids of the searched methods.
+GRIDS = {"GNB": {"smoothing": [1e-5, 1e-6, 1e-7, 1e-8, 1e-9, 1e-10, 1e-11, 1e-12]}, "RR": {"alpha": [0.05, 0.2, 1.0, 5.0, 20.0, 1e4, 1e6, 1e8]}}
+N_ITER = 6  # settings drawn per method
+_DRAWN = {m: draw_settings(g, N_ITER) for m, g in GRIDS.items()}
+_FOLD = "CAST((l_orderkey * 7 + l_linenumber) % 5 AS INT)"
 
 
-@query("random_search")
+def _values(method, name):
+    return ", ".join(f"({i}, {S.dbl(x[name])})" for i, x in enumerate(_DRAWN[method]))
+
+
+_search_nb = " + ".join(f"ln(2 * pi() * (c.{f}_v + g.s * e.v)) + (x.{f} - c.{f}_m) * (x.{f} - c.{f}_m) / (c.{f}_v + g.s * e.v)" for f in _NB)
+
+
+@query("random_search", f"""WITH x AS (SELECT row_number() OVER () AS id, {_LAB} AS label, {_FOLD} AS fold, {_nb_cols} FROM lineitem), f AS (SELECT DISTINCT fold FROM x),
+ c AS (SELECT f.fold, x.label, count(*) AS n, {', '.join(f'avg({k}) AS {k}_m, var_pop({k}) AS {k}_v' for k in _NB)} FROM x JOIN f ON x.fold <> f.fold GROUP BY f.fold, x.label),
+ e AS (SELECT f.fold, greatest({', '.join(f'var_pop({k})' for k in _NB)}) AS v, count(*) AS total FROM x JOIN f ON x.fold <> f.fold GROUP BY f.fold),
+ g(pos, s) AS (VALUES {_values('GNB', 'smoothing')}),
+ nb AS (SELECT 'GNB' AS method, x.id, x.fold, g.pos, x.label, arg_max(c.label, row(round(ln(c.n / e.total) - 0.5 * ({_search_nb}), 9), -c.label)) AS pred
+  FROM x JOIN c ON x.fold = c.fold JOIN e ON x.fold = e.fold, g GROUP BY x.id, x.fold, g.pos, x.label),
+ h(pos, a) AS (VALUES {_values('RR', 'alpha')}),
+ y AS (SELECT f.fold, k.cl, x.q, x.p, CASE WHEN x.label = k.cl THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y FROM x JOIN f ON x.fold <> f.fold, (SELECT DISTINCT label AS cl FROM x) AS k),
+ m AS (SELECT fold, cl, count(*) AS n, avg(q) AS mq, avg(p) AS mp, avg(y) AS my, var_pop(q) * count(*) AS vq, covar_pop(q, p) * count(*) AS b, var_pop(p) * count(*) AS vp,
+  covar_pop(q, y) * count(*) AS r1, covar_pop(p, y) * count(*) AS r2 FROM y GROUP BY fold, cl),
+ w AS (SELECT fold, cl, h.pos, mq, mp, my, ((vp + a) * r1 - b * r2) / ((vq + a) * (vp + a) - b * b) AS wq, ((vq + a) * r2 - b * r1) / ((vq + a) * (vp + a) - b * b) AS wp FROM m, h),
+ rr AS (SELECT 'RR' AS method, x.id, x.fold, w.pos, x.label, arg_max(w.cl, row(round(my + wq * (x.q - mq) + wp * (x.p - mp), 9), -w.cl)) AS pred FROM x JOIN w ON x.fold = w.fold GROUP BY x.id, x.fold, w.pos, x.label),
+ per AS (SELECT method, pos, fold, avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM (SELECT * FROM nb UNION ALL SELECT * FROM rr) GROUP BY ALL),
+ s AS (SELECT method, CAST(pos AS INTEGER) AS pos, round(avg(score) + CAST(1e-9 AS DOUBLE), 6) AS mean_test_score, round(stddev_pop(score) + CAST(1e-9 AS DOUBLE), 6) AS std_test_score FROM per GROUP BY ALL)
+SELECT 'lineitem' AS dataset, method, pos, mean_test_score, std_test_score, CAST(rank() OVER (PARTITION BY method ORDER BY mean_test_score DESC) AS INTEGER) AS rank_test_score FROM s""")
 def random_search(spark, sf):
-    """Cross-validated score, deviation and rank of every setting of two classifiers."""
-    rows = table(spark, sf, "lineitem").selectExpr(
-        f"{_LAB} AS label", *_nb_cols.split(", "), "CAST(pmod(xxhash64(l_orderkey, l_linenumber), 5) AS INT) AS fold"
-    )
-    alphas = [0.05, 0.2, 1.0, 5.0, 20.0]
-    found = Y.search_gaussian(rows, list(_NB), "label", "fold", SMOOTHINGS).withColumn("method", F.lit("GNB")).unionByName(
-        Y.search_ridge(rows, list(_NB), "label", "fold", alphas).withColumn("method", F.lit("RR"))
+    """Cross-validated score, deviation and rank of the drawn settings of two classifiers."""
+    rows = table(spark, sf, "lineitem").selectExpr(f"{_LAB} AS label", *_nb_cols.split(", "), f"{_FOLD} AS fold")
+    smoothings, alphas = [x["smoothing"] for x in _DRAWN["GNB"]], [x["alpha"] for x in _DRAWN["RR"]]
+    found = Y.search_gaussian(rows, list(_NB), "label", "fold", smoothings).withColumn("method", F.lit("GNB")).unionByName(
+        Y.search_ridge(rows, ["q", "p"], "label", "fold", alphas).withColumn("method", F.lit("RR"))
     )
-    return min_rank(found.withColumn("dataset", F.lit("lineitem")))
+    settled = found.withColumns({c: r6(c) for c in ("mean_test_score", "std_test_score")})
+    return min_rank(settled.withColumn("dataset", F.lit("lineitem")))
 
 
 # ---------------------------------------------------------------- components and pooled pairs

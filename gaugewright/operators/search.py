@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+from itertools import product
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +45,9 @@ def sensitivity(df: DataFrame, keys=SEARCH) -> DataFrame:
     score = F.col("mean_test_score")
     failed = F.count_if(F.isnan(score) | score.isNull())
     return df.groupBy(*keys).agg(F.when(failed == 0, F.stddev_pop(score)).alias("sensitivity"))
+
+
+def draw_settings(grid: dict[str, list], n_iter: int, seed: int = 42) -> list[dict]:
+    """At most ``n_iter`` settings of a grid (name -> values) without repetition, in MD5 order of their text."""
+    settings = [dict(zip(grid, values, strict=True)) for values in product(*grid.values())]
+    return sorted(settings, key=lambda s: md5(f"{s}-{seed}".encode()).hexdigest())[:n_iter]
