@@ -167,7 +167,7 @@ def best(index: pd.DataFrame, queries: pd.DataFrame, codes: Codes, k: int, bound
 
 def search(
     vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding",
-    sample: int = 20_000, cells: int | None = None, share: float = 0.7, chunk: int = 8192, block: int = 2048,
+    sample: int = 20_000, cells: int | None = None, share: float = 0.9, chunk: int = 8192, block: int = 2048,
     bound: float = 3.0,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query.
