@@ -94,4 +94,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 #: The others have no SQL form, or none that ends on whole tables; tests/llm holds them against brute force.
-ORACLES = {"op5_licenses": licenses.oracle(), "op7_lines": lines.oracle()}
+ORACLES = {"op4_leaks": leaks.oracle(), "op5_licenses": licenses.oracle(), "op7_lines": lines.oracle()}

@@ -263,3 +263,24 @@ def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Documents without any window of any item, with their own columns."""
     marked = overlaps(docs.withColumn("_given", F.lit(1)), benchmark, **options)
     return marked.filter("not contaminated").select(*docs.columns)
+
+
+def oracle(width: int = 10) -> str:
+    """DuckDB SQL for doc_id and the added columns: every window of every text as a string."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def split(key: str, table: str) -> str:
+        low = f"translate(coalesce(text, ''), '{upper}', '{upper.lower()}')"
+        return rf"SELECT {key}, regexp_extract_all({low}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}"
+
+    return f"""
+WITH docs AS ({split('doc_id', 'documents')}), items AS ({split('CAST(item_id AS VARCHAR) AS item_id', 'benchmark')}),
+starts AS (SELECT item_id, w, least({width}, len(w)) AS size, unnest(range(1, greatest(2, len(w) - {width} + 2))) AS i FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS k FROM starts),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM docs, sizes WHERE len(w) >= size),
+hits AS (SELECT doc_id, item_id, i, p.size FROM (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS k FROM places) p JOIN windows USING (size, k)),
+words AS (SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM hits, range({width}) AS t(j) WHERE j < size GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+coalesce(n_hit, 0) > 0 AS contaminated FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""".strip()
