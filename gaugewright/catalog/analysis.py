@@ -49,10 +49,10 @@ def reference_values(spark, sf):
     return joined.select(*ROW, F.inline(entries)).filter("index IS NOT NULL")
 
 
-@query("attach_metafeatures", f"""WITH {S.MEAS}, mf AS (SELECT p_brand AS dataset, count(*) AS n_parts, round(avg(p_size) + CAST(1e-9 AS DOUBLE), 6) AS mean_size FROM part WHERE p_size > 10 GROUP BY p_brand)
+@query("attach_metafeatures", f"""WITH {S.MEAS}, mf AS (SELECT p_brand AS dataset, count(*) AS n_parts, round(avg(p_size) + CAST(1e-9 AS DOUBLE), 6) AS mean_size FROM part WHERE p_brand NOT LIKE '%3' GROUP BY p_brand)
 SELECT m.dataset, m.task, m.environment, m.model, m.accuracy, mf.n_parts, mf.mean_size FROM meas m LEFT JOIN mf ON m.dataset = mf.dataset""")
 def attach_metafeatures(spark, sf):
-    features = table(spark, sf, "part").filter("p_size > 10").groupBy(F.col("p_brand").alias("dataset")).agg(
+    features = table(spark, sf, "part").filter("p_brand NOT LIKE '%3'").groupBy(F.col("p_brand").alias("dataset")).agg(
         F.count("*").alias("n_parts"), r6(F.avg("p_size")).alias("mean_size")
     )
     return meas(spark, sf).select(*ROW, "accuracy").join(features, "dataset", "left")
@@ -151,7 +151,7 @@ def stack_scales(spark, sf):
     )
 
 
-_diff_props = {"parameters": 1e6, "fsize": 1e6, "train_power_draw": 1e3, "accuracy": 1.0, "recall": 1.0}
+_diff_props = {p: {"parameters": 1e6, "fsize": 1e6, "train_power_draw": 1e3}.get(p, 1.0) for p in PROPERTY_KEYS}
 
 
 @query("source_diff", f"WITH {S.RUNS} " + " UNION ALL ".join(
@@ -223,11 +223,14 @@ def clf_metrics_multi(spark, sf):
     return _round_scores(R.classification_scores(line, "t", "p", ["l_returnflag"]), ["l_returnflag"])
 
 
-@query("topk_accuracy", """WITH s AS (SELECT label, list_transform(embedding[1:10], lambda x : CAST(x AS DOUBLE)) AS s FROM embeddings)
-SELECT label, count(*) AS n, round(avg(CASE WHEN len(list_filter(s, lambda x, i : x > s[label + 1] OR (x = s[label + 1] AND i > label + 1))) < 5 THEN 1.0 ELSE 0.0 END) + CAST(1e-9 AS DOUBLE), 6) AS top_5_accuracy,
- CAST(1 AS DOUBLE) AS top_10_accuracy FROM s GROUP BY label""")
+_AHEAD = "len(list_filter(s, lambda x, i : x > s[label + 1] OR (x = s[label + 1] AND i > label + 1)))"
+
+
+@query("topk_accuracy", f"""WITH s AS (SELECT label, list_transform(embedding, lambda x : CAST(x AS DOUBLE)) AS s FROM embeddings), r AS (SELECT label, {_AHEAD} AS ahead FROM s)
+SELECT label, count(*) AS n, round(avg(CASE WHEN ahead < 5 THEN 1.0 ELSE 0.0 END) + CAST(1e-9 AS DOUBLE), 6) AS top_5_accuracy,
+ round(avg(CASE WHEN ahead < 10 THEN 1.0 ELSE 0.0 END) + CAST(1e-9 AS DOUBLE), 6) AS top_10_accuracy FROM r GROUP BY label""")
 def topk_accuracy(spark, sf):
-    scores = F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))
+    scores = F.transform("embedding", lambda x: x.cast("double"))
     df = table(spark, sf, "embeddings").select("label", scores.alias("s"))
     rate = lambda k: r6(F.avg(R.in_top_k(F.col("s"), F.col("label"), k).cast("double")))
     return df.groupBy("label").agg(F.count("*").alias("n"), rate(5).alias("top_5_accuracy"), rate(10).alias("top_10_accuracy"))

@@ -248,11 +248,12 @@ def meta_learn_recommend(spark, sf):
 
 @query("tree_regressor")
 def tree_regressor(spark, sf):
-    """Regression tree of depth 5 on the algorithm and size features of the merged runs."""
+    """Regression tree of depth 5 on the algorithm and size features of the merged runs, scored on held-out runs."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import DecisionTreeRegressor
     df = meas(spark, sf).select("configuration", "environment", "dataset", F.col("train_power_draw").alias("label"), "train_running_time", "fsize", "parameters", "accuracy")
-    rows = materialize(VectorAssembler(inputCols=["train_running_time", "fsize", "parameters", "accuracy"], outputCol="features").transform(df.dropna()))
-    model = DecisionTreeRegressor(maxDepth=5, seed=42).fit(rows)
-    scored = model.transform(rows).withColumn("err", F.col("prediction") - F.col("label"))
+    split = train_test_split(df.dropna().withColumn("row_id", F.concat_ws("|", "configuration", "environment")), "row_id")
+    rows = materialize(VectorAssembler(inputCols=["train_running_time", "fsize", "parameters", "accuracy"], outputCol="features").transform(split))
+    model = DecisionTreeRegressor(maxDepth=5, seed=42).fit(rows.filter("NOT is_test"))
+    scored = model.transform(rows.filter("is_test")).withColumn("err", F.col("prediction") - F.col("label"))
     return error_summary(scored, "err", ["environment"]).withColumn("n_parameters", F.lit(Y.n_parameters(model)))
