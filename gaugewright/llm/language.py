@@ -79,7 +79,7 @@ def store(folder: str, name: str, values: np.ndarray) -> None:
     os.replace(aside, f"{folder}/{name}.npy")
 
 
-@functools.lru_cache(100_000)
+@functools.lru_cache(4096)  # each map keeps a file open
 def mapped(path: str) -> np.ndarray:
     if not os.path.exists(path):
         return np.zeros(0, np.uint64)
