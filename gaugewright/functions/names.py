@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns for Intel, AMD and ARM processor names.
+# Patterns for Intel, AMD and ARM processor names, each with a text that it cannot do without.
 CPU_PATTERNS = [
-    r"^.*(Intel)\(R\) \S* (\S*).*",
-    r"^\S* (AMD) \S* (\S*) .*",
-    r"^(ARM\S+) Processor (.*)",
+    ("Intel(R) ", r"^.*(Intel)\(R\) \S* (\S*).*"),
+    (" AMD ", r"^\S* (AMD) \S* (\S*) .*"),
+    ("ARM", r"^(ARM\S+) Processor (.*)"),
 ]
 # Fixed value: pattern of a variant of a data set.
 VARIANT = r"^v(\d)_(\d)___(.*)"
@@ -18,9 +18,9 @@ VARIANT = r"^v(\d)_(\d)___(.*)"
 def hardware_name(cpu: Column) -> Column:
     """Short processor name; unknown processors keep their first 13 characters."""
     name = F.concat(F.substring(cpu, 1, 13), F.lit(".."))
-    for pattern in reversed(CPU_PATTERNS):
-        short = F.concat_ws(" ", F.regexp_extract(cpu, pattern, 1), F.regexp_extract(cpu, pattern, 2))
-        name = F.when(cpu.rlike(pattern), short).otherwise(name)
+    for text, pattern in reversed(CPU_PATTERNS):
+        # plain search first: most names meet one pattern only
+        name = F.when(cpu.contains(text) & cpu.rlike(pattern), F.regexp_replace(cpu, pattern, "$1 $2")).otherwise(name)
     return name
 
 
