@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import gc
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from gaugewright.session import new_stage, ship
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Bytes that belong to words of letters and digits, A-Z lowered; every other ASCII byte parts words.
 LETTERS = bytes(
     (b + 32 if 65 <= b <= 90 else b) if b >= 128 or 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 else 32
@@ -19,8 +23,13 @@ LETTERS = bytes(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables; the workers get this package with the first."""
+    """One of the given tables; the workers get this package with the first.
+
+    Rows hold whole texts, so Arrow batches of the default size are cut to fewer rows; another setting is left alone.
+    """
     ship(spark)
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -74,6 +83,30 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def enter(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """A task begins: what tasks of other operators remember in this worker is dropped, as workers live on."""
+    for other, clear in _remembered.items():
+        if other != operator:
+            clear()
+    if forget:
+        _remembered[operator] = forget
+    gc.collect()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows per Arrow batch while wide rows (two texts each) are worked on and written."""
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions that the scan of a table gets: follows the input's bytes."""
     return max(1, df.rdd.getNumPartitions())

@@ -23,14 +23,15 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.llm.common import mix, partitions, text_packs
+from gaugewright.llm.common import enter, mix, partitions, small_batches, text_packs
 from gaugewright.llm.language import bucket_of, narrow, power_of_two, squeeze, unsqueeze
 from gaugewright.session import materialize
 
@@ -45,24 +46,43 @@ _STEPS = mix(np.arange(1, WORDS + 1)) | np.uint64(1)
 _TURNS = mix(np.arange(101, 104))
 
 
-@functools.lru_cache(300_000)
+@functools.lru_cache(150_000)
 def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def shingles(text: bytes) -> np.ndarray:
-    """Sorted distinct 63-bit hashes of a text's shingles."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 1) >> 1], np.uint64)
-    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
-    n = len(words) - WORDS + 1
-    total = h[:n] * _STEPS[0]
+def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct 63-bit hashes of the shingles of several texts, one after the other, and the size of each set."""
+    words = [t.lower().split() for t in texts]
+    counts = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.fromiter(map(word_hash, chain.from_iterable(words)), np.uint64, int(counts.sum()))
+    n = max(0, len(flat) - WORDS + 1)
+    total = flat[:n] * _STEPS[0]
     for i in range(1, WORDS):
-        total += h[i : n + i] * _STEPS[i]
-    return np.unique(mix(total) >> np.uint64(1))
+        total += flat[i : n + i] * _STEPS[i]
+    total = mix(total) >> np.uint64(1)
+    # A shingle starts at all but the last words of a text; texts with fewer words have their whole as one.
+    begins = np.cumsum(counts) - counts
+    own = np.where(counts >= WORDS, counts - WORDS + 1, np.minimum(counts, 1))
+    out = np.empty(int(own.sum()), np.uint64)
+    starts = np.cumsum(own) - own
+    for k, (at, size, start) in enumerate(zip(begins.tolist(), own.tolist(), starts.tolist(), strict=True)):
+        part = out[start : start + size]
+        if len(words[k]) >= WORDS:
+            part[:] = total[at : at + size]
+            part.sort()
+        elif size:
+            part[0] = xxhash.xxh64_intdigest(b" ".join(words[k]), 1) >> 1
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[starts[own > 0]] = True
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[own > 0] = np.add.reduceat(new.astype(np.int64), starts[own > 0]) if len(out) else 0
+    return out[new], sizes
+
+
+def shingles(text: bytes) -> np.ndarray:
+    return shingle_sets([text])[0]
 
 
 def least_shared(a, b):
@@ -77,19 +97,26 @@ class Order:
         """tokens: the frequent ones, rarest first."""
         self.place = np.argsort(tokens).astype(np.uint64)
         self.tokens = np.sort(tokens)
+        self.maybe = np.zeros(1 << 22, bool)  # most tokens are ruled out by a few of their bits
+        self.maybe[(self.tokens & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
-        if len(self.tokens):
-            at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-            s = np.sort(np.where(self.tokens[at] == s, HOT + self.place[at], s))
+        """Numbers of tokens; those of frequent ones are HOT and more."""
+        at = np.flatnonzero(self.maybe[(s & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        if len(at):
+            spot = np.minimum(np.searchsorted(self.tokens, s[at]), len(self.tokens) - 1)
+            real = self.tokens[spot] == s[at]
+            s = s.copy()
+            s[at[real]] = HOT + self.place[spot[real]]
         return s
 
 
 def frequent(docs: DataFrame, text: str) -> np.ndarray:
     """Tokens that several documents of the sample have, rarest first; a bounded list that only orders the work."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("similar", word_hash.cache_clear)
         for _, pack in text_packs(batches, [], text):
-            tokens, times = np.unique(np.concatenate([shingles(t) for t in pack]), return_counts=True)
+            tokens, times = np.unique(shingle_sets(pack)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(times)], ["token", "n"])
 
     sample = docs.filter(F.pmod(F.xxhash64(F.lit(3), text), F.lit(SAMPLED)) == 0).select(text).distinct()
@@ -101,26 +128,40 @@ def frequent(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str, order: Order) -> DataFrame:
-    """Per row: size of its set, a fingerprint of 128 bits, three min-hashes, and the prefix in the global order."""
-    schema = f"{key} long, _t long, n int, f1 long, f2 long, turns array<long>, prefix binary, hot int"
+    """Per row: size of its set, a fingerprint of 128 bits, three min-hashes, the prefix in the global order, how many
+    frequent tokens the prefix has, and how many tokens of the set are not frequent."""
+    schema = f"{key} long, _t long, n int, f1 long, f2 long, turns array<long>, prefix binary, hot int, rare int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("similar", word_hash.cache_clear)
         for (keys, hashes), pack in text_packs(batches, [key, "_t"], text):
-            n, f1, f2, turns, prefixes, hot = [], [], [], [], [], []
-            for data in pack:
-                s = shingles(data)
-                n.append(len(s))
-                f1.append(int(mix(s).sum(dtype=np.uint64).astype(np.int64)))
-                f2.append(int(mix(s ^ _TURNS[0]).sum(dtype=np.uint64).astype(np.int64)))
-                turns.append([int(mix(s ^ t).min().astype(np.int64)) for t in _TURNS] if len(s) else [])
-                prefix = order(s)[: len(s) - (-(-3 * len(s) // 4)) + 1] if len(s) else s
-                prefixes.append(prefix.tobytes())
-                hot.append(int((prefix >= HOT).sum()))
+            tokens, n = shingle_sets(pack)
+            some = np.flatnonzero(n)
+            starts = (np.cumsum(n) - n)[some]
+
+            def each(f: np.ufunc, values: np.ndarray) -> np.ndarray:
+                out = np.zeros(len(n), np.uint64)
+                if len(some):
+                    out[some] = f.reduceat(values, starts)
+                return out.astype(np.int64)
+
+            turns = np.stack([each(np.minimum, mix(tokens ^ t)) for t in _TURNS], axis=1)
+            f1, f2 = each(np.add, mix(tokens)), each(np.add, mix(tokens ^ _TURNS[0] ^ np.uint64(1)))
+            ordered = order(tokens)
+            rare = each(np.add, (ordered < HOT).astype(np.uint64))
+            prefixes, hot = [b""] * len(n), [0] * len(n)
+            for k, at in zip(some.tolist(), starts.tolist(), strict=True):
+                size = int(n[k])
+                own = ordered[at : at + size]
+                if rare[k] < size:
+                    own = np.sort(own)
+                prefix = own[: size - (-(-3 * size // 4)) + 1]
+                prefixes[k], hot[k] = prefix.tobytes(), len(prefix) - int(np.searchsorted(prefix, HOT))
             yield pa.RecordBatch.from_arrays([
                 pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(n, pa.int32()), pa.array(f1), pa.array(f2),
-                pa.array(turns, pa.list_(pa.int64())), pa.array(prefixes, pa.binary()),
-                pa.array(hot, pa.int32()),
-            ], [key, "_t", "n", "f1", "f2", "turns", "prefix", "hot"])
+                pa.array([t if m else [] for t, m in zip(turns.tolist(), n.tolist(), strict=True)], pa.list_(pa.int64())),
+                pa.array(prefixes, pa.binary()), pa.array(hot, pa.int32()), pa.array(rare, pa.int32()),
+            ], [key, "_t", "n", "f1", "f2", "turns", "prefix", "hot", "rare"])
 
     own = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_t"), text)
     return own.mapInArrow(run, schema)
@@ -141,6 +182,7 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     set, nor than the rest of the other one.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("similar", word_hash.cache_clear)
         for batch in batches:
             keep = []
             for p, q, m, n in zip(batch["p"], batch["q"], batch["m"].to_pylist(), batch["n"].to_pylist(), strict=True):
@@ -160,7 +202,9 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """Pairs (a, b) of classes whose whole sets link."""
-    pairs = materialize(may_link(pairs, classes))
+    spark = docs.sparkSession
+    with small_batches(spark, 1024):
+        pairs = materialize(may_link(pairs, classes))
     nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "rep"), "c")
     nodes = materialize(nodes.select("c", F.col("rep.k").alias("_k"), F.col("rep.t").alias("_r")))
     own = docs.select(F.col(key).cast("long").alias("_k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_r"), F.col(text).alias("_x"))
@@ -168,6 +212,7 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
     texts = materialize(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("similar", word_hash.cache_clear)
         held = functools.lru_cache(64)(shingles)
         for batch in batches:
             keep = []
@@ -180,17 +225,14 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
     both = pairs.join(texts.select(F.col("c").alias("a"), F.col("_x").alias("p")), "a").join(
         texts.select(F.col("c").alias("b"), F.col("_x").alias("q")), "b"
     )
-    return materialize(both.select("a", "b", "p", "q").mapInArrow(run, pairs.schema))
+    with small_batches(spark, 128):
+        return materialize(both.select("a", "b", "p", "q").mapInArrow(run, pairs.schema))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node (c, root) of each node with an edge (a, b), by alternating large and small stars."""
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = state(edges)
-    while True:
+    while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -198,10 +240,11 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = materialize(small.filter("a <> b").distinct())
-        after = state(edges)
-        if after == before:
-            return edges.select(F.col("a").alias("c"), F.col("b").alias("root"))
-        before = after
+        # Stars all over: no node has two parents, no parent has one.
+        twice = edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
+        if twice.isEmpty() and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+            break
+    return edges.select(F.col("a").alias("c"), F.col("b").alias("root"))
 
 
 def rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -211,10 +254,14 @@ def rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def first_pairs(classes: DataFrame) -> DataFrame:
-    """Each class with the first class that has the same min-hash."""
-    keyed = classes.select("c", "n", F.posexplode("turns").alias("i", "turn"))
-    heads = keyed.groupBy("i", "turn").agg(F.min(F.struct("c", "n")).alias("head"), F.count("*").alias("k")).filter("k > 1")
-    pairs = keyed.join(heads, ["i", "turn"]).filter((F.col("c") != F.col("head.c")) & lengths_fit(F.col("n"), F.col("head.n")))
+    """Each class with one class of about its size that has the same min-hash: the one with the fewest tokens of its own,
+    which in a large group of near copies is the least edited one and so near to most."""
+    keyed = classes.select("c", "n", "rare", F.posexplode("turns").alias("i", "turn")).withColumn(
+        "band", F.floor(F.log("n") / F.log(F.lit(4 / 3)) + F.col("i") / 3)  # every turn cuts the sizes elsewhere
+    )
+    keys = ["i", "turn", "band"]
+    heads = keyed.groupBy(*keys).agg(F.min(F.struct("rare", "c", "n")).alias("head"), F.count("*").alias("k")).filter("k > 1")
+    pairs = keyed.join(heads, keys).filter((F.col("c") != F.col("head.c")) & lengths_fit(F.col("n"), F.col("head.n")))
     return pairs.select(F.col("c").alias("a"), F.col("head.c").alias("b")).distinct()
 
 
@@ -222,6 +269,7 @@ def matrix_runs(buckets: int):
     """Task: entries (token, group, whether in an index prefix), one per token and group, in runs per bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("similar", word_hash.cache_clear)
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -275,11 +323,24 @@ def shared_tokens(rows: pa.Table) -> pa.Table:
     start = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
     size = np.diff(np.append(start, len(tokens)))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting = 0
+
+    def gathered() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        g, h, shared, marked = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.lexsort((h, g))
+        g, h, shared, marked = g[order], h[order], shared[order], marked[order]
+        new = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (h[1:] != h[:-1]))))
+        return g[new], h[new], np.add.reduceat(shared, new), np.maximum.reduceat(marked, new)
 
     def emit(x: np.ndarray, y: np.ndarray, counted: int) -> None:
+        nonlocal waiting
         swap = groups[x] > groups[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        out.append((groups[x], groups[y], np.full(len(x), counted), (index[x] | index[y]).astype(np.int64)))
+        out.append((groups[x], groups[y], np.full(len(x), counted, np.int32), index[x] | index[y]))
+        waiting += len(x)
+        if waiting > 1 << 21:  # pairs that were seen already are added up before there are many
+            out[:] = [gathered()]
+            waiting = 0
 
     rare = tokens[start] < HOT
     for k in np.unique(size[rare & (size > 1)]).tolist():
@@ -295,11 +356,8 @@ def shared_tokens(rows: pa.Table) -> pa.Table:
             emit(np.full(k - 1, i), every[every != i], 0)
     if not out:
         return pa.table({n: pa.array([], pa.int64()) for n in ("g", "h", "shared", "marked")})
-    g, h, shared, marked = (np.concatenate(x) for x in zip(*out, strict=True))
-    order = np.lexsort((h, g))
-    g, h, shared, marked = g[order], h[order], shared[order], marked[order]
-    new = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (h[1:] != h[:-1]))))
-    return pa.table({"g": g[new], "h": h[new], "shared": np.add.reduceat(shared, new), "marked": np.maximum.reduceat(marked, new)})
+    g, h, shared, marked = gathered()
+    return pa.table({"g": g, "h": h, "shared": shared.astype(np.int64), "marked": marked.astype(np.int64)})
 
 
 def opened(grouped: DataFrame) -> DataFrame:
@@ -314,26 +372,36 @@ def opened(grouped: DataFrame) -> DataFrame:
     other = sizes.select(*[F.col(c).alias(f"{c}_h") for c in sizes.columns]).withColumnRenamed("g_h", "h")
     both = pairs.join(sizes, "g").join(other, "h")
     reach = F.col("shared") + F.least("hot", "hot_h")
-    single = (F.col("docs") == 1) & (F.col("docs_h") == 1)
-    most = F.ceil(F.lit(0.75) * F.greatest("low", "low_h")) - 1
+    # For any two documents of the groups: what may lie beyond the shorter prefix, and what they need.
+    most = F.ceil(F.lit(0.75) * F.greatest("high", "high_h")) - 1
     need = F.ceil((F.col("low") + F.col("low_h")) * 3 / F.lit(7.0) - 1e-9)
     fits = (4 * F.col("high") >= 3 * F.col("low_h")) & (4 * F.col("high_h") >= 3 * F.col("low"))
-    return both.filter(fits & (~single | (reach + most >= need))).select("g", "h", "docs", "docs_h")
-
+    return both.filter(fits & (reach + most >= need)).select("g", "h", "shared", "docs", "docs_h")
 
-def across(pairs: DataFrame, grouped: DataFrame, slices: bool) -> DataFrame:
-    """Pairs of classes of opened groups: of a slice of about SLICE each, or all."""
-    def part(docs: str) -> Column:
-        return F.pmod(F.xxhash64("c"), F.ceil(F.col(docs) / SLICE)) == 0 if slices else F.lit(True)
 
-    left = pairs.join(grouped.select("g", "c", "n"), "g").filter(part("docs"))
-    left = left.select("h", "docs_h", F.col("c").alias("a"), F.col("n").alias("m"))
-    both = left.join(grouped.select(F.col("g").alias("h"), "c", "n"), "h").filter(part("docs_h"))
-    return both.filter(lengths_fit(F.col("m"), F.col("n"))).select("a", F.col("c").alias("b"))
+def across(pairs: DataFrame, grouped: DataFrame, first: bool) -> DataFrame:
+    """Pairs of classes of opened groups: of the SLICE documents of each group with the fewest tokens of their own, which
+    link to most others, or of all."""
+    own = grouped.select("g", "c", "n", "rare", "hot")
+    if first:
+        order = Window.partitionBy("g").orderBy("rare", "c")  # a limit on the rank keeps few rows per task
+        own = own.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= SLICE).drop("_rank")
+    left = pairs.join(own, "g").select("h", "shared", F.col("c").alias("a"), F.col("n").alias("m"), F.col("rare").alias("q"), F.col("hot").alias("p"))
+    right = own.select(F.col("g").alias("h"), F.col("c").alias("b"), "n", "rare", "hot")
+    # With frequent tokens in both prefixes, all other tokens are in them, and no more than `shared` of these are common.
+    seen = (F.col("p") > 0) & (F.col("hot") > 0)
+    most = F.col("shared") + F.least(F.col("m") - F.col("q"), F.col("n") - F.col("rare"))
+    enough = ~seen | (7 * most >= 3 * (F.col("m") + F.col("n")))
+    return left.join(right, "h").filter(lengths_fit(F.col("m"), F.col("n")) & enough).select("a", "b")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles and component_id (the smallest key that links lead to, its own included) of every row."""
+    with small_batches(docs.sparkSession, 1000):
+        return _join(docs, key, text)
+
+
+def _join(docs: DataFrame, key: str, text: str) -> DataFrame:
     order = Order(frequent(docs, text))
     rows = materialize(sketches(docs, key, text, order))
     whole = rows.filter(F.col(key).isNotNull() & (F.col("n") > 0))
@@ -342,12 +410,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         whole.groupBy("n", "f1", "f2").agg(
             F.min(F.struct(F.col(key).alias("k"), F.col("_t").alias("t"))).alias("rep"),
             F.first("turns").alias("turns"), F.first("prefix").alias("prefix"),
-            F.first("hot").alias("hot"),
+            F.first("hot").alias("hot"), F.first("rare").alias("rare"),
         ).withColumn("c", F.struct("f1", "f2"))
     )
     links = linked(first_pairs(classes), classes, docs, key, text)
     roots = components(links)
-    grouped = materialize(rooted(classes.select("c", "n", "hot", "prefix"), roots))
+    grouped = materialize(rooted(classes.select("c", "n", "hot", "rare", "prefix"), roots))
     pairs = materialize(opened(grouped))
     # A slice of each opened group first: what it links is one group afterwards, and such pairs are settled, as are
     # those of groups that a slice covers in full.
@@ -357,7 +425,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rest = pairs.filter((F.col("docs") > SLICE) | (F.col("docs_h") > SLICE)).join(
         now.select(F.col("was").alias("g"), "now"), "g"
     ).join(now.select(F.col("was").alias("h"), F.col("now").alias("then")), "h")
-    rest = materialize(rest.filter("now <> then").select("g", "h", "docs", "docs_h"))
+    rest = materialize(rest.filter("now <> then").select("g", "h", "shared", "docs", "docs_h"))
     if not rest.isEmpty():
         links = links.union(linked(across(rest, grouped, False), classes, docs, key, text))
         roots = components(links)
