@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gaugewright.llm.common import enter
+
 SPACE = "▁"
 BLOCK = 4096  # characters matched at a time
 CACHED = 400_000  # segments remembered per generation; two generations are kept
@@ -62,8 +64,10 @@ class Pieces:
         space_inside = any(SPACE in p.lstrip(SPACE) for p in self.score)
         line_inside = any("\n" in p for p in self.score)
         self.cut = re.compile(r"(?s).+" if space_inside or line_inside else rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.young: dict[str, tuple[str, int, str]] = {}
-        self.old: dict[str, tuple[str, int, str]] = {}
+        # Ids of segments as text, in two generations; and the decoded text of segments that don't decode to themselves.
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
 
     def merged(self, text: str) -> list[str]:
         """Merge rule on a short text: best score first, then leftmost."""
@@ -215,16 +219,20 @@ class Pieces:
     def decode(self, ids: list[int]) -> str:
         return self.decode_part(ids).removeprefix(" ")
 
-    def known(self, segment: str) -> tuple[str, int, str]:
-        """Ids as text, their number and the decoded text of a segment, remembered for short ones."""
+    def known(self, segment: str) -> str:
+        """Ids of a segment as text, remembered for short ones; what they decode to is looked at once."""
         got = self.old.get(segment)
         if got is None:
             if len(segment) > 2 and not segment[-1].isalnum() and segment[-2:] not in self.inside:
-                a, b = self.young.get(segment[:-1]) or self.known(segment[:-1]), self.known(segment[-1])
-                got = (f"{a[0]} {b[0]}", a[1] + b[1], a[2] + b[2])
+                head, mark = segment[:-1], segment[-1]
+                got = f"{self.young.get(head) or self.known(head)} {self.young.get(mark) or self.known(mark)}"
+                if head in self.odd or mark in self.odd:
+                    self.odd[segment] = self.odd.get(head, head.replace(SPACE, " ")) + self.odd.get(mark, mark.replace(SPACE, " "))
             else:
                 ids = self.ids(segment)
-                got = (" ".join(map(str, ids)), len(ids), self.decode_part(ids))
+                got = " ".join(map(str, ids))
+                if (decoded := self.decode_part(ids)) != segment.replace(SPACE, " "):
+                    self.odd[segment] = decoded
         if len(segment) <= 48:
             if len(self.young) >= CACHED:
                 self.old, self.young = self.young, {}
@@ -233,16 +241,23 @@ class Pieces:
 
     def round_trip(self, text: str | None) -> tuple[str, int, str]:
         """Decimal ids joined by spaces (end id included), number of ids, decoded text."""
-        parts, known, young = [], self.known, self.young
-        for s in self.segments(text or ""):
+        if len(self.odd) > CACHED:
+            self.odd, self.young, self.old = {}, {}, {}
+        segments, known, young = self.segments(text or ""), self.known, self.young
+        parts = []
+        for s in segments:
             got = young.get(s)
             if got is None:
                 got = known(s)
                 young = self.young
             parts.append(got)
-        ids = [p[0] for p in parts]
-        ids.append(str(self.end))
-        return " ".join(ids), sum([p[1] for p in parts]) + 1, "".join([p[2] for p in parts]).removeprefix(" ")
+        parts.append(str(self.end))
+        line = " ".join(parts)
+        if self.odd and not self.odd.keys().isdisjoint(segments):
+            decoded = "".join([self.odd.get(s) or s.replace(SPACE, " ") for s in segments])
+        else:
+            decoded = "".join(segments).replace(SPACE, " ")
+        return line, line.count(" ") + 1, decoded.removeprefix(" ")
 
 
 @functools.lru_cache(2)
@@ -265,6 +280,7 @@ def tokenize(docs: DataFrame, model: str, text: str = "text", ids: bool = True,
     schema = T.StructType(kept + [T.StructField(n, t) for n, t in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("pieces", load.cache_clear)
         own = load(model)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
