@@ -164,8 +164,9 @@ def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
         .groupBy(F.col("_first._key").alias("_key"), F.col("_first._text").alias("_text"))
         .agg(F.collect_list("_first._pos").alias("_kept"))  # at most a document's lines
     )
-    # Eight line numbers weigh as much as a row of a small table.
-    weight = kept.agg(F.sum(F.size("_kept") / 8 + 1)).first()[0] or 0
+    # Forty line numbers weigh as much as a row of a small table.
+    rows_kept, numbers = kept.agg(F.count("*"), F.sum(F.size("_kept"))).first()
+    weight = max(rows_kept, (numbers or 0) / 40)
     own = docs.drop("n_lines", "n_removed", "gone").withColumn("_text", F.xxhash64(F.coalesce(text, F.lit("")))).withColumn(
         "_lines", F.split(F.coalesce(text, F.lit("")), "\n")
     )
