@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import letter_words, raw
+from gaugewright.llm.common import enter, letter_words, raw
 
 SHARD = 1 << 20  # words
 
@@ -228,6 +228,7 @@ def overlaps(
         f.dataType.simpleString(), pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("words", pa.int32())])))) for f in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("leaks")
         held: list[pa.RecordBatch] = []
         texts: list[list[bytes]] = []
         size = 0

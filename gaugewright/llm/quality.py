@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import text_packs
+from gaugewright.llm.common import enter, text_packs
 
 FEATURES = (
     "log_words", "word_chars", "distinct_words", "repeated_next", "distinct_pairs", "upper", "lower", "digits",
@@ -194,6 +194,7 @@ def features(docs: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for batch in batches:
             rows = [describe(d) for _, pack in text_packs([batch], [], text) for d in pack]
             arrays = [batch.column(c) for c in kept] + [pa.array(rows, pa.list_(pa.float64()))]
@@ -223,6 +224,7 @@ def score(docs: DataFrame, model: Additive, kept: list[str] | None = None, name:
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField(name, T.DoubleType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         for batch in batches:
             rows = [describe(d) for _, pack in text_packs([batch], [], text) for d in pack]
             value = model.score(np.array(rows, dtype=float).reshape(len(rows), len(FEATURES)))
