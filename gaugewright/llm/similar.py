@@ -40,6 +40,7 @@ SAMPLED = 32  # one document of so many shows which tokens are frequent
 FREQUENT = 3  # documents of the sample that make a token frequent
 MOST_FREQUENT = 1 << 20  # tokens that are put last
 SLICE = 32  # documents of an opened group that are compared first
+HELD = 1 << 19  # entries or pairs that a task gathers before it sends or adds them up
 SENT = 400_000  # rows of a small table that may be sent to every task
 HOT = np.uint64(1 << 63)
 _STEPS = mix(np.arange(1, WORDS + 1)) | np.uint64(1)
@@ -296,7 +297,7 @@ def matrix_runs(buckets: int):
                 index[: n - (-(-6 * n // 7)) + 1] = 1
                 held.append((tokens, np.full(len(tokens), g, np.int64), index))
                 size += len(tokens)
-                if size >= 1 << 21:
+                if size >= HELD:
                     yield flush()
                     held, size = [], 0
         if held:
@@ -338,7 +339,7 @@ def shared_tokens(rows: pa.Table) -> pa.Table:
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         out.append((groups[x], groups[y], np.full(len(x), counted, np.int32), index[x] | index[y]))
         waiting += len(x)
-        if waiting > 1 << 21:  # pairs that were seen already are added up before there are many
+        if waiting > HELD:  # pairs that were seen already are added up before there are many
             out[:] = [gathered()]
             waiting = 0
 
