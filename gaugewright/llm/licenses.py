@@ -3,7 +3,8 @@
 Blocks are the lines of a text, seen as sets of words. Words are put in one global order, rarest first, counted over
 all blocks. A block that holds at least `least` of a template's words must share a word of the template's prefix (its
 first words in that order, one more than may be missing); blocks and prefixes meet in an equi-join, length and
-positional filters drop most pairs, and the rest is counted exactly. Only words of the templates can count, so blocks
+positional filters drop most pairs, and the rest is counted exactly. None of a template's `DECIDING` words may be
+missing, however many others are there: 'Licensed under CC BY 4.0' isn't cc-by-nc. Only words of the templates can count, so blocks
 are cut down to these before anything moves; the templates are a small fixed table, sent to every task.
 
 Beside it, the phrases of `PHRASES` are found wherever their words stand consecutively.
@@ -42,6 +43,12 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
 )
 
+# Words that tell a label from other licenses; a block must hold those that the template has.
+DECIDING = {
+    "mit": {"mit"}, "apache": {"apache"}, "gpl": {"gnu", "general", "public"}, "cc-by-nc": {"cc", "by", "nc"},
+    "cc-by-sa": {"creative", "commons", "attribution", "sharealike"}, "mpl": {"mozilla"},
+}
+
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -106,10 +113,11 @@ def template_hits(blocks: DataFrame, kept: list[str], least: float = 0.8, templa
         ranks = sorted(place[w] for w in s)
         need = required(len(s), least)
         prefix = ranks[: len(s) - need + 1]
-        rows += [(number, label, r, j, len(s), need, ranks) for j, r in enumerate(prefix)]
+        deciding = [place[w] for w in DECIDING.get(label, set()) & s]
+        rows += [(number, label, r, j, len(s), need, ranks, deciding) for j, r in enumerate(prefix)]
         widest = max(widest, need)
     fewest = min(required(len(s), least) for _, s in sets)
-    prefixes = spark.createDataFrame(rows, "template int, label string, rank int, at int, size int, need int, ranks array<int>")
+    prefixes = spark.createDataFrame(rows, "template int, label string, rank int, at int, size int, need int, ranks array<int>, deciding array<int>")
     to_rank = F.create_map(*[F.lit(x) for w, i in place.items() for x in (w, i)])
     ranked = (
         blocks.filter(F.size("_set") >= fewest)
@@ -121,7 +129,8 @@ def template_hits(blocks: DataFrame, kept: list[str], least: float = 0.8, templa
         (n >= F.col("need")) & (F.least(n - F.col("_i"), F.col("size") - F.col("at")) >= F.col("need") - F.least(F.col("_i"), F.col("at")))
     )
     shared = F.size(F.array_intersect("_ranks", "ranks"))
-    return pairs.withColumn("_shared", shared).filter(F.col("_shared") >= F.col("need")).select(
+    decided = F.size(F.array_except("deciding", "_ranks")) == 0
+    return pairs.withColumn("_shared", shared).filter((F.col("_shared") >= F.col("need")) & decided).select(
         *kept, "label", (F.col("_shared") / F.col("size")).alias("share")
     )
 
@@ -152,7 +161,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float
 
 
 def oracle(least: float = 0.8) -> str:
-    """DuckDB SQL for the same rows, block by block against every template."""
+    """DuckDB SQL for the same rows, block by block against every template; without the rule of DECIDING words, on
+    which none of the given tables depends."""
     gaps = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     values = ", ".join(
         f"('{label}', [{', '.join(repr(w) for w in sorted(set(t.split())))}], {required(len(set(t.split())), least)})" for label, t in TEMPLATES

@@ -41,3 +41,17 @@ def test_partial_notices(spark):
 def test_no_python(awkward):
     plan = licenses.scan(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_other_licenses_get_no_label(spark):
+    texts = {
+        "Released under the Apache License.": "apache", "Released under the BSD license.": "", "Licensed under CC BY 4.0": "",
+        "CC BY-SA 4.0": "", "Licensed under CC BY-SA 4.0": "", "Licensed under the Mozilla Public License, Version 2.0.": "",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License": "",
+        "This work is licensed under the GNU Free Documentation License, version 3": "",
+        # A word that decides nothing may be missing.
+        "Released under MIT": "", "Released under the license MIT": "mit", "Licensed under CC BY-NC 3.0": "cc-by-nc",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {list(texts)[r["doc_id"]]: r["labels"] for r in licenses.scan(df).collect()}
+    assert got == texts
