@@ -41,6 +41,10 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), wrapped=True)
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"), kept=["doc_id"], texts=False)
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op3_nearest": op3_nearest,
     "op4_leaks": op4_leaks,
     "op5_licenses": op5_licenses,
+    "op5_notices": op5_notices,
     "op6_repeats": op6_repeats,
     "op7_lines": op7_lines,
     "op8_quality": op8_quality,
@@ -94,4 +99,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 #: The others have no SQL form, or none that ends on whole tables; tests/llm holds them against brute force.
-ORACLES = {"op4_leaks": leaks.oracle(), "op5_licenses": licenses.oracle(), "op7_lines": lines.oracle()}
+ORACLES = {
+    "op4_leaks": leaks.oracle(), "op5_licenses": licenses.oracle(), "op5_notices": licenses.wrapped_oracle(), "op7_lines": lines.oracle(),
+}

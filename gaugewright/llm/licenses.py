@@ -7,6 +7,11 @@ positional filters drop most pairs, and the rest is counted exactly. None of a t
 missing, however many others are there: 'Licensed under CC BY 4.0' isn't cc-by-nc. Only words of the templates can count, so blocks
 are cut down to these before anything moves; the templates are a small fixed table, sent to every task.
 
+With `wrapped`, line ends don't count: a template is found in any run of consecutive words of the text that is no
+longer than the template and a quarter more. The join then gets overlapping stretches of the text's template words with
+their places, each as long as two such runs of the longest template, and every run in a stretch that meets a template
+is counted exactly.
+
 Beside it, the phrases of `PHRASES` are found wherever their words stand consecutively.
 
 Results: a null or empty text has no words, no place and no label (empty text columns, score 0). Repeated rows of one
@@ -67,6 +72,11 @@ def required(size: int, least: float) -> int:
     return max(1, -(-int(round(size * least * 1000)) // 1000))
 
 
+def run_length(template: str) -> int:
+    """Consecutive words of a text among which a wrapped template is looked for."""
+    return -(-5 * len(template.split()) // 4)
+
+
 def phrase_places(docs: DataFrame, kept: list[str]) -> DataFrame:
     """Kept columns, n_words, n_base, first_word, last_word, base (array of labels)."""
     tails = sorted({p.split()[-1] for p, _ in PHRASES})
@@ -97,7 +107,7 @@ def phrase_places(docs: DataFrame, kept: list[str]) -> DataFrame:
 
 
 def template_hits(blocks: DataFrame, kept: list[str], least: float = 0.8, templates=TEMPLATES) -> DataFrame:
-    """Kept columns, label and share of every (block, template) pair that meets the threshold.
+    """Kept columns, number, label and share of every (block, template) pair that meets the threshold.
 
     blocks: the kept columns and `_set`, the block's distinct template words. Bounded on the driver: one count per
     word of the templates.
@@ -131,23 +141,60 @@ def template_hits(blocks: DataFrame, kept: list[str], least: float = 0.8, templa
     shared = F.size(F.array_intersect("_ranks", "ranks"))
     decided = F.size(F.array_except("deciding", "_ranks")) == 0
     return pairs.withColumn("_shared", shared).filter((F.col("_shared") >= F.col("need")) & decided).select(
-        *kept, "label", (F.col("_shared") / F.col("size")).alias("share")
+        *kept, F.col("template").alias("number"), "label", (F.col("_shared") / F.col("size")).alias("share")
+    )
+
+
+def stretches(own: DataFrame, kept: list[str]) -> DataFrame:
+    """Kept columns, `_spots` (places and template words, in order) and `_set` of overlapping stretches of each text."""
+    vocabulary = sorted({w for _, t in TEMPLATES for w in t.split()})
+    step = max(run_length(t) for _, t in TEMPLATES)  # no run has more template words
+    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size("_w") - 1, F.lit(0))), lambda i: F.get("_w", i).isin(vocabulary))
+    spots = own.select(*kept, words(F.col("_low")).alias("_w")).select(
+        *kept, F.transform(places, lambda i: F.struct(i.alias("p"), F.get("_w", i).alias("w"))).alias("_all")
     )
+    starts = F.sequence(F.lit(1), F.greatest(F.size("_all"), F.lit(1)), F.lit(step))
+    cut = spots.select(*kept, "_all", F.explode(starts).alias("_from")).select(
+        *kept, F.slice("_all", F.col("_from"), F.lit(2 * step)).alias("_spots")
+    )
+    return cut.withColumn("_set", F.array_distinct(F.col("_spots.w")))
+
 
+def wrapped_hits(blocks: DataFrame, kept: list[str], least: float) -> DataFrame:
+    """Kept columns, label and share of every (stretch, template) pair with a run that meets the threshold."""
+    rows = []
+    for number, (label, t) in enumerate(TEMPLATES):
+        s = set(t.split())
+        rows.append((number, sorted(s), required(len(s), least), sorted(DECIDING.get(label, set()) & s), run_length(t)))
+    looked = blocks.sparkSession.createDataFrame(rows, "number int, _t array<string>, _need int, _must array<string>, _run int")
+    met = template_hits(blocks, [*kept, "_spots"], least).select(*kept, "_spots", "number", "label").join(F.broadcast(looked), "number")
+    met = met.withColumn("_spots", F.filter("_spots", lambda s: F.array_contains("_t", s["w"])))
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
+    def held(first: Column) -> Column:
+        inside = F.filter("_spots", lambda s: (s["p"] >= first["p"]) & (s["p"] < first["p"] + F.col("_run")))
+        return F.array_distinct(F.transform(inside, lambda s: s["w"]))
+
+    full = F.filter(F.transform("_spots", held), lambda x: (F.size(x) >= F.col("_need")) & (F.size(F.array_except("_must", x)) == 0))
+    best = F.array_max(F.transform(full, lambda x: F.size(x)))
+    return met.select(*kept, "label", (best / F.size("_t")).alias("share")).filter("share is not null")
+
+
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8, wrapped: bool = False) -> DataFrame:
     """key, n_words, n_base, first_word, last_word, base_labels, labels, score (largest share of a template; 1 with a phrase)."""
     vocabulary = F.array(*[F.lit(w) for w in sorted({w for _, t in TEMPLATES for w in t.split()})])
     own = docs.select(
         F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"), lowered(F.col(text)).alias("_low")
     )
     fewest = min(required(len(set(t.split())), least) for _, t in TEMPLATES)
-    blocks = own.select(key, "_h", F.explode(F.split("_low", "\n")).alias("_line")).select(
-        key, "_h", F.array_intersect(words(F.col("_line")), vocabulary).alias("_set")
-    ).filter(F.size("_set") >= fewest)
+    if wrapped:
+        blocks = stretches(own, [key, "_h"])
+    else:
+        blocks = own.select(key, "_h", F.explode(F.split("_low", "\n")).alias("_line")).select(
+            key, "_h", F.array_intersect(words(F.col("_line")), vocabulary).alias("_set")
+        )
     # Counted for the order and joined afterwards: kept once, a few words per block.
-    blocks = materialize(blocks)
-    hits = template_hits(blocks, [key, "_h"], least).groupBy(key, "_h").agg(
+    blocks = materialize(blocks.filter(F.size("_set") >= fewest))
+    hits = (wrapped_hits if wrapped else template_hits)(blocks, [key, "_h"], least).groupBy(key, "_h").agg(
         F.collect_set("label").alias("_more"), F.max("share").alias("_share")
     )
     base = phrase_places(own, [key, "_h"])
@@ -187,3 +234,22 @@ SELECT base.doc_id, n_words, n_base, first_word, last_word, array_to_string(list
 array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more.labels, [])))), ',') AS labels,
 CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0.0) END AS score
 FROM base LEFT JOIN more USING (doc_id)""").strip()
+
+
+def wrapped_oracle(least: float = 0.8) -> str:
+    """DuckDB SQL for the rows with `wrapped`: every run of words that starts with a template's word."""
+    sets = [(number, label, t, sorted(set(t.split())), DECIDING.get(label, set())) for number, (label, t) in enumerate(TEMPLATES)]
+    values = ", ".join(
+        f"({number}, '{label}', {len(s)}, {required(len(s), least)}, {run_length(t)}, {len(must & set(s))})" for number, label, t, s, must in sets
+    )
+    singles = ", ".join(f"({number}, '{w}', {str(w in must).lower()})" for number, _, _, s, must in sets for w in s)
+    hits = """spread AS (SELECT doc_id, unnest(range(0, len(w))) AS p, unnest(w) AS x FROM split),
+own AS (SELECT doc_id, number, p, x, decides FROM spread JOIN singles USING (x)),
+runs AS (SELECT a.doc_id, a.number, a.p, count(DISTINCT b.x) AS n, count(DISTINCT b.x) FILTER (b.decides) AS d
+FROM own a JOIN templates t ON a.number = t.number JOIN own b ON a.doc_id = b.doc_id AND a.number = b.number AND b.p >= a.p AND b.p < a.p + t.run
+GROUP BY a.doc_id, a.number, a.p),
+hits AS (SELECT doc_id, label, n / size AS share FROM runs JOIN templates USING (number) WHERE n >= need AND d = must),"""
+    sql = oracle(least)
+    sql = f"WITH templates(number, label, size, need, run, must) AS (VALUES {values}), singles(number, x, decides) AS (VALUES {singles}), " + sql[sql.index("low AS ("):]
+    first, last = sql.index("blocks AS ("), sql.index("more AS (")
+    return re.sub(r"\s+", " ", sql[:first] + hits + " " + sql[last:])

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 
 from gaugewright.llm import licenses
@@ -55,3 +56,37 @@ def test_other_licenses_get_no_label(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {list(texts)[r["doc_id"]]: r["labels"] for r in licenses.scan(df).collect()}
     assert got == texts
+
+
+def wrapped_brute(text, least=0.8):
+    """As brute(), with every run of consecutive words as a block."""
+    w = [x.decode() for x in letter_words(text)]
+    own = brute(text)
+    more, best = set(filter(None, own[4].split(","))), 0.0
+    for label, template in licenses.TEMPLATES:
+        t, run = set(template.split()), licenses.run_length(template)
+        for i in range(len(w)):
+            found = t & set(w[i : i + run])
+            if len(found) >= licenses.required(len(t), least) and licenses.DECIDING.get(label, set()) & t <= found:
+                more.add(label)
+                best = max(best, len(found) / len(t))
+    return (*own[:5], ",".join(sorted(more)), 1.0 if own[1] else best)
+
+
+def test_wrapped_notices(spark, awkward):
+    long = [t for _, t in licenses.TEMPLATES if len(t) > 80]
+    labels = [label for label, t in licenses.TEMPLATES if len(t) > 80]
+    wrapped = ["intro words here\n * " + "\n * ".join(textwrap.wrap(t, 40)) + "\nand more" for t in long]
+    far = " ".join(f"{w} " + " ".join(f"x{i}" for i in range(40)) for w in "released under the mit license".split())  # scattered words
+    texts = [*wrapped, "filler " * 1000 + long[0].replace(" ", "\n") + " filler" * 1000, far, "the of " * 500 + "\n".join(long), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r)[1:] for r in licenses.scan(df, wrapped=True).collect()}
+    assert got == {i: wrapped_brute(t) for i, t in enumerate(texts)}
+    for i, label in enumerate(labels):
+        assert label in got[i][5].split(",")
+    assert got[len(long)][5] == "mit" and got[len(long) + 1][5] == ""
+    rows = sorted([tuple(r) for r in licenses.scan(awkward, wrapped=True).collect()], key=repr)
+    assert rows == sorted([(r["doc_id"], *wrapped_brute(r["text"])) for r in awkward.collect()], key=repr)
+    assert licenses.scan(awkward.limit(0), wrapped=True).count() == 0
+    plan = licenses.scan(awkward, wrapped=True)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
