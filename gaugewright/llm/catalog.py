@@ -56,6 +56,13 @@ def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedupe(docs, per=12).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    )
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(quality.fold("doc_id", 3) == 1, F.lit(False))
@@ -93,6 +100,7 @@ QUERIES = {
     "op5_notices": op5_notices,
     "op6_repeats": op6_repeats,
     "op7_lines": op7_lines,
+    "op7_edits": op7_edits,
     "op8_quality": op8_quality,
     "op9_similar": op9_similar,
     "op10_shards": op10_shards,

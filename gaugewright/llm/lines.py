@@ -10,6 +10,12 @@ one word deleted, and one for themselves; lines meet where the keys are equal, e
 only, so a group of any size costs one row per line and no pairs. The pair with that earliest line is then verified
 word by word.
 
+With `per`, the bound grows: one word for every `per` words of the shorter line, one at least. So many edits of a line
+of 2 `per` words or more leave a run of words whole; of every such run the least hash of its word sequences is a key, so
+near lines share one (an exact filter). Lines meet where keys are equal: each with the earliest of its keys first, then
+those that are still there with all earlier lines of their keys. Pairs are verified by their word edit distance (up to
+a million different words in what the two don't have in common at their ends).
+
 Earliest is by key (nulls last), then the hash of the text, then the line's place. Rows that repeat key and text count
 as one document and share one fate. A null text is an empty one. Empty tables give empty results; other columns pass
 through, columns named like the added ones are replaced. Everything is DataFrame work.
@@ -17,6 +23,8 @@ through, columns named like the added ones are replaced. Everything is DataFrame
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,10 +122,8 @@ def one_word_apart(a: Column, b: Column) -> Column:
     return (longest - shortest <= 1) & (common(a, b) + common(F.reverse(a), F.reverse(b)) >= longest - 1)
 
 
-def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """_h, _h2 of distinct lines that have an earlier near line."""
-    found = materialize(candidates(lines))
-    size = found.count()
+def texts_of(rows: DataFrame, found: DataFrame, size: int) -> DataFrame:
+    """_h (of both hashes), _me (place and hashes) and words _w of the lines found (_h, _h2, _first)."""
     # The candidates' words, read where the earliest of them stand.
     place = [F.col(f"_first.{c}").alias(c) for c in ("_none", "_key", "_text", "_pos")]
     at = found.select("_h", "_h2", "_first", *place)
@@ -127,11 +133,18 @@ def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     )
     # Rows that repeat a document give their lines more than once. Lines of one hash but another second hash are told
     # apart by their place in the hash's group.
-    texts = materialize(
+    return materialize(
         same.select("c._h", "c._h2", F.struct("c._first", "c._h", "c._h2").alias("_me"), F.col("r._line").alias("_line"))
         .groupBy("_h", "_h2").agg(F.first("_me").alias("_me"), F.first("_line").alias("_line"))
         .select(F.xxhash64("_h", "_h2").alias("_h"), "_me", words(F.col("_line")).alias("_w"))
     )
+
+
+def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """_h, _h2 of distinct lines that have an earlier near line."""
+    found = materialize(candidates(lines))
+    size = found.count()
+    texts = texts_of(rows, found, size)
     deleted, whole = (materialize(x) for x in variants(texts))
     # Replaced: the same word place deleted leaves the same words. Only keys of several lines go on, as two numbers.
     slots = deleted.select("_h", F.xxhash64("_v", "_gone").alias("_v"))
@@ -154,11 +167,93 @@ def near_lines(rows: DataFrame, lines: DataFrame) -> DataFrame:
     return checked.select("_me._h", "_me._h2").distinct()
 
 
-def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 8) -> DataFrame:
-    """The rows with their text cut to the lines that stay; adds n_lines, n_removed and gone (no line stays)."""
+def run_keys(w: Column, per: int) -> tuple[Column, Callable[[Column], Column]]:
+    """Hashes of a line's word sequences, and from these the least of every run that the fewest edits may leave whole."""
+    run = -(-2 * (per - 1) // 3)  # of 2 per words, all but two in three runs; longer lines leave longer ones
+    gram = run // 2 + 1
+    hashes = F.transform(F.sequence(F.lit(1), F.size(w) - gram + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(gram))))
+
+    def least(h: Column) -> Column:
+        window = run - gram + 1
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - window + 1), lambda i: F.array_min(F.slice(h, i, F.lit(window)))))
+
+    return hashes, least
+
+
+def edited(pairs: DataFrame, texts: DataFrame, per: int) -> DataFrame:
+    """_me of pairs (_me, _other) that at most one edit of a word for every `per` words tells apart."""
+    known = texts.select(F.col("_me").alias("_other"), F.col("_w").alias("_o"))
+    both = pairs.join(texts.select("_me", "_w"), "_me").join(known, "_other")
+    both = both.withColumn("_least", F.least(F.size("_w"), F.size("_o")))
+
+    def common(x: Column, y: Column) -> Column:
+        differs = F.array_position(F.zip_with(x, y, lambda p, q: p.eqNullSafe(q)), False).cast("int")
+        return F.when(differs == 0, F.col("_least")).otherwise(F.least(differs - 1, F.col("_least")))
+
+    def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+        return F.get(F.transform(F.array(value), f), F.lit(0))  # worked out once, however often f has it
+
+    most = F.floor(F.col("_least") / per).cast("int")
+
+    def apart(x: Column, y: Column) -> Column:
+        def coded(z: Column, every: Column) -> Column:  # words become characters beyond the first 65,536
+            codes = F.transform(z, lambda v: F.lpad(F.hex(F.array_position(every, v) + 65535), 8, "0"))
+            return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
+
+        # Each word that only one of them has needs an edit.
+        few = (F.size(F.array_except(x, y)) <= most) & (F.size(F.array_except(y, x)) <= most)
+        near = bound(F.array_distinct(F.concat(x, y)), lambda every: F.call_function("levenshtein", coded(x, every), coded(y, every), most) >= 0)
+        return F.when(few, near).otherwise(F.lit(False))
+
+    def cut(begin: Column, end: Column) -> Column:
+        return F.struct(*[F.slice(c, begin + 1, F.size(c) - begin - end).alias(c) for c in ("_w", "_o")])
+
+    near = bound(common(F.col("_w"), F.col("_o")), lambda begin: bound(
+        F.least(common(F.reverse("_w"), F.reverse("_o")), F.col("_least") - begin),
+        lambda end: bound(cut(begin, end), lambda z: apart(z["_w"], z["_o"])),
+    ))
+    return both.filter(near).select("_me").distinct()
+
+
+def edited_lines(rows: DataFrame, lines: DataFrame, per: int) -> DataFrame:
+    """_h, _h2 of distinct lines of 2 `per` words or more that have an earlier near line of as many words."""
+    long = rows.withColumn("_w", words(F.col("_line"))).filter(F.size("_w") >= 2 * per)
+    hashes, least = run_keys(F.col("_w"), per)
+    named = long.select(F.xxhash64(F.xxhash64("_w"), F.xxhash64(F.lit(7), "_w")).alias("_h"), hashes.alias("_hashes"))
+    keys = materialize(named.select("_h", F.explode(least(F.col("_hashes"))).alias("_v")))
+    several = keys.groupBy("_v").agg(F.min("_h").alias("_a"), F.max("_h").alias("_b")).filter("_a <> _b").select("_v")
+    keys = materialize(keys.join(several, "_v", "left_semi").distinct())
+    shared = keys.select(F.col("_h").alias("_id")).distinct()
+    found = lines.join(shared, F.xxhash64("_h", "_h2") == F.col("_id"), "left_semi").select("_h", "_h2", "_first")
+    found = materialize(found)
+    texts = texts_of(rows, found, found.count())
+    placed = materialize(keys.join(texts.select("_h", "_me", F.size("_w").alias("_n")), "_h").select("_v", "_me", "_n"))
+
+    def fit(m: Column, n: Column) -> Column:
+        return F.abs(m - n) <= F.floor(F.least(m, n) / per)
+
+    earliest = placed.groupBy("_v").agg(F.min(F.struct("_me", "_n")).alias("_e"))
+    first = placed.join(earliest, "_v").filter((F.col("_e._me") < F.col("_me")) & fit(F.col("_n"), F.col("_e._n")))
+    settled = materialize(edited(first.select("_me", F.col("_e._me").alias("_other")).distinct(), texts, per))
+    rest = placed.join(settled, "_me", "left_anti").select("_v", "_me", "_n")
+    other = placed.select("_v", F.col("_me").alias("_other"), F.col("_n").alias("_m"))
+    pairs = rest.join(other, "_v").filter((F.col("_other") < F.col("_me")) & fit(F.col("_n"), F.col("_m")))
+    more = edited(pairs.select("_me", "_other").distinct(), texts, per)
+    return settled.union(more).select("_me._h", "_me._h2")
+
+
+def dedupe(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 8, per: int | None = None) -> DataFrame:
+    """The rows with their text cut to the lines that stay; adds n_lines, n_removed and gone (no line stays).
+
+    per: words of a line for each word that may be edited (at least `least`); None for one word in lines of any length.
+    """
+    if per is not None and per < least:
+        raise ValueError("per must be least or more")
     rows = lines_of(docs, key, text)
     lines = materialize(distinct_lines(rows, least))
     near = near_lines(rows, lines)
+    if per is not None:
+        near = materialize(near.union(edited_lines(rows, lines, per)).distinct())
     kept = materialize(
         lines.join(near, ["_h", "_h2"], "left_anti")
         .groupBy(F.col("_first._key").alias("_key"), F.col("_first._text").alias("_text"))

@@ -1,3 +1,5 @@
+import random
+
 from gaugewright.llm import lines
 
 
@@ -65,3 +67,48 @@ def test_whole_table(awkward, clashing, none):
     assert lines.dedupe(none).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_edits(rows, per, least=8):
+    """The distinct lines that go, all lines with `least` words or more."""
+    order = list(dict.fromkeys(words(x) for _, t in sorted(rows) for x in t.split("\n") if words(x)))
+    gone = set()
+    for n, w in enumerate(order):
+        for v in order[:n]:
+            k = max(1, min(len(v), len(w)) // per)
+            if min(len(v), len(w)) >= least and abs(len(v) - len(w)) <= k and distance(v, w) <= k:
+                gone.add(w)
+                break
+    return order, gone
+
+
+def test_edits_grow_with_the_line(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(40):
+        n = rng.choice([9, 23, 24, 25, 28, 36, 47, 90, 111, 149])
+        base = [f"é{rng.randrange(3000)}" for _ in range(n)]
+        rows.append((len(rows), " ".join(base)))
+        for extra in (0, 0, 1, 1):  # at the bound and one beyond
+            w = list(base)
+            for _ in range(max(1, n // 12) + extra):
+                at, kind = rng.randrange(len(w)), rng.randrange(3)
+                w[at : at + (kind != 1)] = [f"new{rng.randrange(10**6)}"] if kind else []
+            rows.append((len(rows), " ".join(w)))
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows += [(1000 + i, " ".join(f"q{i}_{j}" for j in range(14)) + " " + passage) for i in range(10)]  # a common passage
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    order, gone = brute_edits(rows, 12)
+    assert len(gone) > len({k for k, v in brute(rows).items() if v[3]}) + 20  # more than one word apart
+    got = {r["doc_id"] for r in lines.dedupe(df, per=12).filter("gone").collect()}
+    assert got == {k for k, t in rows if words(t) in gone} and not got & set(range(1000, 1010))
+    assert lines.dedupe(df.limit(0), per=12).count() == 0
