@@ -6,9 +6,11 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugewright.llm import language, leaks, licenses, lines, nearest, pieces, quality, repeats, shards, similar
+from gaugewright.llm import (
+    bytepairs, language, leaks, licenses, lines, nearest, pieces, prefixes, quality, repair, repeats, shards, similar,
+)
 from gaugewright.llm.common import table
-from gaugewright.llm.tokenizer import TOKENIZER
+from gaugewright.llm.tokenizer import PATTERN, RANKS, TOKENIZER
 
 SHARDS = 16
 
@@ -91,6 +93,20 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rebuilt = prefixes.rebuilt(prefixes.sequences(table(spark, sf_dir, "conversations")))
+    return prefixes.nodes(rebuilt).drop("turn_id")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_bytepairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bytepairs.tokenize(docs, RANKS, PATTERN, ids=False, digests=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES = {
     "op1_language": op1_language,
     "op2_pieces": op2_pieces,
@@ -104,9 +120,13 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_similar": op9_similar,
     "op10_shards": op10_shards,
+    "op11_prefixes": op11_prefixes,
+    "op12_repair": op12_repair,
+    "op13_bytepairs": op13_bytepairs,
     "pipeline": corpus_pipeline.run,
 }
 #: The others have no SQL form, or none that ends on whole tables; tests/llm holds them against brute force.
 ORACLES = {
     "op4_leaks": leaks.oracle(), "op5_licenses": licenses.oracle(), "op5_notices": licenses.wrapped_oracle(), "op7_lines": lines.oracle(),
+    "op11_prefixes": prefixes.oracle(), "op12_repair": repair.oracle(),
 }

@@ -119,3 +119,11 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if found and scheme != "file":
         raise ValueError(f"{name} needs spark.checkpoint.dir on a file system that every machine mounts, not {scheme}:")
     return "/" + (rest if found else path).lstrip("/")
+
+
+def checksum(text: str) -> str:
+    """SQL (of the reference engine) for the crc32 of a text of ASCII characters, bit by bit."""
+    bits = "lambda v, i: xor(v >> 1, 3988292384::UBIGINT * (v & 1))"
+    step = f"lambda c, b: list_reduce(list_prepend(xor(c, b), [0::UBIGINT, 1, 2, 3, 4, 5, 6, 7]), {bits})"
+    characters = f"[ord(x)::UBIGINT for x in string_split({text}, '')]"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {characters}), {step}), 4294967295)"

@@ -31,6 +31,9 @@ COLUMNS = {
     "op8_quality": "doc_id held_out score predicted",
     "op9_similar": "doc_id n_shingles component_id",
     "op10_shards": "doc_id size text_crc32 law shard slot grown_shard",
+    "op11_prefixes": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
+    "op12_repair": "conv_id gaps blank duplicate truncated illegal cost audit repaired_sha256",
+    "op13_bytepairs": "doc_id n_tokens ids_sha256 decoded_sha256",
 }
 
 
