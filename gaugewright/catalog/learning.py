@@ -88,45 +88,6 @@ def ridge_classes(spark, sf):
     return Y.predict_linear(rows, ["q", "p"], model).groupBy("label", "pred").agg(F.count("*").alias("n"))
 
 
-def _vectors(spark, sf):
-    from pyspark.ml.functions import array_to_vector
-    split = train_test_split(table(spark, sf, "embeddings"), "vec_id")
-    rows = split.select("vec_id", F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), "is_test")
-    return materialize(rows)
-
-
-def _learn(spark, sf, name, estimator):
-    """Train on the train part, score the test part; also the number of model parameters."""
-    rows = _vectors(spark, sf)
-    model = estimator.fit(rows.filter("NOT is_test"))
-    scored = model.transform(rows.filter("is_test")).select("label", F.col("prediction").alias("pred"))
-    return classification_scores(scored, "label", "pred").withColumns({"method": F.lit(name), "n_parameters": F.lit(Y.n_parameters(model))})
-
-
-@query("classify_forest")
-def classify_forest(spark, sf):
-    from pyspark.ml.classification import RandomForestClassifier
-    return _learn(spark, sf, "RF", RandomForestClassifier(numTrees=20, maxDepth=5, seed=42))
-
-
-@query("classify_logistic")
-def classify_logistic(spark, sf):
-    from pyspark.ml.classification import LogisticRegression
-    return _learn(spark, sf, "LR", LogisticRegression(maxIter=100, regParam=0.01))
-
-
-@query("classify_linear_svm")
-def classify_svm(spark, sf):
-    from pyspark.ml.classification import LinearSVC, OneVsRest
-    return _learn(spark, sf, "SGD", OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01)))
-
-
-@query("classify_perceptron")
-def classify_mlp(spark, sf):
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    return _learn(spark, sf, "MLP", MultilayerPerceptronClassifier(layers=[64, 50, 10], maxIter=60, seed=42))
-
-
 # The grids of the searched methods.
 GRIDS = {"GNB": {"smoothing": [1e-5, 1e-6, 1e-7, 1e-8, 1e-9, 1e-10, 1e-11, 1e-12]}, "RR": {"alpha": [0.05, 0.2, 1.0, 5.0, 20.0, 1e4, 1e6, 1e8]}}
 N_ITER = 6  # settings drawn per method
