@@ -36,7 +36,7 @@ from gaugewright.llm.common import enter
 
 PACK = 4 << 20  # bytes of text whose words are looked up together
 REPLAYED = 1 << 20  # bytes of new words replayed together
-CACHED = 250_000  # words remembered per generation; two generations are kept
+CACHED = 600_000  # words remembered per generation; two generations are kept
 SHORT = 64  # characters of a word that is worth remembering
 
 # Letters and numbers that Unicode has since version 16. The ranks' own library splits by version 16, for
