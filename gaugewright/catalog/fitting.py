@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugewright.catalog.analysis import _clf_sql, _round_scores
+from gaugewright.catalog import sqltext as S
 from gaugewright.catalog.base import query, r6
+from gaugewright.catalog.ingest import meas
 from gaugewright.operators import classify as Y
 from gaugewright.operators.descent import linear_sgd
 from gaugewright.operators.forest import chosen_features, forest_scores, poisson_limits, random_forest
 from gaugewright.operators.logistic import logistic, logistic_scores
 from gaugewright.operators.perceptron import first_weights, perceptron, perceptron_scores
 from gaugewright.operators.prep import train_test_split
-from gaugewright.operators.scores import classification_scores
+from gaugewright.operators.scores import classification_scores, error_summary
 from gaugewright.operators.sums import classified
+from gaugewright.operators.trees import DEPTH, cell_sums, fold_trees, walk
 from gaugewright.session import materialize
 from gaugewright.sources.views import table
 
@@ -240,3 +243,46 @@ def perceptron_weights(spark, sf):
     model = perceptron(rows, "x", "y", hidden=(2,), alpha=_DECAY, activation="tanh", solver="gd", rate=_STEP, momentum=_MOMENTUM, rounds=_ROUNDS, tolerance=0.0, start=_START)
     out = spark.createDataFrame([(i, float(w)) for i, w in enumerate(model.weights, 1)], "place long, weight double")
     return out.select("place", r6("weight").alias("weight"))
+
+
+# ---------------------------------------------------------------- regression trees per algorithm and fold
+
+_TREE_X = ("accuracy", "f1", "fsize", "parameters", "train_running_time", "running_time")
+_TREE_Y = ("train_power_draw", "power_draw")
+
+
+def _tree_levels():
+    """All trees level by level: sums in order of each feature, the best cut of each node, the rows' next nodes."""
+    text = f"""rows AS MATERIALIZED (SELECT row_number() OVER () AS id, model, environment, CAST(concat('0x', substr(md5(dataset), 1, 8)) AS BIGINT) % 5 AS fold, [{', '.join(f'CAST({c} AS DOUBLE)' for c in _TREE_X)}] AS x, [{', '.join(_TREE_Y)}] AS y
+   FROM meas WHERE {' AND '.join(f'{c} IS NOT NULL' for c in (*_TREE_X, *_TREE_Y))}),
+ given AS MATERIALIZED (SELECT r.id, r.model, f.fold, t.target, r.fold <> f.fold AS train, r.x, r.y[t.target + 1] AS y FROM rows r JOIN (SELECT DISTINCT model, fold FROM rows) f ON f.model = r.model, range({len(_TREE_Y)}) t(target)),
+ root AS (SELECT model, fold, target, sum(y * y) - sum(y) * sum(y) / count(*) AS squares FROM given WHERE train GROUP BY ALL),
+ a0 AS MATERIALIZED (SELECT *, CAST(1 AS BIGINT) AS node FROM given)"""
+    k = "model, fold, target, node"
+    for d in range(DEPTH):
+        text += f""",
+ v{d} AS (SELECT {k}, f, v, count(*) AS n, sum(y) AS s FROM (SELECT {k}, y, unnest(x) AS v, unnest(range(len(x))) AS f FROM a{d} WHERE train AND node >= {2 ** d}) GROUP BY ALL),
+ c{d} AS (SELECT *, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(n) OVER g AS an, sum(s) OVER g AS sa, lead(v) OVER w AS next FROM v{d} WINDOW w AS (PARTITION BY {k}, f ORDER BY v), g AS (PARTITION BY {k}, f)),
+ b{d} AS MATERIALIZED (SELECT {k}, f, (v + next) / 2 AS cut FROM (SELECT c.*, round((ls * ls / ln + (sa - ls) * (sa - ls) / (an - ln) - sa * sa / an) / squares, 9) AS gain FROM c{d} c JOIN root USING (model, fold, target) WHERE next IS NOT NULL)
+   WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY gain DESC, f, v) = 1),
+ a{d + 1} AS MATERIALIZED (SELECT a.* EXCLUDE node, CASE WHEN b.f IS NULL THEN a.node WHEN a.x[b.f + 1] > b.cut THEN 2 * a.node + 1 ELSE 2 * a.node END AS node FROM a{d} a LEFT JOIN b{d} b USING ({k}))"""
+    return text
+
+
+@query("tree_regressor", f"""WITH {S.MEAS}, {_tree_levels()},
+ leaf AS (SELECT model, fold, target, node, avg(y) AS value FROM a{DEPTH} WHERE train GROUP BY ALL),
+ err AS (SELECT a.model, a.target, abs(l.value - a.y) AS err FROM a{DEPTH} a JOIN leaf l USING (model, fold, target, node) WHERE NOT a.train)
+SELECT model, CAST(target AS INTEGER) AS target, round(avg(err) + CAST(1e-9 AS DOUBLE), 6) AS mae, round(stddev_samp(err) + CAST(1e-9 AS DOUBLE), 6) AS std, round(max(err) + CAST(1e-9 AS DOUBLE), 6) AS max_error FROM err GROUP BY ALL""")
+def tree_regressor(spark, sf):
+    """Held-out errors of regression trees per algorithm and fold of data sets."""
+    whole = meas(spark, sf).dropna(subset=[*_TREE_X, *_TREE_Y])
+    rows = materialize(whole.select(
+        "model", F.expr("CAST(conv(substr(md5(dataset), 1, 8), 16, 10) AS BIGINT) % 5").cast("int").alias("fold"),
+        F.array(*[F.col(c).cast("double") for c in _TREE_X]).alias("x"), F.array(*_TREE_Y).alias("y"),
+    ))
+    trees = fold_trees(cell_sums(rows, ["model", "fold"], "x", "y", len(_TREE_Y)), ["model"], "fold")
+    found = rows.join(trees, ["model", "fold"]).select(
+        "model", "target", (walk(F.col("x"), F.col("feature"), F.col("threshold"), F.col("value")) - F.get("y", F.col("target"))).alias("err")
+    )
+    errors = error_summary(found, "err", ["model", "target"])
+    return errors.select("model", "target", *[r6(c).alias(c) for c in ("mae", "std", "max_error")])

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from gaugewright.catalog import sqltext as S
 from gaugewright.catalog.analysis import _FEATS, rated, tabular
 from gaugewright.catalog.base import query, r6
-from gaugewright.catalog.ingest import meas
 from gaugewright.meta import DEFAULT_PROPERTIES as PROPS
 from gaugewright.operators import classify as Y
 from gaugewright.operators.compare import reference_values
@@ -15,8 +14,7 @@ from gaugewright.operators.gram import fit_linear, gram_sums
 from gaugewright.operators.metafeatures import statistical
 from gaugewright.operators.pca import pca_metafeatures, project
 from gaugewright.operators.pooling import pair_pooling
-from gaugewright.operators.prep import train_test_split
-from gaugewright.operators.scores import classification_scores, error_summary
+from gaugewright.operators.scores import error_summary
 from gaugewright.operators.search import draw_settings, min_rank
 from gaugewright.plans import metalearn as ML
 from gaugewright.plans.recommend import compound_predictions, recommend
@@ -205,16 +203,3 @@ def meta_learn_recommend(spark, sf):
     _, predictions, _ = learned(spark, sf)
     index = predictions.filter("scale = 'index'").withColumn("pred", F.col("test_pred"))
     return recommend(compound_predictions(index, PROPS), "compound_pred")
-
-
-@query("tree_regressor")
-def tree_regressor(spark, sf):
-    """Regression tree of depth 5 on the algorithm and size features of the merged runs, scored on held-out runs."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import DecisionTreeRegressor
-    df = meas(spark, sf).select("configuration", "environment", "dataset", F.col("train_power_draw").alias("label"), "train_running_time", "fsize", "parameters", "accuracy")
-    split = train_test_split(df.dropna().withColumn("row_id", F.concat_ws("|", "configuration", "environment")), "row_id")
-    rows = materialize(VectorAssembler(inputCols=["train_running_time", "fsize", "parameters", "accuracy"], outputCol="features").transform(split))
-    model = DecisionTreeRegressor(maxDepth=5, seed=42).fit(rows.filter("NOT is_test"))
-    scored = model.transform(rows.filter("is_test")).withColumn("err", F.col("prediction") - F.col("label"))
-    return error_summary(scored, "err", ["environment"]).withColumn("n_parameters", F.lit(Y.n_parameters(model)))

@@ -1,7 +1,8 @@
 """Meta-learning: predicting the indices of algorithms on unseen data sets.
 
-All regressors are solved from sums of products per (algorithm, fold), so the rows are read once for the sums
-and once per round of predictions, whatever the number of regressors, properties and folds.
+All linear regressors are solved from sums of products per (algorithm, fold), and regression trees are grown from sums
+per (algorithm, fold, distinct features), so the rows are read once for the sums and once per round of predictions,
+whatever the number of regressors, properties and folds.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from gaugewright.operators.folds import group_kfold
 from gaugewright.operators.gram import REGRESSORS, fit, packed_grams, unpack
 from gaugewright.operators.index import idx
 from gaugewright.operators.joins import join_groups
+from gaugewright.operators.trees import TREE, cell_sums, grow_all, tree_values
 from gaugewright.session import materialize
 
 N_FOLDS = 5
@@ -74,6 +76,22 @@ def _real(pred, ref, maximize):
         return np.where(maximize, pred * ref, ref / pred)
 
 
+def _picks(part: pd.DataFrame) -> pd.DataFrame:
+    """The chosen regressors that travel with the sums of an algorithm."""
+    listed = [dict(r) if isinstance(r, dict) else r.asDict() for r in part["picks"].iloc[0]] if len(part) else []
+    return pd.DataFrame(listed, columns=["scale", "property", "regr"])
+
+
+def _both(x: np.ndarray, weights, trees, by_tree) -> np.ndarray:
+    """Predictions of all targets, each by its weights or by its tree."""
+    by_tree = np.asarray(by_tree, bool)
+    pred = x @ np.asarray(weights).reshape(x.shape[1], -1)
+    if by_tree.any():
+        grown = np.asarray(trees).reshape(len(by_tree), -1, 3)
+        pred[:, by_tree] = tree_values(grown[by_tree], x[:, 1:])
+    return pred
+
+
 def _chunks(rows: DataFrame, models: DataFrame, chunk_rows: int = CHUNK_ROWS):
     """Cut the rows of an algorithm into chunks of bounded size and give each chunk its own copy of the
     algorithm's (small) models."""
@@ -99,7 +117,7 @@ def meta_learn(design: DataFrame, properties, k: int = N_FOLDS) -> tuple[DataFra
     first = design.select(F.size("x").alias("p"), "plain").first()
     p, plain = first["p"] - 1, first["plain"]
     width = 1 + p + 2 * t
-    names = list(REGRESSORS)
+    names = [*REGRESSORS, TREE]
     placed = add_folds(design, k)
     grams = materialize(packed_grams(placed.select("model", "fold", "inner", F.concat("x", "y").alias("v")), ["model", "fold", "inner"], "v"))
 
@@ -110,23 +128,32 @@ def meta_learn(design: DataFrame, properties, k: int = N_FOLDS) -> tuple[DataFra
         train = {f: total - g for f, g in held.items() if total[0, 0] - g[0, 0] >= 1}
         return list(train), np.array(list(train.values()))
 
+    def trees(cells: pd.DataFrame, fold: str, folds: list) -> list[np.ndarray]:
+        """Trees of all targets, for the training part of every fold."""
+        x, s, q = (np.stack(cells[c].to_numpy()) for c in ("x", "s", "q"))
+        n, own = cells["n"].to_numpy(float), cells[fold].to_numpy()
+        return [grow_all(x[own != f, 1:], n[own != f], s[own != f], q[own != f]) for f in folds]
+
     # solving is heavy for its few rows, so algorithms are spread over a fixed number of tasks
     tasks = int(design.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = materialize(cell_sums(placed, ["model", "fold", "inner"], "x", "y", 2 * t))
     by_model = grams.repartition(tasks, "model").groupBy("model")
+    cells_by_model = cells.repartition(tasks, "model").groupBy("model")
 
     # 1. all regressors on the inner folds of the first training part
-    def solve_inner(part: pd.DataFrame) -> pd.DataFrame:
-        columns = ["model", "inner", "weights"]
-        part = part[part["fold"] != 0]
+    def solve_inner(part: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        columns = ["model", "inner", "weights", "trees"]
+        part, cells = part[part["fold"] != 0], cells[cells["fold"] != 0]
         if not len(part):
             return pd.DataFrame(columns=columns)
         folds, train = without(part, "inner")
         if not folds:
             return pd.DataFrame(columns=columns)
         weights = fit(train, p, list(REGRESSORS.values()), plain)
-        return pd.DataFrame({"model": part["model"].iloc[0], "inner": folds, "weights": [w.ravel() for w in weights]})
+        grown = [g.ravel() for g in trees(cells, "inner", folds)]
+        return pd.DataFrame({"model": part["model"].iloc[0], "inner": folds, "weights": [w.ravel() for w in weights], "trees": grown})
 
-    inner_models = by_model.applyInPandas(solve_inner, "model string, inner int, weights array<double>")
+    inner_models = by_model.cogroup(cells_by_model).applyInPandas(solve_inner, "model string, inner int, weights array<double>, trees array<double>")
 
     def inner_errors(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -135,9 +162,9 @@ def meta_learn(design: DataFrame, properties, k: int = N_FOLDS) -> tuple[DataFra
             if not len(test):
                 continue
             x, y, ref = (np.stack(test[c].to_numpy()) for c in ("x", "y", "ref"))
-            weights = np.asarray(one["weights"]).reshape(len(names), p + 1, 2 * t)
-            for name, w in zip(names, weights):
-                pred = x @ w
+            weights = np.asarray(one["weights"]).reshape(len(REGRESSORS), p + 1, 2 * t)
+            grown = np.asarray(one["trees"]).reshape(2 * t, -1, 3)
+            for name, pred in zip(names, [*(x @ w for w in weights), tree_values(grown, x[:, 1:])]):
                 real = _real(np.clip(pred[:, :t], 0, 1), ref, maximize)
                 for scale, error in (("index", y[:, t:] - real), ("value", pred[:, t:] - y[:, t:])):
                     out += [
@@ -152,8 +179,8 @@ def meta_learn(design: DataFrame, properties, k: int = N_FOLDS) -> tuple[DataFra
     chosen = materialize(select_regressor(errors, ["model", "scale", "property"]))
 
     # 2. the chosen regressor on the outer folds
-    def solve_outer(part: pd.DataFrame, picks: pd.DataFrame) -> pd.DataFrame:
-        columns = ["model", "fold", "weights"]
+    def solve_outer(part: pd.DataFrame, picks: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        columns = ["model", "fold", "weights", "trees", "by_tree"]
         if not len(part):
             return pd.DataFrame(columns=columns)
         folds, train = without(part, "fold")
@@ -161,13 +188,19 @@ def meta_learn(design: DataFrame, properties, k: int = N_FOLDS) -> tuple[DataFra
             return pd.DataFrame(columns=columns)
         pick = {(r.scale, r.property): r.regr for r in picks.itertuples()}
         wanted = [pick.get((scale, key), names[0]) for scale in ("index", "value") for key in keys]
-        used = sorted(set(wanted))
+        used = sorted(set(wanted) - {TREE}) or names[:1]
         solved = fit(train, p, [REGRESSORS[u] for u in used], plain)
-        weights = np.stack([solved[:, used.index(name), :, column] for column, name in enumerate(wanted)], axis=-1)
-        return pd.DataFrame({"model": part["model"].iloc[0], "fold": folds, "weights": [w.ravel() for w in weights]})
-
-    outer_models = by_model.cogroup(chosen.repartition(tasks, "model").groupBy("model")).applyInPandas(
-        solve_outer, "model string, fold int, weights array<double>"
+        weights = np.stack([solved[:, used.index(name if name != TREE else used[0]), :, column] for column, name in enumerate(wanted)], axis=-1)
+        by_tree = [name == TREE for name in wanted]
+        grown = [g.ravel() for g in trees(cells, "fold", folds)] if any(by_tree) else [np.zeros(0)] * len(folds)
+        return pd.DataFrame({
+            "model": part["model"].iloc[0], "fold": folds, "weights": [w.ravel() for w in weights], "trees": grown, "by_tree": [by_tree] * len(folds),
+        })
+
+    picks = chosen.groupBy("model").agg(F.collect_list(F.struct("scale", "property", "regr")).alias("picks"))
+    outer_models = grams.join(picks, "model").repartition(tasks, "model").groupBy("model").cogroup(cells_by_model).applyInPandas(
+        lambda part, cells: solve_outer(part.drop(columns="picks"), _picks(part), cells),
+        "model string, fold int, weights array<double>, trees array<double>, by_tree array<boolean>",
     )
 
     def predict(rows: pd.DataFrame, models: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +208,7 @@ def meta_learn(design: DataFrame, properties, k: int = N_FOLDS) -> tuple[DataFra
             return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
         x, y, ref = (np.stack(rows[c].to_numpy()) for c in ("x", "y", "ref"))
         folds = models["fold"].to_numpy()
-        preds = np.stack([x @ np.asarray(w).reshape(p + 1, 2 * t) for w in models["weights"]])
+        preds = np.stack([_both(x, *one) for one in zip(models["weights"], models["trees"], models["by_tree"])])
         own = folds[:, None] == rows["fold"].to_numpy()[None, :]
         test = np.where(own[:, :, None], preds, 0).sum(axis=0) / np.maximum(own.sum(axis=0), 1)[:, None]
         test[own.sum(axis=0) == 0] = np.nan
