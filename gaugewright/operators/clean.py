@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.scalars import short_environment
+from gaugewright.operators.joins import join_groups
 
 # Highest plausible power in watt, models that are baselines, least budget in seconds.
 MAX_WATT = 400
@@ -16,7 +17,7 @@ MIN_BUDGET = 15
 def override_sizes(df: DataFrame, corrections: DataFrame, columns=("parameters", "fsize")) -> DataFrame:
     """Replace columns by the correction of the same model and data set where there is one."""
     fixes = corrections.select("model", "dataset", *[F.col(c).alias(f"{c}__fix") for c in columns])
-    joined = df.join(fixes, ["model", "dataset"], "left")
+    joined = join_groups(df, fixes, ["model", "dataset"])
     return joined.withColumns({c: F.coalesce(f"{c}__fix", c) for c in columns}).select(*df.columns)
 
 
@@ -34,7 +35,7 @@ def complete_rows(df: DataFrame, properties) -> DataFrame:
 def split_models(df: DataFrame, baselines=BASELINES, keys=("configuration", "environment")):
     """Baseline rows, and all other rows by exclusion of the baseline row ids."""
     base = df.filter(F.col("model").isin(*baselines))
-    return base, df.join(base.select(*keys), list(keys), "left_anti")
+    return base, join_groups(df, base.select(*keys), list(keys), "left_anti")
 
 
 def subset_datasets(complete: DataFrame, named: str = "credit-g", first: int = 6, last: int = 15) -> DataFrame:
@@ -66,8 +67,7 @@ def environment_statistics(complete: DataFrame, baselines: DataFrame, properties
 
     times = complete.groupBy("environment").agg(_seconds(digits).alias("seconds"))
     return (
-        times.join(counted(complete, "n_complete"), "environment", "left")
-        .join(counted(baselines, "n_baselines"), "environment", "left")
+        join_groups(join_groups(times, counted(complete, "n_complete"), ["environment"]), counted(baselines, "n_baselines"), ["environment"])
         .fillna(0, ["n_complete", "n_baselines"])
     )
 
@@ -82,4 +82,4 @@ def union_databases(*databases: DataFrame) -> DataFrame:
 
 def replace_part(full: DataFrame, part: DataFrame, keys=("configuration", "environment")) -> DataFrame:
     """The full table with the rows of ``part`` put in place of their old versions."""
-    return full.join(part.select(*keys), list(keys), "left_anti").unionByName(part.select(*full.columns))
+    return join_groups(full, part.select(*keys), list(keys), "left_anti").unionByName(part.select(*full.columns))

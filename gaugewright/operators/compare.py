@@ -50,7 +50,7 @@ def chain(df: DataFrame, keys, order: str, columns) -> DataFrame:
     ranked = ordered_rank(df.select(*keys, order, *columns), list(keys), [order])
     left = ranked.select(*keys, "rank", *[F.col(c).alias(f"{c}_from") for c in (order, *columns)])
     right = ranked.select(*keys, (F.col("rank") - 1).alias("rank"), *[F.col(c).alias(f"{c}_to") for c in (order, *columns)])
-    return left.join(right, [*keys, "rank"]).drop("rank")
+    return join_groups(left, right, [*keys, "rank"], "inner").drop("rank")
 
 
 def energy(train="train_power_draw", inference="power_draw") -> Column:
@@ -66,7 +66,8 @@ def cost_rows(df: DataFrame, recommended: DataFrame, baselines: DataFrame) -> Da
     """
     columns = ["environment", "dataset", "source", "accuracy", "energy"]
     rows = df.select("environment", "dataset", "model", "configuration", "accuracy", energy().alias("energy"))
-    ours = rows.join(recommended.select("environment", "dataset", "configuration"), ["environment", "dataset", "configuration"])
+    chosen = ["environment", "dataset", "configuration"]
+    ours = join_groups(rows, recommended.select(*chosen), chosen, "inner")
     exhaustive = rows.groupBy("environment", "dataset").agg(
         F.max("accuracy").alias("accuracy"), F.sum("energy").alias("energy")
     )

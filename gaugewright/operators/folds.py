@@ -7,6 +7,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewright.operators.joins import join_groups
 from gaugewright.operators.ranking import ordered_rank
 
 
@@ -52,6 +53,6 @@ def group_kfold(df: DataFrame, group: str, k: int = 5, keys=()) -> DataFrame:
     schema = ", ".join([f"`{c}` {types[c]}" for c in keys] + ["n long, start long, stop long, turn array<int>"])
     turns = df.sparkSession.createDataFrame(phases, schema)
     inside = (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("stop"))
-    return ranked.join(turns, [*keys, "n"]).filter(inside).select(
+    return join_groups(ranked, turns, [*keys, "n"], "inner").filter(inside).select(
         *keys, group, "n", F.get("turn", (F.col("rank") - F.col("start")) % F.size("turn")).alias("fold")
     )

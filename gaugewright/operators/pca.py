@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.operators.gram import moments, packed_grams, unpack
+from gaugewright.operators.joins import join_groups
 from gaugewright.operators.quantiles import exact_quantiles
 from gaugewright.session import materialize
 
@@ -51,7 +52,7 @@ def project(df: DataFrame, keys: list[str], columns: list[str], components: int,
     models = loadings(df, keys, columns, components)
     packed = models.groupBy(*keys).agg(F.collect_list(F.struct("component", "shift", "weights")).alias("_model"))
     rows = df.select(*keys, *keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
-    joined = rows.join(packed, keys) if keys else rows.withColumn("_model", packed.scalar())
+    joined = join_groups(rows, packed, keys, "inner") if keys else rows.withColumn("_model", packed.scalar())
     score = " + ".join(["_m.shift", *[f"_m.weights[{i}] * _x{i}" for i in range(len(columns))]])
     return joined.withColumn("_m", F.explode("_model")).selectExpr(
         *keys, *keep, "_m.component AS component", f"{score} AS score"
@@ -66,6 +67,6 @@ def pca_metafeatures(df: DataFrame, features: list[str], label: str, key: str =
     )
     median = exact_quantiles(scores, [key, "component"], "score", [0.5], "median").withColumn("median", F.col("median")[0])
     names = ("min", "max", "mean", "std", "median")
-    return simple.join(median, [key, "component"]).groupBy(key).agg(*[
+    return join_groups(simple, median, [key, "component"], "inner").groupBy(key).agg(*[
         F.max(F.when(F.col("component") == c, F.col(n))).alias(f"{c}_{n}") for c in range(components) for n in names
     ])

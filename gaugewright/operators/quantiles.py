@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugewright.operators.joins import join_groups
+
 # A bucket spans a factor of 2**(1/16384), so values of nine significant digits put at most
 # 42,400 distinct values into one bucket, and one power of two needs at most 16,384 histogram rows.
 BUCKETS_PER_OCTAVE = 1 << 14
@@ -59,7 +61,7 @@ def exact_positions(
 
     hit = histogram.filter(covers("(_end - _bc)", "_end")).selectExpr(*keys, "_b", "_n", "_end - _bc AS _before")
     found = (
-        counted.join(hit, [*keys, "_b"])
+        join_groups(counted, hit, [*keys, "_b"], "inner")
         .selectExpr("*", f"_before + sum(_c) OVER (PARTITION BY {by}, _b ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _stop")
         .selectExpr("*", "_stop - _c AS _start").filter(covers("_start", "_stop"))
     )

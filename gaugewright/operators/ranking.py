@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugewright.operators.joins import join_groups
 from gaugewright.session import materialize
 
 
@@ -31,7 +32,7 @@ def ordered_rank(df: DataFrame, keys: list[str], order: list, rank: str = "rank"
     )
     local = Window.partitionBy(*keys, "_part").orderBy(*order)
     return (
-        placed.join(offsets, [*keys, "_part"])
+        join_groups(placed, offsets, [*keys, "_part"], "inner")
         .withColumn(rank, F.col("_offset") + F.row_number().over(local) - 1)
         .drop("_part", "_offset")
     )

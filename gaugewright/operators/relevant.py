@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugewright.operators.joins import join_groups
+
 
 def relevant_metrics(df: DataFrame, properties) -> DataFrame:
     """Per (dataset, task) the usable properties by ascending weight and the default axes.
@@ -14,7 +16,7 @@ def relevant_metrics(df: DataFrame, properties) -> DataFrame:
     """
     by_task = df.groupBy("dataset", "task").agg(*[F.count(p.key).alias(p.key) for p in properties])
     by_set = df.groupBy("dataset").agg(*[F.count(p.key).alias(f"{p.key}__set") for p in properties])
-    joined = by_task.join(by_set, "dataset")
+    joined = join_groups(by_task, by_set, ["dataset"], "inner")
     entries = F.array(*[
         F.when(
             (F.col(p.key) > 0) | (F.lit(p.independent) & (F.col(f"{p.key}__set") > 0)),

@@ -62,11 +62,11 @@ def add_folds(design: DataFrame, k: int = N_FOLDS) -> DataFrame:
     """Outer fold per algorithm and base data set, and inner fold of the rows outside outer fold 0."""
     based = design.withColumn("base", base_dataset(F.col("dataset")))
     outer = group_kfold(based, "base", k, ["model"]).select("model", "base", "fold")
-    placed = materialize(based.join(outer, ["model", "base"]))
+    placed = materialize(join_groups(based, outer, ["model", "base"], "inner"))
     inner = group_kfold(placed.filter("fold <> 0"), "base", k, ["model"]).select(
         "model", "base", F.col("fold").alias("inner")
     )
-    return materialize(placed.join(inner, ["model", "base"], "left").withColumn("inner", F.coalesce("inner", F.lit(-1))))
+    return materialize(join_groups(placed, inner, ["model", "base"]).withColumn("inner", F.coalesce("inner", F.lit(-1))))
 
 
 def _real(pred, ref, maximize):
@@ -96,8 +96,8 @@ def _chunks(rows: DataFrame, models: DataFrame, chunk_rows: int = CHUNK_ROWS):
     """Cut the rows of an algorithm into chunks of bounded size and give each chunk its own copy of the
     algorithm's (small) models."""
     sizes = rows.groupBy("model").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    chunked = rows.join(sizes, "model").withColumn("chunk", F.pmod(F.xxhash64(*ROW_ID), F.col("chunks")).cast("int"))
-    copied = models.join(sizes, "model").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    chunked = join_groups(rows, sizes, ["model"], "inner").withColumn("chunk", F.pmod(F.xxhash64(*ROW_ID), F.col("chunks")).cast("int"))
+    copied = join_groups(models, sizes, ["model"], "inner").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return chunked.drop("chunks").groupBy("model", "chunk"), copied.drop("chunks").groupBy("model", "chunk")
 
 
@@ -198,7 +198,7 @@ def meta_learn(design: DataFrame, properties, k: int = N_FOLDS) -> tuple[DataFra
         })
 
     picks = chosen.groupBy("model").agg(F.collect_list(F.struct("scale", "property", "regr")).alias("picks"))
-    outer_models = grams.join(picks, "model").repartition(tasks, "model").groupBy("model").cogroup(cells_by_model).applyInPandas(
+    outer_models = join_groups(grams, picks, ["model"], "inner").repartition(tasks, "model").groupBy("model").cogroup(cells_by_model).applyInPandas(
         lambda part, cells: solve_outer(part.drop(columns="picks"), _picks(part), cells),
         "model string, fold int, weights array<double>, trees array<double>, by_tree array<boolean>",
     )

@@ -13,6 +13,7 @@ from gaugewright.meta import GROUP_KEYS
 from gaugewright.operators.compare import top_per_group
 from gaugewright.operators.compound import combine_custom
 from gaugewright.operators.index import idx
+from gaugewright.operators.joins import join_groups
 
 ROW_ID = ("configuration", "environment")
 
@@ -26,8 +27,8 @@ def recalculate_values(predictions: DataFrame, rated: DataFrame, references: Dat
         )
         for p in properties
     ])
-    truth = rated.join(references, list(GROUP_KEYS)).select(*ROW_ID, F.inline(cells))
-    joined = predictions.join(truth, [*ROW_ID, "property"])
+    truth = join_groups(rated, references, list(GROUP_KEYS), "inner").select(*ROW_ID, F.inline(cells))
+    joined = join_groups(predictions, truth, [*ROW_ID, "property"], "inner")
     value = F.expr(f"if(maximize, {index_to_value('pred', 'ref', True)}, {index_to_value('pred', 'ref', False)})")
     return joined.withColumn("pred_value", value).withColumn("err", F.col("value") - F.col("pred_value")).drop("maximize")
 
@@ -48,7 +49,7 @@ def truth_table(rated: DataFrame, properties) -> DataFrame:
 
 def with_truth(predictions: DataFrame, rated: DataFrame, properties) -> DataFrame:
     """Prediction next to the measured index; the error is prediction - truth."""
-    return predictions.join(truth_table(rated, properties), [*ROW_ID, "property"]).withColumn(
+    return join_groups(predictions, truth_table(rated, properties), [*ROW_ID, "property"], "inner").withColumn(
         "err", F.round(F.col("pred") - F.col("truth"), DIGITS)
     )
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewright.operators.merge import RUN_KEYS, with_identity
 
+BUCKETS = 64  # of the names seen so far
+
 
 def partial_sums(runs: DataFrame, order: str = "log_name") -> DataFrame:
     """Counts, sums and first texts per configuration and environment: all that merging needs to know of the runs."""
@@ -34,21 +36,31 @@ def merge_partials(partials: DataFrame) -> DataFrame:
     )
 
 
+def bucket(key: str) -> Column:
+    """The bucket of a run's name among those seen."""
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
 def start_merge(runs: DataFrame, table: str, checkpoint: str, key: str = "log_name"):
     """Merge a stream of runs into a table of partial sums, one part per micro-batch.
 
-    A run whose name was seen before does not count again: the names of earlier batches are a table, not state.  A
-    repeated batch compares itself with the batches before it only and replaces its own parts, so that the sink is
-    exactly-once.
+    A run whose name was seen before does not count again: the names of earlier batches are a table, not state, and lie
+    in buckets by their hash; a batch reads only the buckets of its own names (at most ``BUCKETS`` numbers reach the
+    driver). Runs without a name can't be recognised, so each of them counts. A repeated batch compares itself with the
+    batches before it only and replaces its own parts, so that the sink is exactly-once.
     """
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        seen = _parts(spark, f"{table}/names", batch.select(key).schema.simpleString()[7:-1].replace(":", " "))
-        fresh = batch.dropDuplicates([key])
+        kind = batch.schema[key].dataType.simpleString()
+        seen = _parts(spark, f"{table}/names", f"`{key}` {kind}, batch long, bucket int")
+        named = batch.filter(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("bucket", bucket(key))
         if seen is not None:
-            fresh = fresh.join(seen.filter(F.col("batch") < number).select(key), key, "left_anti")
+            hit = [r[0] for r in named.select("bucket").distinct().collect()]
+            known = seen.filter((F.col("batch") < number) & F.col("bucket").isin(hit)).select(key, "bucket")
+            named = named.join(known, [key, "bucket"], "left_anti").select(*named.columns)
+        fresh = named.drop("bucket").unionByName(batch.filter(F.col(key).isNull()))
         partial_sums(fresh, key).write.mode("overwrite").parquet(f"{table}/sums/batch={number}")
-        fresh.select(key).write.mode("overwrite").parquet(f"{table}/names/batch={number}")
+        named.select(key, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/names/batch={number}")
 
     return (
         runs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
@@ -56,7 +68,7 @@ def start_merge(runs: DataFrame, table: str, checkpoint: str, key: str = "log_na
 
 
 def _parts(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    reader = spark.read if schema is None else spark.read.schema(f"{schema}, batch long")
+    reader = spark.read if schema is None else spark.read.schema(schema)
     try:
         found = reader.parquet(path)
         found.limit(0).collect()
