@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from gaugewright.catalog import sqltext as S
 from gaugewright.catalog.analysis import _FEATS, rated, tabular
-from gaugewright.catalog.base import query, r6
+from gaugewright.catalog.base import ORACLES, QUERIES, query, r6
 from gaugewright.meta import DEFAULT_PROPERTIES as PROPS
 from gaugewright.operators import classify as Y
 from gaugewright.operators.compare import reference_values
 from gaugewright.operators.gram import fit_linear, gram_sums
-from gaugewright.operators.metafeatures import statistical
+from gaugewright.operators.metafeatures import STATISTICAL, statistical
 from gaugewright.operators.pca import pca_metafeatures, project
 from gaugewright.operators.pooling import pair_pooling
 from gaugewright.operators.scores import error_summary
@@ -129,18 +129,68 @@ def random_search(spark, sf):
 # ---------------------------------------------------------------- components and pooled pairs
 
 
-@query("mf_pca")
+def _jacobi(name, source, key, columns, components, sweeps):
+    """SQL for the leading components of standardized columns: rotations in turn until the correlations are diagonal.
+
+    Gives a table of that name with (key, comp, shift, w), weights on the raw columns.
+    """
+    p = len(columns)
+    flat = lambda c: f"stddev_pop({c}) <= 1e-9 * greatest(abs(avg({c})), 1)"
+    sds = ", ".join(f"CASE WHEN {flat(c)} THEN 1.0::DOUBLE ELSE stddev_pop({c}) END" for c in columns)
+    entry = lambda x, y: f"CASE WHEN {flat(x)} OR {flat(y)} THEN 0.0::DOUBLE ELSE covar_pop({x}, {y}) / (stddev_pop({x}) * stddev_pop({y})) END"
+    matrix = ", ".join(entry(*sorted((x, y), key=columns.index)) for x in columns for y in columns)
+    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
+    at = lambda m, x, y: f"{m}[({x}) * {p} + ({y}) + 1]"
+    cols = lambda m: f"list_transform(range({p * p}), lambda e : CASE e % {p} WHEN i THEN c * {at(m, f'e // {p}', 'i')} - s * {at(m, f'e // {p}', 'j')} WHEN j THEN s * {at(m, f'e // {p}', 'i')} + c * {at(m, f'e // {p}', 'j')} ELSE {m}[e + 1] END)"
+    rows = f"list_transform(range({p * p}), lambda e : CASE e // {p} WHEN i THEN c * {at('b', 'i', f'e % {p}')} - s * {at('b', 'j', f'e % {p}')} WHEN j THEN s * {at('b', 'i', f'e % {p}')} + c * {at('b', 'j', f'e % {p}')} ELSE b[e + 1] END)"
+    eye = ", ".join("1.0::DOUBLE" if i == j else "0.0::DOUBLE" for i in range(p) for j in range(p))
+    by = f"{key}, " if key else ""
+    return f"""{name}_m AS MATERIALIZED (SELECT {by}[{", ".join(f"avg({c})" for c in columns)}] AS mean, [{sds}] AS sd, [{matrix}] AS a FROM {source}{f" GROUP BY {key}" if key else ""}),
+ {name}_p(i, j, turn) AS (VALUES {", ".join(f"({i}, {j}, {t})" for t, (i, j) in enumerate(pairs))}),
+ {name}_r({by}turn, a, v) AS (
+  SELECT {by}0, a, [{eye}] FROM {name}_m
+  UNION ALL
+  SELECT {by}turn, {rows}, v FROM (
+   SELECT {by}turn + 1 AS turn, i, j, c, s, {cols("a")} AS b, {cols("v")} AS v FROM (
+    SELECT *, t / sqrt(t * t + 1) AS s, 1 / sqrt(t * t + 1) AS c FROM (
+     SELECT {", ".join(f"r.{k}" for k in ([key] if key else []) + ["turn", "a", "v"])}, i, j, CASE WHEN abs({at("a", "i", "j")}) < 1e-300 THEN 0.0::DOUBLE ELSE
+       CASE WHEN {at("a", "j", "j")} >= {at("a", "i", "i")} THEN 1 ELSE -1 END / (abs(({at("a", "j", "j")} - {at("a", "i", "i")}) / (2 * {at("a", "i", "j")})) + sqrt(power(({at("a", "j", "j")} - {at("a", "i", "i")}) / (2 * {at("a", "i", "j")}), 2) + 1)) * sign({at("a", "i", "j")}) END AS t
+     FROM {name}_r r JOIN {name}_p p ON p.turn = r.turn % {len(pairs)} WHERE r.turn < {sweeps * len(pairs)}
+    )
+   )
+  )
+ ),
+ {name}_e AS (SELECT {by}k, row_number() OVER ({f"PARTITION BY {key} " if key else ""}ORDER BY a[k * {p + 1} + 1] DESC) - 1 AS comp, list_transform(range({p}), lambda e : v[e * {p} + k + 1]) AS u FROM {name}_r, range({p}) t(k) WHERE turn = {sweeps * len(pairs)}),
+ {name}_s AS (SELECT {by}comp, list_transform(u, lambda e : e * sign(list_first(list_filter(u, lambda f : round(abs(f), 9) = list_max(list_transform(u, lambda g : round(abs(g), 9))))))) AS u FROM {name}_e WHERE comp < {components}),
+ {name} AS MATERIALIZED (SELECT {by}comp, w, -list_dot_product(mean, w) AS shift FROM (SELECT {by}comp, mean, list_transform(range({p}), lambda e : u[e + 1] / sd[e + 1]) AS w FROM {name}_s JOIN {name}_m {f"USING ({key})" if key else "ON true"}))"""
+
+
+_PCA = (*_FEATS, "code")
+_PCA_NAMES = {"min": "min(score)", "max": "max(score)", "mean": "avg(score)", "std": "stddev_pop(score)", "median": "quantile_cont(score, 0.5)"}
+_TAB = f"t AS MATERIALIZED (SELECT p_brand AS dataset, l_returnflag AS label, {', '.join(f'{e} AS {f}' for f, e in _FEATS.items())}, CAST(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS DOUBLE) AS code FROM lineitem JOIN part ON l_partkey = p_partkey)"
+
+
+@query("mf_pca", f"""WITH RECURSIVE {_TAB}, {_jacobi("pc", "t", "dataset", _PCA, 3, 8)},
+ s AS (SELECT t.dataset, comp, shift + list_dot_product(w, [{", ".join(_PCA)}]) AS score FROM t JOIN pc USING (dataset)),
+ a AS (SELECT dataset, comp, {", ".join(f"round({e} + CAST(1e-9 AS DOUBLE), 6) AS {n}" for n, e in _PCA_NAMES.items())} FROM s GROUP BY dataset, comp)
+SELECT dataset, {", ".join(f'max(CASE WHEN comp = {c} THEN a.{n} END) AS "{c}_{n}"' for c in range(3) for n in _PCA_NAMES)} FROM a GROUP BY dataset""")
 def mf_pca(spark, sf):
     data = tabular(spark, sf).withColumn("code", F.expr("CASE label WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"))
-    return pca_metafeatures(data, list(_FEATS), "code")
+    found = pca_metafeatures(data, list(_FEATS), "code")
+    return found.select("dataset", *[r6(F.col(f"`{c}`")).alias(c) for c in found.columns if c != "dataset"])
+
 
+_MAP_SQL = ORACLES["mf_statistical"]
 
-@query("dataset_map")
+
+@query("dataset_map", f"""WITH RECURSIVE f AS MATERIALIZED (SELECT dataset, {", ".join(f"coalesce({c}, 0)::DOUBLE AS {c}" for c in STATISTICAL)} FROM ({_MAP_SQL})),
+ {_jacobi("pc", "f", "", STATISTICAL, 2, 10)}
+SELECT f.dataset, {", ".join(f"round(max(CASE WHEN comp = {c} THEN shift + list_dot_product(w, [{', '.join(STATISTICAL)}]) END) + CAST(1e-9 AS DOUBLE), 5) AS {n}" for c, n in enumerate("xy"))} FROM f, pc GROUP BY f.dataset""")
 def dataset_map(spark, sf):
-    features = materialize(statistical(tabular(spark, sf), list(_FEATS), "label").fillna(0.0))
-    columns = [c for c in features.columns if c != "dataset"]
-    scores = project(features, [], columns, 2, ["dataset"])
-    return scores.groupBy("dataset").agg(*[F.max(F.when(F.col("component") == i, F.col("score"))).alias(n) for i, n in enumerate("xy")])
+    """Two components of the (rounded) statistical features of the data sets."""
+    features = materialize(QUERIES["mf_statistical"](spark, sf).fillna(0.0).fillna(0))
+    scores = project(features, [], list(STATISTICAL), 2, ["dataset"])
+    return scores.groupBy("dataset").agg(*[F.round(F.max(F.when(F.col("component") == i, F.col("score"))) + 1e-9, 5).alias(n) for i, n in enumerate("xy")])
 
 
 _POOL = tuple(_FEATS)

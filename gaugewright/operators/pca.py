@@ -18,7 +18,7 @@ from gaugewright.session import materialize
 def loadings(df: DataFrame, keys: list[str], columns: list[str], components: int) -> DataFrame:
     """Per key the constant and the weights of every component on the raw columns.
 
-    The sign of a component is chosen so that its largest loading is positive.
+    The sign of a component is chosen so that its largest loading (the first of those equal in nine digits) is positive.
     """
     width = len(columns) + 1
     vector = F.array(F.lit(1.0), *[F.col(c).cast("double") for c in columns])
@@ -37,7 +37,7 @@ def loadings(df: DataFrame, keys: list[str], columns: list[str], components: int
                 _, vectors = np.linalg.eigh(corr)
                 for c in range(min(components, len(columns))):
                     w = vectors[:, -1 - c]
-                    w = w * np.sign(w[np.abs(w).argmax()]) / deviation
+                    w = w * np.sign(w[np.round(np.abs(w), 9).argmax()]) / deviation
                     rows.append({**{k: record[k] for k in keys}, "component": c, "shift": -float(mean @ w), "weights": w})
             if rows:
                 yield pd.DataFrame(rows)

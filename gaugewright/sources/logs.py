@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewright.functions.names import hardware_name, software_name
 from gaugewright.functions.scalars import nan_to_null
+from gaugewright.session import materialize
 
 CONFIG = "struct<ds:string,method:string,seed:bigint,timestamp:string>"
 RESULTS = (
@@ -22,27 +26,35 @@ LOG_SCHEMA = (
 )
 RUN_FILES = {"config.json": CONFIG, "results.json": RESULTS, "execution_platform.json": PLATFORM}
 ALL_FILES = (*RUN_FILES, "requirements.txt", "emissions.csv")
+AT_ONCE = 10_000  # directories that one scan opens
+
 # after a comma a field is quoted, with doubled quotes inside, or runs to the next comma
 _FIELD = r',("(?:[^"]|"")*"|[^,]*)'
 
 
 def _named(path: Column) -> tuple[Column, Column]:
-    """Run directory and file name of a path."""
-    return F.url_decode(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1)), F.regexp_extract(path, r"([^/]+)$", 1)
+    """Run directory and file name of an encoded path (in which a plus sign is one)."""
+    directory = F.replace(F.regexp_extract(path, r"([^/]+)/[^/]+$", 1), F.lit("+"), F.lit("%2B"))
+    return F.url_decode(directory), F.regexp_extract(path, r"([^/]+)$", 1)
+
+
+def escaped(name: str) -> str:
+    """A directory name in which no character stands for others."""
+    return re.sub(r"([\\\[\]{}*?,^])", r"\\\1", name)
 
 
 def read_run_files(spark: SparkSession, root: str, directories: list[str] | None = None) -> DataFrame:
     """Texts of the known files of all (or the named) run directories in one scan: directory_name, file, value."""
     names = "{" + ",".join(ALL_FILES) + "}"
-    paths = [f"{root}/*/{names}"] if directories is None else [f"{root}/{d}/{names}" for d in directories]
+    paths = [f"{root}/*/{names}"] if directories is None else [f"{root}/{escaped(d)}/{names}" for d in directories]
     directory, file = _named(F.col("_metadata.file_path"))
     return spark.read.text(paths, wholetext=True).select(directory.alias("directory_name"), file.alias("file"), "value")
 
 
 def list_run_directories(spark: SparkSession, root: str) -> DataFrame:
     """Names of the run directories; no file is opened."""
-    listed = spark.read.format("binaryFile").load(f"{root}/*/{{{','.join(ALL_FILES)}}}").select("path")
-    return listed.select(_named(F.col("path"))[0].alias("directory_name")).distinct()
+    listed = spark.read.format("binaryFile").load(f"{root}/*/{{{','.join(ALL_FILES)}}}")
+    return listed.select(_named(F.col("_metadata.file_path"))[0].alias("directory_name")).distinct()
 
 
 def parse_emissions(text: Column) -> Column:
@@ -118,8 +130,8 @@ def new_runs(incoming: DataFrame, known: DataFrame, key: str = "directory_name")
 def ingest_directories(spark: SparkSession, root: str, bronze: str) -> DataFrame:
     """Append the logs of unseen run directories to the bronze table.
 
-    Directories are listed and compared by name first, so files of known ones are not opened again.  The list of new
-    names is on the driver, as the file listing itself is.
+    Directories are listed and compared by name first, so files of known ones are not opened again.  New names come to
+    the driver ``AT_ONCE`` at a time, as paths of one scan each; a run that is cut off goes on where it stopped.
     """
     try:
         known = spark.read.schema(LOG_SCHEMA).parquet(bronze)
@@ -128,9 +140,10 @@ def ingest_directories(spark: SparkSession, root: str, bronze: str) -> DataFrame
         if "PATH_NOT_FOUND" not in str(error):
             raise
         known = spark.createDataFrame([], LOG_SCHEMA)
-    fresh = [r[0] for r in new_runs(list_run_directories(spark, root), known).collect()]
-    if fresh:
-        read_run_directories(spark, root, sorted(fresh)).write.mode("append").parquet(bronze)
+    fresh = materialize(new_runs(list_run_directories(spark, root), known).select("directory_name"))
+    names = (r[0] for r in fresh.toLocalIterator())
+    while some := sorted(itertools.islice(names, AT_ONCE)):
+        read_run_directories(spark, root, some).write.mode("append").parquet(bronze)
     return spark.read.schema(LOG_SCHEMA).parquet(bronze)
 
 

@@ -67,6 +67,32 @@ def test_incremental_ingestion(spark, root, tmp_path):
     assert again.count() == 6 and again.filter("config.ds = 'changed'").isEmpty()
 
 
+def test_odd_directory_names(spark, tmp_path):
+    root, bronze = tmp_path / "odd", str(tmp_path / "bronze")
+    names = ["train_a", "train_b[1]", "train c{2}", "train_d+e", "train_f%41", "train_g*", "train_h?", "train_i,j", "train_k^", "train_\u00e9"]
+    root.mkdir()
+    for name in names:
+        write_run(root, name)
+    found = logs.ingest_directories(spark, str(root), bronze)
+    assert sorted(r[0] for r in found.select("directory_name").collect()) == sorted(names)
+    assert logs.ingest_directories(spark, str(root), bronze).count() == len(names)
+
+
+def test_many_directories_in_parts(spark, tmp_path, monkeypatch):
+    """Only new directories are opened, a few hundred with each scan."""
+    root, bronze = tmp_path / "many", str(tmp_path / "bronze")
+    root.mkdir()
+    for i in range(450):
+        write_run(root, f"run_{i}")
+    monkeypatch.setattr(logs, "AT_ONCE", 200)
+    opened = []
+    read = logs.read_run_directories
+    monkeypatch.setattr(logs, "read_run_directories", lambda spark, root, some: opened.append(len(some)) or read(spark, root, some))
+    assert logs.ingest_directories(spark, str(root), bronze).count() == 450 and opened == [200, 200, 50]
+    write_run(root, "run_new")
+    assert logs.ingest_directories(spark, str(root), bronze).count() == 451 and opened[3:] == [1]
+
+
 def test_quoted_emissions(spark):
     text = 'cpu,duration,gpu,energy_consumed\r\n"Intel, ""i7""",10.0,x,0.5\r\n,3.5,"a,b",\r\n\r\n'
     df = spark.createDataFrame([(text,), ("duration\n1",), ("",), (None,)], "t string").select(logs.parse_emissions(F.col("t")).alias("e"))
