@@ -8,6 +8,7 @@ from gaugewright.catalog import sqltext as S
 from gaugewright.catalog.base import query, r6
 from gaugewright.catalog.ingest import meas
 from gaugewright.meta import PROPERTY_KEYS
+from gaugewright.operators.hashing import hashed_neighbours
 from gaugewright.operators import prep as T
 from gaugewright.operators.clean import complete_rows, drop_implausible_power
 from gaugewright.operators.folds import group_kfold
@@ -145,3 +146,23 @@ def scaled_embeddings(spark, sf):
     z = F.array(*[(F.col(c) - stats[f"{c}m"]) / (stats[f"{c}s"] or 1.0) for c in names])
     scaled = materialize(wide.select("vec_id", "label", "is_test", z.alias("z")))
     return scaled.filter("NOT is_test").drop("is_test"), scaled.filter("is_test").drop("is_test")
+
+
+_LSH = {"tables": 8, "signs": 6, "flips": 4}
+
+
+@query("knn_lsh", f"""WITH s AS (SELECT vec_id, list_transform(embedding, lambda v : CAST(v AS DOUBLE)) AS x, row_number() OVER (ORDER BY substr(md5(concat(vec_id, '-42')), 1, 13)) <= ceil(count(*) OVER () * CAST(0.25 AS DOUBLE)) AS is_test FROM embeddings),
+ u AS (SELECT vec_id, is_test, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM s), st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS sd FROM u WHERE NOT is_test GROUP BY i),
+ z AS MATERIALIZED (SELECT vec_id, any_value(is_test) AS is_test, list((v - m) / sd ORDER BY u.i) AS z FROM u JOIN st ON u.i = st.i GROUP BY vec_id),
+ dirs AS MATERIALIZED (SELECT d, list(CAST(concat('0x', substr(md5(concat(d, '-', j)), 1, 8)) AS BIGINT) % 2001 / CAST(1000 AS DOUBLE) - 1 ORDER BY j) AS r FROM range({_LSH["tables"] * _LSH["signs"]}) a(d), range({_dims}) b(j) GROUP BY d),
+ p AS (SELECT vec_id, is_test, d // {_LSH["signs"]} AS tbl, d % {_LSH["signs"]} AS b, list_dot_product(z, r) AS dot FROM z, dirs),
+ c AS MATERIALIZED (SELECT vec_id, is_test, tbl, CAST(sum(CASE WHEN dot > 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS bucket, list(CAST(1 << b AS BIGINT) ORDER BY abs(dot), b)[1:{_LSH["flips"]}] AS unsure FROM p GROUP BY ALL),
+ asked AS (SELECT vec_id, tbl, xor(bucket, CAST(list_sum(list_transform(range({_LSH["flips"]}), lambda i : CASE WHEN (m >> i) & 1 = 1 THEN unsure[i + 1] ELSE 0 END)) AS BIGINT)) AS bucket FROM c, range({2 ** _LSH["flips"]}) t(m) WHERE is_test AND bit_count(m) <= 2),
+ pairs AS (SELECT DISTINCT a.vec_id, c.vec_id AS neighbour FROM asked a JOIN c ON c.tbl = a.tbl AND c.bucket = a.bucket AND NOT c.is_test),
+ n AS (SELECT p.*, round(list_distance(q.z, d.z), 9) AS dist FROM pairs p JOIN z q ON q.vec_id = p.vec_id JOIN z d ON d.vec_id = p.neighbour)
+SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY dist, neighbour) AS INTEGER) AS rank, neighbour, round(dist, 6) AS dist FROM n QUALIFY rank <= 5""")
+def hashed(spark, sf):
+    """Nearest training vectors of the test vectors from the buckets that each looks into."""
+    train, test = scaled_embeddings(spark, sf)
+    found = hashed_neighbours(test, train, "z", "vec_id", _dims, 5, **_LSH)
+    return found.select(F.col("id").alias("vec_id"), "rank", "neighbour", F.round("dist", 6).alias("dist"))
