@@ -19,6 +19,7 @@ from gaugewright.operators.search import draw_settings, min_rank
 from gaugewright.plans import metalearn as ML
 from gaugewright.plans.recommend import compound_predictions, recommend
 from gaugewright.session import materialize
+from gaugewright.sources.files import combine_metafeatures
 from gaugewright.sources.views import runs, table
 
 _GC = ("accuracy", "f1", "fsize", "parameters", "running_time")
@@ -226,10 +227,16 @@ ENVIRONMENTS = ("Arch F - Engine 1.0", "Arch O - Engine 1.0")
 
 
 def learned(spark, sf):
+    """Predictions and chosen regressors from every feature set: statistics, components, and both."""
     cells = rated(spark, sf)
-    features = materialize(statistical(tabular(spark, sf), list(_FEATS), "label").fillna(0.0))
-    design = ML.design_table(cells, reference_values(cells, PROPS), features, PROPS, ENVIRONMENTS)
-    return cells, *ML.meta_learn(materialize(design), PROPS)
+    data = tabular(spark, sf).withColumn("code", F.expr("CASE label WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END"))
+    statistics = materialize(statistical(data, list(_FEATS), "label").fillna(0.0))
+    components = materialize(pca_metafeatures(data, list(_FEATS), "code").fillna(0.0))
+    components = components.withColumnsRenamed({c: f"pca_{c}" for c in components.columns if c != "dataset"})
+    sets = {"statistical": statistics, "pca": components, "combined": combine_metafeatures(statistics, components)}
+    design = ML.design_sets(cells, reference_values(cells, PROPS), sets, PROPS, ENVIRONMENTS)
+    predictions, chosen = ML.meta_learn(materialize(design), PROPS)
+    return cells, materialize(ML.split_sets(predictions)), ML.split_sets(chosen)
 
 
 @query("meta_learn")
@@ -239,17 +246,17 @@ def meta_learn(spark, sf):
 
 @query("meta_learn_errors")
 def meta_learn_errors(spark, sf):
-    return error_summary(learned(spark, sf)[1], "test_err", ["scale", "property"])
+    return error_summary(learned(spark, sf)[1], "test_err", ["feature_set", "scale", "property"])
 
 
 @query("meta_learn_regressors")
 def meta_learn_regressors(spark, sf):
-    return learned(spark, sf)[2].groupBy("regr").agg(F.count("*").alias("n"))
+    return learned(spark, sf)[2].groupBy("feature_set", "regr").agg(F.count("*").alias("n"))
 
 
 @query("meta_learn_recommend")
 def meta_learn_recommend(spark, sf):
-    """Recommended algorithm per environment and data set by the learned compound score."""
+    """Recommended algorithm per environment and data set by the compound score learned from both feature sets."""
     _, predictions, _ = learned(spark, sf)
-    index = predictions.filter("scale = 'index'").withColumn("pred", F.col("test_pred"))
+    index = predictions.filter("scale = 'index' AND feature_set = 'combined'").withColumn("pred", F.col("test_pred"))
     return recommend(compound_predictions(index, PROPS), "compound_pred")

@@ -58,6 +58,34 @@ def design_table(rated: DataFrame, references: DataFrame, metafeatures: DataFram
     )
 
 
+SET_MARK = "\x1f"  # parts feature set and algorithm in one key
+
+
+def design_sets(rated: DataFrame, references: DataFrame, sets: dict[str, DataFrame], properties, environments) -> DataFrame:
+    """Design rows of several feature sets at once: the set becomes a part of the algorithm's name.
+
+    Vectors of narrower sets are filled with zeros in front of the environments; constant columns take no part in a fit.
+    All sets are so learned by the same jobs.
+    """
+    widest = max(len(s.columns) for s in sets.values()) - 1
+    levels = len(list(environments)) - 1
+    parts = []
+    for name, features in sets.items():
+        own = len(features.columns) - 1
+        filled = F.concat(
+            F.slice("x", 1, 1 + own), F.array_repeat(F.lit(0.0), widest - own), F.slice("x", 2 + own, levels) if levels else F.array().cast("array<double>")
+        )
+        one = design_table(rated, references, features, properties, environments)
+        parts.append(one.withColumn("x", filled).withColumn("model", F.concat(F.lit(name + SET_MARK), "model")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def split_sets(found: DataFrame) -> DataFrame:
+    """The feature set and the algorithm of results learned from `design_sets`."""
+    parts = F.split("model", SET_MARK)
+    return found.select(parts[0].alias("feature_set"), *[(parts[1].alias("model") if c == "model" else F.col(c)) for c in found.columns])
+
+
 def add_folds(design: DataFrame, k: int = N_FOLDS) -> DataFrame:
     """Outer fold per algorithm and base data set, and inner fold of the rows outside outer fold 0."""
     based = design.withColumn("base", base_dataset(F.col("dataset")))
