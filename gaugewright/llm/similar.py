@@ -5,8 +5,8 @@ class from the start. Documents that share a min-hash are compared with the firs
 its group, so a group is known to be connected and needs no look inside. Then each group's token union is taken over
 the prefixes of its documents' sets: the matrix of tokens and groups. Two groups that share tokens are opened only if
 the number of shared tokens, with all that may lie beyond the prefixes, can reach the threshold. Documents of opened
-groups are compared: first by the same bound on their own prefixes, then on whole sets. Components of all links are
-found by alternating stars.
+groups are compared: first by the same bound on their own prefixes, then on whole sets. Components are found by
+contraction: whole groups become single nodes before the next links are looked at.
 
 Prefixes follow a global order of tokens: frequent ones last, as seen in one document of `SAMPLED`; the order only
 decides how many pairs are looked at, never which links are found. A token of many documents of one group is a single
@@ -207,7 +207,7 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
     with small_batches(spark, 1024):
         pairs = materialize(may_link(pairs, classes))
     nodes = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().join(classes.select("c", "rep"), "c")
-    nodes = materialize(nodes.select("c", F.col("rep.k").alias("_k"), F.col("rep.t").alias("_r")))
+    nodes = materialize(narrowed(nodes.select("c", F.col("rep.k").alias("_k"), F.col("rep.t").alias("_r"))))
     own = docs.select(F.col(key).cast("long").alias("_k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_r"), F.col(text).alias("_x"))
     texts = own.join(sent_if_small(nodes, nodes.count()), ["_k", "_r"]).groupBy("c").agg(F.first("_x").alias("_x"))
     texts = materialize(texts)
@@ -230,27 +230,48 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
         return materialize(both.select("a", "b", "p", "q").mapInArrow(run, pairs.schema))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Smallest node (c, root) of each node with an edge (a, b), by alternating large and small stars."""
-    edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+def narrowed(df: DataFrame) -> DataFrame:
+    """Few partitions, and so few files, for tables of links and labels, whose rows are a few numbers."""
+    return df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (a, b) between the roots of their ends; a node without a label is its own root."""
+    for end in ("a", "b"):
+        to = labels.select(F.col("c").alias(end), F.col("root").alias("_to"))
+        edges = edges.join(to, end, "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+    return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def followed(labels: DataFrame | None, more: DataFrame) -> DataFrame:
+    """Labels (c, root) whose roots have roots themselves; nodes that only the second table knows join in."""
+    if labels is None:
+        return more
+    to = more.select(F.col("c").alias("root"), F.col("root").alias("_to"))
+    moved = labels.join(to, "root", "left").select("c", F.coalesce("_to", "root").alias("root"))
+    return moved.union(more.join(labels.select("c"), "c", "left_anti").select("c", "root"))
+
+
+def components(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Smallest node (c, root) of each other node that edges (a, b), and the labels of earlier ones, connect with it.
+
+    Each round gives every node the least of itself and its neighbours, which partial sums find whatever a node's degree,
+    and goes on with the edges between the roots; a star is one node after two rounds. Earlier labels are contracted
+    first, so edges between known groups are all that is worked on.
+    """
+    edges = materialize(narrowed(relabelled(edges, labels) if labels is not None else edges.filter("a <> b").select("a", "b").distinct()))
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        small = small.select("a", F.col("m").alias("b")).union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        edges = materialize(small.filter("a <> b").distinct())
-        # Stars all over: no node has two parents, no parent has one.
-        twice = edges.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
-        if twice.isEmpty() and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-            break
-    return edges.select(F.col("a").alias("c"), F.col("b").alias("root"))
+        least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("c"), F.least("a", "b").alias("root"))
+        least = materialize(narrowed(least.filter("c <> root")))
+        labels = materialize(narrowed(followed(labels, least)))
+        edges = materialize(narrowed(relabelled(edges, least)))
+    return labels if labels is not None else materialize(edges.select(F.col("a").alias("c"), F.col("b").alias("root")))
 
 
 def rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
     """Classes with their root (themselves if alone) and the group's number."""
-    joined = classes.join(sent_if_small(roots, roots.count()), "c", "left")
+    joined = classes.join(roots, "c", "left")
     return joined.withColumn("root", F.coalesce("root", "c")).withColumn("g", F.xxhash64("root"))
 
 
@@ -414,22 +435,19 @@ def _join(docs: DataFrame, key: str, text: str) -> DataFrame:
             F.first("hot").alias("hot"), F.first("rare").alias("rare"),
         ).withColumn("c", F.struct("f1", "f2"))
     )
-    links = linked(first_pairs(classes), classes, docs, key, text)
-    roots = components(links)
+    roots = components(linked(first_pairs(classes), classes, docs, key, text))
     grouped = materialize(rooted(classes.select("c", "n", "hot", "rare", "prefix"), roots))
-    pairs = materialize(opened(grouped))
+    pairs = materialize(narrowed(opened(grouped)))
     # A slice of each opened group first: what it links is one group afterwards, and such pairs are settled, as are
     # those of groups that a slice covers in full.
-    links = links.union(linked(across(pairs, grouped, True), classes, docs, key, text))
-    roots = components(links)
+    roots = components(linked(across(pairs, grouped, True), classes, docs, key, text), roots)
     now = rooted(grouped.select("c", F.col("g").alias("was")), roots).groupBy("was").agg(F.min("g").alias("now"))
     rest = pairs.filter((F.col("docs") > SLICE) | (F.col("docs_h") > SLICE)).join(
         now.select(F.col("was").alias("g"), "now"), "g"
     ).join(now.select(F.col("was").alias("h"), F.col("now").alias("then")), "h")
-    rest = materialize(rest.filter("now <> then").select("g", "h", "shared", "docs", "docs_h"))
+    rest = materialize(narrowed(rest.filter("now <> then").select("g", "h", "shared", "docs", "docs_h")))
     if not rest.isEmpty():
-        links = links.union(linked(across(rest, grouped, False), classes, docs, key, text))
-        roots = components(links)
+        roots = components(linked(across(rest, grouped, False), classes, docs, key, text), roots)
     ends = rooted(classes.select("c", "n", "rep"), roots)
     smallest = ends.groupBy("root").agg(F.min("rep.k").alias("component_id"))
     ids = ends.select("c", "n", "root").join(smallest, "root").select(F.col("c.f1").alias("f1"), F.col("c.f2").alias("f2"), "n", "component_id")
