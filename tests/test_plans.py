@@ -189,6 +189,26 @@ def test_meta_learning_finds_the_rule(spark):
     assert (agree["model_x"] == agree["model_y"]).mean() > 0.8
 
 
+def test_feature_sets_in_one_run(spark):
+    """A narrow set beside a wide one gives what it gives alone; a set that says nothing is worse."""
+    from gaugewright.plans.metalearn import design_sets, split_sets
+
+    df, features = learning_table(spark)
+    rated = rate(df, PROPS).database
+    refs = rated.groupBy("dataset", "task", "environment").agg(F.max("acc").alias("acc__ref"), F.min("time").alias("time__ref"))
+    noise = features.select("dataset", (F.crc32("dataset") % 97).cast("double").alias("noise"))
+    design = design_sets(rated, refs, {"wide": features, "narrow": noise}, PROPS, ENVIRONMENTS(rated))
+    assert {r[0] for r in design.select(F.size("x")).distinct().collect()} == {1 + 2 + 1}
+    found = split_sets(meta_learn(design, PROPS)[0]).toPandas()
+    alone = meta_learn(design_table(rated, refs, noise, PROPS, ENVIRONMENTS(rated)), PROPS)[0].toPandas()
+    assert set(found["model"]) == {"A", "B"} and set(found["feature_set"]) == {"wide", "narrow"}
+    keys = ["configuration", "environment", "scale", "property"]
+    both = found[found["feature_set"] == "narrow"].merge(alone, on=keys)
+    assert len(both) == len(alone) and np.allclose(both["test_pred_x"], both["test_pred_y"], atol=1e-6)
+    error = found[found["scale"] == "index"].groupby("feature_set")["test_err"].apply(lambda e: e.abs().mean())
+    assert error["wide"] < error["narrow"] / 2
+
+
 def test_meta_learning_in_many_chunks(spark, monkeypatch):
     from gaugewright.plans import metalearn
     df, features = learning_table(spark, 12)
