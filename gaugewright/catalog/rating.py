@@ -12,11 +12,12 @@ from gaugewright.meta import GROUP_KEYS, PROPERTY_KEYS, with_weights
 from gaugewright.operators import bounds as B
 from gaugewright.operators import compound as C
 from gaugewright.operators.index import idx, index_best, long_cells, rat, real_boundaries
+from gaugewright.operators.kept import add_batch, kept_boundaries
 from gaugewright.operators.merge import merge_runs
 from gaugewright.operators.reference import index_centered, optimal_references
 from gaugewright.operators.share import share_independent
 from gaugewright.plans.rate import rate, rate_cells
-from gaugewright.session import materialize
+from gaugewright.session import materialize, new_stage
 from gaugewright.sources.views import measurements, runs, table
 
 ROW = ["dataset", "task", "environment", "model"]
@@ -96,6 +97,16 @@ def boundaries(spark, sf):
     return _split_bounds(B.optimal_boundaries(index_best(measurements(spark, sf), PROPS), PROPS))
 
 
+@query("boundaries_incremental", f"WITH {S.BOUNDED} SELECT property, {_b4} FROM bounds")
+def boundaries_by_batches(spark, sf):
+    """Measurements in three batches; models of one group come in different ones, so that references change."""
+    path = new_stage(spark)
+    rows = materialize(measurements(spark, sf)).withColumn("_part", F.pmod(F.xxhash64(*ROW, "configuration"), F.lit(3)))
+    for batch in range(3):
+        add_batch(rows.filter(F.col("_part") == batch), path, batch, PROPS)
+    return _split_bounds(kept_boundaries(spark, path))
+
+
 @query("boundary_intervals", f"""WITH {S.BOUNDED}, edges AS (
  SELECT property, list_concat(list_concat([CAST(100000 AS DOUBLE)], bounds), [CAST(-100 AS DOUBLE)]) AS e FROM bounds
  UNION ALL SELECT 'default', [CAST(x AS DOUBLE) FOR x IN [100000, 0.9, 0.8, 0.7, 0.6, -100]])

@@ -49,8 +49,20 @@ def exact_positions(
         .agg(F.count("*").alias("_c"))
         .withColumn("_b", F.expr(bucket("_v")))
     )
+    histogram = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))
+    found = pick_positions(histogram, lambda hit: counted, keys, positions, out)
+    return found.drop("_all") if own_key else found
+
+
+def pick_positions(
+    histogram: DataFrame, counted: Callable[[DataFrame], DataFrame], keys: list[str], positions: list[Callable[[str], str]], out: str = "q",
+) -> DataFrame:
+    """The values at the positions from counts per bucket ``(keys, _b, _bc)``.
+
+    ``counted`` gives the counts per value ``(keys, _b, _v, _c)``, at least those of the buckets ``(keys, _b)`` that it is handed.
+    """
     by = ", ".join(f"`{k}`" for k in keys)
-    histogram = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc")).selectExpr(
+    histogram = histogram.selectExpr(
         "*", f"sum(_bc) OVER (PARTITION BY {by} ORDER BY _b ROWS UNBOUNDED PRECEDING) AS _end", f"sum(_bc) OVER (PARTITION BY {by}) AS _n"
     )
     pos = [f"round(CAST({p('_n')} AS DOUBLE), 9)" for p in positions]
@@ -61,7 +73,7 @@ def exact_positions(
 
     hit = histogram.filter(covers("(_end - _bc)", "_end")).selectExpr(*keys, "_b", "_n", "_end - _bc AS _before")
     found = (
-        join_groups(counted, hit, [*keys, "_b"], "inner")
+        join_groups(counted(hit), hit, [*keys, "_b"], "inner")
         .selectExpr("*", f"_before + sum(_c) OVER (PARTITION BY {by}, _b ORDER BY _v ROWS UNBOUNDED PRECEDING) AS _stop")
         .selectExpr("*", "_stop - _c AS _start").filter(covers("_start", "_stop"))
     )
@@ -71,9 +83,13 @@ def exact_positions(
     values = ", ".join(
         f"CASE WHEN {lo} = {hi} THEN {lo} ELSE {lo} + ({hi} - {lo}) * ({p} - floor({p})) END" for p, (lo, hi) in zip(pos, ends)
     )
-    return picked.selectExpr(*([] if own_key else [f"`{k}`" for k in keys]), f"array({values}) AS `{out}`")
+    return picked.selectExpr(*[f"`{k}`" for k in keys], f"array({values}) AS `{out}`")
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs, out: str = "q") -> DataFrame:
     """Linearly interpolated quantiles per key as an array."""
-    return exact_positions(df, keys, value, [lambda n, p=p: f"{float(p)!r}D * ({n} - 1)" for p in probs], out)
+    return exact_positions(df, keys, value, quantile_positions(probs), out)
+
+
+def quantile_positions(probs) -> list[Callable[[str], str]]:
+    return [lambda n, p=p: f"{float(p)!r}D * ({n} - 1)" for p in probs]
