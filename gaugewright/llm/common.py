@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -83,6 +84,7 @@ def mix(values: np.ndarray) -> np.ndarray:
     return x
 
 
+_c = ctypes.CDLL(None)
 _remembered: dict[str, Callable[[], None]] = {}
 
 
@@ -96,6 +98,13 @@ def enter(operator: str, forget: Callable[[], None] | None = None) -> None:
     gc.collect()
 
 
+def release() -> None:
+    """Memory that this worker has freed goes back to the machine, where the allocators can do that."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_c, "malloc_trim"):
+        _c.malloc_trim(0)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Fewer rows per Arrow batch while wide rows (two texts each) are worked on and written."""

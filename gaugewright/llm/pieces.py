@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import enter
+from gaugewright.llm.common import enter, release
 
 SPACE = "▁"
 BLOCK = 4096  # characters matched at a time
-CACHED = 400_000  # segments remembered per generation; two generations are kept
+CACHED = 150_000  # segments remembered per generation; two generations are kept
+SEEN = 1 << 22  # marks of segments met once; only what comes again is remembered
 
 
 class Pieces:
@@ -57,7 +58,7 @@ class Pieces:
         for piece in self.whole:
             self.matcher.add_word(piece, len(piece))
         self.matcher.make_automaton()
-        self.fits = functools.lru_cache(400_000)(self._fits)
+        self.fits = functools.lru_cache(200_000)(self._fits)
         # Cuts that no piece spans: between characters that are neighbours in no piece; before a run of spaces, and
         # around a line feed.
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
@@ -68,6 +69,7 @@ class Pieces:
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
         self.odd: dict[str, str] = {}
+        self.seen = bytearray(SEEN)
 
     def merged(self, text: str) -> list[str]:
         """Merge rule on a short text: best score first, then leftmost."""
@@ -220,7 +222,7 @@ class Pieces:
         return self.decode_part(ids).removeprefix(" ")
 
     def known(self, segment: str) -> str:
-        """Ids of a segment as text, remembered for short ones; what they decode to is looked at once."""
+        """Ids of a segment as text, remembered for short ones that come again; what they decode to is looked at once."""
         got = self.old.get(segment)
         if got is None:
             if len(segment) > 2 and not segment[-1].isalnum() and segment[-2:] not in self.inside:
@@ -234,8 +236,13 @@ class Pieces:
                 if (decoded := self.decode_part(ids)) != segment.replace(SPACE, " "):
                     self.odd[segment] = decoded
         if len(segment) <= 48:
+            at = hash(segment) % SEEN
+            if not (self.seen[at] or segment in self.old):
+                self.seen[at] = 1
+                return got
             if len(self.young) >= CACHED:
                 self.old, self.young = self.young, {}
+                self.seen = bytearray(SEEN)
             self.young[segment] = got
         return got
 
@@ -281,6 +288,7 @@ def tokenize(docs: DataFrame, model: str, text: str = "text", ids: bool = True,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("pieces", load.cache_clear)
+        release()
         own = load(model)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugewright.llm.common import enter, mix, partitions, small_batches, text_packs
+from gaugewright.llm.common import enter, mix, partitions, release, small_batches, text_packs
 from gaugewright.llm.language import bucket_of, narrow, power_of_two, squeeze, unsqueeze
 from gaugewright.session import materialize
 
@@ -135,7 +135,8 @@ def sketches(docs: DataFrame, key: str, text: str, order: Order) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("similar", word_hash.cache_clear)
-        for (keys, hashes), pack in text_packs(batches, [key, "_t"], text):
+        release()
+        for (keys, hashes), pack in text_packs(batches, [key, "_t"], text, 1 << 21):
             tokens, n = shingle_sets(pack)
             some = np.flatnonzero(n)
             starts = (np.cumsum(n) - n)[some]
