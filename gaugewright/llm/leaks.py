@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import enter, letter_words, raw
+from gaugewright.llm.common import enter, letter_words, raw, release
 
 SHARD = 1 << 20  # words
 
@@ -229,6 +229,7 @@ def overlaps(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("leaks")
+        release()
         held: list[pa.RecordBatch] = []
         texts: list[list[bytes]] = []
         size = 0

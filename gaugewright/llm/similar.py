@@ -164,6 +164,8 @@ def sketches(docs: DataFrame, key: str, text: str, order: Order) -> DataFrame:
                 pa.array([t if m else [] for t, m in zip(turns.tolist(), n.tolist(), strict=True)], pa.list_(pa.int64())),
                 pa.array(prefixes, pa.binary()), pa.array(hot, pa.int32()), pa.array(rare, pa.int32()),
             ], [key, "_t", "n", "f1", "f2", "turns", "prefix", "hot", "rare"])
+        word_hash.cache_clear()
+        release()  # a worker that waits holds little while joins run
 
     own = docs.select(F.col(key).cast("long").alias(key), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_t"), text)
     return own.mapInArrow(run, schema)
@@ -195,6 +197,7 @@ def may_link(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 beyond = min(m - len(x), n - int(np.searchsorted(y, x[-1], side="right")))
                 keep.append(shared + beyond >= least_shared(m, n))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     left = classes.select(F.col("c").alias("a"), F.col("prefix").alias("p"), F.col("n").alias("m"))
     right = classes.select(F.col("c").alias("b"), F.col("prefix").alias("q"), "n")
@@ -223,6 +226,7 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * shared >= 75 * (len(x) + len(y) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     both = pairs.join(texts.select(F.col("c").alias("a"), F.col("_x").alias("p")), "a").join(
         texts.select(F.col("c").alias("b"), F.col("_x").alias("q")), "b"
@@ -324,6 +328,8 @@ def matrix_runs(buckets: int):
                     held, size = [], 0
         if held:
             yield flush()
+        held.clear()
+        release()
 
     return run
 
