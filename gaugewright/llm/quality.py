@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gaugewright.llm.common import enter, text_packs
+from gaugewright.llm.common import enter, release, text_packs
 
 FEATURES = (
     "log_words", "word_chars", "distinct_words", "repeated_next", "distinct_pairs", "upper", "lower", "digits",
@@ -199,6 +199,7 @@ def features(docs: DataFrame, kept: list[str], text: str = "text") -> DataFrame:
             rows = [describe(d) for _, pack in text_packs([batch], [], text) for d in pack]
             arrays = [batch.column(c) for c in kept] + [pa.array(rows, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, [*kept, "features"])
+        release()
 
     return docs.select(*kept, text).mapInArrow(run, schema)
 
@@ -229,6 +230,7 @@ def score(docs: DataFrame, model: Additive, kept: list[str] | None = None, name:
             rows = [describe(d) for _, pack in text_packs([batch], [], text) for d in pack]
             value = model.score(np.array(rows, dtype=float).reshape(len(rows), len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(value)], [*names, name])
+        release()
 
     needed = docs.select(*dict.fromkeys([*names, text]))
     return needed.mapInArrow(run, schema)
