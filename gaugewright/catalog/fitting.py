@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from gaugewright.catalog.analysis import _clf_sql, _round_scores
@@ -15,9 +17,11 @@ from gaugewright.operators.logistic import logistic, logistic_scores
 from gaugewright.operators.perceptron import first_weights, perceptron, perceptron_scores
 from gaugewright.operators.prep import train_test_split
 from gaugewright.operators.scores import classification_scores, error_summary
+from gaugewright.operators.search import average_rank, draw_settings
 from gaugewright.operators.sums import classified
 from gaugewright.operators.trees import DEPTH, cell_sums, fold_trees, walk
-from gaugewright.session import materialize
+from gaugewright.operators.tuning import METHODS, search
+from gaugewright.session import materialize, new_stage
 from gaugewright.sources.views import table
 
 
@@ -286,3 +290,41 @@ def tree_regressor(spark, sf):
     )
     errors = error_summary(found, "err", ["model", "target"])
     return errors.select("model", "target", *[r6(c).alias(c) for c in ("mae", "std", "max_error")])
+
+
+# ---------------------------------------------------------------- a search in two runs
+
+_SEARCHED = ("GNB", "kNN")
+_SETTINGS = {m: draw_settings(METHODS[m].grid, 50) for m in _SEARCHED}
+_nb_settings = ", ".join(f"({i}, '{json.dumps(s)}', {S.dbl(s['var_smoothing'])})" for i, s in enumerate(_SETTINGS["GNB"]))
+_knn_settings = ", ".join(f"({i}, '{json.dumps(s)}', {s['n_neighbors']}, {s['p']})" for i, s in enumerate(_SETTINGS["kNN"]))
+
+
+@query("search_resumed", f"""WITH e AS MATERIALIZED (SELECT vec_id AS id, label, list_transform(embedding, lambda v : CAST(v AS DOUBLE)) AS x,
+  (row_number() OVER (PARTITION BY label ORDER BY substr(md5(concat(vec_id, '-42')), 1, 13), vec_id) - 1) % 5 AS fold FROM embeddings),
+ f AS (SELECT DISTINCT fold FROM e),
+ u AS MATERIALIZED (SELECT f.fold AS f, e.fold, id, label, unnest(x) AS v, unnest(range(len(x))) AS j FROM e, f),
+ c AS MATERIALIZED (SELECT f, label, any_value(n) AS n, list(m ORDER BY j) AS m, list(s ORDER BY j) AS s FROM (SELECT f, label, j, avg(v) AS m, var_pop(v) AS s, count(*) AS n FROM u WHERE fold <> f GROUP BY ALL) GROUP BY f, label),
+ sd AS MATERIALIZED (SELECT f, j, avg(v) AS m, var_pop(v) AS vp, CASE WHEN stddev_pop(v) = 0 THEN 1.0::DOUBLE ELSE stddev_pop(v) END AS s FROM u WHERE fold <> f GROUP BY ALL),
+ ev AS (SELECT f, max(vp) AS eps FROM sd GROUP BY f), total AS (SELECT f, sum(n)::DOUBLE AS total FROM c GROUP BY f),
+ g(pos, params, a) AS (VALUES {_nb_settings}),
+ nb AS (SELECT 'GNB' AS method, g.pos, g.params, e.fold, e.id, e.label, arg_max(c.label, row(round(ln(c.n / total) - 0.5::DOUBLE * list_sum(list_transform(range(1, len(x) + 1),
+   lambda i : ln(2 * pi() * (c.s[i] + g.a * eps)) + (x[i] - c.m[i]) * (x[i] - c.m[i]) / (c.s[i] + g.a * eps))), 9), -c.label)) AS pred
+  FROM e JOIN c ON c.f = e.fold JOIN ev ON ev.f = e.fold JOIN total ON total.f = e.fold, g GROUP BY ALL),
+ z AS MATERIALIZED (SELECT u.f, u.fold, id, label, list((v - m) / s ORDER BY u.j) AS z FROM u JOIN sd ON sd.f = u.f AND sd.j = u.j GROUP BY ALL),
+ d AS MATERIALIZED (SELECT q.f, q.id, q.label, t.id AS did, t.label AS dl, p, round(power(list_sum(list_transform(range(1, len(q.z) + 1), lambda i : power(abs(q.z[i] - t.z[i]), p))), 1.0::DOUBLE / p), 9) AS dist
+  FROM z q JOIN z t ON t.f = q.f AND t.fold <> q.f, (VALUES (1), (2), (3)) ps(p) WHERE q.fold = q.f),
+ near AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id, p ORDER BY dist, did) AS nth FROM d QUALIFY nth <= 50),
+ k(pos, params, n, p) AS (VALUES {_knn_settings}),
+ votes AS (SELECT k.pos, k.params, f, id, label, dl, count(*) AS votes FROM near JOIN k ON k.p = near.p AND nth <= k.n GROUP BY ALL),
+ knn AS (SELECT 'kNN' AS method, pos, params, f AS fold, id, label, arg_max(dl, row(votes, -dl)) AS pred FROM votes GROUP BY ALL),
+ per AS (SELECT method, pos, params, fold, avg(CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score FROM (SELECT * FROM nb UNION ALL SELECT * FROM knn) GROUP BY ALL),
+ s AS (SELECT method, CAST(pos AS INTEGER) AS pos, params, round(avg(score) + CAST(1e-9 AS DOUBLE), 6) AS mean_test_score, round(stddev_pop(score) + CAST(1e-9 AS DOUBLE), 6) AS std_test_score FROM per GROUP BY ALL)
+SELECT 'embeddings' AS dataset, *, CAST(floor(rank() OVER (PARTITION BY method ORDER BY mean_test_score DESC) + (count(*) OVER (PARTITION BY method, mean_test_score) - 1) / 2) AS INTEGER) AS rank_test_score FROM s""")
+def search_resumed(spark, sf):
+    """Scores of drawn settings, searched in two runs with one store: the second skips what the first has finished."""
+    rows, store = table(spark, sf, "embeddings"), new_stage(spark)
+    for names in (_SEARCHED[:1], _SEARCHED):
+        found = search(rows, "embedding", "label", "vec_id", store, "embeddings", {m: METHODS[m] for m in names})
+    settled = found.withColumns({c: r6(c) for c in ("mean_test_score", "std_test_score")})
+    return average_rank(settled)
