@@ -288,9 +288,12 @@ def results(scores: DataFrame, dataset: str, drawn: dict[str, list[dict]], folds
     )
     # A unit that was done twice, by two calls at once, counts once.
     once = scores.filter(F.col("dataset") == dataset).groupBy("dataset", "method", "params", "fold").agg(F.max("score").alias("score"))
-    per = once.groupBy("dataset", "method", "params").agg(
-        F.count("*").alias("n"), F.avg("score").alias("mean_test_score"), F.stddev_pop("score").alias("std_test_score")
-    )
+    # At most `folds` scores a setting, summed in their order, so that a cut run gives the digits of a whole one.
+    listed = once.groupBy("dataset", "method", "params").agg(F.array_sort(F.collect_list("score")).alias("scores"))
+    n, zero = F.size("scores"), F.lit(0.0)
+    mean = F.aggregate("scores", zero, lambda t, v: t + v) / n
+    spread = F.sqrt(F.aggregate("scores", zero, lambda t, v: t + (v - F.col("mean_test_score")) * (v - F.col("mean_test_score"))) / n)
+    per = listed.withColumn("n", n).withColumn("mean_test_score", mean).withColumn("std_test_score", spread)
     return per.join(wanted, ["method", "params"]).filter(F.col("n") == folds).select(
         "dataset", "method", "pos", "params", "mean_test_score", "std_test_score"
     )
