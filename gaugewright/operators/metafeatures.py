@@ -26,11 +26,12 @@ def feature_moments(df: DataFrame, features: list[str], key: str = "dataset") ->
     cells = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("v"), between(f).alias("between")) for f in features
     ])
+    varied = F.max("v") > F.min("v")  # merged means of a constant can differ in the last bit, which gives it a shape
     return join_groups(df.select(key, *features), ends, [key]).select(key, F.inline(cells)).groupBy(key, "feature").agg(
-        F.count("*").alias("n"), ((F.max("v") > F.min("v")) & (F.count("between") == 0)).alias("two_valued"),
+        F.count("*").alias("n"), (varied & (F.count("between") == 0)).alias("two_valued"),
         (F.count_if(F.col("v") != 0) / F.count("*")).alias("balance"),
-        F.avg("v").alias("mean"), F.var_samp("v").alias("variance"), F.skewness("v").alias("skewness"),
-        F.kurtosis("v").alias("kurtosis"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.avg("v").alias("mean"), F.var_samp("v").alias("variance"), F.when(varied, F.skewness("v")).alias("skewness"),
+        F.when(varied, F.kurtosis("v")).alias("kurtosis"), F.min("v").alias("min"), F.max("v").alias("max"),
     )
 
 

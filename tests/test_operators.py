@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.operators import neighbours as NB
 from gaugewright.operators.folds import balance, group_kfold
-from gaugewright.operators.metafeatures import statistical
+from gaugewright.operators.metafeatures import feature_moments, statistical
 from gaugewright.operators.pca import pca_metafeatures
 from gaugewright.operators.pooling import pair_pooling
 from gaugewright.operators.prep import train_test_split
@@ -139,6 +139,14 @@ def test_few_donors_use_all(spark):
     assert NB.knn_impute(df, "id", ["a", "b"], k=10).filter("id = 1").first()["b"] == 6.0
 
 
+def test_constants_have_no_shape(spark):
+    """Means merged from parts can differ in the last bit; a constant still has no skewness."""
+    for rows, parts in ((1000, 7), (1000, 3), (10007, 3)):
+        df = spark.range(0, rows, 1, parts).select(F.lit("d").alias("dataset"), F.lit(7.0).alias("a"))
+        found = feature_moments(df, ["a"]).first()
+        assert (found["skewness"], found["kurtosis"], found["min"], found["max"]) == (None, None, 7.0, 7.0)
+
+
 def test_statistical_metafeatures(spark):
     rng = np.random.default_rng(7)
     x = np.column_stack([rng.normal(size=90), rng.exponential(size=90), (rng.random(90) < 0.3).astype(float), np.full(90, 7.0)])
