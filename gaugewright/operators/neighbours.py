@@ -1,9 +1,9 @@
 """Exact nearest neighbours without comparing every row with every row.
 
 Donor rows are put into cells.  Bounds on the distance between a query and a cell, taken from a small table
-of cell statistics, tell which cells can hold one of its k nearest rows; only those are visited.  Cells are
-cut into chunks of bounded size, so a hot cell spreads over many tasks, and a chunk reports no more than k
-rows per query.
+of cell statistics, tell which cells can hold one of its k nearest rows; only those are visited.  Neighbouring
+cells form groups, to which a query is sent once with the cells that it visits.  Groups are cut into chunks of
+bounded size, so a hot cell spreads over many tasks, and a chunk reports no more than k rows per query.
 """
 
 from __future__ import annotations
@@ -21,7 +21,10 @@ from gaugewright.operators.quantiles import exact_positions
 from gaugewright.session import materialize
 
 CHUNK_ROWS = 2048
+GROUP_ROWS = 1 << 15  # donors of a chunk that holds several cells
 CELLS = 64
+GROUPS = 16
+TILE = 1 << 14  # sums of a tile: small enough for the cache
 
 
 def minkowski(p: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -34,6 +37,78 @@ def minkowski(p: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     return distance
 
 
+def power_sums(a: np.ndarray, columns: np.ndarray, p: int) -> np.ndarray:
+    """Sums of |a - b| ** p of all rows of a with all of b (given by columns), up to the last digits."""
+    if p == 2:
+        return (a * a).sum(axis=1)[:, None] + (columns * columns).sum(axis=0) - 2.0 * (a @ columns)
+    total, gap = np.zeros((len(a), columns.shape[1])), np.empty((len(a), columns.shape[1]))
+    power = np.empty_like(gap)
+    for j, column in enumerate(columns):
+        np.abs(np.subtract(a[:, j, None], column, out=gap), out=gap)
+        if p == 1:
+            total += gap
+        else:
+            np.multiply(gap, gap, out=power)
+            for _ in range(p - 2):
+                power *= gap
+            total += power
+    return total
+
+
+def closest_rows(query: np.ndarray, donor: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k closest donors of each query as (query, donor, distance), equal distances in the donors' order.
+
+    Sums of powers pick the rows that can be among them, whatever the last digits; only these are measured.
+    """
+    many, width = donor.shape
+    columns = np.ascontiguousarray(donor.T)
+    found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    largest = float((donor * donor).sum(axis=1).max()) if many else 0.0
+    tile = max(1, (TILE * 16 if p == 2 else TILE) // max(1, many))
+    for start in range(0, len(query) if many else 0, tile):
+        some = query[start : start + tile]
+        sums = power_sums(some, columns, p)
+        kth = np.maximum(np.partition(sums, min(k, many) - 1, axis=1)[:, min(k, many) - 1], 0.0)
+        # p = 2 takes a difference of squares, whose error grows with them
+        slack = 8.0 * (width + 4) * np.finfo(float).eps * ((some * some).sum(axis=1) + largest) if p == 2 else 0.0
+        limit = ((kth + slack) ** (1.0 / p) + 2.0 * 10.0**-DIGITS) ** p * (1.0 + 1e-12) + slack
+        at, near = np.nonzero(~(sums > limit[:, None]))
+        total = np.zeros(len(at))
+        for j in range(width):
+            total += np.abs(some[at, j] - columns[j, near]) ** p
+        found.append((at + start, near, np.round(total ** (1.0 / p), DIGITS)))
+    return first_k(*(np.concatenate(c) for c in zip(*found)), k)
+
+
+def first_k(at: np.ndarray, near: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first k of each query by distance and donor, without those at no finite distance."""
+    usable = np.isfinite(dist)
+    at, near, dist = at[usable], near[usable], dist[usable]
+    order = np.lexsort((near, dist, at))
+    at, near, dist = at[order], near[order], dist[order]
+    kept = np.arange(len(at)) - np.searchsorted(at, at, side="left") < k
+    return at[kept], near[kept], dist[kept]
+
+
+def closest_in_cells(
+    query: np.ndarray, visits: np.ndarray, sizes: np.ndarray, donor: np.ndarray, cell: np.ndarray, k: int, p: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`closest_rows`, each query among the donors of the cells that it visits (``sizes`` of them)."""
+    cells, place = np.unique(cell, return_inverse=True)
+    visiting = np.zeros((len(query), len(cells)), bool)
+    column = np.minimum(np.searchsorted(cells, visits), max(0, len(cells) - 1))
+    known = cells[column] == visits if len(cells) else np.zeros(len(visits), bool)
+    visiting[np.repeat(np.arange(len(query)), sizes)[known], column[known]] = True
+    if visiting.all():
+        return closest_rows(query, donor, k, p)
+    found = []
+    for c in range(len(cells)):
+        who, rows = np.flatnonzero(visiting[:, c]), np.flatnonzero(place == c)
+        at, near, dist = closest_rows(query[who], donor[rows], k, p)
+        found.append((who[at], rows[near], dist))
+    return first_k(*(np.concatenate(f) for f in zip(*found)), k)
+
+
 def nan_euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distance over the common columns, scaled up to all columns; NaN without a common one."""
     total, common = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
@@ -47,36 +122,60 @@ def nan_euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _chunked(df: DataFrame, hash_on: list[str], chunk: str, rows: int) -> tuple[DataFrame, DataFrame]:
-    """Add a chunk number so that no (cell, chunk) has many more than ``rows`` rows; also the chunk counts,
-    one row per cell."""
-    sizes = df.groupBy("cell").agg(F.ceil(F.count("*") / rows).cast("int").alias(f"{chunk}s"))
-    numbered = df.join(F.broadcast(sizes), "cell").withColumn(
+    """Add a chunk number so that no (group, chunk) has many more than ``rows`` rows; also the chunk counts,
+    one row per group."""
+    sizes = df.groupBy("grp").agg(F.ceil(F.count("*") / rows).cast("int").alias(f"{chunk}s"))
+    numbered = df.join(F.broadcast(sizes), "grp").withColumn(
         chunk, F.pmod(F.xxhash64(*hash_on), F.col(f"{chunk}s")).cast("int")
     )
     return numbered.drop(f"{chunk}s"), sizes
 
 
-def nearest(queries: DataFrame, donors: DataFrame, width: int, k: int, distance, rows: int = CHUNK_ROWS) -> DataFrame:
-    """The k nearest donors of every query: ``(qid, target, dist, id, value)``.
+def candidates(
+    queries: DataFrame, donors: DataFrame, width: int, k: int, distance: Callable | int, rows: int = CHUNK_ROWS, per: int = 1
+) -> DataFrame:
+    """Up to k donors of every query and chunk, the k nearest donors among them: ``(qid, target, dist, id, value)``.
 
-    ``queries`` has (qid, target, vec, cells), ``donors`` (id, vec, cell).  The first ``width`` entries of a
-    vector are compared; ``target`` is the entry whose donor value is wanted, donors without it are skipped.
-    Equal distances are ordered by donor id.
+    ``queries`` has (qid, target, vec, cells), ``donors`` (id, vec, cell); ``per`` consecutive cells form a group.
+    The first ``width`` entries of a vector are compared, by a Minkowski distance of the given power or by a
+    function of two matrices; ``target`` is the entry whose donor value is wanted, donors without it are skipped.
     """
-    donor_rows, donor_chunks = _chunked(donors, ["id"], "chunk", rows)
-    packed_donors = donor_rows.groupBy("cell", "chunk").agg(F.collect_list(F.struct("id", "vec")).alias("d")).select(
-        "cell", "chunk", F.col("d.id").alias("ids"), F.flatten("d.vec").alias("dvec")
+    donor_rows, donor_chunks = _chunked(donors.withColumn("grp", F.expr(f"cell div {per}")), ["id"], "chunk", rows)
+    packed_donors = donor_rows.repartition("grp", "chunk").groupBy("grp", "chunk").agg(F.collect_list(F.struct("id", "vec", "cell")).alias("d")).select(
+        "grp", "chunk", F.col("d.id").alias("ids"), F.flatten("d.vec").alias("dvec"), F.col("d.cell").alias("dcells")
     )
-    visits = queries.select("qid", "target", "vec", F.explode("cells").alias("cell"))
-    query_rows, _ = _chunked(visits, ["qid", "target"], "qchunk", rows)
-    packed_queries = query_rows.groupBy("cell", "qchunk").agg(F.collect_list(F.struct("qid", "target", "vec")).alias("q")).select(
-        "cell", F.col("q.qid").alias("qids"), F.col("q.target").alias("targets"), F.flatten("q.vec").alias("qvec")
+    visits = queries.select("qid", "target", "vec", "cells", F.explode(F.expr(f"array_distinct(transform(cells, c -> c div {per}))")).alias("grp"))
+    visits = visits.withColumn("cells", F.expr(f"filter(cells, c -> c div {per} = grp)"))
+    query_rows, _ = _chunked(visits, ["qid", "target"], "qchunk", CHUNK_ROWS if per > 1 else rows)
+    packed_queries = query_rows.groupBy("grp", "qchunk").agg(F.collect_list(F.struct("qid", "target", "vec", "cells")).alias("q")).select(
+        "grp", F.col("q.qid").alias("qids"), F.col("q.target").alias("targets"), F.flatten("q.vec").alias("qvec"),
+        F.flatten("q.cells").alias("visits"), F.expr("transform(q.cells, c -> size(c))").alias("sizes"),
     )
-    # the donor chunk is part of the join key: chunks of one cell meet their queries in different tasks
-    visiting = packed_queries.join(F.broadcast(donor_chunks), "cell").withColumn(
+    # the donor chunk is part of the join key: chunks of one group meet their queries in different tasks
+    visiting = packed_queries.join(F.broadcast(donor_chunks), "grp").withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     )
-    pairs = visiting.join(packed_donors, ["cell", "chunk"]).select("qids", "targets", "qvec", "ids", "dvec")
+    pairs = visiting.join(packed_donors, ["grp", "chunk"]).select("qids", "targets", "qvec", "visits", "sizes", "ids", "dvec", "dcells")
+
+    def measured(query, donor, targets, row, cell):
+        """Places of query and donor, and their distance."""
+        if callable(distance):
+            dist = np.round(distance(query[:, :width], donor[:, :width]), DIGITS)
+            dist = np.where(np.isnan(donor[:, targets].T) | np.isnan(dist), np.inf, dist)
+            order = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            at = np.repeat(np.arange(len(query)), order.shape[1])
+            return first_k(at, order.ravel(), dist[at, order.ravel()], k)
+        visits, sizes = np.asarray(row.visits), np.asarray(row.sizes)
+        owner, found = np.repeat(np.arange(len(query)), sizes), []
+        able, asked = np.isfinite(donor[:, :width]).all(axis=1), np.isfinite(query[:, :width]).all(axis=1)
+        for target in np.unique(targets):
+            who = np.flatnonzero(asked & (targets == target))
+            have = np.flatnonzero(able & ~np.isnan(donor[:, target]))
+            at, near, dist = closest_in_cells(
+                query[who, :width], visits[np.isin(owner, who)], sizes[who], donor[have, :width], cell[have], k, distance
+            )
+            found.append((who[at], have[near], dist))
+        return tuple(np.concatenate(f) for f in zip(*found))
 
     def closest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -84,25 +183,24 @@ def nearest(queries: DataFrame, donors: DataFrame, width: int, k: int, distance,
                 ids = np.asarray(row.ids)
                 by_id = np.argsort(ids, kind="stable")
                 ids, donor = ids[by_id], np.asarray(row.dvec).reshape(len(ids), -1)[by_id]
-                query = np.asarray(row.qvec).reshape(len(row.qids), -1)
-                targets = np.asarray(row.targets)
-                dist = np.round(distance(query[:, :width], donor[:, :width]), DIGITS)
-                values = donor[:, targets].T
-                dist = np.where(np.isnan(values) | np.isnan(dist), np.inf, dist)
-                order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                which = np.repeat(np.arange(len(query)), order.shape[1])
-                flat = order.ravel()
-                found = pd.DataFrame({
-                    "qid": np.asarray(row.qids)[which], "target": targets[which], "dist": dist[which, flat],
-                    "id": ids[flat], "value": values[which, flat],
+                query, targets = np.asarray(row.qvec).reshape(len(row.qids), -1), np.asarray(row.targets)
+                at, near, dist = measured(query, donor, targets, row, np.asarray(row.dcells)[by_id])
+                yield pd.DataFrame({
+                    "qid": np.asarray(row.qids)[at], "target": targets[at], "dist": dist, "id": ids[near], "value": donor[near, targets[at]],
                 })
-                yield found[np.isfinite(found["dist"])]
 
     schema = f"qid {dict(queries.dtypes)['qid']}, target int, dist double, id {dict(donors.dtypes)['id']}, value double"
-    candidates = pairs.mapInPandas(closest, schema)
+    return pairs.mapInPandas(closest, schema)
+
+
+def nearest(
+    queries: DataFrame, donors: DataFrame, width: int, k: int, distance: Callable | int, rows: int = CHUNK_ROWS, per: int = 1
+) -> DataFrame:
+    """The k nearest donors of every query, see `candidates`.  Equal distances are ordered by donor id."""
     # at most k rows per visited chunk and query are left
     nearest_first = Window.partitionBy("qid", "target").orderBy("dist", "id")
-    return candidates.withColumn("_n", F.row_number().over(nearest_first)).filter(F.col("_n") <= k).drop("_n")
+    found = candidates(queries, donors, width, k, distance, rows, per)
+    return found.withColumn("_n", F.row_number().over(nearest_first)).filter(F.col("_n") <= k).drop("_n")
 
 
 # ---------------------------------------------------------------- complete vectors: pivots
@@ -126,11 +224,13 @@ def pivot_cells(donors: DataFrame, width: int, distance, cells: int = CELLS) ->
 
 
 def knn_join(
-    queries: DataFrame, donors: DataFrame, width: int, k: int, p: int = 2, cells: int = CELLS, rows: int = CHUNK_ROWS
+    queries: DataFrame, donors: DataFrame, width: int, k: int, p: int = 2, cells: int = CELLS, rows: int = GROUP_ROWS,
+    groups: int = GROUPS,
 ) -> DataFrame:
     """Exact k nearest donors under a Minkowski distance, pruned by the triangle inequality.
 
-    ``queries`` has (qid, target, vec), ``donors`` (id, vec).
+    ``queries`` has (qid, target, vec), ``donors`` (id, vec).  A query is sent to as many chunks as the groups that it
+    visits have, and each reports k rows: few groups move less, many use more tasks.
     """
     distance = minkowski(p)
     pivots, placed = pivot_cells(donors, width, distance, cells)
@@ -153,7 +253,7 @@ def knn_join(
                 yield batch
 
     schema = ", ".join(f"{n} {t}" for n, t in queries.dtypes) + ", cells array<int>"
-    return nearest(queries.mapInPandas(visit, schema), placed.select("id", "vec", "cell"), width, k, distance, rows)
+    return nearest(queries.mapInPandas(visit, schema), placed.select("id", "vec", "cell"), width, k, p, rows, -(-cells // groups))
 
 
 def knn_classify(

@@ -139,6 +139,36 @@ def test_few_donors_use_all(spark):
     assert NB.knn_impute(df, "id", ["a", "b"], k=10).filter("id = 1").first()["b"] == 6.0
 
 
+@pytest.mark.parametrize("p", [1, 2, 3])
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_closest_rows_measure_what_can_be_near(p, offset):
+    """Copies, equal distances and numbers far from zero, against all distances."""
+    rng = np.random.default_rng(p)
+    donor = np.round(rng.normal(size=(300, 5)), 1) + offset
+    donor[200:260] = donor[7]
+    query = np.vstack([np.round(rng.normal(size=(40, 5)), 1) + offset, donor[5:9]])
+    at, near, dist = NB.closest_rows(query, donor, 9, p)
+    whole = np.round(NB.minkowski(p)(query, donor), 9)
+    want = np.argsort(whole, axis=1, kind="stable")[:, :9]
+    assert np.array_equal(near.reshape(44, 9), want) and np.array_equal(at, np.repeat(np.arange(44), 9))
+    assert np.array_equal(dist.reshape(44, 9), np.take_along_axis(whole, want, axis=1))
+
+
+def test_chunks_report_k_rows_a_group(spark):
+    """A query that visits all cells of a group reaches it once; missing numbers and targets take no part."""
+    rng = np.random.default_rng(3)
+    donor = rng.normal(size=(400, 3))
+    rows = [(i, [*map(float, v), float("nan") if i % 5 == 0 else 1.0], i % 8) for i, v in enumerate(donor)] + [(900, [float("nan"), 0.0, 0.0, 1.0], 1)]
+    queries = [(i, 3, [*map(float, v)], list(range(8)) if i % 2 else [0, 5]) for i, v in enumerate(rng.normal(size=(30, 3)))]
+    d = spark.createDataFrame(rows, "id int, vec array<double>, cell int")
+    q = spark.createDataFrame(queries, "qid int, target int, vec array<double>, cells array<int>")
+    assert NB.candidates(q, d, 3, 4, 2, per=4).count() == 30 * 2 * 4
+    found = NB.nearest(q, d, 3, 4, 2, per=4).orderBy("qid", "dist").collect()
+    for i, _, vec, cells in queries:
+        far = sorted((round(float(np.linalg.norm(np.subtract(vec, r[1][:3]))), 9), r[0]) for r in rows[:400] if r[0] % 5 and r[2] in cells)
+        assert [r["id"] for r in found if r["qid"] == i] == [n for _, n in far[:4]]
+
+
 def test_constants_have_no_shape(spark):
     """Means merged from parts can differ in the last bit; a constant still has no skewness."""
     for rows, parts in ((1000, 7), (1000, 3), (10007, 3)):
