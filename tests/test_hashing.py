@@ -47,6 +47,19 @@ def test_all_buckets_are_exact(spark):
     assert sorted((r["id"], r["neighbour"], r["rank"]) for r in found.collect()) == sorted(exact(queries, donors, 7))
 
 
+def test_no_row_per_pair(spark):
+    """Vectors that share all buckets: k rows a table and chunk leave the comparison, not every pair."""
+    donors, queries = vectors(400, 8), vectors(50, 9, 5000)
+    donors = [(d[0], donors[0][1], *d[2:]) for d in donors]
+    queries = [(q[0], donors[0][1], *q[2:]) for q in queries]
+    d, q = spark.createDataFrame(donors, SCHEMA), spark.createDataFrame(queries, SCHEMA)
+    found = hashed_neighbours(q, d, "z", "vec_id", 16, 3, tables=2)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") and "chunk" in plan  # the pairs are made and measured inside the chunks
+    assert sorted((r["id"], r["rank"], r["neighbour"], r["dist"]) for r in found.collect()) == [(5000 + i, n + 1, n, 0.0) for i in range(50) for n in range(3)]
+
+
 def test_stored_index_and_classes(spark, tmp_path):
     donors, queries = vectors(300, 5), vectors(40, 6, 900)
     d, q = spark.createDataFrame(donors, SCHEMA), spark.createDataFrame(queries, SCHEMA)
