@@ -24,7 +24,8 @@ CHUNK_ROWS = 2048
 GROUP_ROWS = 1 << 15  # donors of a chunk that holds several cells
 CELLS = 64
 GROUPS = 16
-TILE = 1 << 14  # sums of a tile: small enough for the cache
+TILE = 1 << 14  # sums of a tile, and donors of a block: small enough for the cache
+BLOCK = 1 << 12
 
 
 def minkowski(p: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -38,41 +39,59 @@ def minkowski(p: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
 
 
 def power_sums(a: np.ndarray, columns: np.ndarray, p: int) -> np.ndarray:
-    """Sums of |a - b| ** p of all rows of a with all of b (given by columns), up to the last digits."""
+    """Sums of |a - b| ** p of all rows of a with all of b (given by columns), up to the last digits of their type."""
     if p == 2:
         return (a * a).sum(axis=1)[:, None] + (columns * columns).sum(axis=0) - 2.0 * (a @ columns)
-    total, gap = np.zeros((len(a), columns.shape[1])), np.empty((len(a), columns.shape[1]))
-    power = np.empty_like(gap)
-    for j, column in enumerate(columns):
-        np.abs(np.subtract(a[:, j, None], column, out=gap), out=gap)
-        if p == 1:
-            total += gap
-        else:
-            np.multiply(gap, gap, out=power)
-            for _ in range(p - 2):
-                power *= gap
-            total += power
-    return total
+    sums = np.empty((len(a), columns.shape[1]), a.dtype)
+    for start in range(0, columns.shape[1], BLOCK):
+        block = np.ascontiguousarray(columns[:, start : start + BLOCK])
+        total = np.zeros((len(a), block.shape[1]), a.dtype)
+        gap, power = np.empty_like(total), np.empty_like(total)
+        for j, column in enumerate(block):
+            np.abs(np.subtract(a[:, j, None], column, out=gap), out=gap)
+            if p == 1:
+                total += gap
+            else:
+                np.multiply(gap, gap, out=power)
+                for _ in range(p - 2):
+                    power *= gap
+                total += power
+        sums[:, start : start + BLOCK] = total
+    return sums
 
 
 def closest_rows(query: np.ndarray, donor: np.ndarray, k: int, p: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k closest donors of each query as (query, donor, distance), equal distances in the donors' order.
 
-    Sums of powers pick the rows that can be among them, whatever the last digits; only these are measured.
+    Sums of powers pick the rows that can be among them, whatever the last digits; only these are measured.  For other
+    powers than 2 the sums are taken in single precision, around the donors' mean.
     """
     many, width = donor.shape
-    columns = np.ascontiguousarray(donor.T)
     found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
-    largest = float((donor * donor).sum(axis=1).max()) if many else 0.0
-    tile = max(1, (TILE * 16 if p == 2 else TILE) // max(1, many))
-    for start in range(0, len(query) if many else 0, tile):
+    if not many:
+        return found[0]
+
+    def norms(x: np.ndarray) -> np.ndarray:
+        return (np.abs(x) ** p).sum(axis=1) ** (1.0 / p)
+
+    center = donor.mean(axis=0)
+    columns, single = np.ascontiguousarray(donor.T), np.ascontiguousarray((donor - center).T.astype("float32"))
+    fine, coarse = np.finfo("float64").eps, np.finfo("float32").eps
+    far, raw = norms(donor - center).max(), norms(donor).max()
+    tile = max(1, 16 * TILE // many) if p == 2 else 16
+    for start in range(0, len(query), tile):
         some = query[start : start + tile]
-        sums = power_sums(some, columns, p)
-        kth = np.maximum(np.partition(sums, min(k, many) - 1, axis=1)[:, min(k, many) - 1], 0.0)
-        # p = 2 takes a difference of squares, whose error grows with them
-        slack = 8.0 * (width + 4) * np.finfo(float).eps * ((some * some).sum(axis=1) + largest) if p == 2 else 0.0
-        limit = ((kth + slack) ** (1.0 / p) + 2.0 * 10.0**-DIGITS) ** p * (1.0 + 1e-12) + slack
-        at, near = np.nonzero(~(sums > limit[:, None]))
+        with np.errstate(over="ignore", invalid="ignore"):  # sums beyond the numbers leave all rows in
+            sums = power_sums(some, columns, 2) if p == 2 else power_sums((some - center).astype("float32"), single, p)
+            kth = np.maximum(np.partition(sums, min(k, many) - 1, axis=1)[:, min(k, many) - 1], 0.0).astype("float64")
+            if p == 2:  # a difference of squares, whose error grows with them
+                slack = 8.0 * (width + 4) * fine * ((some * some).sum(axis=1) + raw * raw)
+                limit = (np.sqrt(kth + slack) + 2.0 * 10.0**-DIGITS) ** 2 * (1.0 + 1e-12) + slack
+            else:  # errors of the numbers, then of sums of terms of one sign
+                slack = 4.0 * coarse * (norms(some - center) + far) + 8.0 * fine * (norms(some) + raw)
+                limit = ((kth ** (1.0 / p) + slack) * (1.0 + 4.0 * (width + 2 * p + 8) * coarse) + 2.0 * 10.0**-DIGITS) ** p
+                limit = (limit * (1.0 + 16.0 * p * coarse)).astype("float32")
+            at, near = np.nonzero(~(sums > limit[:, None]))
         total = np.zeros(len(at))
         for j in range(width):
             total += np.abs(some[at, j] - columns[j, near]) ** p

@@ -161,7 +161,7 @@ def fit_neighbours(part: Part, settings: list[dict]) -> list[float | Exception]:
         donors, _ = coded(part.train.withColumn("x", scaled), "x", "label", classes, keep=["id"])
         donors = donors.select("id", F.concat("x", F.array(F.col("y").cast("double"))).alias("vec"))
         queries = part.test.select(F.col("id").alias("qid"), F.lit(part.width).alias("target"), scaled.alias("vec"))
-        near = knn_join(materialize(queries), materialize(donors), part.width, usable[-1], settings[0]["p"])
+        near = knn_join(materialize(queries), materialize(donors), part.width, usable[-1], settings[0]["p"], groups=4)  # units run side by side
         nth = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id"))  # no more rows than the largest count
         votes = (
             near.withColumn("nth", nth).select("qid", "nth", "value", F.explode(F.array(*[F.lit(k) for k in usable])).alias("k"))
