@@ -6,6 +6,8 @@ same rule built operator by operator takes dozens of calls per property and domi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def settle(text: str) -> str:
     return f"round({text} + {double(TIE)}, {DIGITS})"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out one time; written out in full it is worked out at every place it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def nan_to_null(col: Column) -> Column:
     return F.when(~F.isnan(col), col)
 

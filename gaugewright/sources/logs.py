@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewright.functions.names import hardware_name, software_name
-from gaugewright.functions.scalars import nan_to_null
+from gaugewright.functions.scalars import nan_to_null, once
 from gaugewright.session import materialize
 
 CONFIG = "struct<ds:string,method:string,seed:bigint,timestamp:string>"
@@ -29,7 +29,7 @@ ALL_FILES = (*RUN_FILES, "requirements.txt", "emissions.csv")
 AT_ONCE = 10_000  # directories that one scan opens
 
 # after a comma a field is quoted, with doubled quotes inside, or runs to the next comma
-_FIELD = r',("(?:[^"]|"")*"|[^,]*)'
+_FIELD = r',("[^"]*(?:""[^"]*)*"|[^,]*)'
 
 
 def _named(path: Column) -> tuple[Column, Column]:
@@ -58,23 +58,33 @@ def list_run_directories(spark: SparkSession, root: str) -> DataFrame:
 
 
 def parse_emissions(text: Column) -> Column:
-    """Rows of an emissions file in order (0 is training, 1 inference); quoted fields may hold commas."""
+    """Rows of an emissions file in order (0 is training, 1 inference); quoted fields may hold commas.
+
+    Every line is cut into fields once, and only the header and the wanted fields are unquoted.
+    """
+    names = ("duration", "energy_consumed")
     lines = F.filter(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), lambda x: F.trim(x) != "")
 
     def fields(line: Column) -> Column:
-        raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1))
-        return F.transform(raw, lambda f: F.replace(F.regexp_replace(F.trim(f), '^"|"$', ""), F.lit('""'), F.lit('"')))
+        return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(1))
+
+    def plain(field: Column) -> Column:
+        quoted = F.replace(F.regexp_replace(F.trim(field), '^"|"$', ""), F.lit('""'), F.lit('"'))
+        return F.when(F.contains(field, F.lit('"')), quoted).otherwise(F.trim(field))
 
-    rows = F.transform(lines, fields)
-    header = F.get(rows, F.lit(0))
+    def places(header: Column) -> Column:
+        return F.struct(*[F.nullif(F.array_position(header, n), F.lit(0)).cast("int").alias(n) for n in names])
 
-    def row(one: Column) -> Column:
-        return F.struct(*[
-            F.get(one, F.nullif(F.array_position(header, n), F.lit(0)).cast("int") - 1).try_cast("double").alias(n)
-            for n in ("duration", "energy_consumed")
-        ])
+    def row(raw: Column, at: Column) -> Column:
+        return F.struct(*[plain(F.get(raw, at[n] - 1)).try_cast("double").alias(n) for n in names])
 
-    return F.transform(F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(0))), row)
+    def rows(lines: Column, at: Column) -> Column:
+        others = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+        return F.transform(others, lambda line: once(fields(line), lambda raw: row(raw, at)))
+
+    return once(lines, lambda some: once(
+        once(F.transform(fields(F.get(some, F.lit(0))), plain), places), lambda at: rows(some, at)
+    ))
 
 
 def parse_requirements(text: Column) -> Column:
@@ -82,11 +92,14 @@ def parse_requirements(text: Column) -> Column:
 
 
 def assemble_runs(files: DataFrame) -> DataFrame:
-    """One row per run directory from its files; a missing or broken file leaves NULL, other files are ignored."""
+    """One row per run directory from its files; a missing or broken file leaves NULL, other files are ignored.
+
+    Texts are aggregated by sorting. Names share their beginnings, so that a number made from the name comes first in the order.
+    """
     def of(name: str) -> Column:
         return F.max(F.when(F.col("file") == name, F.col("value"))).alias(name)
 
-    texts = files.groupBy("directory_name").agg(*[of(n) for n in ALL_FILES])
+    texts = files.groupBy(F.xxhash64("directory_name").alias("_mark"), "directory_name").agg(*[of(n) for n in ALL_FILES])
     return texts.select(
         "directory_name", *[F.from_json(F.col(f"`{n}`"), schema).alias(n.split(".")[0]) for n, schema in RUN_FILES.items()],
         parse_requirements(F.col("`requirements.txt`")).alias("requirements"),
