@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gaugewright.functions.scalars import once
+
 # SI prefixes by thousands, unit symbols, and units that are never rescaled.
 PREFIXES = ["q", "r", "y", "z", "a", "f", "p", "n", "µ", "m", "", "k", "M", "G", "T", "P", "E", "Z", "Y", "R", "Q"]
 ZERO_PREFIX = 10
@@ -40,16 +42,17 @@ def scientific(value: Column) -> Column:
     """Two decimals in short scientific text; exact halves go to the even digit."""
     size = F.abs(value)
     exponent = F.floor(F.log10(size)).cast("int")
-    digits = F.rint(size / F.pow(F.lit(10.0), exponent - 2)).cast("long")
-    carried = digits >= 1000
-    digits = F.when(carried, F.lit(100).cast("long")).otherwise(digits).cast("string")
-    exponent = F.when(carried, exponent + 1).otherwise(exponent)
-    text = F.concat(
-        F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.substring(digits, 1, 1), F.lit("."),
-        F.substring(digits, 2, 2), F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.abs(exponent).cast("string"),
-    )
-    return F.when(value == 0, F.lit("0.00e+0")).otherwise(text)
+    # 900 mantissas (100 to 999) per exponent in one number: a mantissa of 1000 carries by itself
+    place = exponent * 900 + F.rint(size / F.pow(F.lit(10.0), exponent - 2)).cast("long") - 100
+
+    def text(at: Column) -> Column:
+        return F.concat(
+            F.when(value < 0, F.lit("-")).otherwise(F.lit("")),
+            F.overlay((F.pmod(at, F.lit(900)) + 100).cast("string"), F.lit("."), F.lit(2), F.lit(0)),
+            F.when(at < 0, F.lit("e-")).otherwise(F.lit("e+")), F.abs(F.floor(at / 900)).cast("string"),
+        )
+
+    return F.when(value == 0, F.lit("0.00e+0")).otherwise(once(place, text))
 
 
 def format_number(value: Column) -> Column:

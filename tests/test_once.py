@@ -1,7 +1,9 @@
 """Costly parts of expressions and plans stand once, whatever uses their result."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from gaugewright.functions import units as U
 from gaugewright.sources import logs
 
 
@@ -27,3 +29,10 @@ def test_files_of_a_run_are_sorted_by_a_number_first(spark):
     df = logs.assemble_runs(files)
     assert sorted((r["directory_name"] or "", r["config"] and r["config"]["ds"], r["requirements"]) for r in df.collect()) == [("", None, ["p==1"]), ("a", "x", None)]
     assert "xxhash64(directory_name" in plan(df)
+
+
+@pytest.mark.parametrize("x, want", [(9995.0, "1.00e+4"), (-0.00009996, "-1.00e-4"), (12450.0, "1.24e+4"), (12350.0, "1.24e+4"), (1e-12, "1.00e-12"), (-999600.0, "-1.00e+6"), (0.0, "0.00e+0")])
+def test_scientific(spark, x, want):
+    df = spark.createDataFrame([(x,)], "x double").repartition(1).select(U.scientific(F.col("x")).alias("text"))
+    assert df.first()[0] == want
+    assert plan(df).count("POWER(") == 1
