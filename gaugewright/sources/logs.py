@@ -117,15 +117,19 @@ def parse_merged_logs(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     Emissions may be a list of rows, or columns as ``{"duration": {"0": ..., "1": ...}, ...}``.
     """
     schema = LOG_SCHEMA.rsplit(", emissions", 1)[0] + ", emissions string, _corrupt string"
-    parsed = texts.select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("log"))
+    log = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"})
+    parsed = texts.select("value", F.explode(F.array(log)).alias("log"))  # no filter moves into the parser and repeats it
+    bad = F.col("log").isNull() | F.col("log._corrupt").isNotNull()
+
+    def turned(columns: Column) -> Column:
+        places = F.array_sort(F.transform(F.map_keys(F.coalesce(columns["duration"], columns["energy_consumed"])), lambda k: k.cast("int")))
+        return F.transform(places, lambda i: F.struct(*[
+            F.try_element_at(columns[n], i.cast("string")).alias(n) for n in ("duration", "energy_consumed")
+        ]))
+
     rows = F.from_json("log.emissions", f"array<{EMISSION}>")
     columns = F.from_json("log.emissions", "struct<duration:map<string,double>,energy_consumed:map<string,double>>")
-    places = F.array_sort(F.transform(F.map_keys(F.coalesce(columns["duration"], columns["energy_consumed"])), lambda k: k.cast("int")))
-    turned = F.transform(places, lambda i: F.struct(*[
-        F.try_element_at(columns[n], i.cast("string")).alias(n) for n in ("duration", "energy_consumed")
-    ]))
-    emissions = F.when(F.col("log.emissions").startswith("{"), turned).otherwise(rows)
-    bad = F.col("log").isNull() | F.col("log._corrupt").isNotNull()
+    emissions = F.when(F.col("log.emissions").startswith("{"), once(columns, turned)).otherwise(rows)
     good = parsed.filter(~bad).select("log.*", emissions.alias("_emissions")).drop("_corrupt", "emissions")
     return good.withColumnRenamed("_emissions", "emissions"), parsed.filter(bad).select(F.col("value").alias("_corrupt"))
 

@@ -31,6 +31,14 @@ def test_files_of_a_run_are_sorted_by_a_number_first(spark):
     assert "xxhash64(directory_name" in plan(df)
 
 
+def test_merged_log_is_parsed_once(spark):
+    texts = spark.createDataFrame([('{"directory_name": "a", "emissions": {"duration": {"1": 2, "0": 1}}}',), ('{"directory_name": "b", "emissions": [{"duration": 3}]}',), ('{"dir',), (None,)], "value string")
+    good, bad = logs.parse_merged_logs(texts.repartition(1))
+    assert sorted((r["directory_name"], [e["duration"] for e in r["emissions"]]) for r in good.collect()) == [("a", [1.0, 2.0]), ("b", [3.0])]
+    assert sorted(r[0] or "" for r in bad.collect()) == ["", '{"dir']
+    assert plan(good).count("from_json") == 3  # the log, emissions as rows, as columns
+
+
 @pytest.mark.parametrize("x, want", [(9995.0, "1.00e+4"), (-0.00009996, "-1.00e-4"), (12450.0, "1.24e+4"), (12350.0, "1.24e+4"), (1e-12, "1.00e-12"), (-999600.0, "-1.00e+6"), (0.0, "0.00e+0")])
 def test_scientific(spark, x, want):
     df = spark.createDataFrame([(x,)], "x double").repartition(1).select(U.scientific(F.col("x")).alias("text"))
