@@ -1,7 +1,8 @@
 """Multilayer perceptrons trained on the whole of the rows: a round sums loss and gradient over the partitions.
 
 What travels is the weights (to the tasks) and one gradient per partition (back), so a round costs one pass over the
-rows, however many there are. Rows with a missing label or feature are left out.
+distinct rows, however many there are: equal rows are counted once before the first round. Rows with a missing label or
+feature are left out.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from gaugewright.operators.sums import coded, matrix, vector_sum
+from gaugewright.session import materialize
 
 
 class Perceptron(NamedTuple):
@@ -60,8 +63,9 @@ def forward(parts: list[np.ndarray], x: np.ndarray, activation: str) -> list[np.
     return values
 
 
-def loss_and_gradient(weights: np.ndarray, sizes, x: np.ndarray, y: np.ndarray, activation: str) -> np.ndarray:
-    """Sum of the softmax log losses, then its gradient."""
+def loss_and_gradient(weights: np.ndarray, sizes, x: np.ndarray, y: np.ndarray, activation: str, n: np.ndarray | None = None) -> np.ndarray:
+    """Sum of the softmax log losses, then its gradient; a row counts ``n`` times."""
+    n = np.ones(len(y)) if n is None else n
     parts = layers(weights, sizes)
     values = forward(parts, x, activation)
     scores = values[-1]
@@ -69,9 +73,10 @@ def loss_and_gradient(weights: np.ndarray, sizes, x: np.ndarray, y: np.ndarray,
     p = np.exp(scores - top)
     total = p.sum(axis=1, keepdims=True)
     rows = np.arange(len(y))
-    loss = float((np.log(total[:, 0]) + top[:, 0] - scores[rows, y]).sum())
+    loss = float((np.log(total[:, 0]) + top[:, 0] - scores[rows, y]) @ n)
     delta = p / total
     delta[rows, y] -= 1
+    delta *= n[:, None]
     out = []
     for i in range(len(parts) - 1, -1, -1):
         out.append(np.vstack([delta.sum(axis=0), values[i].T @ delta]).ravel())
@@ -94,14 +99,15 @@ def perceptron(
     shape = rows.limit(1).collect()
     if not shape:
         raise ValueError("a classifier needs complete rows")
-    n = rows.count()
+    rows = materialize(rows.groupBy("x", "y").agg(F.count("*").alias("n")))
+    n = rows.agg(F.sum("n")).first()[0]
     sizes = (len(shape[0]["x"]), *hidden, len(classes))
     weights = first_weights(sizes, seed) if start is None else np.asarray(start, float)
     penalized = np.concatenate([np.vstack([np.zeros((1, b)), np.ones((a, b))]).ravel() for a, b in zip(sizes, sizes[1:])])
 
     def at(w: np.ndarray) -> tuple[float, np.ndarray]:
         def partial(batch: pa.RecordBatch) -> np.ndarray:
-            return loss_and_gradient(w, sizes, matrix(batch.column("x")), batch.column("y").to_numpy(), activation)
+            return loss_and_gradient(w, sizes, matrix(batch.column("x")), batch.column("y").to_numpy(), activation, batch.column("n").to_numpy())
 
         total = vector_sum(rows, 1 + len(w), partial) / n
         return total[0] + 0.5 * alpha / n * float((penalized * w * w).sum()), total[1:] + alpha / n * penalized * w

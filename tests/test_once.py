@@ -1,9 +1,11 @@
 """Costly parts of expressions and plans stand once, whatever uses their result."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gaugewright.functions import units as U
+from gaugewright.operators import perceptron as perceptron_module
 from gaugewright.sources import logs
 
 
@@ -44,3 +46,19 @@ def test_scientific(spark, x, want):
     df = spark.createDataFrame([(x,)], "x double").repartition(1).select(U.scientific(F.col("x")).alias("text"))
     assert df.first()[0] == want
     assert plan(df).count("POWER(") == 1
+
+
+def test_equal_rows_of_a_perceptron_are_read_as_one(spark, monkeypatch):
+    seen = []
+    real = perceptron_module.vector_sum
+    monkeypatch.setattr(perceptron_module, "vector_sum", lambda df, *rest: seen.append(df.count()) or real(df, *rest))
+    plain = [([float(i % 3), float(i % 2)], i % 2) for i in range(60)]
+    df = spark.createDataFrame(plain + [(None, 1), ([1.0, float("nan")], 0)], "x array<double>, y int").repartition(3)
+    model = perceptron_module.perceptron(df, "x", "y", hidden=(2,), alpha=0.1, activation="tanh", solver="gd", rounds=4, tolerance=0.0)
+    assert set(seen) == {6}
+    x, y = np.array([r[0] for r in plain]), np.array([r[1] for r in plain])
+    free = np.concatenate([np.vstack([np.zeros((1, b)), np.ones((a, b))]).ravel() for a, b in zip(model.sizes, model.sizes[1:])])
+    w = perceptron_module.first_weights(model.sizes)
+    for _ in range(3):
+        w = w - 0.1 * (perceptron_module.loss_and_gradient(w, model.sizes, x, y, "tanh")[1:] + 0.1 * free * w) / len(y)
+    assert np.allclose(model.weights, w, rtol=0, atol=1e-12)
