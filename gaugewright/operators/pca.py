@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.operators.gram import moments, packed_grams, unpack
 from gaugewright.operators.joins import join_groups
-from gaugewright.operators.quantiles import exact_quantiles
+from gaugewright.operators.quantiles import stored_quantiles
 from gaugewright.session import materialize
 
 
@@ -65,7 +65,7 @@ def pca_metafeatures(df: DataFrame, features: list[str], label: str, key: str =
     simple = scores.groupBy(key, "component").agg(
         F.min("score").alias("min"), F.max("score").alias("max"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")
     )
-    median = exact_quantiles(scores, [key, "component"], "score", [0.5], "median").withColumn("median", F.col("median")[0])
+    median = stored_quantiles(scores, [key, "component"], "score", [0.5], "median").withColumn("median", F.col("median")[0])
     names = ("min", "max", "mean", "std", "median")
     return join_groups(simple, median, [key, "component"], "inner").groupBy(key).agg(*[
         F.max(F.when(F.col("component") == c, F.col(n))).alias(f"{c}_{n}") for c in range(components) for n in names

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugewright.operators.joins import join_groups
+from gaugewright.session import materialize
 
 # A bucket spans a factor of 2**(1/16384), so values of nine significant digits put at most
 # 42,400 distinct values into one bucket, and one power of two needs at most 16,384 histogram rows.
@@ -54,6 +55,36 @@ def exact_positions(
     return found.drop("_all") if own_key else found
 
 
+COARSE = 256  # buckets that the first reading of stored rows counts as one
+
+
+def stored_quantiles(df: DataFrame, keys: list[str], value: str, probs, out: str = "q") -> DataFrame:
+    """`exact_quantiles` of rows that are stored, read twice.
+
+    The first reading counts rows in wide buckets, which tasks hold few of; the second counts the values in those wide
+    buckets only that have a wanted rank. So no task holds the distinct values of a key, and few rows are shuffled.
+    """
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")).withColumn("_b", F.expr(value_bucket("_v")))
+    wide = F.floor(F.col("_b") / COARSE)
+    coarse = rows.groupBy(*keys, wide.alias("_w")).agg(F.count("*").alias("_wc"))
+    by = ", ".join(f"`{k}`" for k in keys)
+    placed = coarse.selectExpr(
+        "*", f"sum(_wc) OVER (PARTITION BY {by} ORDER BY _w ROWS UNBOUNDED PRECEDING) AS _stop", f"sum(_wc) OVER (PARTITION BY {by}) AS _n"
+    )
+    positions = quantile_positions(probs)
+    ranks = [f"{end}(round(CAST({p('_n')} AS DOUBLE), 9))" for p in positions for end in ("floor", "ceil")]
+    wanted = " OR ".join(f"({r} >= _stop - _wc AND {r} < _stop)" for r in ranks)
+    placed = materialize(placed.selectExpr(*keys, "_w", "_wc", f"{wanted} AS _wanted"))  # a few thousand rows a key at most
+    inside = placed.filter("_wanted").select(*keys, "_w")
+    counted = materialize(
+        join_groups(rows.withColumn("_w", wide), inside, [*keys, "_w"], "left_semi").groupBy(*keys, "_b", "_v").agg(F.count("*").alias("_c"))
+    )
+    others = placed.filter("NOT _wanted").select(*keys, (F.col("_w") * COARSE).alias("_b"), F.col("_wc").alias("_bc"))
+    histogram = counted.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc")).unionByName(others)
+    return pick_positions(histogram, lambda hit: counted, keys, positions, out)
+
+
 def pick_positions(
     histogram: DataFrame, counted: Callable[[DataFrame], DataFrame], keys: list[str], positions: list[Callable[[str], str]], out: str = "q",
 ) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from gaugewright.functions import units as U
 from gaugewright.operators import perceptron as perceptron_module
+from gaugewright.operators import quantiles as quantiles_module
+from gaugewright.operators.quantiles import exact_quantiles, stored_quantiles
 from gaugewright.sources import logs
 
 
@@ -62,3 +64,20 @@ def test_equal_rows_of_a_perceptron_are_read_as_one(spark, monkeypatch):
     for _ in range(3):
         w = w - 0.1 * (perceptron_module.loss_and_gradient(w, model.sizes, x, y, "tanh")[1:] + 0.1 * free * w) / len(y)
     assert np.allclose(model.weights, w, rtol=0, atol=1e-12)
+
+
+def test_quantiles_of_stored_rows(spark):
+    values = [(k, v) for k, f in (("a", lambda i: i * 0.37 - 20), ("b", lambda i: 5.0), (None, lambda i: -1.5 ** (i % 40)), ("c", lambda i: 1 + i * 1e-9)) for i in range(501) for v in [f(i)]]
+    df = spark.createDataFrame(values + [("a", None), ("d", None), ("e", 1.0), ("e", 2.0)], "k string, v double").repartition(3)
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got, want = ({r["k"]: r["q"] for r in f(df, ["k"], "v", probs).collect()} for f in (stored_quantiles, exact_quantiles))
+    assert got == want and set(got) == {"a", "b", "c", "e", None}
+
+
+def test_only_values_near_the_wanted_rank_are_counted(spark, monkeypatch):
+    stored = []
+    real = quantiles_module.materialize
+    monkeypatch.setattr(quantiles_module, "materialize", lambda df: stored.append(real(df)) or stored[-1])
+    df = spark.range(20000).selectExpr("'a' AS k", "1 + id / 1000D AS v")
+    assert stored_quantiles(df, ["k"], "v", [0.5]).first()["q"] == pytest.approx([10.9995])
+    assert stored[-1].count() < 1000
