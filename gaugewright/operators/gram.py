@@ -15,6 +15,20 @@ from pyspark.sql import functions as F
 HELD = 4 << 20  # numbers that a task holds before it sends matrices on
 
 
+def parted(batch: pa.RecordBatch, matrix: np.ndarray, keys: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """The rows of every key of a batch, in their order; no row is handled by itself."""
+    if not keys:
+        yield (), matrix
+        return
+    codes = np.zeros(batch.num_rows, np.int64)
+    for k in keys:
+        coded = batch.column(k).dictionary_encode(null_encoding="encode")
+        _, codes = np.unique(codes * len(coded.dictionary) + coded.indices.to_numpy(), return_inverse=True)
+    order = np.argsort(codes, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+        yield tuple(batch.column(k)[int(at[0])].as_py() for k in keys), matrix[at]
+
+
 def gram_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """``sum(v_i * v_j)`` per key for i <= j as rows (keys, i, j, s).
 
@@ -40,11 +54,7 @@ def gram_sums(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
                 continue
             kinds = [batch.schema.field(k).type for k in keys]
             matrix = batch.column(vector).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            labels: dict[tuple, list[int]] = {}
-            for at, key in enumerate(zip(*[batch.column(k).to_pylist() for k in keys], strict=True) if keys else ()):
-                labels.setdefault(key, []).append(at)
-            for key, at in labels.items() if keys else [((), slice(None))]:
-                rows = matrix[at]
+            for key, rows in parted(batch, matrix, keys):
                 held[key] = held.get(key, 0.0) + rows.T @ rows
             if len(held) * matrix.shape[1] ** 2 > HELD:
                 yield from flush()

@@ -47,26 +47,39 @@ def loadings(df: DataFrame, keys: list[str], columns: list[str], components: int
     return grams.mapInPandas(decompose, schema)
 
 
-def project(df: DataFrame, keys: list[str], columns: list[str], components: int, keep=()) -> DataFrame:
-    """Rows as (keys, keep, component, score).  The loadings have one row per key and component."""
+def _with_models(df: DataFrame, keys: list[str], columns: list[str], components: int, keep=()) -> DataFrame:
+    """Rows (keys, keep, columns as ``_x``) with the loadings ``_model`` of their key in order of the components."""
     models = loadings(df, keys, columns, components)
-    packed = models.groupBy(*keys).agg(F.collect_list(F.struct("component", "shift", "weights")).alias("_model"))
+    packed = models.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("component", "shift", "weights"))).alias("_model"))
     rows = df.select(*keys, *keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
-    joined = join_groups(rows, packed, keys, "inner") if keys else rows.withColumn("_model", packed.scalar())
-    score = " + ".join(["_m.shift", *[f"_m.weights[{i}] * _x{i}" for i in range(len(columns))]])
+    return join_groups(rows, packed, keys, "inner") if keys else rows.withColumn("_model", packed.scalar())
+
+
+def _score(model: str, columns: list[str]) -> str:
+    return " + ".join([f"{model}.shift", *[f"{model}.weights[{i}] * _x{i}" for i in range(len(columns))]])
+
+
+def project(df: DataFrame, keys: list[str], columns: list[str], components: int, keep=()) -> DataFrame:
+    """Rows as (keys, keep, component, score).  The loadings have one row per key and component."""
+    joined = _with_models(df, keys, columns, components, keep)
     return joined.withColumn("_m", F.explode("_model")).selectExpr(
-        *keys, *keep, "_m.component AS component", f"{score} AS score"
+        *keys, *keep, "_m.component AS component", f"{_score('_m', columns)} AS score"
     )
 
 
 def pca_metafeatures(df: DataFrame, features: list[str], label: str, key: str = "dataset", components: int = 3) -> DataFrame:
-    """Minimum, maximum, mean, population deviation and median of the first components of features and label."""
-    scores = materialize(project(df, [key], [*features, label], components))
-    simple = scores.groupBy(key, "component").agg(
-        F.min("score").alias("min"), F.max("score").alias("max"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std")
-    )
-    median = stored_quantiles(scores, [key, "component"], "score", [0.5], "median").withColumn("median", F.col("median")[0])
-    names = ("min", "max", "mean", "std", "median")
-    return join_groups(simple, median, [key, "component"], "inner").groupBy(key).agg(*[
-        F.max(F.when(F.col("component") == c, F.col(n))).alias(f"{c}_{n}") for c in range(components) for n in names
+    """Minimum, maximum, mean, population deviation and median of the first components of features and label.
+
+    The scores of a row are stored side by side, so that the rows don't multiply before their moments are taken.
+    """
+    columns = [*features, label]
+    joined = _with_models(df, [key], columns, components)
+    scores = materialize(joined.selectExpr(f"`{key}`", *[f"{_score(f'get(_model, {c})', columns)} AS _s{c}" for c in range(components)]))
+    simple = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop}
+    spread = scores.groupBy(key).agg(*[f(f"_s{c}").alias(f"{c}_{n}") for c in range(components) for n, f in simple.items()])
+    cells = F.array(*[F.struct(F.lit(c).alias("component"), F.col(f"_s{c}").alias("score")) for c in range(components)])
+    found = stored_quantiles(scores.select(key, F.inline(cells)), [key, "component"], "score", [0.5], "median")
+    medians = found.groupBy(key).agg(*[
+        F.max(F.when(F.col("component") == c, F.col("median")[0])).alias(f"{c}_median") for c in range(components)
     ])
+    return join_groups(spread, medians, [key], "inner").select(key, *[f"{c}_{n}" for c in range(components) for n in (*simple, "median")])

@@ -1,12 +1,15 @@
 """Costly parts of expressions and plans stand once, whatever uses their result."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gaugewright.functions import units as U
+from gaugewright.operators import pca as pca_module
 from gaugewright.operators import perceptron as perceptron_module
 from gaugewright.operators import quantiles as quantiles_module
+from gaugewright.operators.gram import parted
 from gaugewright.operators.quantiles import exact_quantiles, stored_quantiles
 from gaugewright.sources import logs
 
@@ -81,3 +84,27 @@ def test_only_values_near_the_wanted_rank_are_counted(spark, monkeypatch):
     df = spark.range(20000).selectExpr("'a' AS k", "1 + id / 1000D AS v")
     assert stored_quantiles(df, ["k"], "v", [0.5]).first()["q"] == pytest.approx([10.9995])
     assert stored[-1].count() < 1000
+
+
+@pytest.mark.parametrize("keys", [["a", "b"], ["a"], []])
+def test_rows_of_a_batch_by_key(keys):
+    batch = pa.RecordBatch.from_pydict({"a": ["x", None, "y", "x", None, "x"], "b": [1, 2, None, 2, 2, 1]})
+    matrix = np.arange(12.0).reshape(6, 2)
+    want = {}
+    for i, r in enumerate(batch.to_pylist()):
+        want.setdefault(tuple(r[k] for k in keys), []).append(matrix[i].tolist())
+    assert {k: rows.tolist() for k, rows in parted(batch, matrix, keys)} == want
+
+
+def test_component_scores_lie_side_by_side(spark, monkeypatch):
+    stored = []
+    real = pca_module.materialize
+    monkeypatch.setattr(pca_module, "materialize", lambda df: stored.append(real(df)) or stored[-1])
+    rows = [(k, float(i), float(i * i % 7), i % 3) for k in ("a", None) for i in range(30)]
+    df = spark.createDataFrame(rows, "dataset string, x double, y double, code int")
+    found = pca_module.pca_metafeatures(df, ["x", "y"], "code")
+    assert stored[0].count() == len(rows)
+    assert {r["dataset"] for r in found.collect()} == {"a", None}
+    scores = pca_module.project(df, ["dataset"], ["x", "y", "code"], 3).filter("dataset = 'a' AND component = 1").toPandas()["score"]
+    one = found.filter("dataset = 'a'").first()
+    assert [one[f"1_{n}"] for n in ("min", "max", "mean", "std", "median")] == pytest.approx([scores.min(), scores.max(), scores.mean(), scores.std(ddof=0), scores.median()], abs=1e-9)
