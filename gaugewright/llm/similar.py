@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from gaugewright.llm.common import enter, mix, partitions, release, small_batches, text_packs
 from gaugewright.llm.language import bucket_of, narrow, power_of_two, squeeze, unsqueeze
-from gaugewright.session import materialize
+from gaugewright.session import materialize, materialize_by
 
 WORDS = 5
 SAMPLED = 32  # one document of so many shows which tokens are frequent
@@ -214,7 +214,7 @@ def linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text
     nodes = materialize(narrowed(nodes.select("c", F.col("rep.k").alias("_k"), F.col("rep.t").alias("_r"))))
     own = docs.select(F.col(key).cast("long").alias("_k"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_r"), F.col(text).alias("_x"))
     texts = own.join(sent_if_small(nodes, nodes.count()), ["_k", "_r"]).groupBy("c").agg(F.first("_x").alias("_x"))
-    texts = materialize(texts)
+    texts = materialize_by(texts, "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("similar", word_hash.cache_clear)
@@ -389,10 +389,11 @@ def shared_tokens(rows: pa.Table) -> pa.Table:
     return pa.table({"g": g, "h": h, "shared": shared.astype(np.int64), "marked": marked.astype(np.int64)})
 
 
-def opened(grouped: DataFrame) -> DataFrame:
+def opened(grouped: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs of groups (g, h) that the bound leaves, with the sizes of both."""
-    buckets = power_of_two(partitions(grouped))
-    runs = grouped.select("prefix", "n", "g").mapInArrow(matrix_runs(buckets), "bucket int, a binary, b binary, c binary, d binary")
+    buckets = power_of_two(partitions(classes))
+    wide = classes.select("c", "prefix", "n").join(grouped.select("c", "g"), "c").select("prefix", "n", "g")
+    runs = wide.mapInArrow(matrix_runs(buckets), "bucket int, a binary, b binary, c binary, d binary")
     shared = runs.groupBy("bucket").applyInArrow(shared_tokens, "g long, h long, shared long, marked long")
     pairs = shared.groupBy("g", "h").agg(F.sum("shared").alias("shared"), F.max("marked").alias("marked")).filter("marked > 0")
     sizes = grouped.groupBy("g").agg(
@@ -434,17 +435,17 @@ def _join(docs: DataFrame, key: str, text: str) -> DataFrame:
     order = Order(frequent(docs, text))
     rows = materialize(sketches(docs, key, text, order))
     whole = rows.filter(F.col(key).isNotNull() & (F.col("n") > 0))
-    # One class per set: 128 bits of fingerprint and the size.
-    classes = materialize(
-        whole.groupBy("n", "f1", "f2").agg(
+    # One class per set: 128 bits of fingerprint. Prefixes are about as large as the texts are compressed, so they move
+    # once: in buckets by class they lie still when pairs of classes ask for them.
+    classes = materialize_by(
+        whole.groupBy(F.struct("f1", "f2").alias("c")).agg(
             F.min(F.struct(F.col(key).alias("k"), F.col("_t").alias("t"))).alias("rep"),
-            F.first("turns").alias("turns"), F.first("prefix").alias("prefix"),
-            F.first("hot").alias("hot"), F.first("rare").alias("rare"),
-        ).withColumn("c", F.struct("f1", "f2"))
+            *[F.first(x).alias(x) for x in ("n", "turns", "prefix", "hot", "rare")],
+        ), "c"
     )
     roots = components(linked(first_pairs(classes), classes, docs, key, text))
-    grouped = materialize(rooted(classes.select("c", "n", "hot", "rare", "prefix"), roots))
-    pairs = materialize(narrowed(opened(grouped)))
+    grouped = materialize(narrowed(rooted(classes.select("c", "n", "hot", "rare"), roots)))
+    pairs = materialize(narrowed(opened(grouped, classes)))
     # A slice of each opened group first: what it links is one group afterwards, and such pairs are settled, as are
     # those of groups that a slice covers in full.
     roots = components(linked(across(pairs, grouped, True), classes, docs, key, text), roots)

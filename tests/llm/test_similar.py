@@ -80,3 +80,22 @@ def test_components(spark):
             for a, b in edges:
                 want[a] = want[b] = min(want[a], want[b])
         assert got == {k: v for k, v in want.items() if k != v}
+
+
+def test_prefixes_move_once(spark, monkeypatch):
+    """Joins of pairs with their classes move the pairs, not the prefixes of all classes."""
+    asked = []
+    linked = similar.linked
+    monkeypatch.setattr(similar, "linked", lambda pairs, classes, *rest: asked.append((pairs, classes)) or linked(pairs, classes, *rest))
+    rows = chains()
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = similar.materialize(asked[0][0])
+        plan = similar.may_link(pairs, asked[0][1])._jdf.queryExecution().sparkPlan().toString()
+        moved = similar.may_link(pairs, asked[0][1])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("SortMergeJoin") == 2 and moved.count("Exchange hashpartitioning") == 2
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("gaugewright_")]
