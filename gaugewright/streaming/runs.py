@@ -53,14 +53,21 @@ def start_merge(runs: DataFrame, table: str, checkpoint: str, key: str = "log_na
         spark = batch.sparkSession
         kind = batch.schema[key].dataType.simpleString()
         seen = _parts(spark, f"{table}/names", f"`{key}` {kind}, batch long, bucket int")
-        named = batch.filter(F.col(key).isNotNull()).dropDuplicates([key]).withColumn("bucket", bucket(key))
+        rows = batch.filter(F.col(key).isNotNull())
+        # Names and how often they come are counted first: only the rows of names that come again have to meet.
+        named = rows.groupBy(key).agg(F.count("*").alias("_rows")).withColumn("bucket", bucket(key))
         if seen is not None:
             hit = [r[0] for r in named.select("bucket").distinct().collect()]
-            known = seen.filter((F.col("batch") < number) & F.col("bucket").isin(hit)).select(key, "bucket")
-            named = named.join(known, [key, "bucket"], "left_anti").select(*named.columns)
-        fresh = named.drop("bucket").unionByName(batch.filter(F.col(key).isNull()))
+            known = seen.filter((F.col("batch") < number) & F.col("bucket").isin(hit)).select(key)
+            named, rows = (x.join(known, key, "left_anti").select(*x.columns) for x in (named, rows))
+        own = f"{table}/names/batch={number}"
+        named.write.mode("overwrite").partitionBy("bucket").parquet(own)
+        again = spark.read.schema(f"`{key}` {kind}, _rows long").parquet(own).filter("_rows > 1").select(key)
+        if not again.isEmpty():
+            twice = rows.join(again, key, "left_semi").select(*batch.columns).dropDuplicates([key])
+            rows = rows.join(again, key, "left_anti").select(*batch.columns).unionByName(twice)
+        fresh = rows.unionByName(batch.filter(F.col(key).isNull()))
         partial_sums(fresh, key).write.mode("overwrite").parquet(f"{table}/sums/batch={number}")
-        named.select(key, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/names/batch={number}")
 
     return (
         runs.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

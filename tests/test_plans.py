@@ -11,6 +11,7 @@ from gaugewright.operators.reference import index_centered, optimal_references
 from gaugewright.plans.metalearn import design_table, meta_learn
 from gaugewright.plans.rate import rate
 from gaugewright.plans.recommend import recommend
+from gaugewright.streaming import runs as streamed
 from gaugewright.streaming.energy import start_energy, windowed_energy
 from gaugewright.streaming.runs import compact, current_table, start_merge
 
@@ -256,6 +257,25 @@ def test_stream_merge_counts_a_run_once_and_compacts(spark, tmp_path):
     assert state() == [(5, "log1", 4.0)]
 
 
+def test_stream_merge_moves_names_and_repeated_runs_only(spark, tmp_path, monkeypatch):
+    place, checkpoint, source = (str(tmp_path / n) for n in ("table", "checkpoint", "source"))
+    plans, sums = [], streamed.partial_sums
+    monkeypatch.setattr(
+        streamed, "partial_sums", lambda runs, order: plans.append(runs._jdf.queryExecution().executedPlan().toString()) or sums(runs, order)
+    )
+    states = []
+    for rows in (
+        [("log1", 1.0), ("log2", 2.0), (None, 3.0)],
+        [("log2", 9.0), ("log3", 4.0), ("log3", 4.0), (None, 6.0), ("log4", 8.0), ("log4", 8.0)],
+    ):
+        data = [("d", "t", "A", "a", "s", name, acc) for name, acc in rows]
+        spark.createDataFrame(data, RUN).coalesce(1).write.mode("append").parquet(source)
+        start_merge(spark.readStream.schema(RUN).parquet(source), place, checkpoint).awaitTermination()
+        states.append([(r["n_results"], r["log_name"], r["acc"]) for r in current_table(spark, place).collect()])
+    assert states == [[(3, "log1", 2.0)], [(6, "log1", 4.0)]]
+    assert "Exchange" not in plans[0]
+
+
 def test_late_samples_are_dropped(spark, tmp_path):
     place, checkpoint, source = (str(tmp_path / n) for n in ("table", "checkpoint", "source"))
 
