@@ -12,18 +12,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugewright.functions.scalars import DIGITS
+from gaugewright.operators.closest import Closest, distances
 from gaugewright.operators.prep import split_hash
 from gaugewright.operators.quantiles import exact_positions
+from gaugewright.operators.sums import matrix
 from gaugewright.session import materialize
 
 CHUNK_ROWS = 2048
 GROUP_ROWS = 1 << 15  # donors of a chunk that holds several cells
+BLOCK_QUERIES = 1 << 14  # queries of a task
+PACKET_ROWS = 1 << 12
 CELLS = 64
-GROUPS = 16
 TILE = 1 << 14  # sums of a tile, and donors of a block: small enough for the cache
 BLOCK = 1 << 12
 
@@ -225,54 +229,181 @@ def nearest(
 # ---------------------------------------------------------------- complete vectors: pivots
 
 
-def pivot_cells(donors: DataFrame, width: int, distance, cells: int = CELLS) -> tuple[np.ndarray, DataFrame]:
-    """Pivot vectors (a fixed number of donors, chosen by hash) and the donors with nearest pivot and distance."""
-    chosen = donors.orderBy(split_hash(F.col("id"), 0), "id").limit(cells).select("vec").collect()
-    pivots = np.array([r["vec"][:width] for r in chosen])
+def pivot_cells(donors: DataFrame, width: int, p: int, cells: int = CELLS) -> tuple[np.ndarray, DataFrame]:
+    """Pivot vectors (a fixed number of donors, chosen by hash) and the donors with nearest pivot and distance.
+
+    Donors with a gap among the compared entries are left out; ``whole`` says that the other entries have none either.
+    """
+    chosen = donors.filter("vec IS NOT NULL").orderBy(split_hash(F.col("id"), 0), "id").limit(cells).select("vec").collect()
+    pivots = np.array([r["vec"][:width] for r in chosen], float).reshape(-1, width)
+    pivots = pivots[np.isfinite(pivots).all(axis=1)] if np.isfinite(pivots).all(axis=1).any() else np.zeros((1, width))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vec = matrix(batch.column("vec"))
+            able = np.flatnonzero(np.isfinite(vec[:, :width]).all(axis=1))
+            dist, rows = distances(vec[able, :width], pivots, p), batch.take(pa.array(able))
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(dist.argmin(axis=1), pa.int32()), pa.array(dist.min(axis=1)), pa.array(~np.isnan(vec[able, width:]).any(axis=1))],
+                [*rows.schema.names, "cell", "radius", "whole"],
+            )
+
+    schema = f"id {dict(donors.dtypes)['id']}, vec array<double>, cell int, radius double, whole boolean"
+    return pivots, donors.filter("vec IS NOT NULL").select("id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(assign, schema)
+
+
+def _blocks(queries: DataFrame, width: int, p: int, pivots: np.ndarray, number: np.ndarray, near: np.ndarray, far: np.ndarray) -> DataFrame:
+    """Queries packed by nearest pivot: (block, qids, targets, qvec, cells), with the cells that a block visits."""
+    kind, tasks = dict(queries.dtypes)["qid"], queries.sparkSession.sparkContext.defaultParallelism
+    many = queries.count()
+    parts = max(1, -(-many // BLOCK_QUERIES), min(tasks, -(-many // CHUNK_ROWS)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vec = matrix(batch.column("vec"))[:, :width]
+                rows = batch.take(pa.array(np.flatnonzero(np.isfinite(vec).all(axis=1))))
+                home = distances(vec[np.isfinite(vec).all(axis=1)], pivots, p).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(home, pa.int32())], [*rows.schema.names, "home"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many, block = [], 0, 0
+
+        def packed() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            vec = np.ascontiguousarray(matrix(rows.column("vec"))[:, :width], "<f8")
+            visited = np.zeros(len(number), bool)
+            for start in range(0, len(vec), CHUNK_ROWS):
+                dist = distances(vec[start : start + CHUNK_ROWS], pivots[number], p)
+                within = (dist + near).min(axis=1, keepdims=True)
+                visited |= (dist - far <= within * (1 + 1e-9) + 1e-6).any(axis=0)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([rows.column("part")[0].as_py() << 32 | block], pa.int64()), _listed(rows.column("qid")), _listed(rows.column("target")),
+                 pa.array([vec.tobytes()], pa.binary()), _listed(pa.array(number[visited], pa.int32()))],
+                ["block", "qids", "targets", "qvec", "cells"],
+            )
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                dist = distance(np.stack(batch["vec"])[:, :width], pivots)
-                batch["cell"] = dist.argmin(axis=1).astype("int32")
-                batch["radius"] = dist.min(axis=1)
-                yield batch
+            if batch.num_rows:
+                held.append(batch)
+                many += batch.num_rows
+            if many >= BLOCK_QUERIES:
+                yield packed()
+                held, many, block = [], 0, block + 1
+        if held:
+            yield packed()
+
+    asked = queries.filter("vec IS NOT NULL").select("qid", F.col("target").cast("int").alias("target"), F.col("vec").cast("array<double>").alias("vec"))
+    placed = asked.mapInArrow(place, f"qid {kind}, target int, vec array<double>, home int").repartitionByRange(parts, "home", F.xxhash64("qid"))
+    return materialize(placed.withColumn("part", F.spark_partition_id().cast("long")).drop("home").mapInArrow(
+        pack, f"block long, qids array<{kind}>, targets array<int>, qvec binary, cells array<int>"
+    ))
+
 
-    schema = ", ".join(f"{n} {t}" for n, t in donors.dtypes) + ", cell int, radius double"
-    return pivots, donors.mapInPandas(assign, schema)
+def _listed(column: pa.Array) -> pa.Array:
+    """One row that holds the column."""
+    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column)
 
 
 def knn_join(
-    queries: DataFrame, donors: DataFrame, width: int, k: int, p: int = 2, cells: int = CELLS, rows: int = GROUP_ROWS,
-    groups: int = GROUPS,
+    queries: DataFrame, donors: DataFrame, width: int, k: int, p: int = 2, cells: int = CELLS, rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Exact k nearest donors under a Minkowski distance, pruned by the triangle inequality.
 
-    ``queries`` has (qid, target, vec), ``donors`` (id, vec).  A query is sent to as many chunks as the groups that it
-    visits have, and each reports k rows: few groups move less, many use more tasks.
+    ``queries`` has (qid, target, vec), ``donors`` (id, vec), the result (qid, target, dist, id, value, nth), nth from 1.  A task holds a block of queries and what is nearest to
+    them so far, and reads packets of donors, those of cells that a query of the block visits.  Where there are fewer
+    blocks than tasks, the packets of a block are dealt to several, if it meets more than ``rows`` donors.  Rows with a
+    gap take no part, nor do donors without the wanted entry; equal distances are ordered by donor id.
     """
-    distance = minkowski(p)
-    pivots, placed = pivot_cells(donors, width, distance, cells)
-    placed = materialize(placed)  # read for the statistics and for the comparison
+    spark, kind, asking = queries.sparkSession, dict(donors.dtypes)["id"], dict(queries.dtypes)["qid"]
+    schema = f"qid {asking}, target int, dist double, id {kind}, value double"
+    pivots, placed = pivot_cells(donors, width, p, cells)
+    placed = materialize(placed.sortWithinPartitions("cell"))  # read for the statistics and for the comparison
     # one row per pivot: outermost donor, and the k-th closest one if there are that many
-    kth = exact_positions(placed, ["cell"], "radius", [lambda n: f"least({k}, {n}) - 1", lambda n: f"{n} - 1"], "r")
-    counts = placed.groupBy("cell").agg(F.count("*").alias("n"))
-    stats = kth.join(counts, "cell").collect()
+    kth = exact_positions(placed.filter("whole"), ["cell"], "radius", [lambda n: f"least({k}, {n}) - 1"], "r")
+    counts = placed.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("whole").alias("wholes"), F.max("radius").alias("far"))
+    stats = counts.join(kth, "cell", "left").collect()
+    if not stats:
+        return spark.createDataFrame([], f"{schema}, nth int")
     number = np.array([s["cell"] for s in stats])
-    near = np.array([s["r"][0] if s["n"] >= k else np.inf for s in stats])
-    far = np.array([s["r"][1] for s in stats])
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    near = np.array([s["r"][0] if s["wholes"] >= k else np.inf for s in stats])
+    far = np.array([s["far"] for s in stats])
+    packed = _blocks(queries, width, p, pivots, number, near, far)
+    visits = sorted((r["block"], r["cells"]) for r in packed.select("block", "cells").collect())  # a row per block, a block's cells at most
+    if not visits:
+        return spark.createDataFrame([], f"{schema}, nth int")
+    visitors = {c: np.array([i for i, (_, visited) in enumerate(visits) if c in visited], int) for c in number.tolist()}
+    tasks = spark.sparkContext.defaultParallelism
+    sides = max(1, min(tasks // len(visits), -(-sum(s["n"] for s in stats) // rows)))
+
+    def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most, turn = min(rows, PACKET_ROWS), 0
         for batch in batches:
-            if len(batch):
-                dist = distance(np.stack(batch["vec"])[:, :width], pivots[number])
-                within = (dist + near).min(axis=1, keepdims=True)
-                relevant = dist - far <= within + 1e-6
-                batch["cells"] = [number[r].astype("int32") for r in relevant]
-                yield batch
+            cell, start = batch.column("cell").to_numpy(), 0
+            ends = np.flatnonzero(np.diff(cell)) + 1
+            while start < len(cell):
+                stop = min(start + most, len(cell))
+                whole = ends[(ends > start + most // 4) & (ends <= stop)]
+                stop = int(whole[-1]) if len(whole) and stop < len(cell) else stop
+                some, turn = batch.slice(start, stop - start), turn + 1
+                inside = np.unique(cell[start:stop])
+                blocks = np.unique(np.concatenate([visitors[c] for c in inside.tolist()]))
+                side = (turn + some.column("part")[0].as_py()) % sides
+                if len(blocks):
+                    yield pa.RecordBatch.from_arrays(
+                        [_listed(pa.array(blocks * sides + side, pa.int32())), _listed(some.column("id")), _listed(pa.array(inside, pa.int32())),
+                         pa.array([np.ascontiguousarray(matrix(some.column("vec")), "<f8").tobytes()], pa.binary())],
+                        ["tasks", "ids", "dcells", "dvec"],
+                    )
+                start = stop
+
+    sent = placed.select("id", "vec", "cell", F.spark_partition_id().alias("part")).mapInArrow(
+        packets, f"tasks array<int>, ids array<{kind}>, dcells array<int>, dvec binary"
+    ).withColumn("task", F.explode("tasks")).withColumn("later", F.lit(1)).drop("tasks")
+    first = (F.array_position(F.array(*[F.lit(b) for b, _ in visits]), F.col("block")).cast("int") - 1) * sides
+    asked = packed.select(F.explode(F.sequence(first, first + (sides - 1))).alias("task"), "qids", "targets", "qvec", F.lit(0).alias("later"))
+    met = asked.unionByName(sent, allowMissingColumns=True).repartitionById(len(visits) * sides, "task").sortWithinPartitions("task", "later")
+    spread, center = pivots.std(axis=0), pivots.mean(axis=0)
+
+    def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            for target, _, qids, best in held:
+                best.settle()
+                for start in range(0, len(best.at), PACKET_ROWS):
+                    some = slice(start, start + PACKET_ROWS)
+                    at = best.at[some]
+                    yield pa.RecordBatch.from_arrays(
+                        [qids.take(pa.array(at)), pa.array(np.full(len(at), target), pa.int32()), pa.array(best.dist[some]), best.ids[some], pa.array(best.value[some])],
+                        ["qid", "target", "dist", "id", "value"],
+                    )
 
-    schema = ", ".join(f"{n} {t}" for n, t in queries.dtypes) + ", cells array<int>"
-    return nearest(queries.mapInPandas(visit, schema), placed.select("id", "vec", "cell"), width, k, p, rows, -(-cells // groups))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if not batch.column("later")[i].as_py():
+                    yield from found()
+                    held, query = [], np.frombuffer(batch.column("qvec")[i].as_buffer(), "<f8").reshape(-1, width)
+                    targets, qids = batch.column("targets")[i].values.to_numpy(), batch.column("qids")[i].values
+                    dist = distances(query, pivots[number], p)
+                    within = (dist + near).min(axis=1) * (1 + 1e-9) + 1e-6
+                    for target in np.unique(targets).tolist():
+                        who = np.flatnonzero(targets == target)
+                        held.append((target, dist[who] - far, qids.take(pa.array(who)), Closest(query[who], k, p, within[who], center, spread)))
+                    continue
+                ids = batch.column("ids")[i].values
+                donor = np.frombuffer(batch.column("dvec")[i].as_buffer(), "<f8").reshape(len(ids), -1)
+                inside = np.isin(number, batch.column("dcells")[i].values.to_numpy())
+                for target, least, _, best in held:
+                    have = np.flatnonzero(~np.isnan(donor[:, target]))
+                    best.feed(np.ascontiguousarray(donor[have, :width]), donor[have, target], ids.take(pa.array(have)), least[:, inside].min(axis=1))
+        yield from found()
+
+    found = met.select("later", "qids", "targets", "qvec", "ids", "dcells", "dvec").mapInArrow(closest, schema)
+    nearest_first = Window.partitionBy("qid", "target").orderBy("dist", "id")  # at most k rows a side are left
+    return found.repartition("qid").withColumn("nth", F.row_number().over(nearest_first)).filter(F.col("nth") <= k)
 
 
 def knn_classify(

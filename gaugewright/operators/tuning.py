@@ -16,14 +16,14 @@ from __future__ import annotations
 import json
 import math
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor, as_completed
 from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugewright.operators import classify as Y
@@ -143,6 +143,23 @@ def fit_perceptron(part: Part, settings: list[dict]) -> list[float | Exception]:
     return list(accuracy(part, [(model.classes, lambda x: perceptron_scores(model, x))]))
 
 
+def scaled(df: DataFrame, mean: np.ndarray, spread: np.ndarray) -> DataFrame:
+    """The column x as (x - mean) / spread, followed by y if there is one, in a column vec."""
+    kept = [f for f in df.schema.fields if f.name not in ("x", "y")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                parts = [(matrix(batch.column("x")) - mean) / spread]
+                if "y" in batch.schema.names:
+                    parts.append(batch.column("y").to_numpy(zero_copy_only=False)[:, None])
+                vec = np.concatenate(parts, axis=1)
+                ends = pa.array(np.arange(0, vec.size + 1, vec.shape[1]), pa.int32())
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.ListArray.from_arrays(ends, pa.array(vec.ravel()))], [*[f.name for f in kept], "vec"])
+
+    return df.mapInArrow(run, ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "vec array<double>"]))
+
+
 def fit_neighbours(part: Part, settings: list[dict]) -> list[float | Exception]:
     """Nearest rows by standardized features, found once for the largest count; smaller counts vote among the first.
 
@@ -154,17 +171,14 @@ def fit_neighbours(part: Part, settings: list[dict]) -> list[float | Exception]:
     if usable:
         stats = part.train.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
         found = sorted(stats.collect())  # a row per feature
-        mean = F.array(*[F.lit(float(r["m"])) for r in found])
-        spread = F.array(*[F.lit(float(r["s"]) or 1.0) for r in found])
-        scaled = F.zip_with(F.zip_with("x", mean, lambda v, m: v - m), spread, lambda v, s: v / s)
+        mean, spread = np.array([r["m"] for r in found], float), np.array([r["s"] or 1.0 for r in found], float)
         classes = [r[0] for r in part.train.select("label").distinct().orderBy("label").collect()]
-        donors, _ = coded(part.train.withColumn("x", scaled), "x", "label", classes, keep=["id"])
-        donors = donors.select("id", F.concat("x", F.array(F.col("y").cast("double"))).alias("vec"))
-        queries = part.test.select(F.col("id").alias("qid"), F.lit(part.width).alias("target"), scaled.alias("vec"))
-        near = knn_join(materialize(queries), materialize(donors), part.width, usable[-1], settings[0]["p"], groups=4)  # units run side by side
-        nth = F.row_number().over(Window.partitionBy("qid").orderBy("dist", "id"))  # no more rows than the largest count
+        donors, _ = coded(part.train, "x", "label", classes, keep=["id"])
+        donors = scaled(donors.select("id", F.col("y").cast("double").alias("y"), "x"), mean, spread)
+        queries = scaled(part.test.select(F.col("id").alias("qid"), F.lit(part.width).alias("target"), "x"), mean, spread)
+        near = knn_join(materialize(queries), materialize(donors), part.width, usable[-1], settings[0]["p"])
         votes = (
-            near.withColumn("nth", nth).select("qid", "nth", "value", F.explode(F.array(*[F.lit(k) for k in usable])).alias("k"))
+            near.select("qid", "nth", "value", F.explode(F.array(*[F.lit(k) for k in usable])).alias("k"))
             .filter("nth <= k").groupBy("qid", "k", "value").agg(F.count("*").alias("votes"))
         )
         chosen = votes.groupBy("qid", "k").agg(F.min_by("value", F.struct(-F.col("votes"), F.col("value"))).cast("int").alias("at"))
